@@ -1,11 +1,14 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, shard, toxicity, urlfilter
+from . import decontaminate, linededup, mixing, setjoin, shard, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_winnowing": decontaminate.op2_winnowing,
     "op3_hypergeometric": shard.op3_hypergeometric,
     "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
+    "op8_pivotal_mix": mixing.op8_pivotal_mix,
+    "op9_jaccard": setjoin.op9_jaccard,
+    "op10_line_runs": linededup.op10_line_runs,
 }
-ORACLES = {"op2_winnowing": decontaminate.SQL}
+ORACLES = {"op9_jaccard": setjoin.SQL, "op2_winnowing": decontaminate.SQL, "op10_line_runs": linededup.SQL}
