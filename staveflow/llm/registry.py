@@ -1,12 +1,14 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, linededup, mixing, setjoin, shard, toxicity, urlfilter
+from . import decontaminate, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
     "op2_winnowing": decontaminate.op2_winnowing,
     "op3_hypergeometric": shard.op3_hypergeometric,
+    "op4_bloom_lm": lm.op4_bloom_lm,
     "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
+    "op7_suffix_dedup": suffixdedup.op7_suffix_dedup,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op9_jaccard": setjoin.op9_jaccard,
     "op10_line_runs": linededup.op10_line_runs,
