@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity, urlfilter
+from . import decontaminate, embedlsh, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_hypergeometric": shard.op3_hypergeometric,
     "op4_bloom_lm": lm.op4_bloom_lm,
     "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
+    "op6_pstable_lsh": embedlsh.op6_pstable_lsh,
     "op7_suffix_dedup": suffixdedup.op7_suffix_dedup,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op9_jaccard": setjoin.op9_jaccard,
