@@ -5,16 +5,20 @@ at least THRESHOLD (of 100) similarity are linked.
 
 1. Census: how often each hash occurs in the whole corpus (block exchange). A
    hash that occurs once is in no other set, so a set with too few repeated
-   hashes has no partner and leaves here, exactly. Equal sets are one class.
+   hashes has no partner and leaves here, exactly. Equal sets are one class,
+   and a second census, over the classes that are left, removes those whose
+   hashes repeat only in copies of their own.
 2. Lists: hashes are ordered by rarity, so the prefix filter holds, and each
-   class goes to the lists of the repeated hashes in its prefix. Lists are
-   dealt by hash range; within a list classes stand by how much of them is new.
-3. Skipping: in each list only the first class meets the others; the answers of
-   all members are then derived from those of their group's root. Two groups
-   that share a list have their roots compared, and by the triangle inequality
-   of the Jaccard distance all their pairs are skipped if the roots are
-   farther apart than both radii and a link's length together. Pairs of the few
-   groups that are left are enumerated from their common lists.
+   class goes to the lists of the repeated hashes in its prefix, with its
+   position there. Lists are dealt by hash range. Blocks of a list are skipped
+   by position: what two sets have left from a list on bounds what they share,
+   if it is the first list they share.
+3. Skipping by relation: in each list the most typical class meets the others;
+   the answers of all members are then derived from those of their group's
+   centre. Two groups that share a list have their centres compared, and by the
+   triangle inequality of the Jaccard distance all their pairs are skipped if
+   the centres are farther apart than both radii and a link's length together.
+   Pairs of the few groups that are left are enumerated from their common lists.
 
 Every comparison is an exact intersection of whole sets (of 64-bit hashes). No
 list is cut and no pair is dropped, and no list's pairs are all emitted.
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .frames import by_group, checkpoint, components, fresh, group_shift, pack48, range_of, ranges_for, read, split_by_range, stable, unpack48, with_groups
+from .frames import by_group, checkpoint, components, fresh, group_shift, pack48, ranges_for, read, split_by_range, stable, unpack48, with_groups
 
 N, THRESHOLD = 5, 75
 
@@ -89,21 +93,21 @@ def _census(rows: DataFrame, n: int, ranges: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, counts: DataFrame, n: int, threshold: int, groups: int) -> DataFrame:
-    """(rid, doc_id, n, sid, toks): the set's size and hash; toks are its repeated hashes by rarity, null if it can't have a partner."""
+    """(rid, doc_id, n, sid, toks): the set's size and hash; toks are its repeated hashes, null if it can't have a partner or an equal set of the row group has them."""
 
     def judge(docs: pa.Table, answers: pa.Table) -> pa.Table:
         doc, h = shingles(*tx.text_bytes(docs.column("text")), n)
         keys, inverse = np.unique(h, return_inverse=True)
-        answers = answers.sort_by("b")
-        total = np.frombuffer(b"".join(answers.column("counts").to_pylist()), "<u2")
-        at, hashed = tx.bounds(doc, docs.num_rows), tx.mix(keys ^ np.uint64(0x5BD1E995))
-        rank = (total.astype(np.int64) << 32) | np.arange(len(keys))
-        size, sid, toks = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.uint64), []
+        total = np.frombuffer(b"".join(answers.sort_by("b").column("counts").to_pylist()), "<u2")
+        at, hashed, again = tx.bounds(doc, docs.num_rows), tx.mix(keys ^ np.uint64(0x5BD1E995)), total > 1
+        size, sid, toks, seen = np.zeros(docs.num_rows, np.int64), np.zeros(docs.num_rows, np.uint64), [], set()
         for d, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
             own = np.unique(inverse[a:b])
             size[d], sid[d] = len(own), hashed[own].sum()
-            again = own[total[own] > 1]
-            toks.append(keys[again[np.argsort(rank[again])]].astype("<u8").tobytes() if len(own) and 100 * len(again) >= threshold * len(own) else None)
+            rest = own[again[own]]
+            new = (int(sid[d]), len(own)) not in seen
+            seen.add((int(sid[d]), len(own)))
+            toks.append(keys[rest].astype("<u8").tobytes() if new and len(own) and 100 * len(rest) >= threshold * len(own) else None)
         sid = tx.mix(sid + size.astype(np.uint64))
         return pa.table({"rid": docs.column("rid"), "doc_id": docs.column("doc_id").cast(pa.int64()), "n": pa.array(size), "sid": pa.array(sid.view(np.int64), mask=size == 0), "toks": pa.array(toks, pa.binary())})
 
@@ -111,30 +115,75 @@ def _sets(rows: DataFrame, counts: DataFrame, n: int, threshold: int, groups: in
     return dealt.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(judge, "rid long, doc_id long, n long, sid long, toks binary")
 
 
+def _classes(sets: DataFrame, threshold: int, ranges: int) -> DataFrame:
+    """(sid, n, toks, typical): each set once, if enough of its hashes are in two different sets that are left; toks by rarity among these."""
+    dealt = sets.where("toks is not null").select("sid", "n", "toks", F.pmod(F.xxhash64("sid"), F.lit(ranges)).alias("g")).repartition(ranges, "g")
+
+    def once(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        sid, first = np.unique(table.column("sid").to_numpy(), return_index=True)
+        toks = table.column("toks").take(pa.array(first)).to_pylist()
+        return sid, table.column("n").to_numpy()[first], [np.frombuffer(t, "<u8") for t in toks]
+
+    def keys_of(table: pa.Table) -> pa.Table:
+        keys, times = np.unique(np.concatenate(once(table)[2]), return_counts=True)
+        b, cut = split_by_range(keys, ranges)
+        cols = [[keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], [times[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]]
+        return pa.table({"b": pa.array(b, pa.int32()), "g": pa.array([table.column("g")[0].as_py()] * len(b), pa.int64()), "keys": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.binary())})
+
+    def count(table: pa.Table) -> pa.Table:
+        blocks = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+        times = np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4")
+        _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
+        total, cut = np.bincount(inverse, times).astype("<u4")[inverse], np.append(0, np.cumsum([len(x) for x in blocks]))
+        return pa.table({"g": table.column("g"), "b": table.column("b"), "counts": pa.array([total[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+
+    def keep(table: pa.Table, answers: pa.Table) -> pa.Table:
+        sid, size, toks = once(table)
+        keys = np.unique(np.concatenate(toks)) if toks else np.zeros(0, np.uint64)
+        total = np.frombuffer(b"".join(answers.sort_by("b").column("counts").to_pylist()), "<u4").astype(np.int64)
+        out: list[tuple] = []
+        for s, n, t in zip(sid, size, toks, strict=True):
+            c = total[np.searchsorted(keys, t)]
+            t, c = t[c > 1], c[c > 1]
+            if 100 * len(t) >= threshold * n:
+                out.append((s, n, t[np.lexsort((t, c))].tobytes(), int(1000 * np.log2(c).sum() / n)))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table({"sid": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "toks": pa.array(cols[2], pa.binary()), "typical": pa.array(cols[3], pa.int64())})
+
+    counts = dealt.groupBy("g").applyInArrow(keys_of, "b int, g long, keys binary, n binary").groupBy("b").applyInArrow(count, "g long, b int, counts binary")
+    return dealt.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(keep, "sid long, n long, toks binary, typical long")
+
+
+def _prefixes(batch: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, what the set has left from there on) of the prefixes' repeated hashes; columns n and toks are the second and third."""
+    size = batch.column(1).to_numpy(zero_copy_only=False)
+    toks = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+    again = np.array([len(t) for t in toks], np.int64)
+    reach = np.clip(size - -(-threshold * size // 100) + 1 - (size - again), 0, again)
+    own = np.repeat(np.arange(len(toks)), reach)
+    within = np.arange(len(own)) - np.repeat(np.cumsum(reach) - reach, reach)
+    tok = np.concatenate([t[:k] for t, k in zip(toks, reach, strict=True)]) if toks else np.zeros(0, np.uint64)
+    return tok, own, again[own] - within
+
+
 def _listed(sets: DataFrame, ranges: int, threshold: int) -> DataFrame:
-    """Blocks (b, toks, sids, sizes, fresh, roots) of the prefixes of the classes."""
+    """Blocks (b, toks, sids, sizes, left, typical, roots) of the prefixes of the classes."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = batch.column(1).to_numpy(zero_copy_only=False)
-            toks = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
-            new = size - np.array([len(t) for t in toks], np.int64)
-            reach = np.maximum(0, size - -(-threshold * size // 100) + 1 - new)
-            toks = [t[:k] for t, k in zip(toks, reach, strict=True)]
-            own = np.repeat(np.arange(len(toks)), [len(t) for t in toks])
-            tok = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
+            tok, own, left = _prefixes(batch, threshold)
             order = np.argsort(tok, kind="stable")
-            tok, own = tok[order], own[order]
+            tok, own, left = tok[order], own[order], left[order]
             b, cut = split_by_range(tok, ranges)
-            ids, root = (batch.column(i).to_numpy(zero_copy_only=False).astype("<i8") for i in (0, 3))
-            cols = [tok.astype("<u8"), ids[own], size[own].astype("<u4"), new[own].astype("<u4"), root[own]]
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *(pa.array([c[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for c in cols)], ["b", "toks", "sids", "sizes", "fresh", "roots"])
+            ids, size, typical, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            cols = [tok.astype("<u8"), ids[own].astype("<i8"), size[own].astype("<u4"), left.astype("<u4"), typical[own].astype("<u4"), root[own].astype("<i8")]
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *(pa.array([c[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for c in cols)], ["b", "toks", "sids", "sizes", "left", "typical", "roots"])
 
-    return sets.select("sid", "n", "toks", "root").mapInArrow(deal, "b int, toks binary, sids binary, sizes binary, fresh binary, roots binary")
+    return sets.select("sid", "n", "toks", "typical", "root").mapInArrow(deal, "b int, toks binary, sids binary, sizes binary, left binary, typical binary, roots binary")
 
 
 def _unblock(table: pa.Table) -> list[np.ndarray]:
-    cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("toks", "<u8"), ("sids", "<i8"), ("sizes", "<u4"), ("fresh", "<u4"), ("roots", "<i8"))]
+    cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("toks", "<u8"), ("sids", "<i8"), ("sizes", "<u4"), ("left", "<u4"), ("typical", "<u4"), ("roots", "<i8"))]
     return cols[:2] + [c.astype(np.int64) for c in cols[2:]]
 
 
@@ -142,25 +191,33 @@ def _pairs_out(a: list, b: list) -> pa.Table:
     if not a:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     x, y = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-    both = both[:, both[0] != both[1]]
-    return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)] & (low != high)
+    return pa.table({"a": pa.array(low[new]), "b": pa.array(high[new])})
+
+
+def _lists(tok: np.ndarray) -> Iterator[tuple[int, int]]:
+    cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+    stop = np.append(cut[1:], len(tok))
+    more = stop - cut > 1
+    return zip(cut[more], stop[more], strict=True)
 
 
 def _first_meets_all(lists: DataFrame, threshold: int) -> DataFrame:
-    """In each list the class with the least new matter meets all of a fitting size; the rest likewise among themselves."""
+    """In each list the most typical class meets all that can be linked by their positions; the rest likewise among themselves."""
 
     def stars(table: pa.Table) -> pa.Table:
-        tok, sid, size, new, _ = _unblock(table)
-        order = np.lexsort((sid, new * 1_000_000 // size, tok))
-        tok, sid, size = tok[order], sid[order], size[order]
-        cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+        tok, sid, size, left, typical, _ = _unblock(table)
+        order = np.lexsort((sid, -typical, tok))
+        tok, sid, size, left = tok[order], sid[order], size[order], left[order]
         a, b = [], []
-        for x, y in zip(cut, np.append(cut[1:], len(tok)), strict=True):
+        for x, y in _lists(tok):
             rest = np.arange(x, y)
             while len(rest) > 1:
                 one, others = rest[0], rest[1:]
-                fits = 100 * np.minimum(size[one], size[others]) >= threshold * np.maximum(size[one], size[others])
+                fits = (100 + threshold) * np.minimum(left[one], left[others]) >= threshold * (size[one] + size[others])
                 a.append(np.full(fits.sum(), sid[one]))
                 b.append(sid[others[fits]])
                 rest = others[~fits]
@@ -170,22 +227,19 @@ def _first_meets_all(lists: DataFrame, threshold: int) -> DataFrame:
 
 
 def _roots_that_meet(lists: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of roots with members of fitting sizes in one list."""
+    """Pairs of roots with members in one list that can be linked by their positions."""
 
     def meet(table: pa.Table) -> pa.Table:
-        tok, _, size, _, root = _unblock(table)
+        tok, _, size, left, _, root = _unblock(table)
         order = np.lexsort((root, tok))
-        tok, root, size = tok[order], root[order], size[order]
-        new = np.append(True, (tok[1:] != tok[:-1]) | (root[1:] != root[:-1]))
-        head = np.flatnonzero(new)
-        low, high = np.minimum.reduceat(size, head), np.maximum.reduceat(size, head)
-        tok, root = tok[head], root[head]
-        cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+        tok, root, size, left = tok[order], root[order], size[order], left[order]
+        head = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (root[1:] != root[:-1])))
+        size, left, tok, root = np.minimum.reduceat(size, head), np.maximum.reduceat(left, head), tok[head], root[head]
         a, b = [], []
-        for x, y in zip(cut, np.append(cut[1:], len(tok)), strict=True):
+        for x, y in _lists(tok):
             for i in range(x, y - 1):
                 j = np.arange(i + 1, y)
-                fits = (100 * high[i] >= threshold * low[j]) & (100 * high[j] >= threshold * low[i])
+                fits = (100 + threshold) * np.minimum(left[i], left[j]) >= threshold * (size[i] + size[j])
                 a.append(np.full(fits.sum(), root[i]))
                 b.append(root[j[fits]])
         return _pairs_out(a, b)
@@ -208,6 +262,13 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "t1", "t2", "n1", "n2").mapInArrow(meet, "a long, b long, both long, either long")
 
 
+def _centred(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label with the node of most links as each group's root."""
+    degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    best = label.join(degree, "node").groupBy("root").agg(F.max(F.struct("k", "node"))["node"].alias("centre"))
+    return checkpoint(label.join(best, "root").select("node", F.col("centre").alias("root")))
+
+
 def links(sets: DataFrame, ranges: int, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): enough links between classes (sid, n, toks) for their connected groups; both ends of each are linked."""
     linked = 100 * F.col("both") >= threshold * F.col("either")
@@ -215,7 +276,7 @@ def links(sets: DataFrame, ranges: int, threshold: int = THRESHOLD) -> DataFrame
     alone = sets.withColumn("root", F.col("sid"))
     first = checkpoint(_verified(_first_meets_all(_listed(alone, ranges, threshold), threshold), sets))
     found = first.where(linked).select("a", "b")
-    label = components(found)
+    label = _centred(components(found), found)
     rooted = sets.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     cross = _roots_that_meet(_listed(rooted, ranges, threshold), threshold).withColumn("roots", F.lit(True))
     inner = label.where("node != root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b"), F.lit(False).alias("roots"))
@@ -240,19 +301,16 @@ def _common_lists(near: DataFrame, rooted: DataFrame, threshold: int) -> DataFra
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = batch.column(1).to_numpy(zero_copy_only=False)
-            toks = [np.frombuffer(x, "<i8") for x in batch.column(2).to_pylist()]
-            reach = [max(0, int(s - -(-threshold * s // 100) + 1 - (s - len(t)))) for s, t in zip(size, toks, strict=True)]
-            own = np.repeat(np.arange(len(toks)), [min(k, len(t)) for k, t in zip(reach, toks, strict=True)])
-            tok = np.concatenate([t[:k] for t, k in zip(toks, reach, strict=True)]) if toks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tok), *(batch.column(i).take(pa.array(own)) for i in (0, 1, 3))], ["tok", "sid", "n", "root"])
+            tok, own, left = _prefixes(batch, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(left), *(batch.column(i).take(pa.array(own)) for i in (0, 1, 3))], ["tok", "left", "sid", "n", "root"])
 
     ends = near.select(F.col("a").alias("root")).union(near.select("b")).distinct()
-    rows = checkpoint(rooted.select("sid", "n", "toks", "root").join(ends, "root").select("sid", "n", "toks", "root").mapInArrow(prefixes, "tok long, sid long, n long, root long"))
-    left = near.join(rows.select(F.col("root").alias("a"), "tok", F.col("sid").alias("x"), F.col("n").alias("nx")), "a")
-    right = rows.select(F.col("root").alias("b"), "tok", F.col("sid").alias("y"), F.col("n").alias("ny"))
-    fits = F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * threshold
-    return left.join(right, ["b", "tok"]).where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = checkpoint(rooted.select("sid", "n", "toks", "root").join(ends, "root").select("sid", "n", "toks", "root").mapInArrow(prefixes, "tok long, left long, sid long, n long, root long"))
+    one = near.join(rows.select(F.col("root").alias("a"), "tok", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx")), "a")
+    two = rows.select(F.col("root").alias("b"), "tok", F.col("sid").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"))
+    fits = F.least("lx", "ly") * (100 + threshold) >= (F.col("nx") + F.col("ny")) * threshold
+    met = one.join(two, (one.b == two.b) & (one.tok == two.tok) & fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def grouped_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
@@ -261,8 +319,8 @@ def grouped_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -
     ranges = ranges_for(docs, groups)
     rows = with_groups(docs, ["doc_id", "text"], shift)
     sets = checkpoint(_sets(rows, _census(rows, n, ranges), n, threshold, ranges))
-    classes = sets.where("toks is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
-    label = components(links(checkpoint(classes), ranges, threshold))
+    classes = checkpoint(_classes(sets, threshold, ranges))
+    label = components(links(classes, ranges, threshold))
     named = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("sid", "root").join(names, "root")
