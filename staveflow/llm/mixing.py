@@ -121,7 +121,7 @@ def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most
     rows = units.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("s")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ready = rows.select("source", "size", (rate - F.floor(rate)).alias("p"), F.xxhash64("k1", "k2", "again").alias("u"), F.struct("k1", "k2", "doc_id", "source_size", "target", F.floor(rate).cast("long").alias("whole")).alias("id"))
-    return rounded(ready, seed).select("id.k1", "id.k2", "id.doc_id", "source", "size", "id.source_size", "id.target", (F.col("id.whole") + F.col("p").cast("long")).alias("copies"))
+    return rounded(checkpoint(ready), seed).select("id.k1", "id.k2", "id.doc_id", "source", "size", "id.source_size", "id.target", (F.col("id.whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
