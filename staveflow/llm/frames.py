@@ -9,6 +9,7 @@ neither side has more in memory than one group or one range.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -88,18 +89,23 @@ def split_by_range(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return r[at], np.append(at, len(keys))
 
 
-def pack48(keys: np.ndarray) -> bytes:
-    """The upper six bytes of each key."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def pack48(keys: np.ndarray, width: int = 6) -> bytes:
+    """The upper six (or so many) bytes of each key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
 
 
-def unpack48(block: bytes) -> np.ndarray:
-    six = np.frombuffer(block, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, 2:] = six
+def unpack48(block: bytes, width: int = 6) -> np.ndarray:
+    some = np.frombuffer(block, np.uint8).reshape(-1, width)
+    out = np.zeros((len(some), 8), np.uint8)
+    out[:, 8 - width :] = some
     return out.view("<u8").ravel()
 
 
+def key_width(keys: float) -> int:
+    """Bytes that tell so many keys apart but for about one in a thousand."""
+    return min(8, max(5, math.ceil((math.log2(max(2.0, keys)) + 10) / 8)))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
     """Runs of rows with the same key in a stream of batches, one table for each."""
     held: list[pa.RecordBatch] = []
@@ -134,8 +140,21 @@ def with_groups(docs: DataFrame, columns: list, shift: int) -> DataFrame:
     return docs.select(*columns, F.monotonically_increasing_id().alias("rid")).withColumn("g", F.shiftright("rid", shift))
 
 
-def as_uint64(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if isinstance(column, pa.Array) else column.to_numpy().astype(np.int64).view(np.uint64)
+def packed(rows: DataFrame) -> DataFrame:
+    """(g, block): each row group of a scan (with its number in g) as one compressed block, which shuffles in half the bytes of its rows."""
+
+    def pack(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_table(table)
+        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "block"])
+
+    return by_group(rows, "g", pack, "g long, block binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The rows of packed blocks."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("block").combine_chunks()]).combine_chunks()
 
 
 def components(edges: DataFrame) -> DataFrame:

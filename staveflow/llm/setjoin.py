@@ -20,7 +20,7 @@ at least THRESHOLD (of 100) similarity are linked.
    the centres are farther apart than both radii and a link's length together.
    Pairs of the few groups that are left are enumerated from their common lists.
 
-Every comparison is an exact intersection of whole sets (of 64-bit hashes). No
+Every comparison is an exact intersection of whole sets (of 48-bit hashes of the runs). No
 list is cut and no pair is dropped, and no list's pairs are all emitted.
 
 Texts of fewer than N words, but not none, are one run; null or wordless texts
@@ -39,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .frames import by_group, checkpoint, components, fresh, group_shift, pack48, ranges_for, read, split_by_range, stable, unpack48, with_groups
+from .frames import by_group, checkpoint, components, fresh, group_shift, key_width, pack48, packed, ranges_for, read, size_of, split_by_range, stable, unpack48, unpacked, with_groups
 
 N, THRESHOLD = 5, 75
+#: So many pairs of near groups are broadcast at most (16 bytes each); more are joined by a shuffle.
+FEW_PAIRS = 200_000
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of each run of n words, or of all words of a shorter text; in order of documents."""
+    """(document, hash) of each run of n words, or of all words of a shorter text; in order of documents. Hashes have 48 bits, the upper ones."""
     docs, found = [], []
     for a, b, part, cuts in tx.chunks(raw, off):
         doc, h, _ = tx.words(part, cuts, tx.NOT_SPACE)
@@ -61,24 +63,24 @@ def shingles(raw: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
             found.append(tx.mix(tx.grams(h[at[d] : at[d + 1]], int(k)) + np.uint64(k)))
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, tx.U64)
-    doc, h = np.concatenate(docs), np.concatenate(found)
+    doc, h = np.concatenate(docs), np.concatenate(found) & ~tx.U64(0xFFFF)
     order = np.argsort(doc, kind="stable")
     return doc[order], h[order]
 
 
-def _census(rows: DataFrame, n: int, ranges: int) -> DataFrame:
-    """(g, b, counts): how often the hashes of group g in range b occur in all groups."""
+def _census(rows: DataFrame, n: int, ranges: int, width: int) -> DataFrame:
+    """(g, b, counts): how often the hashes of group g in range b occur in all groups. Of each hash `width` bytes travel; two that agree in them only count too high."""
 
     def keys_of(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         keys, times = np.unique(shingles(*tx.text_bytes(table.column("text")), n)[1], return_counts=True)
         b, cut = split_by_range(keys, ranges)
         more = np.flatnonzero(times > 1)
         where = np.searchsorted(more, cut)
-        cols = [[pack48(keys[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], [(more[x:y] - c).astype("<u4").tobytes() for x, y, c in zip(where[:-1], where[1:], cut, strict=False)], [times[more[x:y]].astype("<u4").tobytes() for x, y in zip(where[:-1], where[1:], strict=True)]]
+        cols = [[pack48(keys[x:y], width) for x, y in zip(cut[:-1], cut[1:], strict=True)], [(more[x:y] - c).astype("<u4").tobytes() for x, y, c in zip(where[:-1], where[1:], cut, strict=False)], [times[more[x:y]].astype("<u4").tobytes() for x, y in zip(where[:-1], where[1:], strict=True)]]
         yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.full(len(b), g), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["b", "g", "keys", "at", "n"])
 
     def count(table: pa.Table) -> pa.Table:
-        blocks = [unpack48(x) for x in table.column("keys").to_pylist()]
+        blocks = [unpack48(x, width) for x in table.column("keys").to_pylist()]
         times = np.ones(sum(map(len, blocks)), np.int64)
         start = np.append(0, np.cumsum([len(x) for x in blocks]))
         for s, at, k in zip(start, table.column("at").to_pylist(), table.column("n").to_pylist(), strict=False):
@@ -96,6 +98,7 @@ def _sets(rows: DataFrame, counts: DataFrame, n: int, threshold: int, groups: in
     """(rid, doc_id, n, sid, toks): the set's size and hash; toks are its repeated hashes, null if it can't have a partner or an equal set of the row group has them."""
 
     def judge(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = unpacked(docs)
         doc, h = shingles(*tx.text_bytes(docs.column("text")), n)
         keys, inverse = np.unique(h, return_inverse=True)
         total = np.frombuffer(b"".join(answers.sort_by("b").column("counts").to_pylist()), "<u2")
@@ -107,11 +110,11 @@ def _sets(rows: DataFrame, counts: DataFrame, n: int, threshold: int, groups: in
             rest = own[again[own]]
             new = (int(sid[d]), len(own)) not in seen
             seen.add((int(sid[d]), len(own)))
-            toks.append(keys[rest].astype("<u8").tobytes() if new and len(own) and 100 * len(rest) >= threshold * len(own) else None)
+            toks.append(pack48(keys[rest]) if new and len(own) and 100 * len(rest) >= threshold * len(own) else None)
         sid = tx.mix(sid + size.astype(np.uint64))
         return pa.table({"rid": docs.column("rid"), "doc_id": docs.column("doc_id").cast(pa.int64()), "n": pa.array(size), "sid": pa.array(sid.view(np.int64), mask=size == 0), "toks": pa.array(toks, pa.binary())})
 
-    dealt = rows.select("rid", "doc_id", "text", "g").repartition(groups, "g")
+    dealt = packed(rows.select("rid", "doc_id", "text", "g")).repartition(groups, "g")
     return dealt.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(judge, "rid long, doc_id long, n long, sid long, toks binary")
 
 
@@ -122,16 +125,16 @@ def _classes(sets: DataFrame, threshold: int, ranges: int) -> DataFrame:
     def once(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         sid, first = np.unique(table.column("sid").to_numpy(), return_index=True)
         toks = table.column("toks").take(pa.array(first)).to_pylist()
-        return sid, table.column("n").to_numpy()[first], [np.frombuffer(t, "<u8") for t in toks]
+        return sid, table.column("n").to_numpy()[first], [unpack48(t) for t in toks]
 
     def keys_of(table: pa.Table) -> pa.Table:
         keys, times = np.unique(np.concatenate(once(table)[2]), return_counts=True)
         b, cut = split_by_range(keys, ranges)
-        cols = [[keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], [times[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]]
+        cols = [[pack48(keys[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], [times[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]]
         return pa.table({"b": pa.array(b, pa.int32()), "g": pa.array([table.column("g")[0].as_py()] * len(b), pa.int64()), "keys": pa.array(cols[0], pa.binary()), "n": pa.array(cols[1], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
-        blocks = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+        blocks = [unpack48(x) for x in table.column("keys").to_pylist()]
         times = np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4")
         _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
         total, cut = np.bincount(inverse, times).astype("<u4")[inverse], np.append(0, np.cumsum([len(x) for x in blocks]))
@@ -146,7 +149,7 @@ def _classes(sets: DataFrame, threshold: int, ranges: int) -> DataFrame:
             c = total[np.searchsorted(keys, t)]
             t, c = t[c > 1], c[c > 1]
             if 100 * len(t) >= threshold * n:
-                out.append((s, n, t[np.lexsort((t, c))].tobytes(), int(1000 * np.log2(c).sum() / n)))
+                out.append((s, n, pack48(t[np.lexsort((t, c))]), int(1000 * np.log2(c).sum() / n)))
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.table({"sid": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "toks": pa.array(cols[2], pa.binary()), "typical": pa.array(cols[3], pa.int64())})
 
@@ -157,7 +160,7 @@ def _classes(sets: DataFrame, threshold: int, ranges: int) -> DataFrame:
 def _prefixes(batch: pa.RecordBatch, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, what the set has left from there on) of the prefixes' repeated hashes; columns n and toks are the second and third."""
     size = batch.column(1).to_numpy(zero_copy_only=False)
-    toks = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+    toks = [unpack48(x) for x in batch.column(2).to_pylist()]
     again = np.array([len(t) for t in toks], np.int64)
     reach = np.clip(size - -(-threshold * size // 100) + 1 - (size - again), 0, again)
     own = np.repeat(np.arange(len(toks)), reach)
@@ -206,24 +209,34 @@ def _lists(tok: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _first_meets_all(lists: DataFrame, threshold: int) -> DataFrame:
-    """In each list the most typical class meets all that can be linked by their positions; the rest likewise among themselves."""
+    """(a, b): each class with the one class that it meets in most lists, of those that stand first there.
+
+    In each list the most typical class meets all that can be linked with it
+    by their positions; the rest likewise among themselves.
+    """
 
     def stars(table: pa.Table) -> pa.Table:
         tok, sid, size, left, typical, _ = _unblock(table)
         order = np.lexsort((sid, -typical, tok))
         tok, sid, size, left = tok[order], sid[order], size[order], left[order]
-        a, b = [], []
+        first, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x, y in _lists(tok):
             rest = np.arange(x, y)
             while len(rest) > 1:
                 one, others = rest[0], rest[1:]
                 fits = (100 + threshold) * np.minimum(left[one], left[others]) >= threshold * (size[one] + size[others])
-                a.append(np.full(fits.sum(), sid[one]))
-                b.append(sid[others[fits]])
+                first.append(np.full(fits.sum(), sid[one]))
+                other.append(sid[others[fits]])
                 rest = others[~fits]
-        return _pairs_out(a, b)
+        a, b = np.concatenate(first), np.concatenate(other)
+        order = np.lexsort((a, b))
+        a, b = a[order], b[order]
+        head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        return pa.table({"one": pa.array(a[head]), "sid": pa.array(b[head]), "k": pa.array(np.diff(np.append(head, len(a))))})
 
-    return lists.groupBy("b").applyInArrow(stars, "a long, b long").distinct()
+    met = lists.groupBy("b").applyInArrow(stars, "one long, sid long, k long").groupBy("one", "sid").agg(F.sum("k").alias("k"))
+    best = met.groupBy("sid").agg(F.max(F.struct("k", "one"))["one"].alias("one"))
+    return best.select(F.least("one", "sid").alias("a"), F.greatest("one", "sid").alias("b")).distinct()
 
 
 def _roots_that_meet(lists: DataFrame, threshold: int) -> DataFrame:
@@ -255,7 +268,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            both = np.array([len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True)) for x, y in zip(t1, t2, strict=True)], np.int64)
+            both = np.array([len(np.intersect1d(unpack48(x), unpack48(y), assume_unique=True)) for x, y in zip(t1, t2, strict=True)], np.int64)
             either = batch.column(4).to_numpy() + batch.column(5).to_numpy() - both
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(either)], ["a", "b", "both", "either"])
 
@@ -292,10 +305,40 @@ def links(sets: DataFrame, ranges: int, threshold: int = THRESHOLD) -> DataFrame
     near = checkpoint(near.join(r1, "a", "left").join(r2, "b", "left").where(F.col("d") <= slack + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).where("ra is not null or rb is not null").select("a", "b"))
     if near.isEmpty():
         return found
-    rest = _common_lists(near, rooted, threshold).join(first, ["a", "b"], "left_anti").join(measured, ["a", "b"], "left_anti")
+    few = near.limit(FEW_PAIRS + 1).collect()
+    met = _members_that_meet(_listed(rooted, ranges, threshold), [tuple(r) for r in few], threshold) if len(few) <= FEW_PAIRS else _common_lists(near, rooted, threshold)
+    rest = met.join(first, ["a", "b"], "left_anti").join(measured, ["a", "b"], "left_anti")
     return found.union(_verified(checkpoint(rest), sets).where(linked).select("a", "b"))
 
 
+def _members_that_meet(lists: DataFrame, near: list[tuple[int, int]], threshold: int) -> DataFrame:
+    """Pairs of members, with a list in common and positions that allow a link, of groups whose roots are near; for at most FEW_PAIRS pairs of roots, which go to all tasks."""
+    sent = lists.sparkSession.sparkContext.broadcast(np.array(near, np.int64).reshape(-1, 2))
+
+    def meet(table: pa.Table) -> pa.Table:
+        tok, sid, size, left, _, root = _unblock(table)
+        ends, with_ = {}, sent.value
+        for p, q in with_[np.isin(with_[:, 0], root) & np.isin(with_[:, 1], root)].tolist():
+            ends.setdefault(p, []).append(q)
+        order = np.lexsort((root, tok))
+        tok, sid, size, left, root = tok[order], sid[order], size[order], left[order], root[order]
+        a, b = [], []
+        for x, y in _lists(tok):
+            cut = np.append(np.flatnonzero(np.append(True, root[x + 1 : y] != root[x : y - 1])), y - x) + x
+            at = {int(root[i]): (i, j) for i, j in zip(cut[:-1], cut[1:], strict=True)}
+            for p in at.keys() & ends.keys():
+                for q in ends[p]:
+                    if q in at:
+                        (i, j), (k, m) = at[p], at[q]
+                        fits = (100 + threshold) * np.minimum(left[i:j, None], left[None, k:m]) >= threshold * (size[i:j, None] + size[None, k:m])
+                        r, c = np.nonzero(fits)
+                        a.append(sid[i + r])
+                        b.append(sid[k + c])
+        return _pairs_out(a, b)
+
+    return lists.groupBy("b").applyInArrow(meet, "a long, b long").distinct()
+
+
 def _common_lists(near: DataFrame, rooted: DataFrame, threshold: int) -> DataFrame:
     """Pairs of members, of fitting sizes and with a list in common, of groups whose roots are near."""
 
@@ -318,7 +361,9 @@ def grouped_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -
     shift, groups = group_shift(docs)
     ranges = ranges_for(docs, groups)
     rows = with_groups(docs, ["doc_id", "text"], shift)
-    sets = checkpoint(_sets(rows, _census(rows, n, ranges), n, threshold, ranges))
+    # about one run of words in six bytes of text
+    width = key_width(size_of(docs) / 3)
+    sets = checkpoint(_sets(rows, _census(rows, n, ranges, width), n, threshold, ranges))
     classes = checkpoint(_classes(sets, threshold, ranges))
     label = components(links(classes, ranges, threshold))
     named = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

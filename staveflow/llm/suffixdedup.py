@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .frames import by_group, checkpoint, group_shift, pack48, ranges_for, read, split_by_range, unpack48, with_groups
+from .frames import by_group, checkpoint, group_shift, pack48, packed, ranges_for, read, split_by_range, unpack48, unpacked, with_groups
 
 LENGTH, GRAM = 50, 26
 _PLACE = np.uint64((1 << 28) - 1)
@@ -153,9 +153,10 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
     ranges = ranges_for(docs, groups)
     rows = with_groups(docs, ["doc_id", "text"], shift)
     census = checkpoint(_census(rows, ranges, length, gram))
-    dealt = rows.select("rid", "doc_id", "text", "g").repartition(ranges, "g")
+    dealt = packed(rows.select("doc_id", "text", "g")).repartition(ranges, "g")
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        g, docs = docs.column("g")[0].as_py(), unpacked(docs)
         group = Group(docs, length, gram)
         _, _, run, least = group.contexts(_repeated(group, answers, ranges))
         b, cut = split_by_range(group.hash[run], ranges)
@@ -165,7 +166,6 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
             cols[0].append(size[x:y].astype("<u4").tobytes())
             cols[1].append(least[x:y].astype("<i8").tobytes())
             cols[2].append(b"".join(group.raw[i : i + k].tobytes() for i, k in zip(first[x:y], size[x:y], strict=True)))
-        g = docs.column("g")[0].as_py()
         return pa.table({"b": pa.array(b, pa.int32()), "g": pa.array(np.full(len(b), g), pa.int64()), "sizes": pa.array(cols[0], pa.binary()), "ids": pa.array(cols[1], pa.binary()), "raw": pa.array(cols[2], pa.binary())})
 
     def refine(table: pa.Table) -> pa.Table:
@@ -183,6 +183,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
         return pa.table({"g": table.column("g"), "b": table.column("b"), "masks": pa.array([mask[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
     def remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = unpacked(docs)
         group = Group(docs, length, gram)
         is_mask = np.array(answers.column("masks").is_valid().to_pylist(), bool)
         runs, of, _, least = group.contexts(_repeated(group, answers.filter(pa.array(~is_mask)), ranges))
