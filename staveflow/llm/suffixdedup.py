@@ -38,6 +38,8 @@ from . import text as tx
 from .frames import by_group, checkpoint, group_shift, pack48, packed, ranges_for, read, split_by_range, unpack48, unpacked, with_groups
 
 LENGTH, GRAM = 50, 26
+#: A range is refined in so many parts, and a row group's windows are marked for so many runs at a time.
+PARTS, RUNS = 16, 1 << 15
 _PLACE = np.uint64((1 << 28) - 1)
 _PIECE = 1 << 26
 _LAST = np.iinfo(np.int64).max
@@ -86,6 +88,11 @@ def refined(raw: np.ndarray, start: np.ndarray, depth: int, q: int) -> np.ndarra
     return np.unique((here.astype(np.int64) << 32) | later, return_inverse=True)[1]
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... n[i] times, for each i."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
+
 class Group:
     """A row group's runs, which of them may repeat elsewhere, and its distinct contexts in the order in which they travel."""
 
@@ -161,24 +168,35 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
         _, _, run, least = group.contexts(_repeated(group, answers, ranges))
         b, cut = split_by_range(group.hash[run], ranges)
         first, size = group.first[run], group.n[run] + length - 1
-        cols: list[list[bytes]] = [[], [], []]
+        cols: list[list[bytes]] = [[], [], [], []]
+        part = (group.hash[run] & np.uint64(PARTS - 1)).astype(np.uint8)
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             cols[0].append(size[x:y].astype("<u4").tobytes())
             cols[1].append(least[x:y].astype("<i8").tobytes())
+            cols[3].append(part[x:y].tobytes())
             cols[2].append(b"".join(group.raw[i : i + k].tobytes() for i, k in zip(first[x:y], size[x:y], strict=True)))
-        return pa.table({"b": pa.array(b, pa.int32()), "g": pa.array(np.full(len(b), g), pa.int64()), "sizes": pa.array(cols[0], pa.binary()), "ids": pa.array(cols[1], pa.binary()), "raw": pa.array(cols[2], pa.binary())})
+        return pa.table({"b": pa.array(b, pa.int32()), "g": pa.array(np.full(len(b), g), pa.int64()), "sizes": pa.array(cols[0], pa.binary()), "ids": pa.array(cols[1], pa.binary()), "raw": pa.array(cols[2], pa.binary()), "part": pa.array(cols[3], pa.binary())})
 
     def refine(table: pa.Table) -> pa.Table:
         sizes = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("sizes").to_pylist()]
         size, ids = np.concatenate(sizes), np.frombuffer(b"".join(table.column("ids").to_pylist()), "<i8")
-        raw = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
-        n = size - length + 1
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        bucket = refined(raw, np.repeat(np.cumsum(size) - size, n) + within, length, (length + 1) // 2)
-        owner = np.repeat(ids, n)
-        least = np.full(int(bucket.max()) + 1, _LAST)
-        np.minimum.at(least, bucket, owner)
-        mask = np.bitwise_or.reduceat((least[bucket] < owner).astype(np.uint32) << within.astype(np.uint32), np.cumsum(n) - n)
+        part = np.frombuffer(b"".join(table.column("part").to_pylist()), np.uint8)
+        whole = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.uint8)
+        begin, mask = np.cumsum(size) - size, np.zeros(len(size), np.uint32)
+        for x in range(PARTS):
+            # contexts of one anchor are in one part, so parts don't meet; one at a time is in memory
+            pick = np.flatnonzero(part == x)
+            if not len(pick):
+                continue
+            k, n = size[pick], size[pick] - length + 1
+            raw = whole[_spread(begin[pick], k)]
+            bucket = refined(raw, _spread(np.cumsum(k) - k, n), length, (length + 1) // 2)
+            owner = np.repeat(ids[pick], n)
+            least = np.full(int(bucket.max()) + 1, _LAST)
+            np.minimum.at(least, bucket, owner)
+            bit = np.left_shift(np.uint32(1), _spread(np.zeros(len(n), np.int64), n).astype(np.uint32))
+            bit[least[bucket] >= owner] = 0
+            mask[pick] = np.bitwise_or.reduceat(bit, np.cumsum(n) - n)
         cut = np.append(0, np.cumsum([len(x) for x in sizes]))
         return pa.table({"g": table.column("g"), "b": table.column("b"), "masks": pa.array([mask[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
@@ -189,14 +207,15 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
         runs, of, _, least = group.contexts(_repeated(group, answers.filter(pa.array(~is_mask)), ranges))
         mask = np.frombuffer(b"".join(answers.filter(pa.array(is_mask)).sort_by("b").column("masks").to_pylist()), "<u4")
         later = group.ids[group.doc[runs]] > least[of]
-        n = group.n[runs]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = (np.repeat(mask[of], n) >> within.astype(np.uint32) & 1).astype(bool) | np.repeat(later, n)
-        start = (np.repeat(group.first[runs], n) + within)[hit]
         edge = np.zeros(len(group.raw) + 1, np.int32)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + length, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        for x in range(0, len(runs), RUNS):
+            n = group.n[runs[x : x + RUNS]]
+            within = _spread(np.zeros(len(n), np.int64), n)
+            hit = (np.repeat(mask[of[x : x + RUNS]], n) >> within.astype(np.uint32) & 1).astype(bool) | np.repeat(later[x : x + RUNS], n)
+            start = (np.repeat(group.first[runs[x : x + RUNS]], n) + within)[hit]
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + length, -1)
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for a, b in zip(group.off[:-1], group.off[1:], strict=True):
             g = gone[a:b]
@@ -209,7 +228,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
         cols = {"doc_id": docs.column("doc_id").cast(pa.int64())} | {k: pa.array(v, pa.int64() if k[:2] == "n_" else pa.string() if k == "kept_sha256" else pa.binary()) for k, v in out.items() if keep_bytes or k != "kept"}
         return pa.table(cols)
 
-    sent = dealt.groupBy("g").cogroup(census.groupBy("g")).applyInArrow(send, "b int, g long, sizes binary, ids binary, raw binary")
+    sent = dealt.groupBy("g").cogroup(census.groupBy("g")).applyInArrow(send, "b int, g long, sizes binary, ids binary, raw binary, part binary")
     masks = sent.groupBy("b").applyInArrow(refine, "g long, b int, masks binary")
     answers = census.unionByName(masks, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
