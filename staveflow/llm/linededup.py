@@ -66,7 +66,7 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     out = rows.join(found, F.col(rid) == F.col("at"), "left").drop(rid, "at")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("removed", F.array().cast("array<int>")))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i))))
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i))))
     return digest(out).withColumn("text", text)
 
 
