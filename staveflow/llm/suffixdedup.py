@@ -46,7 +46,10 @@ _LAST = np.iinfo(np.int64).max
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same anchor: (document, hash of the anchor, first window, windows, hash of their bytes)."""
+    """Runs of windows with the same anchor: (document, hash of the anchor, first window, windows, hash of their bytes).
+
+    Anchors are minima, so their hashes are mixed once more: else the lower key ranges would get most of them.
+    """
     parts = []
     for a, b, part, cuts in tx.chunks(raw, off):
         for x in range(0, max(0, len(part) - length + 1), _PIECE):
@@ -64,7 +67,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[n
             at = place[s].astype(np.int64)
             head = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1)))
             first, n = s[head], np.diff(np.append(head, len(s)))
-            parts.append((a + np.searchsorted(cuts, first + x, side="right") - 1, h[at[head]], off[a] + x + first, n, range_hash(piece, first, first + n + length - 1)))
+            parts.append((a + np.searchsorted(cuts, first + x, side="right") - 1, tx.mix(h[at[head]]), off[a] + x + first, n, range_hash(piece, first, first + n + length - 1)))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, tx.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, tx.U64)
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _ROOT = 0x9E3779B97F4A7C15
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
 
