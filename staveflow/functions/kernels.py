@@ -97,6 +97,8 @@ def vertical_segments(mask: np.ndarray, min_length: int, max_gap: int, slope: in
                 now[-1][1] = b
             else:
                 now.append([a, b])
+        # what is short in every column is no upright stroke
+        now = [r for r in now if r[1] - r[0] + 1 >= max(2, min_length // 3)]
         used = set()
         for s in open_:
             for k, (a, b) in enumerate(now):
