@@ -83,13 +83,15 @@ def decode_pgm(content: bytes) -> tuple[int, int, bytes]:
     """(width, height, gray bytes) of a binary PGM image (P5, 8 bits)."""
     fields, at = [], 0
     while len(fields) < 4:
+        if at >= len(content):
+            raise ValueError("the header is cut short")
         while content[at : at + 1].isspace():
             at += 1
         if content[at : at + 1] == b"#":
             at = content.index(b"\n", at)
             continue
         end = at
-        while not content[end : end + 1].isspace():
+        while end < len(content) and not content[end : end + 1].isspace():
             end += 1
         fields.append(content[at:end])
         at = end
