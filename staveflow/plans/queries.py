@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import labels as names
-from ..operators import aggregates, folds, islands, joins, sampling, windows
+from ..operators import aggregates, folds, islands, joins, sampling, validation, windows
 from ..sources import sinks
 from . import measures as mp
 from .adapters import BARLINES, BOXES, LINES, PIXELS_SQL, PLACES, SEGMENTS, STAFFS, derived, pixels, table
@@ -481,6 +481,59 @@ def measures_from_barlines(spark, sf_dir):
     return out.select("measure_id", "page", "system_idx", "group_idx", "measure_number", F.col("bbox.x").cast("long").alias("x"), F.col("bbox.y").cast("long").alias("y"), F.col("bbox.width").cast("long").alias("width"), F.col("bbox.height").cast("long").alias("height"), F.size("staff_lines").alias("n_lines"))
 
 
+# validation
+
+
+@query(f"""WITH e AS (SELECT page, x1 // 20 AS g, min(least(y1, y2)) AS a, max(greatest(y1, y2)) AS b FROM ({SEGMENTS}) GROUP BY 1, 2)
+ SELECT page, g AS grp, a >= 50 - 10 * 1.2 AND a <= 50 + 10 * 0.7 AND b >= 600 - 10 * 0.7 AND b <= 600 + 10 * 1.2 AND b - a + 1 <= 565 AS spans FROM e WHERE b - a > 300""")
+def full_span(spark, sf_dir):
+    rows = validation.group_extents(derived(spark, sf_dir, SEGMENTS).withColumn("grp", F.floor(F.col("x1") / 20)), ["page", "grp"])
+    staff = rows.where("y_max - y_min > 300").withColumns({"top": F.lit(50), "bottom": F.lit(600), "spacing": F.lit(10.0)})
+    return staff.select("page", "grp", validation.spans_staff(max_length=F.lit(565)).alias("spans"))
+
+
+@query(f"""WITH e AS (SELECT page, min(x) AS a, max(x) AS b FROM ({PLACES}) WHERE id % 30 = 0 AND page % 4 <> 0 GROUP BY 1) SELECT p.page, p.id, p.x FROM ({PLACES}) p LEFT JOIN e ON p.page = e.page WHERE a IS NULL OR p.x BETWEEN a - 50 AND b + 50""")
+def within_bounds(spark, sf_dir):
+    rows = derived(spark, sf_dir, PLACES)
+    extents = rows.where("id % 30 = 0 and page % 4 <> 0").select("page", F.col("x").alias("x_start"), F.col("x").alias("x_end"))
+    return validation.within_bounds(rows, extents, ["page"]).select("page", "id", "x")
+
+
+RUNS_SQL = f"r AS (SELECT page, x, min(y) AS y_start, max(y) AS y_end FROM (SELECT *, y - row_number() OVER (PARTITION BY page, x ORDER BY y) AS k FROM ({PIXELS_SQL})) GROUP BY page, x, k)"
+
+
+@query(f"""WITH {RUNS_SQL}, c AS (SELECT *, greatest(0, least(y_end, 34 + 10) - greatest(y_start, 10 - 10)) / 44.0 AS v FROM r), b AS (SELECT *, row_number() OVER (PARTITION BY page, x ORDER BY v DESC, y_start) AS k FROM c WHERE v > 0)
+ SELECT page, x, y_start, y_end, round(v, 9) AS coverage FROM b WHERE k = 1 AND y_end - y_start + 1 <= 24 + trunc(6.0 * 2.5)""")
+def covering_runs(spark, sf_dir):
+    runs = islands.vertical_runs(pixels(spark, sf_dir), ["page", "x"])
+    candidates = runs.select("page", "x").distinct().withColumns({"top": F.lit(10), "bottom": F.lit(34), "spacing": F.lit(6.0)})
+    out = validation.covers_staff(candidates, runs, ["page"]).where("coverage > 0").withColumn("coverage", F.round(F.col("coverage"), 9))
+    return out.select("page", "x", "y_start", "y_end", "coverage")
+
+
+@query(f"""WITH p AS ({PIXELS_SQL}), {RUNS_SQL}, f AS (SELECT page, x, min(y_start) AS s FROM r WHERE y_end - y_start + 1 >= 4 AND y_start <= 20 AND y_end >= 8 GROUP BY 1, 2), g AS (SELECT f.page, f.x, s, y_end AS e FROM f JOIN r ON r.page = f.page AND r.x = f.x AND r.y_start = f.s),
+ l AS (SELECT unnest([10, 12, 14, 16, 18]) AS y), h AS (SELECT g.page, g.x, s, e, count(DISTINCT l.y) AS n FROM g JOIN l ON l.y BETWEEN s - 3 AND e + 3 JOIN p ON p.page = g.page AND p.x = g.x AND p.y BETWEEN l.y - 1 AND l.y + 1 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT l.y) >= 3),
+ o AS (SELECT h.page, h.x, k, (SELECT count(*) FROM p WHERE p.page = h.page AND p.x = h.x + [1, -1, 2, -2, 3, -3][k] AND p.y BETWEEN s AND e) / CAST(e - s + 1 AS DOUBLE) AS c FROM h, (SELECT unnest(range(1, 7)) AS k) q)
+ SELECT page, x FROM o GROUP BY page, x HAVING coalesce(min(k) FILTER (WHERE c < 0.3) - 1, 6) + 1 <= 4""")
+def valid_barlines(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    candidates = p.select("page", "x").distinct().withColumns({"staff": F.lit(0), "top": F.lit(10), "bottom": F.lit(18)})
+    lines = p.select("page").distinct().select("page", F.lit(0).alias("staff"), F.explode(F.array(*[F.lit(y) for y in (10, 12, 14, 16, 18)])).alias("y"))
+    return validation.valid_for_staff(candidates, p, lines, ["page"], crossed=3, thickest=4).select("page", "x")
+
+
+@query(f"""WITH d AS (SELECT page, count(*) / (64.0 * max(y)) AS density FROM ({PIXELS_SQL}) GROUP BY 1) SELECT page, CAST(greatest(5, trunc(10 * density)) AS INT) AS threshold, CAST(greatest(3, trunc((page + 10.0) * 0.3)) AS INT) AS min_length, CAST(greatest(2, trunc((page + 10.0) * 0.2)) AS INT) AS max_gap,
+ CAST(greatest(5, trunc(2048 * 0.005)) AS INT) AS x_tolerance, CASE WHEN density < 0.1 THEN 25 ELSE 15 END AS angle_tolerance FROM d""")
+def tuned_parameters(spark, sf_dir):
+    rows = pixels(spark, sf_dir).groupBy("page").agg((F.count(F.lit(1)) / (F.lit(64.0) * F.max("y"))).alias("density"))
+    return rows.withColumn("spacing", F.col("page") + F.lit(10.0)).withColumn("width", F.lit(2048)).select("page", *validation.tuned_parameters())
+
+
+@query(f"WITH {SYSTEMS_SQL} SELECT page, greatest(0, min(top) - 50) AS y_from, max(bottom) + 50 AS y_to, CAST(trunc(min(bottom - top) * 1.5) AS INT) AS min_length, CAST(trunc(avg((bottom - top) / 4.0) * 0.5) AS INT) AS max_gap FROM sg GROUP BY 1")
+def bracket_parameters(spark, sf_dir):
+    return validation.bracket_parameters(mp.page_systems(derived(spark, sf_dir, STAFFS)), ["page"])
+
+
 # documents, splits, sets
 
 
