@@ -112,6 +112,50 @@ def vertical_segments(mask: np.ndarray, min_length: int, max_gap: int, slope: in
     return sorted(out + [tuple(s) for s in open_ if s[3] - s[1] + 1 >= min_length])
 
 
+def has_horizontal_element(mask: np.ndarray, x: int, y: int, window: int = 15, length: int = 8, least: int = 5) -> bool:
+    """Whether at least `least` pixels near (x, y) lie in horizontal runs of `length`, as at a bracket's ends."""
+    part = mask[max(0, y - window) : y + window + 1, max(0, x - window) : x + window + 1]
+    return int(opened_rows(part, length).sum()) >= least if part.size else False
+
+
+def resized(gray: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Nearest pixels, centres aligned."""
+    y = ((np.arange(height) + 0.5) * gray.shape[0] / height).astype(int).clip(0, gray.shape[0] - 1)
+    x = ((np.arange(width) + 0.5) * gray.shape[1] / width).astype(int).clip(0, gray.shape[1] - 1)
+    return gray[y[:, None], x[None, :]]
+
+
+def letterboxed(gray: np.ndarray, size: int, pad: int = 255) -> np.ndarray:
+    """The longer side scaled to size, the other padded evenly; the same transform as geometry.letterbox."""
+    scale = size / max(gray.shape)
+    h, w = max(1, int(gray.shape[0] * scale)), max(1, int(gray.shape[1] * scale))
+    out = np.full((size, size), pad, np.uint8)
+    y, x = (size - h) // 2, (size - w) // 2
+    out[y : y + h, x : x + w] = resized(gray, w, h)
+    return out
+
+
+def adaptive_inverse(gray: np.ndarray, block: int = 11, offset: int = 2) -> np.ndarray:
+    """Darker than the mean of the block around, less an offset; borders repeat the edge."""
+    r = block // 2
+    pad = np.pad(gray.astype(np.int64), r, mode="edge")
+    total = np.pad(pad.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    n = 2 * r + 1
+    mean = (total[n:, n:] - total[:-n, n:] - total[n:, :-n] + total[:-n, :-n]) / (n * n)
+    return gray <= mean - offset
+
+
+def closed_columns(mask: np.ndarray, length: int = 3) -> np.ndarray:
+    """Vertical gaps shorter than `length` filled."""
+    out = mask.copy()
+    for x in range(mask.shape[1]):
+        r = runs(mask[:, x])
+        for (_, a), (b, _) in zip(r[:-1], r[1:], strict=True):
+            if b - a - 1 < length:
+                out[a + 1 : b, x] = True
+    return out
+
+
 def _gray(row) -> np.ndarray:
     return np.frombuffer(row.pixels, np.uint8).reshape(int(row.height), int(row.width))
 

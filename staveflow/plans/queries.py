@@ -12,6 +12,7 @@ from ..functions import labels as names
 from ..operators import aggregates, folds, islands, joins, sampling, validation, windows
 from ..sources import sinks
 from . import measures as mp
+from . import symbols
 from .adapters import BARLINES, BOXES, LINES, PIXELS_SQL, PLACES, SEGMENTS, STAFFS, derived, pixels, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,6 +535,43 @@ def bracket_parameters(spark, sf_dir):
     return validation.bracket_parameters(mp.page_systems(derived(spark, sf_dir, STAFFS)), ["page"])
 
 
+# symbols
+
+
+@query(f"""WITH s AS (SELECT page, id, floor((x1 + x2) / 2.0) AS x, floor((y1 + y2) / 2.0) AS y FROM ({SEGMENTS}) WHERE abs(CASE WHEN x2 = x1 THEN 90.0 ELSE degrees(atan((y2 - y1) / CAST(x2 - x1 AS DOUBLE))) END) > 75),
+ n AS (SELECT page, id AS target_id, x1 AS x, y1 AS y FROM ({SEGMENTS}) WHERE id % 2 = 0), m AS (SELECT s.page, s.id, target_id, (s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) AS d FROM s JOIN n ON s.page = n.page)
+ SELECT page, id, target_id AS associated_notehead, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY d, target_id) AS k FROM m WHERE d <= 900) WHERE k = 1""")
+def stems_near_noteheads(spark, sf_dir):
+    rows = derived(spark, sf_dir, SEGMENTS)
+    heads = rows.where("id % 2 = 0").select("page", F.col("id").alias("target_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return symbols.stems(rows, heads).select("page", "id", "associated_notehead", F.round("distance", 6).alias("distance"))
+
+
+@query(NMS_SQL.replace(f"WITH b AS ({BOXES})", f"WITH b AS (SELECT id, image, cls, confidence, x1 + 500 AS x1, x2 + 500 AS x2, y1 + 300 AS y1, y2 + 300 AS y2 FROM ({BOXES}))").replace(">= 0.3", ">= 0.5"))
+def tiled_detections(spark, sf_dir):
+    rows = derived(spark, sf_dir, BOXES).select("id", "image", "cls", "confidence", "x1", "y1", "x2", "y2").withColumn("tile", F.lit(1))
+    return symbols.tiled(spark.createDataFrame([(1, 500, 300)], "tile int, tile_x int, tile_y int"), rows).select("id")
+
+
+@query(f"SELECT id, round(x1 / 1000.0, 9) AS x1, round(y1 / 1300.0, 9) AS y1, round(x2 / 1000.0, 9) AS x2, round(y2 / 1300.0, 9) AS y2 FROM ({BOXES})")
+def ratio_boxes(spark, sf_dir):
+    rows = derived(spark, sf_dir, BOXES).withColumns({"page_width": F.lit(1000.0), "page_height": F.lit(1300.0)})
+    return symbols.ratio_boxes(rows).select("id", *[F.round(c, 9).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"""WITH m AS (SELECT page AS doc, x % 3 AS page, x % 4 AS group_idx, id, row_number() OVER (PARTITION BY page, x % 3, x % 4 ORDER BY id) AS n FROM ({PLACES})), p AS (SELECT doc, page, group_idx, max(n) AS k FROM m GROUP BY 1, 2, 3),
+ b AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY doc ORDER BY page, group_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT m.id, CAST(before + n AS BIGINT) AS absolute_number FROM m JOIN b ON m.doc = b.doc AND m.page = b.page AND m.group_idx = b.group_idx""")
+def absolute_numbers(spark, sf_dir):
+    rows = derived(spark, sf_dir, PLACES).select(F.col("page").alias("doc"), (F.col("x") % 3).alias("page"), (F.col("x") % 4).alias("group_idx"), "id")
+    return symbols.absolute_numbers(windows.numbered(rows, ["doc", "page", "group_idx"], ["id"])).select("id", F.col("absolute_number").cast("long").alias("absolute_number"))
+
+
+@query(f"SELECT DISTINCT o_orderkey AS image FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def labelled_images(spark, sf_dir):
+    images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")).distinct()
+    return symbols.labelled_images(images, table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("image")))
+
+
 # documents, splits, sets
 
 

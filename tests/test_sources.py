@@ -98,6 +98,21 @@ def test_kernels():
     assert kernels.peaks(np.array([0, 2, 0, 1, 0.0]), 1.5) == [1]
 
 
+def test_more_kernels():
+    mask = np.zeros((30, 30), bool)
+    mask[10, 5:16] = True
+    assert kernels.has_horizontal_element(mask, 8, 12) and not kernels.has_horizontal_element(mask, 29, 29)
+    gray = np.zeros((10, 20), np.uint8)
+    out = kernels.letterboxed(gray, 40)
+    assert out.shape == (40, 40) and (out[10:30] == 0).all() and (out[:10] == 255).all()
+    assert (kernels.resized(np.arange(4, dtype=np.uint8).reshape(2, 2), 4, 4)[0] == [0, 0, 1, 1]).all()
+    page = np.full((20, 20), 200, np.uint8)
+    page[8:12, 9] = 0
+    assert kernels.adaptive_inverse(page)[9, 9] and not kernels.adaptive_inverse(page)[0, 0]
+    column = np.array([[1], [0], [0], [1], [0], [0], [0], [1]], bool)
+    assert kernels.closed_columns(column)[:, 0].tolist() == [True, True, True, True, False, False, False, True]
+
+
 def test_pages_to_measures(spark, tmp_path):
     (tmp_path / "a.pgm").write_bytes(pgm(staff_page()))
     (tmp_path / "b.PGM").write_bytes(b"P6 nonsense")
