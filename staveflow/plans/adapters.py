@@ -33,7 +33,7 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, y, x) of the positive values of the embeddings: one image a label, one row a vector."""
     rows = table(spark, sf_dir, "embeddings").selectExpr("label AS page", "dense_rank() OVER (PARTITION BY label ORDER BY vec_id) AS y", "embedding")
-    return rows.selectExpr("page", "y", "posexplode(embedding) AS (x, v)").where("v > 0").select("page", "y", "x")
+    return rows.selectExpr("page", "y", "posexplode(embedding) AS (x, v)").where("v > 0").selectExpr("page", "cast(y AS bigint) AS y", "cast(x AS bigint) AS x")
 
 
 #: The same in DuckDB.
