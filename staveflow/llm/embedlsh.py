@@ -227,7 +227,8 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     label = components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     known = classes.join(links, "cls", "left").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
     known = checkpoint(known)
-    info = known.join(known.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id", (F.col("n") - 1 + F.col("links")).alias("n_links"))
+    names = checkpoint(known.groupBy("root").agg(F.min("least").alias("component_id")))
+    info = known.join(names, "root").select("cls", "component_id", (F.col("n") - 1 + F.col("links")).alias("n_links"))
     out = rows.select("id", "cls").join(info, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

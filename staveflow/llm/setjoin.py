@@ -278,7 +278,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _centred(label: DataFrame, found: DataFrame) -> DataFrame:
     """label with the node of most links as each group's root."""
     degree = found.select(F.col("a").alias("node")).union(found.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    best = label.join(degree, "node").groupBy("root").agg(F.max(F.struct("k", "node"))["node"].alias("centre"))
+    # cut here, so that a large group's rows meet their centre in a join of its own, which Spark can split
+    best = checkpoint(label.join(degree, "node").groupBy("root").agg(F.max(F.struct("k", "node"))["node"].alias("centre")))
     return checkpoint(label.join(best, "root").select("node", F.col("centre").alias("root")))
 
 
@@ -367,7 +368,8 @@ def grouped_documents(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -
     classes = checkpoint(_classes(sets, threshold, ranges))
     label = components(links(classes, ranges, threshold))
     named = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = checkpoint(named)
+    names = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id")))
     of = named.select("sid", "root").join(names, "root")
     out = sets.select("rid", "doc_id", F.col("n").alias("n_shingles"), "sid").join(of, "sid", "left")
     return out.select("rid", "doc_id", "n_shingles", "root", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
