@@ -9,8 +9,10 @@ wanted for pairs at the very threshold; nearer pairs, as near copies are, meet
 far more often.
 
 Equal vectors are one class. Classes go to the hash ranges of their keys, with
-their vectors; each bucket's pairs are compared in double precision there. A
-pair that meets in several tables counts in the first of them. Pairs are not
+their vectors; each bucket's pairs are compared in double precision there. Buckets
+of more than SPLIT classes are counted first and split into parts, whose pairs
+are dealt to different ranges, so a bucket is never one task's alone. A pair
+that meets in several tables counts in the first of them. Pairs are not
 sent on: what leaves a range is, for each class, its number of linked vectors
 there, and a spanning forest of the links.
 
@@ -36,6 +38,9 @@ from .frames import checkpoint, components, ranges_for, read, split_by_range
 THRESHOLD, WIDTH, RECALL, SEED = 0.9, 2.0, 0.97, 6
 #: Buckets up to this size are compared pair by pair in one go, larger ones as blocks of a matrix.
 SMALL, BLOCK_CELLS = 48, 1 << 20
+#: A bucket of more classes is split into parts of about so many, and pairs of parts go to different ranges. It is raised
+#: where over MOST_SPLIT buckets could be as large, so that the list of them, which all tasks get, has a bound.
+SPLIT, MOST_SPLIT = 4096, 100_000
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -111,32 +116,74 @@ def _doubles(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, "<f4" if len(raw) == 4 * dim else "<f8").astype(np.float64)
 
 
-def _blocks(classes: DataFrame, tables: Tables, ranges: int) -> DataFrame:
-    """(b, cls, n, dim, vecs, keys, tabs, own): by range the classes that have keys there, and the keys."""
+def _keyed(batch: pa.RecordBatch, tables: Tables) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors, keys) of a batch's classes by length; vec and dim are the third and fourth column."""
+    vecs = [_doubles(x, d) for x, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+    dims = np.array([len(v) for v in vecs])
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        x = np.stack([vecs[i] for i in rows])
+        yield int(dim), rows, x, tables.keys(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def _large(classes: DataFrame, tables: Tables, ranges: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of buckets with more than limit classes (there are at most rows * tables / limit), sorted, and their sizes."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, keys in _keyed(batch, tables):
+                flat = np.sort(keys.ravel())
+                b, cut = split_by_range(flat, ranges)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([flat[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["b", "keys"])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, n = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8"), return_counts=True)
+        return pa.table({"key": pa.array(keys[n > limit].view(np.int64)), "n": pa.array(n[n > limit], pa.int64())})
+
+    got = classes.select("cls", "n", "vec", "dim").mapInArrow(deal, "b int, keys binary").groupBy("b").applyInArrow(count, "key long, n long").collect()
+    keys, n = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
+    return keys[np.argsort(keys)], n[np.argsort(keys)]
+
+
+def _salted(flat: np.ndarray, cls: np.ndarray, large: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, key, side): entries of large buckets once for each pair of parts that theirs is in; side tells the parts of a pair apart, 2 for a part with itself."""
+    at = np.minimum(np.searchsorted(large, flat), max(0, len(large) - 1))
+    hot = large[at] == flat if len(large) else np.zeros(len(flat), bool)
+    cold = np.flatnonzero(~hot)
+    entry, key, side = [cold], [flat[cold]], [np.full(len(cold), 2, np.uint8)]
+    for i in np.flatnonzero(hot):
+        n = int(parts[at[i]])
+        own, other = int(tx.mix(np.array([cls[i]], np.int64).view(np.uint64))[0] % np.uint64(n)), np.arange(n)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        entry.append(np.full(n, i))
+        key.append(tx.mix(flat[i] + tx.mix(((low << 32) + high + 1).astype(np.uint64))))
+        side.append(np.where(low == high, 2, np.where(low == own, 0, 1)).astype(np.uint8))
+    return np.concatenate(entry), np.concatenate(key), np.concatenate(side)
+
+
+def _blocks(classes: DataFrame, tables: Tables, ranges: int, large: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """(b, dim, cls, n, vecs, keys, tabs, own, sides): by range the classes that have keys there, and the keys."""
+    sent = classes.sparkSession.sparkContext.broadcast((large, parts))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vecs = [_doubles(x, d) for x, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             cls, n = batch.column(0).to_numpy().astype("<i8"), batch.column(1).to_numpy().astype("<i8")
-            dims = np.array([len(v) for v in vecs])
-            for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = np.stack([vecs[i] for i in rows])
-                keys = tables.keys(x / np.linalg.norm(x, axis=1, keepdims=True))
-                flat, tab, own = keys.ravel(), np.tile(np.arange(tables.tables), len(rows)), np.repeat(np.arange(len(rows)), tables.tables)
+            for dim, rows, x, keys in _keyed(batch, tables):
+                tab, own = np.tile(np.arange(tables.tables), len(rows)), np.repeat(np.arange(len(rows)), tables.tables)
+                entry, flat, side = _salted(keys.ravel(), cls[rows[own]], *sent.value)
                 order = np.argsort(flat, kind="stable")
                 b, cut = split_by_range(flat[order], ranges)
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(7)]
                 for s, e in zip(cut[:-1], cut[1:], strict=True):
                     part = order[s:e]
-                    here, index = np.unique(own[part], return_inverse=True)
+                    here, index = np.unique(own[entry[part]], return_inverse=True)
                     single = x[here].astype("<f4")
                     exact = np.array_equal(single.astype(np.float64), x[here])
-                    for o, v in zip(out, (cls[rows[here]], n[rows[here]], single if exact else x[here].astype("<f8"), flat[part].astype("<u8"), tab[part].astype("<u2"), index.astype("<u4")), strict=True):
+                    for o, v in zip(out, (cls[rows[here]], n[rows[here]], single if exact else x[here].astype("<f8"), flat[part].astype("<u8"), tab[entry[part]].astype("<u2"), index.astype("<u4"), side[part]), strict=True):
                         o.append(v.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.full(len(b), dim), pa.int32()), *(pa.array(o, pa.binary()) for o in out)], ["b", "dim", "cls", "n", "vecs", "keys", "tabs", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.full(len(b), dim), pa.int32()), *(pa.array(o, pa.binary()) for o in out)], ["b", "dim", "cls", "n", "vecs", "keys", "tabs", "own", "sides"])
 
-    return classes.select("cls", "n", "vec", "dim").mapInArrow(deal, "b int, dim int, cls binary, n binary, vecs binary, keys binary, tabs binary, own binary")
+    return classes.select("cls", "n", "vec", "dim").mapInArrow(deal, "b int, dim int, cls binary, n binary, vecs binary, keys binary, tabs binary, own binary, sides binary")
 
 
 def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -167,15 +214,16 @@ def _linked(tables: Tables, threshold: float):
         outs = []
         dims = np.array(table.column("dim").to_pylist())
         for dim in np.unique(dims):
-            rows = [{c: table.column(c)[int(i)].as_py() for c in ("cls", "n", "vecs", "keys", "tabs", "own")} for i in np.flatnonzero(dims == dim)]
+            rows = [{c: table.column(c)[int(i)].as_py() for c in ("cls", "n", "vecs", "keys", "tabs", "own", "sides")} for i in np.flatnonzero(dims == dim)]
             cls, n = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("cls", "n"))
             sizes = [len(r["cls"]) // 8 for r in rows]
             x = np.concatenate([np.frombuffer(r["vecs"], "<f4" if len(r["vecs"]) == 4 * dim * s else "<f8").astype(np.float64).reshape(s, dim) for r, s in zip(rows, sizes, strict=True)])
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             key, tab = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows]), np.concatenate([np.frombuffer(r["tabs"], "<u2") for r in rows]).astype(np.int64)
             own = np.concatenate([np.frombuffer(r["own"], "<u4").astype(np.int64) + s for r, s in zip(rows, np.append(0, np.cumsum(sizes)[:-1]), strict=True)])
+            side = np.concatenate([np.frombuffer(r["sides"], np.uint8) for r in rows])
             order = np.lexsort((cls[own], key))
-            key, tab, own = key[order], tab[order], own[order]
+            key, tab, own, side = key[order], tab[order], own[order], side[order]
             head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(head, len(key)))
             all_keys = tables.keys(x)
@@ -186,7 +234,9 @@ def _linked(tables: Tables, threshold: float):
                 i, j = np.triu_indices(int(m), 1)
                 for s in range(0, len(heads), max(1, 60_000 // len(i))):
                     at = heads[s : s + max(1, 60_000 // len(i))]
-                    p, q, t = own[(at[:, None] + i).ravel()], own[(at[:, None] + j).ravel()], np.repeat(tab[at], len(i))
+                    a, b, t = (at[:, None] + i).ravel(), (at[:, None] + j).ravel(), np.repeat(tab[at], len(i))
+                    ok = (side[a] == 2) | (side[a] != side[b])
+                    p, q, t = own[a[ok]], own[b[ok]], t[ok]
                     hit = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
                     p, q, t = p[hit], q[hit], t[hit]
                     met[p] = met[q] = True
@@ -195,12 +245,14 @@ def _linked(tables: Tables, threshold: float):
                     np.add.at(links, p[~first], n[q[~first]])
                     np.add.at(links, q[~first], n[p[~first]])
             for a, m in zip(head[size > SMALL], size[size > SMALL], strict=True):
-                who, t = own[a : a + m], int(tab[a])
+                who, t, part = own[a : a + m], int(tab[a]), side[a : a + m]
                 y, k = x[who], all_keys[who, :t]
                 step = max(1, BLOCK_CELLS // int(m))
                 for s in range(0, m, step):
                     hit = y[s : s + step] @ y.T >= threshold
                     hit[np.arange(len(hit)), s + np.arange(len(hit))] = False
+                    if part[0] != 2:
+                        hit &= part[s : s + step, None] != part[None, :]
                     r, c = np.nonzero(hit)
                     met[who[s + r]] = True
                     _merge(root, who[s + r], who[c])
@@ -222,7 +274,10 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = checkpoint(rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("vec").alias("vec"), F.first("dim").alias("dim")))
     tables = Tables(*shape(classes.count(), threshold, recall))
     ranges = 4 * ranges_for(classes, 1)
-    found = checkpoint(_blocks(classes, tables, ranges).groupBy("b").applyInArrow(_linked(tables, threshold), "cls long, links long, root long"))
+    rows_n = classes.count()
+    limit = max(SPLIT, rows_n * tables.tables // MOST_SPLIT)
+    large, sizes = _large(classes, tables, ranges, limit) if rows_n > limit else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found = checkpoint(_blocks(classes, tables, ranges, large, -(-sizes // limit)).groupBy("b").applyInArrow(_linked(tables, threshold), "cls long, links long, root long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     label = components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     known = classes.join(links, "cls", "left").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))

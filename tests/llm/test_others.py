@@ -35,6 +35,12 @@ def test_large_buckets_are_counted_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(149, 0)}
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(embedlsh, "SPLIT", 20)
+    test_large_buckets_are_counted_in_blocks(spark, monkeypatch)
+    test_embeddings(spark)
+
+
 URLS = [
     ("http://Www.Example.ORG/es/1", "www.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/17?x=/es/", "example.org", "/en/17", "example.org/en/1", "block"), ("http://a.org/x#f", "a.org", "/x", "org/", "allow"),
     ("http://org", "org", "", None, None), ("https://b.com/fr/2", "b.com", "/fr/2", "com/fr/", "allow"), ("x://c.com/de/", "c.com", "/de/", "com/de/", "block"), ("http://notexample.org/es/1", "notexample.org", "/es/1", "org/", "allow"),
