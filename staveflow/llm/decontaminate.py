@@ -17,7 +17,6 @@ out; rows that repeat an id count as one item. Empty tables give empty results.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -32,7 +32,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import text as tx
 from .frames import by_group, checkpoint, group_shift, pack48, packed, ranges_for, read, split_by_range, unpack48, unpacked, with_groups
