@@ -180,7 +180,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, t: int = T_WORDS, k: in
             found = found.union(p)
         found = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     found = found.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.end - 1))))).cast("long"))
-    return rows.join(found, F.col(rid) == F.col("key")).drop(rid, "key")
+    return rows.join(found.withColumnRenamed("key", rid), rid).drop(rid)
 
 
 def scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

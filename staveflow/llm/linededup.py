@@ -62,8 +62,8 @@ def deduplicated(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     docs = stable(docs.drop("n_lines", "n_removed", "n_runs", "removed"))
     rid = fresh(docs, "rid")
     rows = docs.withColumn(rid, F.monotonically_increasing_id())
-    found = repeated(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), min_run).withColumnRenamed("rid", "at")
-    out = rows.join(found, F.col(rid) == F.col("at"), "left").drop(rid, "at")
+    found = repeated(rows.select(F.col(rid).alias("rid"), "doc_id", "text"), min_run).withColumnRenamed("rid", rid)
+    out = rows.join(found, rid, "left").drop(rid)
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("removed", F.array().cast("array<int>")))
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.concat_ws("\n", F.transform(kept, lambda i: F.get(lines, i))))

@@ -42,7 +42,7 @@ def odd(spark, rows):
     """Repeated rows, null ids, and columns whose names the operators use themselves."""
     again = [*rows, *rows[:4], (None, BASE, "en", None), (None, None, None, None)]
     frame = spark.createDataFrame(again, "doc_id long, text string, lang string, source string")
-    return frame.withColumns({c: F.lit(7) for c in ("rid", "g", "n", "key", "block", "shard", "size", "root", "k1", "hit")})
+    return frame.withColumns({c: F.lit(7) for c in ("rid", "g", "n", "key", "block", "shard", "size", "root", "k1", "hit", "at", "pos", "removed", "items", "unit", "toxicity")})
 
 
 @pytest.fixture(scope="module")
@@ -221,6 +221,9 @@ def test_decontamination(spark, docs, rows, odd, none):
     kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
     assert kept == {i for i, v in want.items() if not v[1]}
     assert decontaminate.clean(odd, bench).columns == odd.columns
+    own = [c for c in odd.columns if c != "items"]
+    wide = decontaminate.contamination(odd, bench)
+    assert wide.columns == [*own, "n_words", "items", "spans", "n_hit"] and wide.count() == odd.count()
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
     assert decontaminate.scored(none, bench).collect() == []
 
@@ -307,7 +310,8 @@ def test_line_runs(docs, rows, odd, none):
         assert (r.n_lines, r.n_removed, r.n_runs, set(r.removed)) == (n[i], len(gone[i]), runs, gone[i])
         assert r.text == (None if text[i] is None else "\n".join(x for p, x in enumerate(text[i].split("\n")) if p not in gone[i]))
     assert sum(map(len, gone.values())) > 5
-    assert linededup.deduplicated(odd).count() == odd.count()
+    wide = linededup.deduplicated(odd)
+    assert wide.count() == odd.count() and wide.columns[:4] == odd.columns[:4] and wide.where("at <> 7 or key <> 7").isEmpty()
     assert linededup.deduplicated(none).collect() == []
 
 
