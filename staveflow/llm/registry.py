@@ -14,4 +14,4 @@ QUERIES = {
     "op9_jaccard": setjoin.op9_jaccard,
     "op10_line_runs": linededup.op10_line_runs,
 }
-ORACLES = {"op9_jaccard": setjoin.SQL, "op2_winnowing": decontaminate.SQL, "op10_line_runs": linededup.SQL}
+ORACLES = {"op7_suffix_dedup": suffixdedup.SQL, "op9_jaccard": setjoin.SQL, "op2_winnowing": decontaminate.SQL, "op10_line_runs": linededup.SQL}

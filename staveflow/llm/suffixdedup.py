@@ -239,3 +239,17 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, u.p AS p, u.s AS s FROM (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2 - 49), lambda p: struct_pack(p := p, s := substr(h, 2 * p + 1, 100)))) AS u FROM d WHERE length(h) >= 100)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+r AS (SELECT g.doc_id, g.p FROM g JOIN m ON g.s = m.s WHERE m.least < g.doc_id),
+k AS (SELECT doc_id, p, sum(CASE WHEN p <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r)),
+x AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY doc_id, k),
+y AS (SELECT x.doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY x.doc_id ORDER BY a), 0) AS c, h FROM x JOIN d ON x.doc_id = d.doc_id),
+z AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM y GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(z.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN z ON d.doc_id = z.doc_id
+"""
