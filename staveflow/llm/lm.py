@@ -2,21 +2,20 @@
 
 Counts of words and word pairs of the training documents are gathered over the
 whole corpus by block exchange. A pair seen c times, MIN_COUNT at least, enters
-the filter with each level 1 .. floor(log2 c); the filter is broadcast, and a
-pair's count is read back by probing level after level until one is absent, as
-two to the number of levels: never over the true count but for the filter's
-rare false hits.
+the filter with each level 1 .. floor(log2 c), and a pair's count is read back
+by probing level after level until one is absent, as two to the number of
+levels: never over the true count but for the filter's rare false hits.
 
 The probability of a word after another mixes both counts:
 P(w | h) = k * min(1, 2^levels / c(h)) + (1 - k) * (c(w) + 0.5) / (N + 0.5 (V + 1)),
-k = MIX * c(h) / (c(h) + HALF). It sums to 1 at most over the words. Word
-counts themselves are not broadcast: each row group gets back those of its own
-words.
+k = MIX * c(h) / (c(h) + HALF). It sums to 1 at most over the words. Nothing is
+broadcast: each row group, of training or not, gets back the counts of its own
+words and the levels of its own pairs.
 
-The filter has one segment for each hash range of pairs, of BITS bits an entry,
-so it grows with the corpus up to MAX_BITS; beyond, entries share those bits
-and the filter says more often that a pair was seen. Classes of words and pairs
-are by 64-bit and 48-bit hashes.
+The filter has one segment for each hash range of pairs, of BITS bits an entry
+at every size of the corpus. A segment is built and probed where its range is,
+so it grows no more than a range does. Classes of words and pairs are by 64-bit
+and 48-bit hashes.
 
 Null texts are empty and score their end token. A null doc_id counts as the
 empty text in the choice of training rows.
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .frames import by_group, checkpoint, group_shift, pack48, packed, range_of, ranges_for, read, split_by_range, unpack48, unpacked, with_groups
 
-MIN_COUNT, BITS, PROBES, MAX_BITS = 2, 12, 3, 1 << 29
+MIN_COUNT, BITS, PROBES = 2, 12, 3
 MIX, HALF = 0.25, 8.0
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
@@ -73,8 +72,9 @@ class Filter:
         return (tx.mix(keys + tx.U64(salt)) % size.astype(tx.U64)).astype(np.int64)
 
     @classmethod
-    def segment(cls, keys: np.ndarray, levels: np.ndarray, limit: int) -> bytes:
-        n = int(min(limit, max(64, -(-BITS * int(levels.sum()) // 64) * 64)))
+    def segment(cls, keys: np.ndarray, levels: np.ndarray, limit: int | None = None) -> bytes:
+        n = max(64, -(-BITS * int(levels.sum()) // 64) * 64)
+        n = n if limit is None else min(limit, n)
         bits = np.zeros(n, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             k = keys[levels >= level]
@@ -97,26 +97,32 @@ class Filter:
         return out
 
 
+def levels_of(seen: np.ndarray) -> np.ndarray:
+    """The levels of pairs by how often they were seen."""
+    return np.floor(np.log2(seen)).astype(np.int64)
+
+
 def _gathered(rows: DataFrame, ranges: int) -> DataFrame:
-    """(g, b, counts): word counts for group g in range b; and with g = -1 one row a range with the filter's segment, V and N."""
+    """(g, b, counts, levels): word counts and levels of pairs for group g in range b; and with g = -1 one row a range with its V and N."""
 
     def keys_of(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         doc, tok, before = tokens(*tx.text_bytes(table.column("text")))
         use = table.column("train").to_numpy()[doc]
         words, inverse = np.unique(tok, return_inverse=True)
         times = np.bincount(inverse, use, minlength=len(words)).astype("<u4")
-        pairs, pair_times = np.unique(pair_keys(before[use], tok[use]), return_counts=True)
-        more = np.flatnonzero(pair_times > 1)
+        pairs, inverse = np.unique(pair_keys(before, tok), return_inverse=True)
+        pair_times = np.bincount(inverse, use, minlength=len(pairs)).astype("<u4")
+        few, more = np.minimum(pair_times, 255).astype(np.uint8), np.flatnonzero(pair_times > 255)
         b1, cut1 = split_by_range(words, ranges)
         b2, cut2 = split_by_range(pairs, ranges)
         where = np.searchsorted(more, cut2)
-        out: dict[int, list[bytes | None]] = {int(x): [None] * 5 for x in [*b1, *b2]}
+        out: dict[int, list[bytes | None]] = {int(x): [None] * 6 for x in [*b1, *b2]}
         for x, i, j in zip(b1, cut1[:-1], cut1[1:], strict=True):
             out[int(x)][:2] = [words[i:j].astype("<u8").tobytes(), times[i:j].tobytes()]
         for x, i, j, m, n in zip(b2, cut2[:-1], cut2[1:], where[:-1], where[1:], strict=True):
-            out[int(x)][2:] = [pack48(pairs[i:j]), (more[m:n] - i).astype("<u4").tobytes(), pair_times[more[m:n]].astype("<u4").tobytes()]
+            out[int(x)][2:] = [pack48(pairs[i:j]), few[i:j].tobytes(), (more[m:n] - i).astype("<u4").tobytes(), pair_times[more[m:n]].tobytes()]
         cols = list(zip(*out.values(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([g] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["b", "g", "words", "times", "pairs", "at", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([g] * len(out), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["b", "g", "words", "times", "pairs", "few", "at", "n"])
 
     def count(table: pa.Table) -> pa.Table:
         has = table.filter(table.column("words").is_valid())
@@ -125,22 +131,26 @@ def _gathered(rows: DataFrame, ranges: int) -> DataFrame:
         times = np.frombuffer(b"".join(has.column("times").to_pylist()), "<u4")
         total = np.bincount(inverse, times, minlength=len(words)).astype("<u8")
         cut, back = np.append(0, np.cumsum([len(x) for x in blocks])).astype(int), total[inverse]
+        counts = dict(zip(has.column("g").to_pylist(), [back[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
         two = table.filter(table.column("pairs").is_valid())
         keys = [unpack48(x) for x in two.column("pairs").to_pylist()]
-        weight, start = np.ones(sum(map(len, keys)), np.int64), 0
+        weight, start = np.frombuffer(b"".join(two.column("few").to_pylist()), np.uint8).astype(np.uint32), 0
         for k, at, n in zip(keys, two.column("at").to_pylist(), two.column("n").to_pylist(), strict=True):
             weight[start + np.frombuffer(at, "<u4").astype(np.int64)] = np.frombuffer(n, "<u4")
             start += len(k)
         pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, tx.U64), np.zeros(0, np.int64))
         seen = np.bincount(inverse, weight, minlength=len(pairs))
         keep = seen >= MIN_COUNT
-        segment = Filter.segment(pairs[keep], np.floor(np.log2(seen[keep])).astype(np.int64), max(64, MAX_BITS // ranges // 64 * 64))
-        b = table.column("b")[0].as_py()
-        counts = [back[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.table({"g": pa.array([*has.column("g").to_pylist(), -1], pa.int64()), "b": pa.array([b] * (len(counts) + 1), pa.int32()), "counts": pa.array([*counts, segment], pa.binary()), "v": pa.array([0] * len(counts) + [int((total > 0).sum())], pa.int64()), "n": pa.array([0] * len(counts) + [int(total.sum())], pa.int64())})
+        back = Filter([Filter.segment(pairs[keep], levels_of(seen[keep]))]).levels(pairs).astype(np.uint8)[inverse]
+        cut = np.append(0, np.cumsum([len(k) for k in keys])).astype(int)
+        levels = dict(zip(two.column("g").to_pylist(), [back[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
+        to = sorted({*counts, *levels})
+        none = [0] * len(to)
+        columns = [pa.array([*to, -1], pa.int64()), pa.array([table.column("b")[0].as_py()] * (len(to) + 1), pa.int32()), *(pa.array([*map(x.get, to), None], pa.binary()) for x in (counts, levels)), pa.array([*none, int((total > 0).sum())], pa.int64()), pa.array([*none, int(total.sum())], pa.int64())]
+        return pa.table(columns, ["g", "b", "counts", "levels", "v", "n"])
 
-    blocks = by_group(rows.select("text", "train", "g"), "g", keys_of, "b int, g long, words binary, times binary, pairs binary, at binary, n binary")
-    return blocks.groupBy("b").applyInArrow(count, "g long, b int, counts binary, v long, n long")
+    blocks = by_group(rows.select("text", "train", "g"), "g", keys_of, "b int, g long, words binary, times binary, pairs binary, few binary, at binary, n binary")
+    return blocks.groupBy("b").applyInArrow(count, "g long, b int, counts binary, levels binary, v long, n long")
 
 
 def scored(docs: DataFrame, train: str = "train") -> DataFrame:
@@ -149,23 +159,21 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
     ranges = ranges_for(docs, groups)
     rows = with_groups(docs, ["doc_id", "text", F.col(train).alias("train")], shift)
     got = checkpoint(_gathered(rows, ranges))
-    head = {r[0]: r for r in got.where("g = -1").select("b", "counts", "v", "n").collect()}
-    empty = bytes(8)
-    sent = docs.sparkSession.sparkContext.broadcast(Filter([bytes(head[b][1]) if b in head else empty for b in range(ranges)]))
-    v, n = sum(r[2] for r in head.values()), sum(r[3] for r in head.values())
+    v, n = (x or 0 for x in got.where("g = -1").agg(F.sum("v"), F.sum("n")).first())
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = unpacked(docs)
         doc, tok, before = tokens(*tx.text_bytes(docs.column("text")))
         words, inverse = np.unique(tok, return_inverse=True)
-        count = np.frombuffer(b"".join(answers.sort_by("b").column("counts").to_pylist()), "<u8").astype(np.float64)
+        answers = answers.sort_by("b")
+        count = np.frombuffer(b"".join(answers.column("counts").drop_null().to_pylist()), "<u8").astype(np.float64)
         c = count[inverse]
         uni = (c + 0.5) / (n + 0.5 * (v + 1))
         start = before == BEGIN
         c_before = np.roll(c, 1)
         c_before[start] = count[np.searchsorted(words, END)]
-        pairs, of = np.unique(pair_keys(before, tok), return_inverse=True)
-        levels = sent.value.levels(pairs)[of]
+        of = np.unique(pair_keys(before, tok), return_inverse=True)[1]
+        levels = np.frombuffer(b"".join(answers.column("levels").drop_null().to_pylist()), np.uint8)[of]
         seen = np.where(levels > 0, np.exp2(levels), 0.0)
         k = MIX * c_before / (c_before + HALF)
         p = k * np.minimum(1.0, seen / np.maximum(c_before, 1.0)) + (1 - k) * uni
@@ -174,7 +182,7 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
         return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "train": docs.column("train"), "n_tokens": pa.array(sums["n_tokens"], pa.int64()), "n_known": pa.array(sums["n_known"], pa.int64()), "train_tokens": pa.array(np.full(m, n), pa.int64()), "base_score": pa.array(sums["base_score"]), "score": pa.array(sums["score"])})
 
     dealt = packed(rows.select("doc_id", "text", "train", "g")).repartition(ranges, "g")
-    answers = got.where("g >= 0").select("g", "b", "counts")
+    answers = got.where("g >= 0").select("g", "b", "counts", "levels")
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

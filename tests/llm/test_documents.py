@@ -177,6 +177,16 @@ def test_language_model(docs, rows, none):
     assert lm.scored(none.withColumn("train", F.lit(True))).collect() == []
 
 
+def test_no_cap_on_the_filter(docs, monkeypatch):
+    """No bound on the bits changes a score, and no filter goes through the driver."""
+    rows = docs.withColumn("train", F.col("doc_id") % 2 == 0)
+    want = {r.doc_id: r.score for r in lm.scored(rows).collect()}
+    monkeypatch.setattr(lm, "MAX_BITS", 64, raising=False)
+    assert {r.doc_id: r.score for r in lm.scored(rows).collect()} == want
+    monkeypatch.setattr(type(docs.sparkSession.sparkContext), "broadcast", lambda *_: pytest.fail("broadcast"))
+    assert {r.doc_id: r.score for r in lm.scored(rows).collect()} == want
+
+
 def test_filter_levels():
     import numpy as np
 
