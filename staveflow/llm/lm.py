@@ -2,12 +2,12 @@
 
 Counts of words and word pairs of the training documents are gathered over the
 whole corpus by block exchange. A pair seen c times, MIN_COUNT at least, enters
-the filter with each level 1 .. floor(log2 c), and a pair's count is read back
-by probing level after level until one is absent, as two to the number of
-levels: never over the true count but for the filter's rare false hits.
+the filter with each level 1 .. 1 + floor(log2 c), and a pair's count is read
+back by probing level after level until one is absent, as two to the number of
+levels less one: never over the true count but for the filter's rare false hits.
 
 The probability of a word after another mixes both counts:
-P(w | h) = k * min(1, 2^levels / c(h)) + (1 - k) * (c(w) + 0.5) / (N + 0.5 (V + 1)),
+P(w | h) = k * min(1, 2^(levels - 1) / c(h)) + (1 - k) * (c(w) + 0.5) / (N + 0.5 (V + 1)),
 k = MIX * c(h) / (c(h) + HALF). It sums to 1 at most over the words. Nothing is
 broadcast: each row group, of training or not, gets back the counts of its own
 words and the levels of its own pairs.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .frames import by_group, checkpoint, group_shift, pack48, packed, range_of, ranges_for, read, split_by_range, unpack48, unpacked, with_groups
 
-MIN_COUNT, BITS, PROBES = 2, 12, 3
+MIN_COUNT, BITS, PROBES = 1, 12, 3
 MIX, HALF = 0.25, 8.0
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
@@ -99,7 +99,7 @@ class Filter:
 
 def levels_of(seen: np.ndarray) -> np.ndarray:
     """The levels of pairs by how often they were seen."""
-    return np.floor(np.log2(seen)).astype(np.int64)
+    return 1 + np.floor(np.log2(seen)).astype(np.int64)
 
 
 def _gathered(rows: DataFrame, ranges: int) -> DataFrame:
@@ -174,7 +174,7 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
         c_before[start] = count[np.searchsorted(words, END)]
         of = np.unique(pair_keys(before, tok), return_inverse=True)[1]
         levels = np.frombuffer(b"".join(answers.column("levels").drop_null().to_pylist()), np.uint8)[of]
-        seen = np.where(levels > 0, np.exp2(levels), 0.0)
+        seen = np.where(levels > 0, np.exp2(levels - 1.0), 0.0)
         k = MIX * c_before / (c_before + HALF)
         p = k * np.minimum(1.0, seen / np.maximum(c_before, 1.0)) + (1 - k) * uni
         m = docs.num_rows

@@ -187,6 +187,19 @@ def test_no_cap_on_the_filter(docs, monkeypatch):
     assert {r.doc_id: r.score for r in lm.scored(rows).collect()} == want
 
 
+def test_pairs_seen_once_count(spark):
+    """Two held-out texts of the same words, one with pairs that training holds once."""
+    words = [f"w{i}" for i in range(40)]
+    mixed = words[::2] + words[1::2]
+    rows = [(1, " ".join(words), True), (2, " ".join(words), False), (3, " ".join(mixed), False)]
+    got = {r.doc_id: r for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
+    assert got[2].score == got[1].score and abs(got[2].base_score - got[3].base_score) < 1e-9
+    k = lm.MIX / (1 + lm.HALF)
+    uni = 1.5 / (41 + 0.5 * 42)
+    assert abs(got[2].score - 41 * math.log10(k + (1 - k) * uni)) < 1e-6
+    assert got[2].score > got[3].score + 5
+
+
 def test_filter_levels():
     import numpy as np
 
