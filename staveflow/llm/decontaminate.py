@@ -7,9 +7,10 @@ with those of the benchmark, and each hit is extended to the whole windows
 around it, whose words are then compared byte by byte. Items of fewer than T
 words are one window of their own length, looked up by its hash.
 
-The benchmark is read in blocks of at most about BLOCK_BYTES of text. Each
-block's index is broadcast, so the documents are never shuffled; spans of
-several blocks are merged by row id.
+The benchmark is read in blocks of about BLOCK_BYTES of text. Each block's index
+is broadcast, so the documents are never shuffled. Of several blocks, one at a
+time is held: its hits are written and its index is destroyed before the next
+is collected; they are merged by row id.
 
 Nulls have no words. Benchmark rows with a null id or without words are left
 out; rows that repeat an id count as one item. Empty tables give empty results.
@@ -18,15 +19,17 @@ out; rows that repeat an id count as one item. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .frames import fresh, read, stable
+from .frames import checkpoint, fresh, read, stable
 
 T_WORDS, K_WORDS = 10, 6
 #: Bound of the benchmark text in one broadcast index.
@@ -135,13 +138,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
-    for i in range(n):
-        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r[0], r[1]) for r in rows.collect()]
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+
+
+def _index(block: DataFrame | None, t: int = T_WORDS, k: int = K_WORDS) -> Index:
+    return Index([] if block is None else [(r[0], r[1]) for r in block.collect()], t, k)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, t: int = T_WORDS, k: int = K_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -153,11 +158,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, t: int = T_WORDS, k: in
     rid, keep = fresh(docs, "rid"), [c for c in docs.columns if c not in ("n_words", "items", "spans", "n_hit")]
     rows = docs.select(*keep).withColumn(rid, F.monotonically_increasing_id())
     spark = docs.sparkSession
-    blocks = [Index(x, t, k) for x in _blocks(benchmark, block_bytes)] or [Index([], t, k)]
-
-    def scan(index: Index, source: DataFrame) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+    blocks = _blocks(benchmark, block_bytes) or [None]
 
+    def scan(sent: Broadcast, source: DataFrame) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw, off = tx.text_bytes(batch.column(1))
@@ -173,11 +176,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, t: int = T_WORDS, k: in
 
         return source.mapInArrow(find, "key long, n_words long, items array<string>, spans array<struct<start: long, end: long>>")
 
-    parts = [scan(x, rows.select(rid, "text")) for x in blocks]
-    found = parts[0]
+    parts = []
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(_index(block, t, k))
+        part = scan(sent, rows.select(rid, "text"))
+        if len(blocks) > 1:
+            part = checkpoint(part.where(F.size("items") > 0) if parts else part)
+            sent.destroy()
+        parts.append(part)
+    found = reduce(DataFrame.union, parts)
     if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.union(p)
         found = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     found = found.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.end - 1))))).cast("long"))
     return rows.join(found.withColumnRenamed("key", rid), rid).drop(rid)
@@ -187,10 +195,10 @@ def scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """contamination() for doc_id alone, without the join: the digest needs no other column of docs."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    blocks = [Index(x) for x in _blocks(benchmark, BLOCK_BYTES)] or [Index([])]
+    blocks = _blocks(benchmark, BLOCK_BYTES) or [None]
     if len(blocks) > 1:
-        return contamination(docs, benchmark).drop("text")
-    sent = spark.sparkContext.broadcast(blocks[0])
+        return contamination(docs, benchmark, block_bytes=BLOCK_BYTES).drop("text")
+    sent = spark.sparkContext.broadcast(_index(blocks[0]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,12 +217,10 @@ def scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark window, with their own columns."""
     spark = docs.sparkSession
-    blocks = [Index(x) for x in _blocks(benchmark, BLOCK_BYTES)]
+    blocks = _blocks(benchmark, BLOCK_BYTES)
     name = fresh(docs, "hit")
 
-    def marker(index: Index):
-        sent = spark.sparkContext.broadcast(index)
-
+    def marker(sent: Broadcast):
         @F.pandas_udf("boolean")
         def contaminated(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for t in texts:
@@ -227,9 +233,18 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return contaminated
 
-    for index in blocks:
-        docs = docs.withColumn(name, marker(index)("text")).where(~F.col(name)).drop(name)
-    return docs
+    if len(blocks) == 1:
+        return docs.withColumn(name, marker(spark.sparkContext.broadcast(_index(blocks[0])))("text")).where(~F.col(name)).drop(name)
+    if not blocks:
+        return docs
+    docs = stable(docs)
+    rid, parts = fresh(docs, "rid"), []
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(_index(block))
+        parts.append(checkpoint(rows.select(rid, marker(sent)("text").alias(name)).where(name).select(rid)))
+        sent.destroy()
+    return rows.join(reduce(DataFrame.union, parts).distinct(), rid, "left_anti").drop(rid)
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,38 @@ def test_filter_levels():
     assert (f.levels(other) > 0).mean() < 0.03
 
 
+def test_one_benchmark_block_at_a_time(spark, docs, odd, monkeypatch):
+    """Indexes of several blocks are never held together, and give what one block gives."""
+    from pyspark import Broadcast, SparkContext
+
+    bench = spark.createDataFrame([(i, PASSAGE[i * 7 :] + f" item {i}") for i in range(12)] + [(20, "one two"), (21, BASE)], "item_id long, text string")
+    live, most = set(), [0]
+    send, destroy = SparkContext.broadcast, Broadcast.destroy
+
+    def sending(self, value):
+        out = send(self, value)
+        if isinstance(value, decontaminate.Index):
+            live.add(id(out))
+            most[0] = max(most[0], len(live))
+        return out
+
+    def ending(self, blocking=False):
+        live.discard(id(self))
+        destroy(self, blocking)
+
+    def results():
+        found = decontaminate.scored(docs, bench).select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"))
+        return sorted(found.collect(), key=str), sorted(decontaminate.clean(odd, bench).collect(), key=str)
+
+    want = results()
+    assert any(r.n_hit for r in want[0]) and 0 < len(want[1]) < odd.count()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(SparkContext, "broadcast", sending)
+    monkeypatch.setattr(Broadcast, "destroy", ending)
+    assert [sorted(x, key=str) for x in results()] == list(want)
+    assert most[0] == 1 and not live
+
+
 def test_decontamination(spark, docs, rows, odd, none):
     items = [(1, PASSAGE), (2, "one TWO"), (10, PASSAGE[-120:]), (3, "not in there at all my friend of old"), (4, None), (5, ""), (None, BASE), (2, "one two")]
     bench = spark.createDataFrame(items, "item_id long, text string")
