@@ -69,8 +69,8 @@ def _meet(state: Column, e: Column, seed: int) -> Column:
     c_ends = F.when(rise, up == s1 * (1 - c["p"])).otherwise(down == s1 * c["p"])
     c_p = F.when(rise, F.when(c_ends, 1.0).otherwise(c["p"] + up / s1)).otherwise(F.when(c_ends, 0.0).otherwise(c["p"] - down / s1))
     e_p = F.when(rise, F.when(c_ends, e["p"] - up / s2).otherwise(0.0)).otherwise(F.when(c_ends, e["p"] + down / s2).otherwise(1.0))
-    c, e = c.withField("p", c_p), e.withField("p", F.least(F.greatest(e_p, F.lit(0.0)), F.lit(1.0)))
-    met = F.struct(F.concat(state["done"], F.array(F.when(c_ends, c).otherwise(e))).alias("done"), F.when(c_ends, e).otherwise(c).alias("hand"))
+    one, two = c.withField("p", c_p), e.withField("p", F.least(F.greatest(e_p, F.lit(0.0)), F.lit(1.0)))
+    met = F.struct(F.concat(state["done"], F.array(F.when(c_ends, one).otherwise(two))).alias("done"), F.when(c_ends, two).otherwise(one).alias("hand"))
     return F.when(state["hand"].isNull(), F.struct(state["done"].alias("done"), e.alias("hand"))).otherwise(met)
 
 
@@ -110,10 +110,17 @@ def rounded(units: DataFrame, seed: int = 11, block: int = BLOCK) -> DataFrame:
     return reduce(DataFrame.union, [*parts, last]).select("source", "unit.size", "unit.p", "unit.id")
 
 
+def _row_hashes(docs: DataFrame, seed: int) -> tuple[Column, Column]:
+    """Two hashes of a whole row. Spark's hash passes over nulls, so which columns are null is hashed too, and nested columns are hashed as JSON."""
+    cols = [F.to_json(c, {"ignoreNullFields": "false"}) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in docs.dtypes]
+    cols += [F.col(c).isNull() for c in docs.columns]
+    return F.xxhash64(*cols), F.xxhash64(F.lit(seed), *reversed(cols))
+
+
 def copies(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11) -> DataFrame:
     """For each row of docs: k1, k2 (a hash of the whole row), doc_id, size, source_size, target and copies."""
-    cols = [c for c, t in docs.dtypes if not t.startswith("map")]
-    keyed = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit(seed), *reversed(cols)).alias("k2"))
+    k1, k2 = _row_hashes(docs, seed)
+    keyed = docs.select("doc_id", "source", word_count("text").alias("size"), k1.alias("k1"), k2.alias("k2"))
     units = checkpoint(keyed.groupBy("k1", "k2", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
     goal = checkpoint(targets(units.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, most))
     side = goal.select(F.col("source").alias("s"), "source_size", "target")
@@ -130,10 +137,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     Rows that agree in all columns are one row with the sum of their copies,
     so the texts move once, by a hash of the row.
     """
-    cols, seed = [c for c, t in docs.dtypes if not t.startswith("map")], how.get("seed", 11)
+    h1, h2 = _row_hashes(docs, how.get("seed", 11))
     k1, k2, row, times = (fresh(docs, n) for n in ("k1", "k2", "row", "times"))
     taken = copies(docs, **how).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.sum("copies").cast("int").alias(times)).where(F.col(times) > 0)
-    kept = docs.select(F.xxhash64(*cols).alias(k1), F.xxhash64(F.lit(seed), *reversed(cols)).alias(k2), F.struct(*docs.columns).alias(row)).groupBy(k1, k2).agg(F.first(row).alias(row))
+    kept = docs.select(h1.alias(k1), h2.alias(k2), F.struct(*docs.columns).alias(row)).groupBy(k1, k2).agg(F.first(row).alias(row))
     out = kept.join(taken, [k1, k2]).select(row, F.explode(F.sequence(F.lit(1), F.col(times))))
     return out.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
