@@ -44,7 +44,7 @@ class Index:
         self.t, self.k, self.names = t, k, [i for i, _ in items]
         self.raw, off = tx.text_bytes(pa.array([x for _, x in items], pa.large_string()))
         doc, h, self.start = tx.words(self.raw, off, tx.WORD_BYTE)
-        self.end = tx.word_ends(self.raw, off, tx.WORD_BYTE)
+        self.end, self.low = tx.word_ends(self.raw, off, tx.WORD_BYTE), tx.LOWER[self.raw]
         at = tx.bounds(doc, len(items))
         found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -104,20 +104,28 @@ class Index:
         seen: dict[int, tuple[list[np.ndarray], list[tuple[int, int]]]] = {}
         for length, (_, split, item, place) in self.windows.items():
             s, w = self.candidates(h, doc, length)
-            if len(s) and end is None:
+            if not len(s):
+                continue
+            if end is None:
                 end, low = tx.word_ends(raw, off, tx.WORD_BYTE), tx.LOWER[raw]
-            for a, b in zip(s, w, strict=True):
-                p = place[b]
-                if all(low[start[a + i] : end[a + i]].tobytes() == self._word(p + i) for i in range(length)):
-                    items, spans = seen.setdefault(int(doc[a]), ([], []))
-                    items.append(item[split[b] : split[b + 1]])
-                    spans.append((int(a - at[doc[a]]), int(a - at[doc[a]]) + length))
+            same = self._same(low, start, end, s, place[w], length)
+            for a, b in zip(s[same], w[same], strict=True):
+                items, spans = seen.setdefault(int(doc[a]), ([], []))
+                items.append(item[split[b] : split[b + 1]])
+                spans.append((int(a - at[doc[a]]), int(a - at[doc[a]]) + length))
         for d, (items, spans) in seen.items():
             out[d] = sorted({self.names[i] for i in np.unique(np.concatenate(items))}), merged(spans)
         return np.diff(at), out
 
-    def _word(self, i: int) -> bytes:
-        return tx.LOWER[self.raw[self.start[i] : self.end[i]]].tobytes()
+    def _same(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, p: np.ndarray, length: int) -> np.ndarray:
+        """Whether the bytes of the words from a on are those of the benchmark's words from p on, for each pair."""
+        i, j = ((x[:, None] + np.arange(length)).ravel() for x in (a, p))
+        n = end[i] - start[i]
+        ok = n == self.end[j] - self.start[j]
+        x, y, n = start[i[ok]], self.start[j[ok]], n[ok]
+        if len(n):
+            ok[ok] = np.logical_and.reduceat(low[tx.spread(x, n)] == self.low[tx.spread(y, n)], np.cumsum(n) - n)
+        return ok.reshape(-1, length).all(1)
 
 
 def _in(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

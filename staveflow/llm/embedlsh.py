@@ -3,22 +3,27 @@
 A normalised vector's key in a table is its K random Gaussian projections,
 each shifted and cut into cells of width WIDTH. Cosine 0.9 is a distance of
 0.447, at which one projection agrees with probability 0.82 (0.49 for
-unrelated vectors). K grows with the logarithm of the rows, so that few
-unrelated vectors meet, and the number of tables follows from K and the recall
-wanted for pairs at the very threshold; nearer pairs, as near copies are, meet
-far more often.
-
-Equal vectors are one class. Classes go to the hash ranges of their keys, with
-their vectors; each bucket's pairs are compared in double precision there. Buckets
-of more than SPLIT classes are counted first and split into parts, whose pairs
-are dealt to different ranges, so a bucket is never one task's alone. A pair
-that meets in several tables counts in the first of them. Pairs are not
-sent on: what leaves a range is, for each class, its number of linked vectors
-there, and a spanning forest of the links.
+unrelated vectors). K grows with the logarithm of the rows, so that about
+BUCKET unrelated vectors meet, and the number of tables follows from K and the
+recall wanted for pairs at the very threshold; nearer pairs, as near copies
+are, meet far more often. Vectors travel once for each table at most, so
+buckets are as large as products of matrices take in their stride.
+
+Equal vectors are one class. A census of the keys (block exchange) tells each
+row group which of its buckets hold more than SPLIT classes. Classes then go to
+the hash ranges of their keys, with their vectors; those of a larger bucket to
+all pairs of parts that theirs is in, so a bucket is never one task's alone.
+Each bucket's pairs are compared there: candidates in single precision, with a
+margin over its rounding, then in double precision. A pair that meets in
+several tables counts in the first of them. Pairs are not sent on: what leaves
+a range is, for each class, its number of linked vectors there, and a spanning
+forest of the links.
 
 Vectors that are null, zero, or hold null or non-finite components link with
-nothing; vectors of different lengths don't link. A null vec_id is counted, and
-named by null where no other id is in reach.
+nothing; vectors of different lengths don't link. Rows that repeat a vec_id are
+vectors of their own, each with its own row, and link with each other like any
+two. A null vec_id is counted, and named by null where no other id is in reach.
+An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,14 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .frames import checkpoint, components, ranges_for, read, split_by_range
+from .frames import by_group, checkpoint, components, lookup, packed, partitions, read, split_by_range, unpacked
 
 THRESHOLD, WIDTH, RECALL, SEED = 0.9, 2.0, 0.97, 6
-#: Buckets up to this size are compared pair by pair in one go, larger ones as blocks of a matrix.
-SMALL, BLOCK_CELLS = 48, 1 << 20
-#: A bucket of more classes is split into parts of about so many, and pairs of parts go to different ranges. It is raised
-#: where over MOST_SPLIT buckets could be as large, so that the list of them, which all tasks get, has a bound.
-SPLIT, MOST_SPLIT = 4096, 100_000
+#: About so many unrelated vectors share a bucket.
+BUCKET = 768
+#: Buckets up to this size are compared many at a time, larger ones as blocks of a matrix.
+SMALL, BLOCK_CELLS = 32, 1 << 20
+#: A bucket of more classes is split into parts of about so many, and pairs of parts go to different ranges.
+SPLIT = 4096
+#: About so many bytes of vectors in a range, and sent by a row group.
+RANGE_BYTES = 32 << 20
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -51,7 +59,7 @@ def agreement(distance: float, width: float = WIDTH) -> float:
 
 def shape(rows: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
     """(projections a table, tables) for so many rows."""
-    k = max(10, round(math.log(max(2, rows))) + 1)
+    k = max(4, math.ceil(math.log(max(1, rows / BUCKET)) / -math.log(agreement(math.sqrt(2)))))
     p = agreement(math.sqrt(2 - 2 * threshold)) ** k
     return k, math.ceil(math.log(1 - recall) / math.log(1 - p))
 
@@ -116,74 +124,73 @@ def _doubles(raw: bytes, dim: int) -> np.ndarray:
     return np.frombuffer(raw, "<f4" if len(raw) == 4 * dim else "<f8").astype(np.float64)
 
 
-def _keyed(batch: pa.RecordBatch, tables: Tables) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(length, rows, vectors, keys) of a batch's classes by length; vec and dim are the third and fourth column."""
-    vecs = [_doubles(x, d) for x, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-    dims = np.array([len(v) for v in vecs])
+def _keyed(classes: pa.Table, tables: Tables) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors, keys) of classes by length."""
+    vecs, dims = classes.column("vec").to_pylist(), classes.column("dim").to_numpy()
     for dim in np.unique(dims):
         rows = np.flatnonzero(dims == dim)
-        x = np.stack([vecs[i] for i in rows])
+        x = np.stack([_doubles(vecs[i], int(dim)) for i in rows])
         yield int(dim), rows, x, tables.keys(x / np.linalg.norm(x, axis=1, keepdims=True))
 
 
-def _large(classes: DataFrame, tables: Tables, ranges: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of buckets with more than limit classes (there are at most rows * tables / limit), sorted, and their sizes."""
+def _census(classes: DataFrame, tables: Tables, group_bytes: int, ranges: int) -> DataFrame:
+    """(g, b, parts): for the keys of row group g in range b, in order, into how many parts their buckets are split."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, _, keys in _keyed(batch, tables):
-                flat = np.sort(keys.ravel())
-                b, cut = split_by_range(flat, ranges)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([flat[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["b", "keys"])
+    def keys_of(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate([k.ravel() for *_, k in _keyed(table, tables)]), return_counts=True)
+        b, cut = split_by_range(keys, ranges)
+        cols = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (keys.astype("<u8"), n.astype("<u4"))]
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.full(len(b), g), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["b", "g", "keys", "n"])
 
     def count(table: pa.Table) -> pa.Table:
-        keys, n = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u8"), return_counts=True)
-        return pa.table({"key": pa.array(keys[n > limit].view(np.int64)), "n": pa.array(n[n > limit], pa.int64())})
-
-    got = classes.select("cls", "n", "vec", "dim").mapInArrow(deal, "b int, keys binary").groupBy("b").applyInArrow(count, "key long, n long").collect()
-    keys, n = np.array([r[0] for r in got], np.int64).view(np.uint64), np.array([r[1] for r in got], np.int64)
-    return keys[np.argsort(keys)], n[np.argsort(keys)]
-
-
-def _salted(flat: np.ndarray, cls: np.ndarray, large: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(entry, key, side): entries of large buckets once for each pair of parts that theirs is in; side tells the parts of a pair apart, 2 for a part with itself."""
-    at = np.minimum(np.searchsorted(large, flat), max(0, len(large) - 1))
-    hot = large[at] == flat if len(large) else np.zeros(len(flat), bool)
-    cold = np.flatnonzero(~hot)
-    entry, key, side = [cold], [flat[cold]], [np.full(len(cold), 2, np.uint8)]
-    for i in np.flatnonzero(hot):
-        n = int(parts[at[i]])
-        own, other = int(tx.mix(np.array([cls[i]], np.int64).view(np.uint64))[0] % np.uint64(n)), np.arange(n)
-        low, high = np.minimum(own, other), np.maximum(own, other)
-        entry.append(np.full(n, i))
-        key.append(tx.mix(flat[i] + tx.mix(((low << 32) + high + 1).astype(np.uint64))))
-        side.append(np.where(low == high, 2, np.where(low == own, 0, 1)).astype(np.uint8))
-    return np.concatenate(entry), np.concatenate(key), np.concatenate(side)
-
-
-def _blocks(classes: DataFrame, tables: Tables, ranges: int, large: np.ndarray, parts: np.ndarray) -> DataFrame:
-    """(b, dim, cls, n, vecs, keys, tabs, own, sides): by range the classes that have keys there, and the keys."""
-    sent = classes.sparkSession.sparkContext.broadcast((large, parts))
+        blocks = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+        _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
+        size = np.bincount(inverse, np.frombuffer(b"".join(table.column("n").to_pylist()), "<u4"))
+        parts, cut = (-(-size // SPLIT)).astype("<u4")[inverse], np.append(0, np.cumsum([len(x) for x in blocks]))
+        return pa.table({"g": table.column("g"), "b": table.column("b"), "parts": pa.array([parts[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cls, n = batch.column(0).to_numpy().astype("<i8"), batch.column(1).to_numpy().astype("<i8")
-            for dim, rows, x, keys in _keyed(batch, tables):
-                tab, own = np.tile(np.arange(tables.tables), len(rows)), np.repeat(np.arange(len(rows)), tables.tables)
-                entry, flat, side = _salted(keys.ravel(), cls[rows[own]], *sent.value)
-                order = np.argsort(flat, kind="stable")
-                b, cut = split_by_range(flat[order], ranges)
-                out: list[list] = [[] for _ in range(7)]
-                for s, e in zip(cut[:-1], cut[1:], strict=True):
-                    part = order[s:e]
-                    here, index = np.unique(own[entry[part]], return_inverse=True)
-                    single = x[here].astype("<f4")
-                    exact = np.array_equal(single.astype(np.float64), x[here])
-                    for o, v in zip(out, (cls[rows[here]], n[rows[here]], single if exact else x[here].astype("<f8"), flat[part].astype("<u8"), tab[entry[part]].astype("<u2"), index.astype("<u4"), side[part]), strict=True):
-                        o.append(v.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.full(len(b), dim), pa.int32()), *(pa.array(o, pa.binary()) for o in out)], ["b", "dim", "cls", "n", "vecs", "keys", "tabs", "own", "sides"])
-
-    return classes.select("cls", "n", "vec", "dim").mapInArrow(deal, "b int, dim int, cls binary, n binary, vecs binary, keys binary, tabs binary, own binary, sides binary")
+    blocks = by_group(classes.select("vec", "dim"), group_bytes, keys_of, "b int, g long, keys binary, n binary", "vec")
+    return blocks.groupBy("b").applyInArrow(count, "g long, b int, parts binary")
+
+
+def _salted(flat: np.ndarray, cls: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, key, side): entries of split buckets once for each pair of parts that theirs is in; side tells the parts of a pair apart, 2 for a part with itself."""
+    entry = np.repeat(np.arange(len(flat)), parts)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = (tx.mix(cls.astype(np.int64).view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)[entry]
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    key = np.where(parts[entry] > 1, tx.mix(flat[entry] + tx.mix(((low << 32) + high + 1).astype(np.uint64))), flat[entry])
+    return entry, key, np.where(low == high, 2, np.where(low == own, 0, 1)).astype(np.uint8)
+
+
+def _blocks(classes: DataFrame, tables: Tables, group_bytes: int, ranges: int) -> DataFrame:
+    """(b, dim, cls, n, vecs, keys, tabs, own, sides): by range the classes that have keys there, and the keys."""
+    names = ["b", "dim", "cls", "n", "vecs", "keys", "tabs", "own", "sides"]
+
+    def deal(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = unpacked(table)
+        cls, n = table.column("cls").to_numpy().astype("<i8"), table.column("n").to_numpy().astype("<i8")
+        found = list(_keyed(table, tables))
+        parts = np.frombuffer(b"".join(answers.sort_by("b").column("parts").to_pylist()), "<u4").astype(np.int64)
+        known, cols = np.unique(np.concatenate([k.ravel() for *_, k in found])), [[] for _ in names]
+        for dim, rows, x, keys in found:
+            flat, tab, own = keys.ravel(), np.tile(np.arange(tables.tables), len(rows)), np.repeat(np.arange(len(rows)), tables.tables)
+            entry, flat, side = _salted(flat, cls[rows[own]], parts[np.searchsorted(known, flat)])
+            order = np.argsort(flat, kind="stable")
+            b, cut = split_by_range(flat[order], ranges)
+            single = x.astype("<f4")
+            sent = single if np.array_equal(single, x) else x.astype("<f8")
+            for r, s, e in zip(b, cut[:-1], cut[1:], strict=True):
+                part = order[s:e]
+                here, index = np.unique(own[entry[part]], return_inverse=True)
+                values = cls[rows[here]], n[rows[here]], sent[here], flat[part].astype("<u8"), tab[entry[part]].astype("<u2"), index.astype("<u4"), side[part]
+                for o, v in zip(cols, (int(r), dim, *(v.tobytes() for v in values)), strict=True):
+                    o.append(v)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.int32()] + [pa.binary()] * 7, strict=True)], names)
+
+    dealt = packed(classes.select("cls", "n", "vec", "dim"), group_bytes, "vec")
+    answers = _census(classes, tables, group_bytes, ranges)
+    return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(deal, "b int, dim int, cls binary, n binary, vecs binary, keys binary, tabs binary, own binary, sides binary")
 
 
 def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -244,23 +251,32 @@ def _linked(tables: Tables, threshold: float):
                     first = ((all_keys[p] == all_keys[q]) & (np.arange(tables.tables) < t[:, None])).any(1)
                     np.add.at(links, p[~first], n[q[~first]])
                     np.add.at(links, q[~first], n[p[~first]])
+            single, margin = x.astype(np.float32), max(1e-5, dim * 2.4e-7)
             for a, m in zip(head[size > SMALL], size[size > SMALL], strict=True):
                 who, t, part = own[a : a + m], int(tab[a]), side[a : a + m]
-                y, k = x[who], all_keys[who, :t]
+                y, k = single[who], all_keys[who, :t]
                 step = max(1, BLOCK_CELLS // int(m))
                 for s in range(0, m, step):
-                    hit = y[s : s + step] @ y.T >= threshold
-                    hit[np.arange(len(hit)), s + np.arange(len(hit))] = False
+                    # each pair of a part with itself once, above the diagonal; both orders else
+                    first = s if part[0] == 2 else 0
+                    near = y[s : s + step] @ y[first:].T >= threshold - margin
                     if part[0] != 2:
-                        hit &= part[s : s + step, None] != part[None, :]
-                    r, c = np.nonzero(hit)
-                    met[who[s + r]] = True
-                    _merge(root, who[s + r], who[c])
-                    for u in range(t):
-                        if not hit.any():
-                            break
-                        hit &= k[s : s + step, u][:, None] != k[:, u][None, :]
-                    links[who[s : s + step]] += hit @ n[who]
+                        near &= part[s : s + step, None] < part[None, :]
+                    r, c = np.nonzero(near)
+                    r, c = r + s, c + first
+                    if part[0] == 2:
+                        r, c = r[r < c], c[r < c]
+                    for i in range(0, len(r), 1 << 16):
+                        p, q = r[i : i + (1 << 16)], c[i : i + (1 << 16)]
+                        ok = np.einsum("ij,ij->i", x[who[p]], x[who[q]]) >= threshold
+                        p, q = p[ok], q[ok]
+                        met[who[p]] = met[who[q]] = True
+                        _merge(root, who[p], who[q])
+                        if t:
+                            new = ~(k[p] == k[q]).any(1)
+                            p, q = p[new], q[new]
+                        np.add.at(links, who[p], n[who[q]])
+                        np.add.at(links, who[q], n[who[p]])
             outs.append((cls[met], links[met], cls[root[met]]))
         cols = [np.concatenate(c) for c in zip(*outs, strict=True)]
         return pa.table({"cls": pa.array(cols[0], pa.int64()), "links": pa.array(cols[1], pa.int64()), "root": pa.array(cols[2], pa.int64())})
@@ -272,20 +288,20 @@ def near_copies(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding)."""
     rows = checkpoint(_identified(vectors, vec_id))
     classes = checkpoint(rows.where("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("vec").alias("vec"), F.first("dim").alias("dim")))
-    tables = Tables(*shape(classes.count(), threshold, recall))
-    ranges = 4 * ranges_for(classes, 1)
-    rows_n = classes.count()
-    limit = max(SPLIT, rows_n * tables.tables // MOST_SPLIT)
-    large, sizes = _large(classes, tables, ranges, limit) if rows_n > limit else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    found = checkpoint(_blocks(classes, tables, ranges, large, -(-sizes // limit)).groupBy("b").applyInArrow(_linked(tables, threshold), "cls long, links long, root long"))
+    n_classes, total = classes.agg(F.count(F.lit(1)), F.sum(F.octet_length("vec") + 40)).first()
+    tables = Tables(*shape(n_classes, threshold, recall))
+    ranges = max(2 * partitions(classes), -(-(total or 0) * tables.tables // RANGE_BYTES))
+    found = checkpoint(_blocks(classes, tables, RANGE_BYTES // tables.tables, ranges).groupBy("b").applyInArrow(_linked(tables, threshold), "cls long, links long, root long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     label = components(found.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     known = classes.join(links, "cls", "left").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
     known = checkpoint(known)
     names = checkpoint(known.groupBy("root").agg(F.min("least").alias("component_id")))
-    info = known.join(names, "root").select("cls", "component_id", (F.col("n") - 1 + F.col("links")).alias("n_links"))
-    out = rows.select("id", "cls").join(info, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    info = checkpoint(lookup(known, names, "root").select("cls", "component_id", (F.col("n") - 1 + F.col("links")).alias("n_links")))
+    rows = rows.select("id", "cls")
+    out = lookup(rows.where("cls is not null"), info, "cls").select("id", "component_id", "n_links")
+    out = out.union(rows.where("cls is null").select("id", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    component = F.col("component_id")
     return out.select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 

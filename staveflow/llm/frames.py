@@ -1,10 +1,17 @@
-"""What the operators share on Spark's side: row ids, checkpoints, row groups and block exchange.
+"""What the operators share on Spark's side: checkpoints, row groups, block exchange, joins by skewed keys, connected groups.
 
 Block exchange: a task turns a row group into sorted arrays of 64-bit keys and
 sends one block of bytes to each key range, instead of one row per key. It is
 an ordinary shuffle of rows (range, group, block); a block never holds more
-than one group's keys, and the number of ranges grows with the input, so
-neither side has more in memory than one group or one range.
+than one group's keys, and neither side has more in memory than one group or
+one range.
+
+Groups are cut by bytes of text where the rows lie. There are as many groups as
+ranges, so blocks are groups times ranges; groups have GROUP_BYTES, but so many
+more that a block keeps BLOCK_BYTES of text on average. Blocks thus number at
+most the input's bytes over BLOCK_BYTES, in proportion to the input, while a
+group grows with the square root of the input (from 36 GB of text on: 32 MB at
+1 TB, 320 MB at 100 TB).
 """
 
 from __future__ import annotations
@@ -15,13 +22,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
 
-#: About so many bytes of text in a row group, and of keys in a range.
-GROUP_BYTES = 6 << 20
+#: Least bytes of text in a row group, mean bytes of text behind a block, bytes that a row counts besides its text.
+GROUP_BYTES, BLOCK_BYTES, ROW_BYTES = 6 << 20, 1 << 10, 16
+#: A side of a join by key goes to all tasks up to so many rows (of a few numbers each).
+FEW_ROWS = 200_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,41 +49,60 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that spark.checkpoint.dir names; a folder of our own only where none is set."""
+    """df.checkpoint() in the folder that spark.checkpoint.dir names. Where none is set, a folder of our own is made on a local master only."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="staveflow-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="staveflow-"))
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint that nothing reads any more."""
+    plan, sc = df._jdf.queryExecution().optimizedPlan(), df.sparkSession.sparkContext
+    while plan.getClass().getSimpleName() != "LogicalRDD":
+        plan = plan.children().apply(0)
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """df if it is a plain scan, whose rows come in the same partitions and order each time; else a checkpoint of it.
+    """df if it is a plain scan of files or of a checkpoint, whose rows come in the same partitions and order each time; else a checkpoint of it.
 
-    Row ids of two reads of the result agree, also after an executor is lost.
+    Plain: nothing above the relation but projections and filters that are
+    functions of their row. Row groups and row ids of two reads of the result
+    agree, also after an executor is lost.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    moves = ("Join", "Aggregate", "Repartition", "Sort", "Window", "Limit", "MapIn", "FlatMap", "Sample", "Union", "Generate", "rand")
-    return checkpoint(df) if any(x in plan for x in moves) else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.deterministic():
+        while (name := plan.getClass().getSimpleName()) in ("Project", "Filter"):
+            plan = plan.children().apply(0)
+        if name == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            return df
+        if name in ("LocalRelation", "Range") or (name == "LogicalRDD" and plan.rdd().isCheckpointed()):
+            return df
+    return checkpoint(df)
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes by the planner's statistics, which for files cost no scan."""
-    n = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return n if n < 1 << 55 else 1000 * df.count()
+def layout(total: int, least_ranges: int) -> tuple[int, int]:
+    """(bytes in a row group, key ranges) for so many bytes of text."""
+    group = max(GROUP_BYTES, math.isqrt(total * BLOCK_BYTES))
+    return group, max(-(-total // group), least_ranges)
 
 
-def group_shift(df: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[int, int]:
-    """(k, groups): row ids shifted right by k number the row groups, of about group_bytes each; about so many groups there are."""
-    rows, total = max(1, df.count()), 2 * size_of(df)
-    per = max(1, int(rows * group_bytes / max(1, total)))
-    k = min(20, max(4, per.bit_length() - 1))
-    return k, max(1, rows >> k)
+def laid_out(docs: DataFrame) -> tuple[int, int, int]:
+    """(bytes in a row group, key ranges, bytes of text): layout() of docs; at least as many ranges as the session has shuffle partitions, so that all cores have work."""
+    total = int(docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES)).first()[0] or 0)
+    return *layout(total, partitions(docs)), total
 
 
-def ranges_for(df: DataFrame, groups: int) -> int:
-    """How many key ranges; at least the session's shuffle partitions, so that all cores have work."""
-    return max(groups, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def range_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -106,42 +136,38 @@ def key_width(keys: float) -> int:
     return min(8, max(5, math.ceil((math.log2(max(2.0, keys)) + 10) / 8)))
 
 
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
-    """Runs of rows with the same key in a stream of batches, one table for each."""
-    held: list[pa.RecordBatch] = []
-    now = None
+def grouped(batches: Iterator[pa.RecordBatch], group_bytes: int, column: str = "text") -> Iterator[tuple[int, pa.Table]]:
+    """A partition's rows cut into row groups: each ends with the row whose value in column fills group_bytes. The number is the group's own among all partitions."""
+    task = TaskContext.get()
+    number, held, have = (task.partitionId() if task else 0) << 33, [], 0
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        if not len(ids):
-            continue
-        cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        for a, b in zip(np.append(0, cut), np.append(cut, len(ids)), strict=True):
-            if now is not None and ids[a] != now:
-                yield int(now), pa.Table.from_batches(held)
-                held = []
-            now = ids[a]
-            held.append(batch.slice(a, b - a))
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES
+        filled, start = have + np.cumsum(size), 0
+        while start < len(filled):
+            end = int(np.searchsorted(filled, group_bytes)) + 1
+            if end > len(filled):
+                break
+            yield number, pa.Table.from_batches([*held, batch.slice(start, end - start)])
+            number, held, filled, start = number + 1, [], filled - filled[end - 1], end
+        if start < len(filled):
+            held.append(batch.slice(start))
+        have = int(filled[-1]) if len(filled) else have
     if held:
-        yield int(now), pa.Table.from_batches(held)
+        yield number, pa.Table.from_batches(held)
 
 
-def by_group(df: DataFrame, key: str, f: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """f over each row group of a scan, where it lies; no shuffle."""
+def by_group(rows: DataFrame, group_bytes: int, f: Callable[[int, pa.Table], Iterator[pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
+    """f over each row group of a scan (stable()), by the bytes of column, where it lies; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, table in grouped(batches, key):
+        for g, table in grouped(batches, group_bytes, column):
             yield from f(g, table)
 
-    return df.mapInArrow(run, schema)
-
+    return rows.mapInArrow(run, schema)
 
-def with_groups(docs: DataFrame, columns: list, shift: int) -> DataFrame:
-    """The given columns with the row id `rid` and the row group `g`."""
-    return docs.select(*columns, F.monotonically_increasing_id().alias("rid")).withColumn("g", F.shiftright("rid", shift))
 
-
-def packed(rows: DataFrame) -> DataFrame:
-    """(g, block): each row group of a scan (with its number in g) as one compressed block, which shuffles in half the bytes of its rows."""
+def packed(rows: DataFrame, group_bytes: int, column: str = "text") -> DataFrame:
+    """(g, block): each row group of a scan as one compressed block, which shuffles in half the bytes of its rows."""
 
     def pack(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
@@ -149,7 +175,7 @@ def packed(rows: DataFrame) -> DataFrame:
             out.write_table(table)
         yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "block"])
 
-    return by_group(rows, "g", pack, "g long, block binary")
+    return by_group(rows, group_bytes, pack, "g long, block binary", column)
 
 
 def unpacked(table: pa.Table) -> pa.Table:
@@ -157,21 +183,50 @@ def unpacked(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("block").combine_chunks()]).combine_chunks()
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that over 1 / (4 * partitions) of the rows have: at most 4 * partitions of them."""
+    many = 4 * partitions(rows)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") > max(1, rows.count() // many)).select(key).collect()
+    return rows.sparkSession.createDataFrame(found, rows.select(key).schema)
+
+
+def lookup(rows: DataFrame, side: DataFrame, key: str, side_rows: int | None = None) -> DataFrame:
+    """rows joined with side, which has one row for each key; both checkpointed or cheap, side narrow.
+
+    A side of at most FEW_ROWS rows goes to all tasks. Of a larger one only the
+    rows of the hot keys do, so that no key's rows are one task's alone.
+    """
+    if (side.count() if side_rows is None else side_rows) <= FEW_ROWS:
+        return rows.join(F.broadcast(side), key)
+    hot = hot_keys(rows, key)
+    few = F.broadcast(side.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(side, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the undirected edges (a, b) reaches.
 
     Rounds of: every node takes the smallest label of its neighbours, then the
-    label of its label. Each round is a join and a partial aggregate, so a node
-    of very many edges is split as any skewed join is; labels are checkpointed
-    each round. Stops when no label changes.
+    label of its label. Labels are one row for each node and are looked up by
+    neighbour and by label, where a hot node or label is no task's alone;
+    minima are partial aggregates. Stops when no label changes.
     """
     both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+    n = labels.count()
+    while n:
+        near = lookup(both, labels.select(F.col("node").alias("b"), "root"), "b", n).groupBy("a").agg(F.min("root").alias("m"))
         took = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        jump = took.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = checkpoint(took.join(jump, "root", "left").select("node", "was", F.coalesce("next", "root").alias("root")))
+        if n > FEW_ROWS:
+            took = checkpoint(took)
+        new = lookup(took, took.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", n)
+        new = checkpoint(new.select("node", "was", F.col("next").alias("root")))
+        forget(labels)
+        if n > FEW_ROWS:
+            forget(took)
         labels = new.select("node", "root")
-        if new.filter("root != was").isEmpty():
-            return labels
+        if new.where("root != was").isEmpty():
+            break
+    forget(both)
+    return labels

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .frames import by_group, checkpoint, group_shift, pack48, packed, range_of, ranges_for, read, split_by_range, unpack48, unpacked, with_groups
+from .frames import by_group, checkpoint, laid_out, pack48, packed, range_of, read, split_by_range, stable, unpack48, unpacked
 
 MIN_COUNT, BITS, PROBES = 1, 12, 3
 MIX, HALF = 0.25, 8.0
@@ -102,7 +102,7 @@ def levels_of(seen: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log2(seen)).astype(np.int64)
 
 
-def _gathered(rows: DataFrame, ranges: int) -> DataFrame:
+def _gathered(rows: DataFrame, group_bytes: int, ranges: int) -> DataFrame:
     """(g, b, counts, levels): word counts and levels of pairs for group g in range b; and with g = -1 one row a range with its V and N."""
 
     def keys_of(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -149,16 +149,15 @@ def _gathered(rows: DataFrame, ranges: int) -> DataFrame:
         columns = [pa.array([*to, -1], pa.int64()), pa.array([table.column("b")[0].as_py()] * (len(to) + 1), pa.int32()), *(pa.array([*map(x.get, to), None], pa.binary()) for x in (counts, levels)), pa.array([*none, int((total > 0).sum())], pa.int64()), pa.array([*none, int(total.sum())], pa.int64())]
         return pa.table(columns, ["g", "b", "counts", "levels", "v", "n"])
 
-    blocks = by_group(rows.select("text", "train", "g"), "g", keys_of, "b int, g long, words binary, times binary, pairs binary, few binary, at binary, n binary")
+    blocks = by_group(rows.select("text", "train"), group_bytes, keys_of, "b int, g long, words binary, times binary, pairs binary, few binary, at binary, n binary")
     return blocks.groupBy("b").applyInArrow(count, "g long, b int, counts binary, levels binary, v long, n long")
 
 
 def scored(docs: DataFrame, train: str = "train") -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text and the boolean column `train`)."""
-    shift, groups = group_shift(docs)
-    ranges = ranges_for(docs, groups)
-    rows = with_groups(docs, ["doc_id", "text", F.col(train).alias("train")], shift)
-    got = checkpoint(_gathered(rows, ranges))
+    rows = stable(docs).select("doc_id", "text", F.coalesce(F.col(train), F.lit(False)).alias("train"))
+    group_bytes, ranges, _ = laid_out(rows)
+    got = checkpoint(_gathered(rows, group_bytes, ranges))
     v, n = (x or 0 for x in got.where("g = -1").agg(F.sum("v"), F.sum("n")).first())
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -181,7 +180,7 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
         sums = {"n_tokens": np.bincount(doc, minlength=m), "n_known": np.bincount(doc, c > 0, minlength=m).astype(np.int64), "base_score": np.bincount(doc, np.log10(uni), minlength=m), "score": np.bincount(doc, np.log10(p), minlength=m)}
         return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "train": docs.column("train"), "n_tokens": pa.array(sums["n_tokens"], pa.int64()), "n_known": pa.array(sums["n_known"], pa.int64()), "train_tokens": pa.array(np.full(m, n), pa.int64()), "base_score": pa.array(sums["base_score"]), "score": pa.array(sums["score"])})
 
-    dealt = packed(rows.select("doc_id", "text", "train", "g")).repartition(ranges, "g")
+    dealt = packed(rows, group_bytes).repartition(ranges, "g")
     answers = got.where("g >= 0").select("g", "b", "counts", "levels")
     return dealt.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(score, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

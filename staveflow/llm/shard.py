@@ -10,14 +10,16 @@ its rows to bins by a random permutation of the bin numbers with those counts
 random key (permute again). A shard is a run of bins, so one shard isn't one
 task, and slots count through its bins.
 
-Sizes are exact: shards differ by at most one row, bins of a shard too. For
-1e9 rows and more at a tree node, numpy's exact sampler ends and a rounded
-normal draw takes its place; sizes stay exact. Nulls, empty texts and repeated
-rows are rows like any other; an empty table gives no rows.
+Sizes are exact: shards differ by at most one row, bins of a shard too. Draws
+are exact at every size: where numpy's sampler ends (1e9 rows at a tree node),
+bins are halved until their sums fit it, each half's share by rejection with
+ratios of uniforms. Nulls, empty and very long texts and repeated rows are rows
+like any other (a bin's sort spills); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import fresh, read, size_of, stable
+from .frames import ROW_BYTES, fresh, read, stable
 
-BIN_BYTES = 32 << 20
+#: About so many bytes of text in a bin, which one task sorts.
+BIN_BYTES = 128 << 20
+#: Numpy draws from fewer rows than this.
+NUMPY_ROWS = 1_000_000_000
 _ROW_BITS = 33
 
 
@@ -37,22 +42,53 @@ def even(total: int, parts: int) -> np.ndarray:
     return out
 
 
+def _steps(a: int, d: int) -> float:
+    """log((a + d)! / a!)."""
+    if min(a, a + d) < 1000:
+        return math.lgamma(a + d + 1) - math.lgamma(a + 1)
+    x, y = float(a), float(a + d)
+    return (y + 0.5) * math.log1p(d / x) + d * math.log(x) - d + 1 / (12 * y) - 1 / (12 * x) - 1 / (360 * y**3) + 1 / (360 * x**3)
+
+
+def _log_odds(good: int, bad: int, n: int, mode: int, d: int) -> float:
+    """log of the probability of mode + d over that of mode. Where all counts are large, the leading terms are taken from whole numbers, so that they don't cancel in rounding."""
+    a, b, c, e = mode, good - mode, n - mode, bad - n + mode
+    if min(a, b, c, e, a + d, b - d, c - d, e + d) < 1000:
+        return -(_steps(a, d) + _steps(b, -d) + _steps(c, -d) + _steps(e, d))
+    out = d * math.log1p((a * e - b * c) / (b * c))
+    for x, s in ((a, d), (b, -d), (c, -d), (e, d)):
+        y = x + s
+        out += (y + 0.5) * math.log1p(s / x) + 1 / (12 * y) - 1 / (12 * x)
+    return -out
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n rows drawn without replacement are good; rejection by ratios of uniforms, which has no limit of size."""
+    least, most = max(0, n - bad), min(good, n)
+    if least == most:
+        return least
+    total = good + bad
+    mode = min(max((good + 1) * (n + 1) // (total + 2), least), most)
+    mean, spread = n * good / total, n * (good / total) * (bad / total) * ((total - n) / (total - 1))
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(spread + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if least <= k <= most and 2 * math.log(u) <= _log_odds(good, bad, n, mode, k - mode):
+            return k
+
+
 def draw(colors: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """How many of n rows, drawn without replacement, have each colour."""
-    left = int(colors.sum())
-    if left < 1_000_000_000:
+    total = int(colors.sum())
+    if total < NUMPY_ROWS:
         return rng.multivariate_hypergeometric(colors, n, method="marginals")
-    out = np.zeros_like(colors)
-    for i, c in enumerate(map(int, colors)):
-        rest = left - c
-        if left < 1_000_000_000:
-            k = int(rng.hypergeometric(c, rest, n)) if n and c else 0
-        else:
-            share = c / left
-            k = round(rng.normal(n * share, (n * share * (1 - share) * (left - n) / (left - 1)) ** 0.5))
-        out[i] = k = min(max(k, n - rest, 0), c, n)
-        left, n = rest, n - k
-    return out
+    if len(colors) == 1:
+        return np.array([n], np.int64)
+    mid = len(colors) // 2
+    first = int(colors[:mid].sum())
+    k = hypergeometric(first, total - first, n, rng)
+    return np.concatenate([draw(colors[:mid], k, rng), draw(colors[mid:], n - k, rng)])
 
 
 def matrix_row(p: int, before: np.ndarray, bins: np.ndarray, seed: int) -> np.ndarray:
@@ -74,10 +110,12 @@ def shuffled(docs: DataFrame, shards: int = 8, seed: int = 7, bins_per_shard: in
     own = docs.columns
     rid, to, key = fresh(docs, "rid"), fresh(docs, "to"), fresh(docs, "key")
     rows = docs.withColumn(rid, F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.shiftright(rid, _ROW_BITS)).count().collect()}
+    size = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)).cast("long") for c, t in docs.dtypes if t in ("string", "binary")), F.lit(ROW_BYTES).cast("long"))
+    found = rows.groupBy(F.shiftright(rid, _ROW_BITS)).agg(F.count(F.lit(1)), F.sum(size)).collect()
+    counts = {r[0]: r[1] for r in found}
     before = np.append(0, np.cumsum([counts.get(i, 0) for i in range(max(counts, default=0) + 1)]))
     total = int(before[-1])
-    per = bins_per_shard or max(8, -(-2 * size_of(docs) // (shards * BIN_BYTES)))
+    per = bins_per_shard or max(8, -(-sum(r[2] for r in found) // (shards * BIN_BYTES)))
     sizes = np.concatenate([even(int(n), per) for n in even(total, shards)])
     sent = docs.sparkSession.sparkContext.broadcast(before)
 

@@ -2,8 +2,11 @@
 
 Every byte that lies in a LENGTH-byte string which also starts in a document of
 smaller doc_id is removed. Which strings repeat is decided by refinement:
-q-gram buckets of suffixes are refined by sorting on the buckets of the same
-suffixes at a later offset, until they agree on LENGTH bytes.
+suffixes start in buckets of their first SEED bytes, and a bucket is refined by
+sorting on the bucket numbers (pointers) of the same suffixes at a later offset.
+Pointers that a round has refined are what the next one sorts on, so the depth
+doubles, and suffixes alone in their bucket leave. Rounds end at LENGTH bytes:
+the question is which LENGTH-byte strings are equal, not their order.
 
 All suffixes of a corpus need not move for that. Of the GRAM-byte grams in a
 window of LENGTH bytes the one with the smallest hash is the window's anchor;
@@ -15,13 +18,16 @@ equal windows have equal anchors, so
    range of the anchor, where their suffixes are refined, and
 3. each context gets back one bit for each of its windows.
 
-Contexts that agree in a row group travel once, with the smallest doc_id, so a
-large group of copies costs each row group once. Blocks grow with row groups
-and hash ranges, never with the size of a group of copies.
+Contexts that agree in a row group travel once, with the smallest doc_id, and
+those that agree in a range are refined once, so a large group of copies costs
+each row group once. Blocks grow with row groups and hash ranges, never with
+the size of a group of copies.
 
 Null texts are empty; a null doc_id counts as larger than all others; documents
 with the same doc_id don't remove from each other. What is kept is bytes, since
-a cut may fall within a character. Classes of strings are by 64-bit hashes.
+a cut may fall within a character. A very long text is read in pieces that
+overlap, and is a row group of its own. An empty table gives no rows, and other
+columns are not read. Equal anchors and equal contexts are told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,9 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import text as tx
-from .frames import by_group, checkpoint, group_shift, pack48, packed, ranges_for, read, split_by_range, unpack48, unpacked, with_groups
+from .frames import by_group, checkpoint, laid_out, pack48, packed, read, split_by_range, stable, unpack48, unpacked
 
 LENGTH, GRAM = 50, 26
+#: Bytes of the first buckets, which are compared as they are, not by a hash.
+SEED = 8
 #: A range is refined in so many parts, and a row group's windows are marked for so many runs at a time.
 PARTS, RUNS = 16, 1 << 15
 _PLACE = np.uint64((1 << 28) - 1)
@@ -80,19 +88,33 @@ def range_hash(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return tx.mix((acc[stop] - acc[start]) * tx._power_table(tx._ROOT_INVERSE, len(raw) + 1)[start])
 
 
-def refined(raw: np.ndarray, start: np.ndarray, depth: int, q: int) -> np.ndarray:
-    """Bucket numbers of the suffixes at start, equal where depth bytes agree: q-gram buckets, refined by the bucket at a later offset."""
-    if depth <= q:
-        return np.unique(tx.byte_grams(raw, depth)[start], return_inverse=True)[1]
-    half = (depth + 1) // 2
-    pointers = refined(raw, np.concatenate([start, start + depth - half]), half, q)
-    here, later = pointers[: len(start)], pointers[len(start) :]
-    return np.unique((here.astype(np.int64) << 32) | later, return_inverse=True)[1]
+def refined(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, depth: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, buckets) of suffixes of the contexts raw[start:stop] that share depth bytes with another one; equal buckets, equal bytes.
 
-
-def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... n[i] times, for each i."""
-    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+    Bucket-pointer refinement: positions of a round carry the bucket of their
+    first `have` bytes, and are sorted by the pair of it and the pointer `step`
+    bytes on. A suffix that is alone leaves, and its pointer, unlike all
+    others, goes on serving suffixes before it. No suffix reads behind its
+    context, and seed is at most 8.
+    """
+    have, used = min(seed, depth), 0
+    n = np.maximum(stop - start - have + 1, 0)
+    at = tx.spread(start, n)
+    left, key, pointer = np.repeat(stop, n) - at, np.zeros(len(at), np.uint64), np.zeros(len(raw), np.uint64)
+    for i in range(have):
+        key = (key << np.uint64(8)) | raw[at + i]
+    while True:
+        _, bucket, count = np.unique(key, return_inverse=True, return_counts=True)
+        pointer[at] = bucket.astype(np.uint64) + np.uint64(used)
+        used += len(count)
+        again = count[bucket] > 1
+        if have == depth:
+            return at[again], bucket[again]
+        step = min(have, depth - have)
+        again &= left >= have + step
+        at, left = at[again], left[again]
+        key = (pointer[at] << np.uint64(32)) | pointer[at + step]
+        have += step
 
 
 class Group:
@@ -134,7 +156,7 @@ def _repeated(group: Group, answers: pa.Table, ranges: int) -> np.ndarray:
     return _bits(answers.sort_by("b").column("bits").to_pylist(), np.diff(cut))
 
 
-def _census(rows: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
+def _census(rows: DataFrame, group_bytes: int, ranges: int, length: int, gram: int) -> DataFrame:
     """(g, b, bits): which anchors of group g in range b are in two documents."""
 
     def keys_of(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -153,16 +175,21 @@ def _census(rows: DataFrame, ranges: int, length: int, gram: int) -> DataFrame:
         cut = np.append(0, np.cumsum(sizes))
         return pa.table({"g": table.column("g"), "b": table.column("b"), "bits": pa.array([np.packbits(twice[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
-    return by_group(rows.select("doc_id", "text", "g"), "g", keys_of, "b int, g long, keys binary, bits binary").groupBy("b").applyInArrow(count, "g long, b int, bits binary")
+    return by_group(rows, group_bytes, keys_of, "b int, g long, keys binary, bits binary").groupBy("b").applyInArrow(count, "g long, b int, bits binary")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_bytes: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with keep_bytes also kept (binary), for each row of docs (doc_id, text)."""
-    shift, groups = group_shift(docs)
-    ranges = ranges_for(docs, groups)
-    rows = with_groups(docs, ["doc_id", "text"], shift)
-    census = checkpoint(_census(rows, ranges, length, gram))
-    dealt = packed(rows.select("doc_id", "text", "g")).repartition(ranges, "g")
+def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, keep_bytes: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), and with keep_bytes also kept (binary), for each row of docs (doc_id, text).
+
+    An anchor is shared by at most length - gram + 1 windows, whose bits travel in one word of 32.
+    """
+    gram = gram or max(1, length - LENGTH + GRAM)
+    if not 0 <= length - gram < 32:
+        raise ValueError("gram is to be from length - 31 to length")
+    rows = stable(docs).select("doc_id", "text")
+    group_bytes, ranges, _ = laid_out(rows)
+    census = checkpoint(_census(rows, group_bytes, ranges, length, gram))
+    dealt = packed(rows, group_bytes).repartition(ranges, "g")
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         g, docs = docs.column("g")[0].as_py(), unpacked(docs)
@@ -190,14 +217,22 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
             pick = np.flatnonzero(part == x)
             if not len(pick):
                 continue
-            k, n = size[pick], size[pick] - length + 1
-            raw = whole[_spread(begin[pick], k)]
-            bucket = refined(raw, _spread(np.cumsum(k) - k, n), length, (length + 1) // 2)
-            owner = np.repeat(ids[pick], n)
-            least = np.full(int(bucket.max()) + 1, _LAST)
-            np.minimum.at(least, bucket, owner)
-            bit = np.left_shift(np.uint32(1), _spread(np.zeros(len(n), np.int64), n).astype(np.uint32))
-            bit[least[bucket] >= owner] = 0
+            k, n, owner = size[pick], size[pick] - length + 1, ids[pick]
+            raw, start = whole[tx.spread(begin[pick], k)], np.cumsum(k) - k
+            # contexts that agree are refined once, with the smallest doc_id of all
+            _, one, of = np.unique(range_hash(raw, start, start + k), return_index=True, return_inverse=True)
+            least = np.full(len(one), _LAST)
+            np.minimum.at(least, of, owner)
+            raw, k, windows = raw[tx.spread(start[one], k[one])], k[one], n[one]
+            start, base = np.cumsum(k) - k, np.cumsum(windows) - windows
+            at, bucket = refined(raw, start, start + k, length)
+            who = np.searchsorted(start, at, side="right") - 1
+            lowest = np.full(int(bucket.max(initial=-1)) + 1, _LAST)
+            np.minimum.at(lowest, bucket, least[who])
+            first = np.repeat(least, windows)
+            first[base[who] + at - start[who]] = lowest[bucket]
+            bit = np.left_shift(np.uint32(1), tx.spread(np.zeros(len(n), np.int64), n).astype(np.uint32))
+            bit[first[tx.spread(base[of], n)] >= np.repeat(owner, n)] = 0
             mask[pick] = np.bitwise_or.reduceat(bit, np.cumsum(n) - n)
         cut = np.append(0, np.cumsum([len(x) for x in sizes]))
         return pa.table({"g": table.column("g"), "b": table.column("b"), "masks": pa.array([mask[x:y].astype("<u4").tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
@@ -212,7 +247,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_by
         edge = np.zeros(len(group.raw) + 1, np.int32)
         for x in range(0, len(runs), RUNS):
             n = group.n[runs[x : x + RUNS]]
-            within = _spread(np.zeros(len(n), np.int64), n)
+            within = tx.spread(np.zeros(len(n), np.int64), n)
             hit = (np.repeat(mask[of[x : x + RUNS]], n) >> within.astype(np.uint32) & 1).astype(bool) | np.repeat(later[x : x + RUNS], n)
             start = (np.repeat(group.first[runs[x : x + RUNS]], n) + within)[hit]
             np.add.at(edge, start, 1)

@@ -164,3 +164,8 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 def bounds(doc: np.ndarray, n: int) -> np.ndarray:
     """Where each of n documents begins in a sorted array of document numbers, and the end."""
     return np.searchsorted(doc, np.arange(n + 1))
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... n[i] times, for each i."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)

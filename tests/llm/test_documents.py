@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from staveflow.llm import decontaminate, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity
+from staveflow.llm import decontaminate, frames, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity
 
 random.seed(4)
 VOCABULARY = ["the", "of", "Ale", "béta", "run", "x1", "sum", "Oak", "von", "zu", "que", "la", "tree", "mill", "row", "day"]
@@ -107,6 +107,14 @@ def test_near_groups_are_joined_beyond_the_broadcast_bound(spark, monkeypatch):
     test_jaccard_groups_of_edited_copies(spark)
 
 
+def test_split_lists_give_the_same_groups(spark, monkeypatch):
+    for name in ("SPLIT", "SMALL", "BLOCK"):
+        monkeypatch.setattr(setjoin, name, 3)
+    test_jaccard_groups_of_edited_copies(spark)
+    monkeypatch.setattr(setjoin, "FEW_PAIRS", 0)
+    test_jaccard_groups_of_edited_copies(spark)
+
+
 def test_jaccard_odd_rows(odd, none):
     kept = setjoin.deduplicated(odd)
     assert kept.columns == odd.columns
@@ -143,15 +151,51 @@ def test_suffix_dedup(docs, rows, odd, none):
     assert suffixdedup.cut_repeats(none.select("doc_id", "text")).collect() == []
 
 
-def test_refined_buckets_are_equal_strings():
+@pytest.mark.parametrize(("depth", "seed"), [(7, 2), (7, 8), (13, 4), (20, 8), (9, 3)])
+def test_refined_buckets_are_equal_strings(depth, seed):
     import numpy as np
 
-    raw = np.frombuffer(b"abcabcabdabcabcab" * 3, np.uint8)
-    start = np.arange(len(raw) - 7)
-    b = suffixdedup.refined(raw, start, 7, 2)
-    for i in start:
-        for j in start:
-            assert (b[i] == b[j]) == (raw[i : i + 7].tobytes() == raw[j : j + 7].tobytes())
+    raw = np.frombuffer(b"abcabcabdabcabcab" * 3 + b"xyabcabcabdabcabcabqq", np.uint8)
+    start, stop = np.array([0, 5, 21, 51]), np.array([5, 21, 51, len(raw)])
+    at, bucket = suffixdedup.refined(raw, start, stop, depth, seed)
+    whole = [p for a, b in zip(start, stop, strict=True) for p in range(a, b - depth + 1)]
+    strings = {p: raw[p : p + depth].tobytes() for p in whole}
+    many = collections.Counter(strings.values())
+    assert sorted(at) == [p for p in whole if many[strings[p]] > 1]
+    found = dict(zip(at.tolist(), bucket.tolist(), strict=True))
+    assert all((found[i] == found[j]) == (strings[i] == strings[j]) for i in found for j in found)
+
+
+@pytest.mark.parametrize("length", [100, 20])
+def test_suffix_dedup_of_other_lengths(docs, rows, length):
+    got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.cut_repeats(docs.select("doc_id", "text"), length).collect()}
+    assert {i: (*v[:4], bytes(v[4])) for i, v in got.items()} == removed(rows, length)
+    with pytest.raises(ValueError):
+        suffixdedup.cut_repeats(docs, length, gram=length + 1)
+
+
+def test_rows_in_another_order_each_time(spark, rows):
+    """A shuffled input has no fixed order of rows; the operators that read it twice checkpoint it."""
+    frame = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string, source string").repartition(7).select("doc_id", "text")
+    assert frames.stable(frame) is not frame and frames.stable(frame.orderBy("text")) is not frame and frames.stable(frame.where("rand() < 2")) is not frame
+    base = frames.checkpoint(frame)
+    assert frames.stable(base) is base and frames.stable(base.where("doc_id > 3").select("text")).columns == ["text"]
+    assert sorted(suffixdedup.cut_repeats(frame).collect(), key=str) == sorted(suffixdedup.cut_repeats(base).collect(), key=str)
+    assert sorted(setjoin.grouped_documents(frame).drop("rid").collect(), key=str) == sorted(setjoin.grouped_documents(base).drop("rid").collect(), key=str)
+    train = F.col("doc_id") % 2 == 0
+    assert sorted(lm.scored(frame.withColumn("train", train)).collect(), key=str) == sorted(lm.scored(base.withColumn("train", train)).collect(), key=str)
+
+
+def test_small_row_groups_give_the_same(docs, rows, monkeypatch):
+    """Row groups of a few rows, split lists and joins past the broadcast bound change no result."""
+    want = [sorted(f().collect(), key=str) for f in (lambda: setjoin.grouped_documents(docs.select("doc_id", "text")), lambda: suffixdedup.cut_repeats(docs.select("doc_id", "text")))]
+    monkeypatch.setattr(frames, "GROUP_BYTES", 700)
+    monkeypatch.setattr(frames, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(frames, "FEW_ROWS", 0)
+    for name in ("SPLIT", "SMALL", "BLOCK"):
+        monkeypatch.setattr(setjoin, name, 2)
+    got = [sorted(f().collect(), key=str) for f in (lambda: setjoin.grouped_documents(docs.select("doc_id", "text")), lambda: suffixdedup.cut_repeats(docs.select("doc_id", "text")))]
+    assert [[r.asDict() | {"root": 0} for r in x] for x in got] == [[r.asDict() | {"root": 0} for r in x] for x in want]
 
 
 def test_language_model(docs, rows, none):
@@ -321,13 +365,35 @@ def test_mixing(docs, rows, odd, none):
     assert mixing.mixed(none).collect() == [] and mixing.copies(none).collect() == []
 
 
+def test_mixing_tells_rows_apart_by_maps_and_nulls(spark):
+    rows = [(1, "a b", "s", None, {"k": 1}), (1, "a b", "s", None, {"k": 2}), (1, "a b", None, "s", {"k": 1}), (1, "a b", "s", None, {"k": 1})]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, m map<string,int>")
+    got = collections.Counter((r.source, r.lang, r.m["k"]) for r in mixing.mixed(frame, share=9.0).collect())
+    assert got == {("s", None, 1): 4, ("s", None, 2): 2, (None, "s", 1): 2}
+
+
 def test_mixing_keeps_targets_over_levels(spark):
     frame = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', int(id % 17)) as text", "concat('s', id % 3) as source")
-    rows = mixing.copies(frame, block=8) if "block" in mixing.copies.__code__.co_varnames else mixing.copies(frame)
-    for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("g")).collect():
+    for r in mixing.copies(frame).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.first("target").alias("g")).collect():
         assert abs(r.t - r.g) <= 17
 
 
+def test_rounding_moves_mass_and_loses_none(spark):
+    """Sums stay within one document, whatever the seed, and each document is taken as often as its fraction says, large or small."""
+    units = spark.range(2000).selectExpr("concat('s', id % 2) as source", "1 + id % 9 as size", "0.1 + 0.2 * (id % 5) as p", "xxhash64(id) as u", "struct(id) as id").withColumn("p", F.col("p").cast("double"))
+    want = {r.source: r.t for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("p")).alias("t")).collect()}
+    taken = collections.Counter()
+    for seed in range(6):
+        got = mixing.rounded(units, seed, 8).selectExpr("source", "size", "p", "id.id % 5 as k").collect()
+        assert len(got) == 2000 and {r.p for r in got} == {0.0, 1.0}
+        for s, t in want.items():
+            assert abs(sum(r["size"] * r.p for r in got if r.source == s) - t) <= 9
+        for r in got:
+            taken["p", r.k] += r.p / 2400
+            taken["size", r["size"]] += r.p / (6 * 2000 / 9)
+    assert all(abs(taken["p", k] - 0.1 - 0.2 * k) < 0.04 for k in range(5)) and all(abs(taken["size", k] - 0.5) < 0.05 for k in range(1, 10))
+
+
 def test_sharding(docs, odd, none):
     for frame in (docs, odd):
         out = shard.shuffled(frame, 8, bins_per_shard=3)

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 
 from staveflow.llm import frames
 from staveflow.llm import text as tx
-from staveflow.llm.shard import draw, even, matrix_row
+from staveflow.llm import shard
+from staveflow.llm.shard import draw, even, hypergeometric, matrix_row
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aAbZ09 \t\n.é\x00日-", max_size=40)), max_size=6)
 
@@ -61,3 +62,37 @@ def test_matrix_rows_add_up():
     assert rows.sum(1).tolist() == counts and rows.sum(0).tolist() == bins.tolist() and (rows >= 0).all()
     big = draw(np.array([2_000_000_000, 1_000_000_000, 0]), 1_500_000_000, np.random.default_rng(1))
     assert big.sum() == 1_500_000_000 and (big >= 0).all() and abs(big[0] - 1_000_000_000) < 200_000
+
+
+def test_draws_past_numpys_limit_follow_the_law(monkeypatch):
+    """Against numpy where it can draw, and by mean and spread where it cannot."""
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((30, 50, 20), (500_000, 400_000, 3_000), (3, 10_000, 500)):
+        own, its = np.array([hypergeometric(good, bad, n, rng) for _ in range(8000)]), rng.hypergeometric(good, bad, n, 8000)
+        edges = np.unique(np.quantile(np.r_[own, its], np.linspace(0, 1, 11)).round()) - 0.5
+        a, b = np.histogram(own, np.append(edges, np.inf))[0], np.histogram(its, np.append(edges, np.inf))[0]
+        assert ((a - b) ** 2 / np.maximum(a + b, 1)).sum() < 35
+    x = np.array([hypergeometric(10**12, 2 * 10**12, 10**11, rng) for _ in range(4000)], float)
+    spread = (1e11 * 2 / 9 * 29 / 30) ** 0.5
+    assert abs(x.mean() - 1e11 / 3) < 5 * spread / 4000**0.5 and abs(x.std() / spread - 1) < 0.06
+    assert hypergeometric(5, 0, 3, rng) == 3 and hypergeometric(0, 5, 3, rng) == 0
+    monkeypatch.setattr(shard, "NUMPY_ROWS", 50)
+    seen = np.array([draw(np.array([40, 0, 25, 35]), 30, rng) for _ in range(4000)])
+    assert (seen.sum(1) == 30).all() and np.abs(seen.mean(0) - [12, 0, 7.5, 10.5]).max() < 0.2
+
+
+def test_blocks_grow_with_the_input():
+    """Groups times ranges stay under the bytes of the input over the mean block, at any size."""
+    for total in (10**9, 10**10, 10**11, 10**12, 10**14):
+        group, ranges = frames.layout(total, 8)
+        assert group >= frames.GROUP_BYTES and ranges * -(-total // group) <= 1.1 * total / frames.BLOCK_BYTES
+    assert frames.layout(10**14, 8)[0] < 400 << 20
+
+
+def test_row_groups_are_cut_by_bytes():
+    texts = ["x" * 10, None, "y" * 500, "z", "", "w" * 90, "v" * 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    cuts = [[batch], [batch.slice(i, 1) for i in range(len(texts))], [batch.slice(0, 3), batch.slice(3)]]
+    got = [[t.column("text").to_pylist() for _, t in frames.grouped(iter(c), 120)] for c in cuts]
+    assert got[0] == got[1] == got[2] == [texts[:3], texts[3:6], texts[6:]]
+    assert [g for g, _ in frames.grouped(iter([batch]), 120)] == [0, 1, 2] and list(frames.grouped(iter([]), 5)) == []
