@@ -5,7 +5,8 @@ The model is trained from a small labelled URL table: rows (url, label), label
 dropped). SEED_URLS makes such a table from a few lists where none is given.
 
 A null url, or one without "://", has an empty host and path and gets the
-model's verdict for them.
+model's verdict for them. Urls of any length are scored whole; rows that repeat
+are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from .frames import read
 MAX_ROWS = 20_000
 DIM, SIZES = 1 << 14, (3, 4, 5)
 
-# Words that make up the seed table.
-BAD_WORDS = ("casino", "poker", "xxx", "porn", "viagra", "pills", "torrent", "warez", "payday-loan", "betting", "jackpot", "escort")
-GOOD_WORDS = ("news", "library", "docs", "university", "museum", "recipes", "weather", "journal", "history", "science", "garden", "school")
-ENDS = ("com", "net", "org", "info")
+# The words of the seed table: what names sites to block, and what names ordinary ones.
+BAD_WORDS = ("casino", "poker", "roulette", "slots", "betting", "jackpot", "bingo", "porn", "xxx", "nude", "escort", "camgirls", "hentai", "viagra", "cialis", "pills", "pharma", "steroids", "torrent", "warez", "cracked", "keygen", "serialz", "payday-loan", "fastcash", "free-money", "clickbait", "spam", "replica-watches", "fake-id", "phishing", "malware")
+GOOD_WORDS = ("news", "library", "docs", "university", "museum", "recipes", "weather", "journal", "history", "science", "garden", "school", "archive", "theatre", "council", "hospital", "railway", "observatory", "orchestra", "gallery", "forum", "wiki", "software", "bakery", "cycling", "chess", "poetry", "geology", "climate", "parish", "bookshop", "travel")
+ENDS = ("com", "net", "org", "info", "co.uk", "de", "io", "eu")
+
 
 #: (host, path, verdict) of the rules in force.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -38,9 +40,10 @@ def seed_urls() -> list[tuple[str, int]]:
     out = []
     for label, names in ((1, BAD_WORDS), (0, GOOD_WORDS)):
         for i, w in enumerate(names):
-            end, other = ENDS[i % len(ENDS)], names[(i + 5) % len(names)]
-            out += [(f"http://{w}.example.{end}/{i}", label), (f"https://www.{w}-{other}.{end}/en/{other}/{100 * i}.html", label), (f"https://site{i}.example.{end}/{w}/{other}?page=2", label)]
-    return out + [(f"https://{w}.example.{e}/{lang}/{n}", 0) for w in ("blog", "m", "www", "shop") for e in ENDS for lang, n in (("en", 17), ("fr", 2044), ("de", 31), ("es", 905))]
+            end, other, third = ENDS[i % len(ENDS)], names[(i + 5) % len(names)], names[(i + 11) % len(names)]
+            out += [(f"http://{w}.example.{end}/{i}", label), (f"https://www.{w}-{other}.{end}/en/{third}/{100 * i}.html", label), (f"https://site{i}.example.{end}/{w}/{other}?page=2", label), (f"http://best{w}{i}.{end}/{third}_{other}.php", label)]
+    plain = ("blog", "m", "www", "shop", "static", "en", "mail", "cdn")
+    return out + [(f"https://{w}.example.{e}/{lang}/{n}", 0) for w in plain for e in ENDS[:4] for lang, n in (("en", 17), ("fr", 2044), ("de", 31), ("es", 905))]
 
 
 def buckets(hosts: pa.Array, paths: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +117,15 @@ def judged(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple = R
         for host, path in parts:
             yield pd.Series(score(pa.array(host, pa.string()), pa.array(path, pa.string()), *sent.value))
 
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "block_score")]
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "block_score")]
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), upper, upper.lower())
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     out = pages.select(*own, host.alias("host"), path.alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
-    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):
+    # the last that fits wins
+    for h, p, v in sorted(sorted(rules, key=lambda r: r[0] + r[1], reverse=True), key=lambda r: len(r[0] + r[1])):
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     out = out.withColumn("block_score", block_score("host", "path"))

@@ -466,13 +466,80 @@ def test_toxicity(spark, none):
     held = [(r.s, r.doc_id % 3 == 0) for r in out if r.h and r.doc_id < 900]
     assert sum((s >= 0.5) == t for s, t in held) / len(held) > 0.95
     assert all(0 <= r.s <= 1 for r in out) and {r.s for r in out if r.doc_id in (900, 901)} == {min(r.s for r in out if r.doc_id in (900, 901))}
-    assert set(model.thresholds) >= {""} and all(0.3 <= t <= 0.7 for t in model.thresholds.values())
+    assert set(model.thresholds) == {"", "en", "fr"} and len(set(model.thresholds.values())) == 3 and all(0.05 < t < 0.95 for t in model.thresholds.values())
     kept = toxicity.clean(docs.withColumn("cut", F.lit(1)), marks)
     assert kept.columns == [*docs.columns, "cut"] and 580 < kept.count() < 640
     assert toxicity.judged(docs, marks.limit(0)).where("rejected").count() == 0
     assert toxicity.judged(none, marks).collect() == []
 
 
+def test_thresholds_follow_their_language(spark):
+    """Where the same score means less in one language, that language's cut is higher."""
+    import numpy as np
+
+    rng, y = np.random.default_rng(1), np.tile([0.0, 1.0], 150)
+    score = np.where(y > 0, 0.8, 0.4) + rng.normal(0, 0.02, 300)
+    shifted, ones = score - 0.25, np.ones(300)
+    base = toxicity.threshold(np.r_[score, shifted], np.r_[y, y], np.ones(600), 0.0)
+    high, low = toxicity.threshold(score, y, ones, base), toxicity.threshold(shifted, y, ones, base)
+    assert high > low and 0.45 < 1 / (1 + np.exp(-high)) < 0.75 and 0.2 < 1 / (1 + np.exp(-low)) < 0.5
+    assert toxicity.threshold(score, ones, ones, base) == base
+
+
+def test_forward_pass_against_a_plain_loop():
+    import numpy as np
+
+    rng, model = np.random.default_rng(2), toxicity.Model(3)
+    rows = rng.integers(0, 50, 60)
+    model.table[:50] = rng.normal(size=(50, toxicity.EMBED))
+    at = np.array([0, 1, 1, 3, 20, 60])
+    got = model.pooled(at, rows)[0]
+    for d in range(len(at) - 1):
+        words = [model.table[r] for r in rows[at[d] : at[d + 1]]]
+        want = []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                values = [sum(words[p + i] @ model.filters[w][i][:, f] for i in range(w)) for p in range(len(words) - w + 1)]
+                want.append(max([0.0, *values]))
+        assert np.allclose(got[d], want, atol=1e-4)
+
+
+def test_wider_filters_learn_word_pairs():
+    """A pair of words that are both common alone: only filters of two words and more can tell."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    docs, y = [], np.arange(1200) % 2.0
+    for t in y:
+        d = rng.integers(10, 60, 30)
+        d[[3, 9, 15]], d[[6, 12, 21]] = 1, 2
+        if t:
+            d[[17, 18]] = 1, 2
+        docs.append(d)
+    model = toxicity.Model(5)
+    model.fit(docs[:900], y[:900], epochs=30)
+    right = [(model.score(np.array([0, 30]), d)[0] >= 0.5) == (t > 0) for d, t in zip(docs[900:], y[900:], strict=True)]
+    assert np.mean(right) > 0.9
+
+
+def test_toxicity_odd_rows(spark, odd):
+    marks = spark.createDataFrame([(i * 3, i % 2) for i in range(20)] * 2, "doc_id long, toxic int")
+    wide = toxicity.judged(odd.withColumn("Rejected", F.lit(1)), marks)
+    assert wide.columns == [*(c for c in odd.columns if c != "toxicity"), "toxicity", "rejected"] and wide.count() == odd.count()
+    kept = toxicity.clean(odd, marks)
+    assert kept.columns == odd.columns and kept.count() <= odd.count()
+
+
+def test_one_row_of_a_repeated_id_is_learned_from(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "bad word")] * 2000 + [(2, "good word"), (3, "x" * 3000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    sizes = []
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 1000)
+    monkeypatch.setattr(toxicity.Model, "fit", lambda self, x, y: sizes.append(len(x)))
+    toxicity.train(docs, marks, max_per_class=5)
+    assert max(sizes) == 2
+
+
 def test_labels_held_out_are_not_learned(spark):
     docs = spark.createDataFrame([(i, "word " * 5) for i in range(50)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")

@@ -28,6 +28,29 @@ def test_embeddings(spark):
     assert embedlsh.near_copies(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(("dim", "low", "high"), [(64, 0.9001, 0.905), (128, 0.9001, 0.93)])
+def test_recall_at_the_threshold(spark, dim, low, high):
+    """Pairs just over the threshold, at the default parameters; none of them false."""
+    rng = np.random.default_rng(dim)
+    rows = []
+    for i in range(1500):
+        a = rng.normal(size=dim)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=dim)
+        b -= (b @ a) * a
+        c = rng.uniform(low, high)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist())]
+    got = embedlsh.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("n_links > 0").collect()
+    assert len(got) >= 0.95 * 3000 and all(r.n_links == 1 and r.component_id == r.vec_id - r.vec_id % 2 for r in got)
+
+
+def test_repeated_ids_and_other_columns(spark):
+    rows = [(1, [1.0, 2.0, 3.0], 5), (1, [1.0, 2.0, 3.1], 6), (1, None, 7), (None, [1.0, 2.0, 3.0], 8), (9, [-1.0, 2.0, 0.5], 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in embedlsh.near_copies(frame).collect())
+    assert got == [(0, 2, 1), (1, 0, 1), (1, 2, 1), (1, 2, 1), (9, 0, 9)]
+
+
 def test_large_buckets_are_counted_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, (np.ones(8) + 0.02 * rng.normal(size=8)).tolist()) for i in range(150)]
@@ -59,12 +82,56 @@ def test_urls(spark):
     assert urlfilter.judged(frame.limit(0)).collect() == []
 
 
+def test_url_rules_of_equal_length_and_clashing_columns(spark):
+    frame = spark.createDataFrame([("http://a.com/bcd", "x")], "url string, Host string")
+    got = urlfilter.judged(frame, rules=(("a.com", "/b", "block"), ("com", "/bcd", "allow")))
+    assert got.columns == ["url", "host", "path", "rule", "verdict", "block_score"] and got.first().rule == "a.com/b"
+    for rules in ((("com", "/bcd", "allow"), ("a.com", "/b", "block")), (("a.com", "/b", "block"), ("com", "/bcd", "allow"))):
+        assert urlfilter.judged(frame, rules=rules).first().verdict == "block"
+    long = spark.createDataFrame([("http://x.net/" + "a" * 200_000,)] * 2, "url string")
+    assert len({tuple(r) for r in urlfilter.judged(long).collect()}) == 1
+
+
+def test_url_scores_against_plain_python(spark):
+    """Rules and n-grams stated once more, url by url."""
+    weights, bias = urlfilter.train(urlfilter.seed_urls())
+    got = {r.page_id: r for r in urlfilter.op1_url_filter(spark, SMALL).collect()}
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        host, path = urlfilter.split_url(r.url)
+        best = max((x for x in urlfilter.RULES if (host == x[0] or host.endswith("." + x[0])) and path.startswith(x[1])), key=lambda x: len(x[0] + x[1]), default=None)
+        found = [b for salt, x in ((1, host), (2, path)) if x for n in urlfilter.SIZES for b in _ngram_buckets(f"^{x}$", salt, n)]
+        score = 1 / (1 + np.exp(-(bias + sum(weights[b] for b in found) / np.sqrt(max(1, len(found))))))
+        g = got[r.page_id]
+        assert (g.host, g.path, g.rule) == (host, path, best and best[0] + best[1]) and abs(g.block_score - score) < 1e-9
+        assert g.verdict == (best[2] if best else "block" if score >= 0.5 else "allow")
+
+
+def _ngram_buckets(marked, salt, n):
+    mask, root = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    raw = marked.encode()
+    for p in range(len(raw) - n + 1):
+        gram = sum((raw[p + i] + 1) * pow(root, i, 1 << 64) for i in range(n)) & mask
+        yield mix(mix(gram) + 31 * salt + n & mask) % urlfilter.DIM
+
+
 def test_url_model_on_new_urls(spark):
-    bad = [f"http://{a}-{b}.shop.net/en/{a}/{i}" for i, (a, b) in enumerate(zip(urlfilter.BAD_WORDS, urlfilter.BAD_WORDS[3:], strict=False))]
-    good = [f"https://city-{a}.info/{b}/about/{i}" for i, (a, b) in enumerate(zip(urlfilter.GOOD_WORDS, urlfilter.GOOD_WORDS[3:], strict=False))]
+    """Hosts and paths that the seed table doesn't hold, made of other words than its own."""
+    bad = ["http://casinobonus24.biz/start", "https://www.pokerroom.tv/play", "http://xxxvideos.me/clip/9", "https://viagraonline.ru/buy", "http://torrentz.to/movie", "https://warezcity.su/", "http://jackpotparty.club/spin", "https://escortservice.nl/list", "http://cheap-pills.store/order", "https://bettingtips.win/odds", "http://pornhost.xyz/a", "http://slotsmania.bet/free"]
+    good = ["http://cityuniversity.edu/courses", "https://artmuseum.fr/visite", "https://www.publiclibrary.ca/catalogue", "http://dailynews.in/politics/4", "https://sciencejournals.ch/vol3", "https://gardening.nz/roses", "http://weathermap.no/oslo", "https://schoolboard.us/meeting", "http://historyclub.se/1850", "https://recipesbook.it/pane", "http://hospitals.be/ward", "https://railways.pl/tickets"]
     frame = spark.createDataFrame([(i, u) for i, u in enumerate(bad + good)], "page_id long, url string")
     got = [r.block_score >= 0.5 for r in urlfilter.judged(frame, rules=()).orderBy("page_id").collect()]
-    assert sum(got[: len(bad)]) >= 0.9 * len(bad) and sum(got[len(bad) :]) <= 0.1 * len(good)
+    assert not set(bad + good) & {u for u, _ in urlfilter.seed_urls()}
+    assert sum(got[: len(bad)]) >= 10 and sum(got[len(bad) :]) <= 2
     own = spark.createDataFrame([("http://aaa.x/", 1), ("http://zzz.x/", 0)] * 3, "url string, label int")
     assert {r.verdict for r in urlfilter.judged(frame.limit(2), own).collect()} <= {"allow", "block"}
     with pytest.raises(ValueError):
