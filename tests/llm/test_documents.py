@@ -415,37 +415,49 @@ def test_sharding_is_uniform(spark):
     assert sum(seen.values()) == 480 and all(80 < seen[s] < 160 for s in range(4))
 
 
+def later_copies(rows, run, size):
+    """Lines of maximal runs that stood earlier, by comparing all pairs of lines."""
+    lines = [(i, k, t.split("\n")) for k, (i, t, *_) in enumerate(rows) if t is not None]
+    lines.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    gone = collections.defaultdict(set)
+    for y, (_, k, own) in enumerate(lines):
+        for p in range(len(own)):
+            for x in range(y + 1):
+                other = lines[x][2]
+                for q in range(p if x == y else len(other)):
+                    n = 0
+                    while p + n < len(own) and q + n < len(other) and own[p + n] == other[q + n]:
+                        n += 1
+                    if n and (n >= run or (size is not None and sum(len(z.encode()) for z in own[p : p + n]) >= size)):
+                        gone[k] |= set(range(p, p + n))
+    return gone
+
+
 def test_line_runs(docs, rows, odd, none):
-    first, gone, n = {}, collections.defaultdict(set), {}
-    for i, t, *_ in rows:
-        lines = [] if t is None else t.split("\n")
-        n[i] = len(lines)
-        for p in range(len(lines) - 2):
-            run = tuple(lines[p : p + 3])
-            if first.setdefault(run, (i, p)) != (i, p):
-                gone[i] |= {p, p + 1, p + 2}
+    gone = later_copies(rows, 3, 150)
     got = {r.doc_id: r for r in linededup.deduplicated(docs).collect()}
-    text = {i: t for i, t, *_ in rows}
-    for i, r in got.items():
-        runs = sum(1 for p in gone[i] if p - 1 not in gone[i])
-        assert (r.n_lines, r.n_removed, r.n_runs, set(r.removed)) == (n[i], len(gone[i]), runs, gone[i])
-        assert r.text == (None if text[i] is None else "\n".join(x for p, x in enumerate(text[i].split("\n")) if p not in gone[i]))
+    for k, (i, text, *_) in enumerate(rows):
+        r, runs = got[i], sum(1 for p in gone[k] if p - 1 not in gone[k])
+        assert (r.n_lines, r.n_removed, r.n_runs, set(r.removed)) == (0 if text is None else len(text.split("\n")), len(gone[k]), runs, gone[k])
+        assert r.text == (None if text is None else "\n".join(x for p, x in enumerate(text.split("\n")) if p not in gone[k]))
     assert sum(map(len, gone.values())) > 5
     wide = linededup.deduplicated(odd)
     assert wide.count() == odd.count() and wide.columns[:4] == odd.columns[:4] and wide.where("at <> 7 or key <> 7").isEmpty()
     assert linededup.deduplicated(none).collect() == []
 
 
-@pytest.mark.parametrize("run", [1, 2, 5])
-def test_line_runs_of_other_lengths(docs, rows, run):
-    first, gone = {}, collections.defaultdict(set)
-    for i, t, *_ in rows:
-        lines = [] if t is None else t.split("\n")
-        for p in range(len(lines) - run + 1):
-            if first.setdefault(tuple(lines[p : p + run]), (i, p)) != (i, p):
-                gone[i] |= set(range(p, p + run))
-    got = {r.doc_id: set(r.removed) for r in linededup.deduplicated(docs, run).collect() if r.removed}
-    assert got == {i: g for i, g in gone.items() if g}
+def test_line_runs_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "x" * 200), (1, "x" * 200), (None, "x" * 200 + "\nshort"), (None, "short\nshort\nshort\nshort"), (2, "short")]
+    frame = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").coalesce(1)
+    got = sorted((str(r.doc_id), r.n_lines, r.n_removed) for r in linededup.deduplicated(frame).collect())
+    assert got == [("1", 1, 0), ("1", 1, 1), ("2", 1, 0), ("None", 2, 1), ("None", 4, 4 if later_copies(rows, 3, 150)[3] == {0, 1, 2, 3} else len(later_copies(rows, 3, 150)[3]))]
+
+
+@pytest.mark.parametrize(("run", "size"), [(1, None), (2, 40), (5, None), (5, 60), (7, 25)])
+def test_line_runs_of_other_lengths(docs, rows, run, size):
+    gone = later_copies(rows, run, size)
+    got = {r.doc_id: set(r.removed) for r in linededup.deduplicated(docs, run, size).collect() if r.removed}
+    assert got == {rows[k][0]: g for k, g in gone.items() if g}
 
 
 def test_toxicity(spark, none):
