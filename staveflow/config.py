@@ -32,12 +32,26 @@ class DetectionConfig:
             raise ValueError("staff_same_system_spacing_ratio is under 1.0")
 
     def with_margins(self, factor: float) -> DetectionConfig:
-        """Top and bottom margins times a factor."""
-        return replace(self, barline_top_margin_ratio=self.barline_top_margin_ratio * factor, barline_bottom_margin_ratio=self.barline_bottom_margin_ratio * factor)
+        """All four margins of barlines times a factor: top, bottom, extension and that around staff lines."""
+        names = ("barline_top_margin_ratio", "barline_bottom_margin_ratio", "barline_max_allowed_extension_ratio", "barline_roi_margin_ratio")
+        return replace(self, **{n: getattr(self, n) * factor for n in names})
 
     def description(self) -> str:
-        return "\n".join(f"{f.name}: {getattr(self, f.name):g}" for f in fields(self))
-
+        """The settings as text, in the groups of GROUPS."""
+        lines = []
+        for title, prefixes in GROUPS.items():
+            lines += [title, *(f"  {f.name}: {getattr(self, f.name):g}" for f in fields(self) if f.name.startswith(prefixes))]
+        return "\n".join(lines)
+
+
+#: Headings of the description, and how the names of their settings begin.
+GROUPS = {
+    "staff lines": ("staff_same", "staff_grouping"),
+    "barlines": ("barline_top", "barline_bottom", "barline_max", "barline_roi"),
+    "line search": ("hough",),
+    "staff systems": ("staff_system",),
+    "agreement of systems": ("system_group", "barline_consensus", "min_consensus"),
+}
 
 DEFAULT = DetectionConfig()
 STRICT = DetectionConfig(barline_top_margin_ratio=0.5, barline_bottom_margin_ratio=0.5, barline_max_allowed_extension_ratio=1.0, barline_roi_margin_ratio=0.2, hough_min_line_length_ratio=0.6)

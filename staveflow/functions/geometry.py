@@ -132,3 +132,20 @@ def rejection(x1, y1, x2, y2, width, height, min_size: float = 1.0) -> Column:
     x1, y1, x2, y2, width, height = map(_c, (x1, y1, x2, y2, width, height))
     outside = (x1 < 0) | (y1 < 0) | (x2 > width) | (y2 > height)
     return F.when(outside, "original_bounds").when((x1 >= x2) | (y1 >= y2), "final_bounds").when((x2 - x1 < min_size) | (y2 - y1 < min_size), "too small")
+
+
+def box_to_pixels(box: str, width, height) -> Column:
+    """An array [x1, y1, x2, y2] of shares of the page, in whole pixels."""
+    return F.transform(_c(box), lambda v, i: to_pixels(v, F.when(i % 2 == 0, _c(width)).otherwise(_c(height))))
+
+
+def boxes_to_pixels(boxes: str, names: list[str], width, height) -> Column:
+    """An array of structs with the fields names, those that begin with x or y in whole pixels instead of shares of the page; other fields stay."""
+    return F.transform(_c(boxes), lambda b: F.struct(*[to_pixels(b[n], width if n[0] == "x" else height).alias(n) if n[0] in "xy" else b[n].alias(n) for n in names]))
+
+
+def page_fit(width, height, size: int, smaller: bool = True) -> Column:
+    """struct(scale, x, y): a page scaled by the smaller (or larger) ratio of size to its sides and centred on a square; x and y are negative where it hangs over."""
+    width, height = _c(width), _c(height)
+    scale = (F.least if smaller else F.greatest)(size / width, size / height)
+    return F.struct(scale.alias("scale"), F.floor((size - (width * scale).cast("int")) / 2).alias("x"), F.floor((size - (height * scale).cast("int")) / 2).alias("y"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def threshold_inverse(gray: np.ndarray, level: int = 200) -> np.ndarray:
@@ -112,6 +113,50 @@ def vertical_segments(mask: np.ndarray, min_length: int, max_gap: int, slope: in
     return sorted(out + [tuple(s) for s in open_ if s[3] - s[1] + 1 >= min_length])
 
 
+def line_segments(mask: np.ndarray, votes: int, min_length: int, max_gap: int, tolerance: int = 20) -> list[tuple[int, int, int, int]]:
+    """(x1, y1, x2, y2) of straight strokes within tolerance degrees of upright, y1 at most y2.
+
+    A line search that always gives the same answer: each pixel votes for the
+    lines through it, one for each whole degree and column at the middle row;
+    the line with the most votes (then the most upright one, then the one
+    farthest to the left) is walked from top to bottom, gaps up to max_gap are
+    closed, parts of min_length are strokes, and its pixels vote no more.
+    """
+    height, width = mask.shape
+    if not height or not width:
+        return []
+    left, middle = mask.copy(), height // 2
+    shifts = {a: np.rint(np.tan(np.radians(a)) * (np.arange(height) - middle)).astype(int) for a in sorted(range(-tolerance, tolerance + 1), key=lambda a: (abs(a), a))}
+    reach = max(int(np.abs(s).max()) for s in shifts.values())
+    padded = np.pad(left, ((0, 0), (reach, reach)))
+    rows = np.arange(height)
+
+    def count(lo: int, hi: int) -> np.ndarray:
+        """Votes by angle for the columns lo to hi."""
+        cols = np.arange(lo, hi)
+        return np.stack([padded[rows[:, None], cols[None, :] + s[:, None] + reach].sum(0) for s in shifts.values()])
+
+    table, angles, out = count(0, width), list(shifts), []
+    while True:
+        k, x = divmod(int(table.argmax()), width)
+        if table[k, x] < max(1, votes):
+            return sorted(out)
+        at = x + shifts[angles[k]]
+        inside = (at >= 0) & (at < width)
+        on = np.zeros(height, bool)
+        on[inside] = padded[rows[inside], at[inside] + reach]
+        parts: list[list[int]] = []
+        for a, b in runs(on):
+            if parts and a - parts[-1][1] - 1 <= max_gap:
+                parts[-1][1] = b
+            else:
+                parts.append([a, b])
+        out += [(int(at[a]), a, int(at[b]), b) for a, b in parts if b - a + 1 >= min_length]
+        padded[rows[on], at[on] + reach] = False
+        lo, hi = max(0, int(at.min()) - reach), min(width, int(at.max()) + reach + 1)
+        table[:, lo:hi] = count(lo, hi)
+
+
 def has_horizontal_element(mask: np.ndarray, x: int, y: int, window: int = 15, length: int = 8, least: int = 5) -> bool:
     """Whether at least `least` pixels near (x, y) lie in horizontal runs of `length`, as at a bracket's ends."""
     part = mask[max(0, y - window) : y + window + 1, max(0, x - window) : x + window + 1]
@@ -125,6 +170,42 @@ def resized(gray: np.ndarray, width: int, height: int) -> np.ndarray:
     return gray[y[:, None], x[None, :]]
 
 
+def averaged(gray: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Means over the areas that the new pixels cover, for making an image smaller."""
+
+    def shrink(a: np.ndarray, n: int) -> np.ndarray:
+        edge = np.arange(n + 1) * (a.shape[0] / n)
+        total = np.vstack([np.zeros((1, a.shape[1])), np.cumsum(a, axis=0)])
+        low = np.minimum(edge.astype(int), a.shape[0] - 1)
+        at = total[low] + (edge - low)[:, None] * a[low]
+        return np.diff(at, axis=0) / (a.shape[0] / n)
+
+    out = shrink(shrink(gray.astype(np.float64), height).T, width).T
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def blended(gray: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Between the four pixels around, by their distances, for making an image larger."""
+    y = np.clip((np.arange(height) + 0.5) * gray.shape[0] / height - 0.5, 0, gray.shape[0] - 1)
+    x = np.clip((np.arange(width) + 0.5) * gray.shape[1] / width - 0.5, 0, gray.shape[1] - 1)
+    y0, x0 = y.astype(int), x.astype(int)
+    y1, x1 = np.minimum(y0 + 1, gray.shape[0] - 1), np.minimum(x0 + 1, gray.shape[1] - 1)
+    fy, fx, g = (y - y0)[:, None], (x - x0)[None, :], gray.astype(np.float64)
+    rows = lambda r: g[r][:, x0] * (1 - fx) + g[r][:, x1] * fx
+    return np.rint(rows(y0) * (1 - fy) + rows(y1) * fy).astype(np.uint8)
+
+
+def on_canvas(gray: np.ndarray, scale: float, width: int, height: int, pad: int = 255) -> np.ndarray:
+    """The image scaled (means below 1, blends above), centred on a canvas; what hangs over is cut off on both sides."""
+    h, w = max(1, int(gray.shape[0] * scale)), max(1, int(gray.shape[1] * scale))
+    image = (averaged if scale < 1 else blended)(gray, w, h)
+    out = np.full((height, width), pad, np.uint8)
+    y, x = (height - h) // 2, (width - w) // 2
+    part = image[max(0, -y) : max(0, -y) + height, max(0, -x) : max(0, -x) + width]
+    out[max(0, y) : max(0, y) + part.shape[0], max(0, x) : max(0, x) + part.shape[1]] = part
+    return out
+
+
 def letterboxed(gray: np.ndarray, size: int, pad: int = 255) -> np.ndarray:
     """The longer side scaled to size, the other padded evenly; the same transform as geometry.letterbox."""
     scale = size / max(gray.shape)
@@ -203,3 +284,51 @@ def page_crops(pages: DataFrame, boxes: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["name", "crop_id", "width", "height", "pixels"])
 
     return pages.select("name", "width", "height", "pixels").join(boxes, "name").mapInPandas(run, "name string, crop_id string, width int, height int, pixels binary")
+
+
+def page_pixels(pages: DataFrame, otsu: bool = True) -> DataFrame:
+    """(name, y, x) of the dark pixels of pages."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.itertuples():
+                y, x = np.nonzero(otsu_inverse(_gray(row)) if otsu else threshold_inverse(_gray(row)))
+                yield pd.DataFrame({"name": row.name, "y": y.astype("int32"), "x": x.astype("int32")})
+
+    return pages.where("pixels is not null").select("name", "width", "height", "pixels").mapInPandas(run, "name string, y int, x int")
+
+
+def roi_segments(pages: DataFrame, rois: DataFrame, tolerance: int = 20, otsu: bool = True) -> DataFrame:
+    """(name, system_idx, x1, y1, x2, y2) of upright strokes in parts of pages; rois (name, system_idx, x_from, x_to, y_from, y_to, threshold, min_length, max_gap), where x_to null is the page's edge. Coordinates are the page's."""
+    schema = "name string, system_idx int, x1 int, y1 int, x2 int, y2 int"
+    wanted = rois.groupBy("name").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("system_idx", "x_from", "x_to", "y_from", "y_to", "threshold", "min_length", "max_gap")])).alias("rois"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                mask = otsu_inverse(_gray(row)) if otsu else threshold_inverse(_gray(row))
+                for r in row.rois:
+                    x, y = max(0, r["x_from"]), max(0, r["y_from"])
+                    cut = mask[y : r["y_to"], x : (mask.shape[1] if r["x_to"] is None else r["x_to"])]
+                    out += [(row.name, r["system_idx"], a + x, b + y, c + x, d + y) for a, b, c, d in line_segments(cut, r["threshold"], r["min_length"], r["max_gap"], tolerance)]
+            yield pd.DataFrame(out, columns=["name", "system_idx", "x1", "y1", "x2", "y2"])
+
+    return pages.where("pixels is not null").select("name", "width", "height", "pixels").join(wanted, "name").mapInPandas(run, schema)
+
+
+def bracket_ends(pages: DataFrame, candidates: DataFrame, window: int = 15, length: int = 8, least: int = 5) -> DataFrame:
+    """Candidates (name, x1, y1, x2, y2) with a horizontal element at both ends."""
+    wanted = candidates.groupBy("name").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("found"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for row in part.itertuples():
+                mask = otsu_inverse(_gray(row))
+                for c in row.found:
+                    if all(has_horizontal_element(mask, c[f"x{i}"], c[f"y{i}"], window, length, least) for i in (1, 2)):
+                        out.append((row.name, c["x1"], c["y1"], c["x2"], c["y2"]))
+            yield pd.DataFrame(out, columns=["name", "x1", "y1", "x2", "y2"])
+
+    return pages.where("pixels is not null").select("name", "width", "height", "pixels").join(wanted, "name").mapInPandas(run, "name string, x1 int, y1 int, x2 int, y2 int")

@@ -12,11 +12,14 @@ SIGNATURES = (("timesigcommon", "4/4 (Common Time)", 4), ("timesig4", "4/4", 4),
 # Signature of a lone number.
 BY_NUMBER = {4: "4/4", 3: "3/4", 2: "2/4", 6: "6/8", 9: "9/8", 12: "12/8"}
 DEFAULT_BEATS = 4
+# Classes of noteheads.
+NOTEHEADS = ("noteheadBlackOnLine", "noteheadBlackInSpace", "noteheadHalfOnLine")
 
 
-def category(name: Column) -> Column:
+def category(name: Column, parts: tuple = CATEGORIES) -> Column:
+    """The label of the first of the parts (part, label) that a name holds in any case; other without one."""
     low, out = F.lower(name), F.lit("other")
-    for part, label in reversed(CATEGORIES):
+    for part, label in reversed(parts):
         out = F.when(low.contains(part), label).otherwise(out)
     return out
 
@@ -41,6 +44,22 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
+def first_true(*cols: tuple[Column, str]) -> Column:
+    """The first value that counts as true, as text; cols are (column, kind) with kind text, number or list: '', 0 and empty lists are passed over."""
+    empty = {"text": lambda c: c == "", "number": lambda c: c == 0, "list": lambda c: F.size(c) == 0}
+    return F.coalesce(*[F.when(~empty[kind](c), F.to_json(c) if kind == "list" else c.cast("string")) for c, kind in cols])
+
+
+def stamp(at: Column, iso: bool = False) -> Column:
+    """A time as a folder's date (20250131), or in ISO form to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss" if iso else "yyyyMMdd")
+
+
+def is_notehead(name: Column) -> Column:
+    """Whether a class is one of the three that stems are sought for."""
+    return name.isin(*NOTEHEADS)
+
+
 def stem(path: Column) -> Column:
     """File name without folder and last extension."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")

@@ -109,3 +109,45 @@ def row_projection(pixels: DataFrame, page: str = "page", y: str = "y", floor: f
     w = Window.partitionBy(page)
     norm = rows.withColumn("norm", F.col("n") / F.max("n").over(w))
     return norm.withColumn("is_line", F.col("norm") >= F.greatest(F.lit(floor), F.avg("norm").over(w) * share))
+
+
+def document_totals(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pages, measures, symbols, time_signatures, common_signature) of pages (page, measures, symbols, time_signatures, signature): sums, and the most frequent signature (the one of the earliest page wins ties), 'Not detected' where no page has one."""
+    totals = pages.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), *[F.sum(c).alias(c) for c in ("measures", "symbols", "time_signatures")])
+    common = majority(pages.where("signature is not null"), keys, "signature", "page").select(*keys, F.col("signature").alias("common_signature"))
+    return totals.join(common, keys, "left").withColumn("common_signature", F.coalesce("common_signature", F.lit("Not detected")))
+
+
+def likely_signature(found: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """(keys, class_name, votes, signature, beats): the most frequent class of a page (the first seen of equals), read as a signature; one that isn't known is its own name without timeSig, with four beats."""
+    best = majority(found, keys, "class_name", pos)
+    known = F.col("class_name").isin("timeSig4", "timeSigCommon")
+    return best.withColumn("signature", F.when(known, "4/4").otherwise(F.replace("class_name", F.lit("timeSig"), F.lit("")))).withColumn("beats", F.lit(4))
+
+
+def group_measures(measures: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, group_idx, measure_count, system_count): the last measure number of a group and its number of systems."""
+    return measures.groupBy(*keys, "group_idx").agg(F.max("measure_number").alias("measure_count"), F.countDistinct("system_idx").alias("system_count"))
+
+
+def barlines_by_group(barlines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, group_idx, xs): the x of a group's barlines in order."""
+    return barlines.groupBy(*keys, "group_idx").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+
+
+def leftmost(symbols: DataFrame, keys: list[str], x: str = "x1") -> DataFrame:
+    """The symbol farthest to the left of each key, ties by the other columns."""
+    rest = [c for c in symbols.columns if c not in (*keys, x)]
+    return symbols.groupBy(*keys).agg(F.min(F.struct(x, *rest)).alias("__m")).select(*keys, *[F.col("__m")[c].alias(c) for c in (x, *rest)])
+
+
+def page_summary(systems: DataFrame, barlines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, staff_lines, systems, groups, barlines, measures) of a page: what was found on it, and the measures of the system with the most barlines."""
+    found = systems.groupBy(*keys).agg(F.sum(F.size("lines")).alias("staff_lines"), F.count(F.lit(1)).alias("systems"), F.countDistinct("group_idx").alias("groups"))
+    bars = barlines.groupBy(*keys).agg(F.count(F.lit(1)).alias("barlines")).join(measure_counts(barlines, keys), keys)
+    return found.join(bars, keys, "left").na.fill(0, ["barlines", "measures"])
+
+
+def ink_density(pixels: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys, density): set pixels (x, y from 1) over the area down to the last row that has one."""
+    return pixels.groupBy(*keys).agg((F.count(F.lit(1)) / (F.lit(float(width)) * F.max("y"))).alias("density"))

@@ -13,11 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import iou
+from ..rounds import checkpoint
+from . import joins
 from .islands import clusters_by_gap
 
 
-def _folded(df: DataFrame, keys: list[str], x: str, tolerance: float, joins: Callable[[Column, Column], Column], start: Callable[[Column], Column], add: Callable[[Column, Column], Column], name: str) -> DataFrame:
-    """Numbers the groups: joins(state, x) says whether x belongs to the state's group."""
+def _folded(df: DataFrame, keys: list[str], x: str, tolerance: float, belongs: Callable[[Column, Column], Column], start: Callable[[Column], Column], add: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """Numbers the groups: belongs(state, x) says whether x belongs to the state's group."""
     run = clusters_by_gap(df, keys, x, tolerance, "__run").withColumn("__row", F.struct(F.col(x).cast("double").alias("v"), F.struct(*[F.col(c) for c in df.columns]).alias("r")))
     groups = run.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
     values = F.transform("__rows", lambda r: r["v"])
@@ -25,7 +28,7 @@ def _folded(df: DataFrame, keys: list[str], x: str, tolerance: float, joins: Cal
     init = F.struct(start(first).alias("s"), F.lit(-1).alias("g"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, v: Column) -> Column:
-        same = (acc["g"] >= 0) & joins(acc["s"], v)
+        same = (acc["g"] >= 0) & belongs(acc["s"], v)
         g = F.when(same, acc["g"]).otherwise(acc["g"] + 1)
         return F.struct(F.when(same, add(acc["s"], v)).otherwise(start(v)).alias("s"), g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
 
@@ -77,18 +80,20 @@ def thickness(columns: DataFrame, keys: list[str], visits: tuple = (1, -1, 2, -2
 def greedy_suppression(boxes: DataFrame, keys: list[str], overlap: float = 0.5, rank: tuple = ("confidence", "id")) -> DataFrame:
     """Boxes that survive greedy suppression within keys: by confidence (ties by id), each kept box drops those of that overlap or more.
 
-    Boxes (id, confidence, x1, y1, x2, y2) fold in one array a key; keys are image and class.
+    Only pairs that overlap enough matter, and they are few. In rounds, boxes
+    that no box left goes before are kept, and drop the others of their pairs;
+    what was dropped drops nothing. That is what taking boxes one by one gives,
+    and no key's boxes are ever in one task. id names a box.
     """
     conf, ident = rank
-    cols = boxes.columns
-    row = F.struct((-F.col(conf)).alias("c"), F.col(ident).alias("i"), *[F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")], F.struct(*cols).alias("r"))
-    groups = boxes.withColumn("__b", row).groupBy(*keys).agg(F.array_sort(F.collect_list("__b")).alias("__boxes"))
-    kind = groups.schema["__boxes"].dataType.simpleString()
-
-    def touches(k: Column, b: Column) -> Column:
-        w, h = F.least(k["x2"], b["x2"]) - F.greatest(k["x1"], b["x1"]), F.least(k["y2"], b["y2"]) - F.greatest(k["y1"], b["y1"])
-        area = lambda c: (c["x2"] - c["x1"]) * (c["y2"] - c["y1"])
-        return F.when((w > 0) & (h > 0), w * h / (area(k) + area(b) - w * h)).otherwise(0.0) >= overlap
-
-    kept = F.aggregate("__boxes", F.array().cast(kind), lambda acc, b: F.when(F.exists(acc, lambda k: touches(k, b)), acc).otherwise(F.concat(acc, F.array(b))))
-    return groups.select(F.explode(kept).alias("k")).select(*[F.col(f"k.r.{c}").alias(c) for c in cols])
+    pairs = joins.overlapping(boxes, keys, ident).where(iou("p", "q") >= overlap).select("a", "b")
+    of = boxes.select(F.col(ident).alias("__i"), F.col(conf).alias("__c"))
+    ranked = pairs.join(of.select(F.col("__i").alias("a"), F.col("__c").alias("ca")), "a").join(of.select(F.col("__i").alias("b"), F.col("__c").alias("cb")), "b")
+    first = F.col("ca") >= F.col("cb")
+    left, dropped = checkpoint(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("low"))), None
+    while not left.isEmpty():
+        kept = left.select("high").distinct().join(left.select(F.col("low").alias("high")).distinct(), "high", "left_anti")
+        gone = checkpoint(left.join(kept, "high", "left_semi").select("low").distinct())
+        dropped = gone if dropped is None else dropped.union(gone)
+        left = checkpoint(left.join(gone, "low", "left_anti").join(gone.withColumnRenamed("low", "high"), "high", "left_anti"))
+    return boxes if dropped is None else boxes.join(dropped.withColumnRenamed("low", ident), ident, "left_anti").select(*boxes.columns)

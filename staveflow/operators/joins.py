@@ -97,7 +97,61 @@ def remapped(labels: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def without_nearest(barlines: DataFrame, clicks: DataFrame, keys: list[str], reach: float) -> DataFrame:
-    """Barlines (id, x) less the nearest one (under reach, ties to the first id) to each click (x)."""
-    met = clicks.select(*keys, F.col("x").alias("__cx")).join(barlines, keys).withColumn("__d", F.abs(F.col("x") - F.col("__cx"))).where(F.col("__d") < reach)
+    """Barlines (id, x) less the nearest one (under reach, ties to the first id) to each click (x). A cell of width reach is one more key."""
+    cell = F.floor(F.col("x") / reach)
+    near = clicks.select(*keys, F.col("x").alias("__cx"), F.explode(F.array(*[cell + i for i in (-1, 0, 1)])).alias("__cell"))
+    met = near.join(barlines.withColumn("__cell", cell), [*keys, "__cell"]).withColumn("__d", F.abs(F.col("x") - F.col("__cx"))).where(F.col("__d") < reach)
     gone = met.groupBy(*keys, "__cx").agg(F.min(F.struct("__d", "id"))["id"].alias("id")).select(*keys, "id").distinct()
     return barlines.join(gone, [*keys, "id"], "left_anti")
+
+
+def without_manual(barlines: DataFrame, clicks: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """Barlines (id, x, type) less all manual ones that lie under reach of a click (x)."""
+    cell = F.floor(F.col("x") / reach)
+    near = clicks.select(*keys, F.col("x").alias("__cx"), F.explode(F.array(*[cell + i for i in (-1, 0, 1)])).alias("__cell"))
+    manual = barlines.where("type = 'manual'").withColumn("__cell", cell)
+    gone = near.join(manual, [*keys, "__cell"]).where(F.abs(F.col("x") - F.col("__cx")) < reach).select(*keys, "id").distinct()
+    return barlines.join(gone, [*keys, "id"], "left_anti")
+
+
+def with_manual(barlines: DataFrame, clicks: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """barlines and one of type manual for each click (x, y) inside a group's span (group_idx, top, bottom), over the span's height."""
+    placed = group_at(clicks, spans, keys).where("group_idx is not null")
+    own = placed.join(spans, [*keys, "group_idx"]).select(*keys, "group_idx", "x", F.col("top").alias("y_start"), F.col("bottom").alias("y_end"), F.lit("manual").alias("type"))
+    return barlines.unionByName(own, allowMissingColumns=True)
+
+
+def group_at(points: DataFrame, spans: DataFrame, keys: list[str], cell: int = 256) -> DataFrame:
+    """points (y) with the smallest group_idx of the spans (group_idx, top, bottom) that contain y, ends included; null outside all."""
+    cut = spans.select(*keys, "group_idx", "top", "bottom", F.explode(F.sequence(F.floor(F.col("top") / cell), F.floor(F.col("bottom") / cell))).alias("__cell"))
+    at = points.withColumn("__cell", F.floor(F.col("y") / cell))
+    spots = at.select(*keys, "y", "__cell").distinct().join(cut, [*keys, "__cell"]).where("y between top and bottom").groupBy(*keys, "y").agg(F.min("group_idx").alias("group_idx"))
+    return points.join(spots, [*keys, "y"], "left")
+
+
+def first_match(rows: DataFrame, lookup: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """rows with the columns of the first row of lookup (by pos) that has their keys; null where none has."""
+    rest = [c for c in lookup.columns if c not in (*keys, pos)]
+    first = lookup.groupBy(*keys).agg(F.min_by(F.struct(*rest), pos).alias("__f"))
+    return rows.join(first, keys, "left").select(*rows.columns, *[F.col("__f")[c].alias(c) for c in rest])
+
+
+def overlapping(boxes: DataFrame, keys: list[str], ident: str = "id", cell: int = 128) -> DataFrame:
+    """(keys, a, b, p, q): pairs of boxes (ident, x1, y1, x2, y2) with some area in common, a before b by ident, and their corners.
+
+    Boxes go to the cells of a grid that they touch. A pair counts in the cell
+    of the corner where its common area begins, so it comes once.
+    """
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+    rows = boxes.where("x1 < x2 and y1 < y2").select(*keys, F.col(ident).alias("i"), F.struct("x1", "y1", "x2", "y2").alias("box"), cells("x1", "x2").alias("__cx"), "y1", "y2")
+    rows = rows.withColumn("__cy", cells("y1", "y2"))
+    a, b = (rows.select(*keys, "__cx", "__cy", F.col("i").alias(i), F.col("box").alias(n)) for i, n in (("a", "p"), ("b", "q")))
+    left, top = F.greatest("p.x1", "q.x1"), F.greatest("p.y1", "q.y1")
+    common = (F.least("p.x2", "q.x2") > left) & (F.least("p.y2", "q.y2") > top)
+    here = (F.floor(left / cell) == F.col("__cx")) & (F.floor(top / cell) == F.col("__cy"))
+    return a.join(b, [*keys, "__cx", "__cy"]).where((F.col("a") < F.col("b")) & common & here).drop("__cx", "__cy")
+
+
+def unpaired(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The keys of left, once each, that right doesn't have."""
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")

@@ -88,3 +88,43 @@ def tuned_parameters(density="density", spacing="spacing", width="width") -> lis
 def bracket_parameters(systems: DataFrame, keys: list[str], pad: int = 50) -> DataFrame:
     """Rows and settings of the bracket search: the systems' extent with a margin, 1.5 times the lowest system, half the mean spacing."""
     return systems.groupBy(*keys).agg(F.greatest(F.lit(0), F.min("top") - pad).alias("y_from"), (F.max("bottom") + pad).alias("y_to"), (F.min("height") * 1.5).cast("int").alias("min_length"), (F.avg("avg_spacing") * 0.5).cast("int").alias("max_gap"))
+
+
+def intersection_margin(lines: DataFrame, keys: list[str], config: DetectionConfig = DEFAULT) -> DataFrame:
+    """(keys, margin): rows around a staff line that count for it, a share of the median spacing under 30 (or of the default), 2 at least."""
+    spacing = islands.median_spacing(lines, keys, "y", under=30)
+    pages = lines.select(*keys).distinct().join(spacing, keys, "left")
+    share = F.coalesce("spacing", F.lit(DEFAULT_SPACING)) * config.barline_roi_margin_ratio
+    return pages.select(*keys, F.greatest(F.lit(2), share.cast("int")).alias("margin"))
+
+
+def crossings(barlines: DataFrame, pixels: DataFrame, lines: DataFrame, keys: list[str], config: DetectionConfig = DEFAULT) -> DataFrame:
+    """(keys, id, x, y): the staff lines (y) of the page that have a set pixel in the barline's own column within the margin."""
+    near = lines.join(intersection_margin(lines, keys, config), keys).select(*keys, "y", F.explode(F.sequence(F.col("y") - F.col("margin"), F.col("y") + F.col("margin"))).alias("__y"))
+    column = barlines.select(*keys, "id", "x").join(pixels.withColumnRenamed("y", "__y"), [*keys, "x"])
+    return column.join(near, [*keys, "__y"]).select(*keys, "id", "x", "y").distinct()
+
+
+def valid_on_page(barlines: DataFrame, pixels: DataFrame, staffs: DataFrame, keys: list[str], config: DetectionConfig = DEFAULT, least: int = 3) -> DataFrame:
+    """Barlines (id, x) that cross `least` lines of the page, and one whole staff of five (staff, y) if the page has five lines."""
+    lines = staffs.select(*keys, "y").distinct()
+    enough = crossings(barlines, pixels, lines, keys, config).groupBy(*keys, "id", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    five = staffs.groupBy(*keys, "staff").agg(F.count(F.lit(1)).alias("k"), F.min("y").alias("top"), F.max("y").alias("bottom")).where("k >= 5")
+    candidates = enough.select(*keys, "x").distinct().join(five.select(*keys, "staff", "top", "bottom"), keys)
+    whole = valid_for_staff(candidates, pixels, staffs, keys).select(*keys, "x").distinct()
+    many = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("__lines"))
+    found = enough.join(many, keys).join(whole.withColumn("__whole", F.lit(True)), [*keys, "x"], "left").where("__whole or __lines < 5")
+    return barlines.join(found.select(*keys, "id"), [*keys, "id"], "left_semi")
+
+
+def reaches_both_lines(groups: DataFrame, pixels: DataFrame, keys: list[str], margin: int = 2) -> DataFrame:
+    """Groups (x, top, bottom) with a set pixel in their column within margin of the first and of the last staff line."""
+    spots = groups.select(*keys, "x", "top", "bottom").distinct()
+    rows = lambda line: spots.select("*", F.explode(F.sequence(F.col(line) - margin, F.col(line) + margin)).alias("y")).join(pixels, [*keys, "x", "y"], "left_semi").select(*spots.columns).distinct()
+    both = rows("top").join(rows("bottom"), spots.columns, "left_semi")
+    return groups.join(both, spots.columns, "left_semi")
+
+
+def well_formed(candidates: DataFrame, box: str = "box", n: int = 4) -> DataFrame:
+    """Candidates whose box is a list of n numbers."""
+    return candidates.where((F.size(box) == n) & ~F.exists(box, lambda v: v.isNull()))

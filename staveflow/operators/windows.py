@@ -81,3 +81,19 @@ def contiguous_pages(pages: DataFrame, keys: list[str], page: str = "page") -> D
     w = Window.partitionBy(*keys).orderBy(page)
     run = pages.withColumn("__r", F.col(page) - F.row_number().over(w)).withColumn("__f", F.min("__r").over(Window.partitionBy(*keys)))
     return run.where("__r = __f").drop("__r", "__f")
+
+
+def with_y_ranges(rows: DataFrame, systems: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
+    """rows (system_idx, top, bottom) with y_top and y_bottom of their system; of their own height a share more on both sides where the page has no such system."""
+    found = y_ranges(systems, keys).select(*keys, "system_idx", F.col("y_top").alias("__t"), F.col("y_bottom").alias("__b"))
+    more = ((F.col("bottom") - F.col("top")) * share).cast("int")
+    out = rows.join(found, [*keys, "system_idx"], "left")
+    return out.withColumn("y_top", F.coalesce("__t", F.greatest(F.lit(0), F.col("top") - more))).withColumn("y_bottom", F.coalesce("__b", F.col("bottom") + more)).drop("__t", "__b")
+
+
+def playing_order(measures: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, page, group_idx, measure_number, position, next_page, next_group, next_measure): the measures of groups in the order in which they are played, through all measures of a group, then the next group, then the next page; nothing follows the last."""
+    per = measures.select(*keys, "page", "group_idx", "measure_number").distinct()
+    w = Window.partitionBy(*keys).orderBy("page", "group_idx", "measure_number")
+    ahead = lambda c, n: F.lead(c).over(w).alias(n)
+    return per.select("*", F.row_number().over(w).alias("position"), ahead("page", "next_page"), ahead("group_idx", "next_group"), ahead("measure_number", "next_measure"))

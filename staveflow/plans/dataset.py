@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..functions.geometry import corners_to_center, letterbox, rejection
-from ..operators import joins, windows
+from ..operators import aggregates, joins, sampling, windows
+from ..sources import sinks
 
 
 def target_classes(categories: DataFrame, excluded: list[str]) -> DataFrame:
@@ -25,3 +27,38 @@ def label_rows(annotations: DataFrame, images: DataFrame, classes: DataFrame, si
     reason = F.coalesce("reason", F.when(small, "too small"))
     label = corners_to_center(F.col("f.x1"), F.col("f.y1"), F.col("f.x2"), F.col("f.y2"), F.lit(size), F.lit(size))
     return fitted.select("image_id", "ann_id", "class_id", reason.alias("reason"), F.when(reason.isNull(), label).alias("label"))
+
+
+def prepared(annotations: DataFrame, images: DataFrame, categories: DataFrame, excluded: list[str], size: int = 1024, share: float = 0.85) -> dict[str, DataFrame]:
+    """labels, lines, counts and summary of a whole dataset: boxes fitted into a square, each image in one part by a hash of its id.
+
+    labels: (image_id, ann_id, class_id, label, split) of good boxes. lines: a
+    row an image with its label lines. counts: (split, images, labels). summary:
+    one row of what was processed, kept and rejected.
+    """
+    rows = label_rows(annotations, images, target_classes(categories, excluded), size)
+    parts = sampling.stable_split(images.select(F.col("id").alias("image_id")).distinct(), "image_id", share)
+    good = rows.where("reason is null").join(parts, "image_id")
+    flat = good.select(F.col("image_id").alias("image"), "class_id", "label.*")
+    counts = parts.join(good.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")), "image_id", "left").groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.coalesce(F.sum("n"), F.lit(0)).alias("labels"))
+    return {"labels": good.select("image_id", "ann_id", "class_id", "label", "split"), "lines": sinks.label_lines(parts.select(F.col("image_id").alias("image")), flat), "counts": counts, "summary": aggregates.processing_summary(rows)}
+
+
+def sampled(annotations: DataFrame, images: DataFrame, n: int, classes: int) -> DataFrame:
+    """The images (id) of a balanced sample by their annotations (image_id, category_id)."""
+    counts = aggregates.per_image_counts(annotations, "image_id", "category_id").withColumnRenamed("category_id", "cls")
+    picked = sampling.balanced_sample(counts, n, classes, "image_id").select(F.col("image_id").alias("id"))
+    return images.join(picked, "id", "left_semi")
+
+
+def letterboxed_pages(pages: DataFrame, size: int = 1024, pad: int = 255) -> DataFrame:
+    """Page images scaled by their longer side and padded to a square; the boxes of label_rows() fit them."""
+    import numpy as np
+    import pandas as pd
+
+    def run(parts):
+        for part in parts:
+            out = [(r.name, size, size, kernels.letterboxed(np.frombuffer(r.pixels, np.uint8).reshape(int(r.height), int(r.width)), size, pad).tobytes()) for r in part.itertuples()]
+            yield pd.DataFrame(out, columns=["name", "width", "height", "pixels"])
+
+    return pages.where("pixels is not null").select("name", "width", "height", "pixels").mapInPandas(run, "name string, width int, height int, pixels binary")

@@ -24,10 +24,15 @@ def page_systems(lines: DataFrame, config: DetectionConfig = DEFAULT, keys: list
 
 
 def agreed_barlines(barlines: DataFrame, systems: DataFrame, config: DetectionConfig = DEFAULT, keys: list[str] | None = None, tolerance: int | None = None) -> DataFrame:
-    """Barlines (page, system_idx, x) on which enough systems of a group agree."""
+    """Barlines (page, system_idx, x) on which enough systems of a group agree; neighbours belong together up to the tolerance, by default 5, or a share of the page's mean line spacing where systems have avg_spacing and tolerance is negative."""
     keys = keys or ["page"]
+    if tolerance is not None and tolerance < 0:
+        near = systems.groupBy(*keys).agg(F.floor(F.avg("avg_spacing") * config.barline_consensus_tolerance).alias("__near"))
+        barlines, limit = barlines.join(near, keys), F.col("__near")
+    else:
+        limit = F.lit(5 if tolerance is None else tolerance)
     rows = barlines.join(systems.select(*keys, "system_idx", "group_idx"), [*keys, "system_idx"])
-    clusters = islands.islands(rows.withColumn("__o", F.struct("x", "system_idx")), [*keys, "group_idx"], "x", F.col("__gap") > (5 if tolerance is None else tolerance), "cluster").drop("__o")
+    clusters = islands.islands(rows.withColumn("__o", F.struct("x", "system_idx")), [*keys, "group_idx"], "x", F.col("__gap") > limit, "cluster").drop("__o")
     return aggregates.consensus(clusters, systems, keys, config.min_consensus_ratio)
 
 

@@ -95,10 +95,8 @@ def ratio_round_trip(spark, sf_dir):
  (SELECT a.id AS aid, b.id AS bid, (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i FROM ({BOXES}) a JOIN ({BOXES}) b ON a.image = b.image AND a.cls = b.cls AND a.id < b.id
  WHERE least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1)) m JOIN ({BOXES}) a ON a.id = aid JOIN ({BOXES}) b ON b.id = bid""")
 def pairwise_iou(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES).select("id", "image", "cls", F.struct("x1", "y1", "x2", "y2").alias("box"))
-    a, b = rows.select(F.col("id").alias("a"), "image", "cls", F.col("box").alias("p")), rows.select(F.col("id").alias("b"), "image", "cls", F.col("box").alias("q"))
-    met = a.join(b, ["image", "cls"]).where("a < b").withColumn("iou", geo.iou("p", "q"))
-    return met.where("iou > 0").select("a", "b", F.round("iou", 9).alias("iou"))
+    met = joins.overlapping(derived(spark, sf_dir, BOXES), ["image", "cls"])
+    return met.select("a", "b", F.round(geo.iou("p", "q"), 9).alias("iou"))
 
 
 NMS_SQL = f"""WITH b AS ({BOXES}), g AS (SELECT image, cls, list(struct_pack(id := id, x1 := x1, y1 := y1, x2 := x2, y2 := y2) ORDER BY confidence DESC, id) AS l FROM b GROUP BY image, cls),
@@ -113,29 +111,29 @@ def greedy_suppression(spark, sf_dir):
     return folds.greedy_suppression(rows, ["image", "cls"], 0.3).select("id")
 
 
-@query(f"""WITH p AS (SELECT id, page, x, id % 97 AS y FROM ({PLACES}) WHERE id % 3 = 0), t AS (SELECT id AS target_id, page, x, id % 97 AS y FROM ({PLACES}) WHERE id % 3 = 1),
+@query(f"""WITH p AS (SELECT id, page, x, id % 97 AS y FROM ({PLACES})), t AS (SELECT id AS target_id, page, x1 AS x, y1 AS y FROM ({SEGMENTS})),
  m AS (SELECT p.page, p.id, t.target_id, (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) AS d FROM p JOIN t ON p.page = t.page WHERE (p.x - t.x) * (p.x - t.x) + (p.y - t.y) * (p.y - t.y) <= 900)
  SELECT page, id, target_id, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY d, target_id) AS r FROM m) WHERE r = 1""")
 def nearest_join(spark, sf_dir):
-    rows = derived(spark, sf_dir, PLACES).withColumn("y", F.col("id") % 97)
-    found = joins.nearest(rows.where("id % 3 = 0"), rows.where("id % 3 = 1").withColumnRenamed("id", "target_id"), ["page"])
+    points = derived(spark, sf_dir, PLACES).withColumn("y", F.col("id") % 97)
+    targets = derived(spark, sf_dir, SEGMENTS).select("page", F.col("id").alias("target_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    found = joins.nearest(points, targets, ["page"])
     return found.withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH o AS (SELECT id, page, y1 AS y_start, y1 + 200 AS y_end FROM ({SEGMENTS}) WHERE id % 10 = 0), i AS (SELECT page, y1 AS top, y2 AS bottom FROM ({SEGMENTS}))
+@query(f"""WITH o AS (SELECT id, page, y1 AS y_start, y1 + 200 AS y_end FROM ({SEGMENTS})), i AS (SELECT page, y1 AS top, y2 AS bottom FROM ({SEGMENTS}))
  SELECT o.id, count(*) AS n FROM o JOIN i ON o.page = i.page AND i.top >= o.y_start - 20 AND i.bottom <= o.y_end + 20 GROUP BY 1""")
 def interval_containment(spark, sf_dir):
     rows = derived(spark, sf_dir, SEGMENTS)
-    outer = rows.where("id % 10 = 0").select("id", "page", F.col("y1").alias("y_start"), (F.col("y1") + 200).alias("y_end"))
+    outer = rows.select("id", "page", F.col("y1").alias("y_start"), (F.col("y1") + 200).alias("y_end"))
     return joins.contained(outer, rows.select("page", F.col("y1").alias("top"), F.col("y2").alias("bottom")), ["page"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH p AS (SELECT * FROM ({PLACES}) WHERE id % 4 <> 0), s AS (SELECT page, x AS start, max(id) AS value FROM ({PLACES}) WHERE id % 4 = 0 GROUP BY page, x)
- SELECT p.id, p.page, p.x, s.value FROM p ASOF LEFT JOIN s ON p.page = s.page AND p.x >= s.start""")
+@query(f"""WITH s AS (SELECT page, x1 AS start, max(id) AS value FROM ({SEGMENTS}) GROUP BY page, x1)
+ SELECT p.id, p.page, p.x, s.value FROM ({PLACES}) p ASOF LEFT JOIN s ON p.page = s.page AND p.x >= s.start""")
 def range_assign(spark, sf_dir):
-    rows = derived(spark, sf_dir, PLACES)
-    starts = rows.where("id % 4 = 0").groupBy("page", F.col("x").alias("start")).agg(F.max("id").alias("value"))
-    return joins.range_assign(rows.where("id % 4 <> 0"), starts, ["page"])
+    starts = derived(spark, sf_dir, SEGMENTS).groupBy("page", F.col("x1").alias("start")).agg(F.max("id").alias("value"))
+    return joins.range_assign(derived(spark, sf_dir, PLACES), starts, ["page"])
 
 
 @query("SELECT count(*) FILTER (WHERE d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS matched, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE d.doc_id IS NULL) AS orphans FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
@@ -143,8 +141,8 @@ def pair_matching(spark, sf_dir):
     return joins.pairing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""SELECT l_orderkey * 10 + l_linenumber AS ann_id, o_orderstatus AS image_status, CASE WHEN min(l_partkey) % 5 < 3 THEN min(l_partkey) % 5 ELSE min(l_suppkey) % 3 END AS category_id, p_name AS category_name
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = (SELECT 0) + 0 GROUP BY ALL""".replace("JOIN part ON p_partkey = (SELECT 0) + 0 GROUP BY ALL", "GROUP BY l_orderkey, l_linenumber, o_orderstatus").replace("SELECT l_orderkey", "SELECT a.ann_id, a.image_status, a.category_id, p_name AS category_name FROM (SELECT l_orderkey").replace(", p_name AS category_name\n", "\n") + ") a JOIN part ON p_partkey = a.category_id")
+@query("""WITH a AS (SELECT l_orderkey * 10 + l_linenumber AS ann_id, o_orderstatus AS image_status, CASE WHEN min(l_partkey) % 5 < 3 THEN min(l_partkey) % 5 ELSE min(l_suppkey) % 3 END AS category_id
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber, o_orderstatus) SELECT a.*, p_name AS category_name FROM a JOIN part ON p_partkey = a.category_id""")
 def annotation_category(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ann_id"), F.col("l_orderkey").alias("image_id")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     cats = F.array((F.col("p") % 5 + F.when(F.col("p") % 5 < 3, 0).otherwise(1_000_000)), F.col("s") % 3)
@@ -165,12 +163,11 @@ def class_remap(spark, sf_dir):
     return joins.remapped(derived(spark, sf_dir, BOXES).select("image", F.col("cls").alias("class_id")), mapping).groupBy("image", "class_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH g AS (SELECT DISTINCT page, x % 20 AS group_idx, x % 7 AS s FROM ({PLACES})), b AS (SELECT page, id AS pos, x, x % 7 AS s FROM ({PLACES}) WHERE id % 9 = 0)
+@query(f"""WITH g AS (SELECT DISTINCT page, x % 20 AS group_idx, x % 7 AS s FROM ({PLACES})), b AS (SELECT page, id AS pos, x1 AS x, y1 % 7 AS s FROM ({SEGMENTS}))
  SELECT g.page, g.group_idx, coalesce(arg_min(b.x, b.pos), 0) AS bracket_x FROM g LEFT JOIN b ON g.page = b.page AND g.s = b.s GROUP BY 1, 2""")
 def first_overlap(spark, sf_dir):
-    rows = derived(spark, sf_dir, PLACES)
-    groups = rows.groupBy("page", (F.col("x") % 20).alias("group_idx")).agg(F.collect_set(F.col("x") % 7).alias("systems"))
-    brackets = rows.where("id % 9 = 0").select("page", F.col("id").alias("pos"), "x", F.array(F.col("x") % 7).alias("covered_systems"))
+    groups = derived(spark, sf_dir, PLACES).groupBy("page", (F.col("x") % 20).alias("group_idx")).agg(F.collect_set(F.col("x") % 7).alias("systems"))
+    brackets = derived(spark, sf_dir, SEGMENTS).select("page", F.col("id").alias("pos"), F.col("x1").alias("x"), F.array(F.col("y1") % 7).alias("covered_systems"))
     return joins.first_overlapping(groups, brackets, ["page"]).select("page", "group_idx", "bracket_x")
 
 
@@ -328,8 +325,7 @@ def per_class_top_images(spark, sf_dir):
 
 @query("""SELECT CASE WHEN contains(lower(p_name), 'widget') THEN 'widgets' WHEN contains(lower(p_name), 'ring') THEN 'rings' ELSE 'other' END AS category, count(*) AS n FROM part GROUP BY 1""")
 def category_counts(spark, sf_dir):
-    low = F.lower("p_name")
-    cat = F.when(low.contains("widget"), "widgets").when(low.contains("ring"), "rings").otherwise("other")
+    cat = names.category(F.col("p_name"), (("widget", "widgets"), ("ring", "rings")))
     return table(spark, sf_dir, "part").groupBy(cat.alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -354,7 +350,7 @@ def composite_best(spark, sf_dir):
     return aggregates.best_by_composite(aggregates.scale_summary(rows)).withColumn("composite", F.round("composite", 9))
 
 
-@query(f"SELECT page, arg_min(v, (-n, f)) AS value, max(n) AS votes FROM (SELECT page, x % 5 AS v, count(*) AS n, min(id) AS f FROM ({PLACES}) GROUP BY 1, 2) GROUP BY 1".replace("arg_min(v, (-n, f))", "arg_min(v, -n * 1000000000 + f)"))
+@query(f"SELECT page, arg_min(v, -n * 1000000000 + f) AS value, max(n) AS votes FROM (SELECT page, x % 5 AS v, count(*) AS n, min(id) AS f FROM ({PLACES}) GROUP BY 1, 2) GROUP BY 1")
 def majority_vote(spark, sf_dir):
     return aggregates.majority(derived(spark, sf_dir, PLACES).withColumn("value", F.col("x") % 5), ["page"], "value", "id")
 
@@ -383,7 +379,7 @@ def line_extents(spark, sf_dir):
 
 @query(f"SELECT page, round(count(*) / (64.0 * max(y)), 9) AS density FROM ({PIXELS_SQL}) GROUP BY 1")
 def pixel_density(spark, sf_dir):
-    return pixels(spark, sf_dir).groupBy("page").agg(F.round(F.count(F.lit(1)) / (F.lit(64.0) * F.max("y")), 9).alias("density"))
+    return aggregates.ink_density(pixels(spark, sf_dir), ["page"], 64).withColumn("density", F.round("density", 9))
 
 
 @query(f"SELECT image, x1 // 100 AS g, CAST(trunc(median(x1)) AS INT) AS x, min(y1) AS y_start, max(y2) AS y_end FROM ({BOXES}) GROUP BY 1, 2")
@@ -493,11 +489,12 @@ def full_span(spark, sf_dir):
     return staff.select("page", "grp", validation.spans_staff(max_length=F.lit(565)).alias("spans"))
 
 
-@query(f"""WITH e AS (SELECT page, min(x) AS a, max(x) AS b FROM ({PLACES}) WHERE id % 30 = 0 AND page % 4 <> 0 GROUP BY 1) SELECT p.page, p.id, p.x FROM ({PLACES}) p LEFT JOIN e ON p.page = e.page WHERE a IS NULL OR p.x BETWEEN a - 50 AND b + 50""")
+@query(f"""WITH e AS (SELECT image AS page, min(x1) + 400 AS a, max(x1) + 500 AS b FROM ({BOXES}) WHERE image % 4 <> 0 GROUP BY 1) SELECT p.page, p.id, p.x FROM ({PLACES}) p LEFT JOIN e ON p.page = e.page WHERE a IS NULL OR p.x BETWEEN a - 50 AND b + 50""".replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 4 <> 0").replace(" WHERE image % 4 <> 0", ""))
 def within_bounds(spark, sf_dir):
-    rows = derived(spark, sf_dir, PLACES)
-    extents = rows.where("id % 30 = 0 and page % 4 <> 0").select("page", F.col("x").alias("x_start"), F.col("x").alias("x_end"))
-    return validation.within_bounds(rows, extents, ["page"]).select("page", "id", "x")
+    """Pages with a number divisible by four have no lines, and keep all."""
+    lines = derived(spark, sf_dir, BOXES.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 4 <> 0"))
+    extents = lines.select(F.col("image").alias("page"), (F.col("x1") + 400).alias("x_start"), (F.col("x1") + 500).alias("x_end"))
+    return validation.within_bounds(derived(spark, sf_dir, PLACES), extents, ["page"]).select("page", "id", "x")
 
 
 RUNS_SQL = f"r AS (SELECT page, x, min(y) AS y_start, max(y) AS y_end FROM (SELECT *, y - row_number() OVER (PARTITION BY page, x ORDER BY y) AS k FROM ({PIXELS_SQL})) GROUP BY page, x, k)"
@@ -539,18 +536,21 @@ def bracket_parameters(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT page, id, floor((x1 + x2) / 2.0) AS x, floor((y1 + y2) / 2.0) AS y FROM ({SEGMENTS}) WHERE abs(CASE WHEN x2 = x1 THEN 90.0 ELSE degrees(atan((y2 - y1) / CAST(x2 - x1 AS DOUBLE))) END) > 75),
- n AS (SELECT page, id AS target_id, x1 AS x, y1 AS y FROM ({SEGMENTS}) WHERE id % 2 = 0), m AS (SELECT s.page, s.id, target_id, (s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) AS d FROM s JOIN n ON s.page = n.page)
+ n AS (SELECT image AS page, id AS target_id, x1 AS x, y1 AS y FROM ({BOXES})), m AS (SELECT s.page, s.id, target_id, (s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) AS d FROM s JOIN n ON s.page = n.page)
  SELECT page, id, target_id AS associated_notehead, round(sqrt(d), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY page, id ORDER BY d, target_id) AS k FROM m WHERE d <= 900) WHERE k = 1""")
 def stems_near_noteheads(spark, sf_dir):
-    rows = derived(spark, sf_dir, SEGMENTS)
-    heads = rows.where("id % 2 = 0").select("page", F.col("id").alias("target_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    return symbols.stems(rows, heads).select("page", "id", "associated_notehead", F.round("distance", 6).alias("distance"))
+    heads = derived(spark, sf_dir, BOXES).select(F.col("image").alias("page"), F.col("id").alias("target_id"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return symbols.stems(derived(spark, sf_dir, SEGMENTS), heads).select("page", "id", "associated_notehead", F.round("distance", 6).alias("distance"))
+
 
+TILED_SQL = f"SELECT id, image, cls, confidence, x1 % 300 + (id % 4) % 2 * 200 AS x1, x1 % 300 + w + (id % 4) % 2 * 200 AS x2, y1 % 300 + (id % 4) // 2 * 200 AS y1, y1 % 300 + h + (id % 4) // 2 * 200 AS y2 FROM ({BOXES})"
 
-@query(NMS_SQL.replace(f"WITH b AS ({BOXES})", f"WITH b AS (SELECT id, image, cls, confidence, x1 + 500 AS x1, x2 + 500 AS x2, y1 + 300 AS y1, y2 + 300 AS y2 FROM ({BOXES}))").replace(">= 0.3", ">= 0.5"))
+
+@query(NMS_SQL.replace(f"WITH b AS ({BOXES})", f"WITH b AS ({TILED_SQL})").replace(">= 0.3", ">= 0.5"))
 def tiled_detections(spark, sf_dir):
-    rows = derived(spark, sf_dir, BOXES).select("id", "image", "cls", "confidence", "x1", "y1", "x2", "y2").withColumn("tile", F.lit(1))
-    return symbols.tiled(spark.createDataFrame([(1, 500, 300)], "tile int, tile_x int, tile_y int"), rows).select("id")
+    """Boxes found in four tiles that overlap by a third."""
+    rows = derived(spark, sf_dir, BOXES).selectExpr("id", "image", "cls", "confidence", "x1 % 300 AS x1", "x1 % 300 + w AS x2", "y1 % 300 AS y1", "y1 % 300 + h AS y2", "id % 4 AS tile")
+    return symbols.tiled(spark.createDataFrame([(i, i % 2 * 200, i // 2 * 200) for i in range(4)], "tile int, tile_x int, tile_y int"), rows).select("id")
 
 
 @query(f"SELECT id, round(x1 / 1000.0, 9) AS x1, round(y1 / 1300.0, 9) AS y1, round(x2 / 1000.0, 9) AS x2, round(y2 / 1300.0, 9) AS y2 FROM ({BOXES})")
@@ -597,16 +597,17 @@ def merged_results(spark, sf_dir):
     return out.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count("angle").alias("with_angle"))
 
 
-@query(f"SELECT page, id, x FROM ({PLACES}) WHERE page % 3 <> 0 UNION ALL SELECT page, id, x + 1 FROM ({PLACES}) WHERE page % 3 = 0 AND id % 2 = 0")
+@query(f"SELECT page, id, x FROM ({PLACES}) p WHERE page NOT IN (SELECT user_id FROM events WHERE event_type = 'error') UNION ALL SELECT page, id, x + 1 FROM ({PLACES}) WHERE id IN (SELECT event_id FROM events WHERE event_type = 'error')")
 def page_upsert(spark, sf_dir):
-    rows = derived(spark, sf_dir, PLACES)
-    patch = rows.where("page % 3 = 0 and id % 2 = 0").withColumn("x", F.col("x") + 1)
-    return sinks.upsert(rows.where("page % 3 <> 0 or id % 2 = 1"), patch, ["page"]).where("page % 3 <> 0 or id % 2 = 0").select("page", "id", "x")
+    """Pages with errors are analysed anew; all that was stored of them goes."""
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("id"))
+    patch = derived(spark, sf_dir, PLACES).join(errors, "id", "left_semi").withColumn("x", F.col("x") + 1)
+    return sinks.upsert(derived(spark, sf_dir, PLACES), patch, ["page"]).select("page", "id", "x")
 
 
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def unlabelled(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
+    return joins.unpaired(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query(f"SELECT CASE WHEN bool_and(n > 0) THEN 'PASS' ELSE 'FAIL' END AS overall, count(*) FILTER (WHERE n > 0) AS passed, count(*) FILTER (WHERE NOT n > 0) AS failed, CAST(sum(n) AS BIGINT) AS seconds FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
@@ -620,15 +621,16 @@ def shard_split(spark, sf_dir):
     return sampling.shard_split(table(spark, sf_dir, "events").select(F.col("event_type").alias("shard"))).distinct()
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'), doc_id LIMIT 100")
 def stable_sample(spark, sf_dir):
-    """Hashes differ between engines: the rows only."""
     return sampling.stable_sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100)
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '-42'), 1, 7) AS BIGINT) % 10000 < 8500 THEN 'train' ELSE 'val' END AS split FROM documents")
 def stable_split(spark, sf_dir):
-    return sampling.stable_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.stable_split(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 FLAGSHIP = "measures_from_barlines"
+
+from . import page_queries  # noqa: E402, F401

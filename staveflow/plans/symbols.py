@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import is_vertical, segment_metrics, to_ratio
+from ..functions.labels import is_notehead
 from ..operators import folds, joins, windows
 from ..sources import sinks
 from ..sources.detectors import in_tiles
 
-# Classes of noteheads, and the model's class of stems.
-NOTEHEADS = ("noteheadBlackOnLine", "noteheadBlackInSpace", "noteheadHalfOnLine")
+# Fixed value: the model's class of stems.
 STEM_CLASS = 1
 
 
@@ -49,3 +49,10 @@ def absolute_numbers(measures: DataFrame, keys: list[str] | None = None) -> Data
 def labelled_images(images: DataFrame, labels: DataFrame) -> DataFrame:
     """Images (image) that have a label row."""
     return images.join(labels.select("image").distinct(), "image", "left_semi")
+
+
+def stems_of_detections(segments: DataFrame, detections: DataFrame, keys: list[str] | None = None, reach: float = 30) -> DataFrame:
+    """stems() with the noteheads among detections (id, class_name, x1, y1, x2, y2), by their middles."""
+    keys = keys or ["page"]
+    heads = detections.where(is_notehead(F.col("class_name"))).select(*keys, F.col("id").alias("target_id"), F.floor((F.col("x1") + F.col("x2")) / 2).alias("x"), F.floor((F.col("y1") + F.col("y2")) / 2).alias("y"))
+    return stems(segments, heads, keys, reach)

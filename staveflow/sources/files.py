@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import ANNOTATIONS_JSON
@@ -14,7 +17,16 @@ from ..schemas import ANNOTATIONS_JSON
 def annotation_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row a file with maps of images, annotations and categories; shard is the number in its name."""
     rows = spark.read.schema(ANNOTATIONS_JSON).option("multiLine", True).json(paths)
-    return rows.withColumn("file", F.input_file_name()).withColumn("shard", F.expr(r"try_cast(regexp_extract(file, '([0-9]+)[.]json', 1) as int)"))
+    return with_shard(rows.withColumn("file", F.input_file_name()))
+
+
+def annotation_documents(documents: DataFrame) -> DataFrame:
+    """The same from rows (file, value) that hold whole documents as text."""
+    return with_shard(documents.select(F.from_json("value", ANNOTATIONS_JSON).alias("d"), "file").select("d.*", "file"))
+
+
+def with_shard(files: DataFrame) -> DataFrame:
+    return files.withColumn("shard", F.expr(r"try_cast(regexp_extract(file, '([0-9]+)[.]json', 1) as int)"))
 
 
 def images(files: DataFrame) -> DataFrame:
@@ -36,17 +48,36 @@ def annotations(files: DataFrame, wanted: list[str] | None = None, excluded: lis
     return out if excluded is None else out.where(~F.col("category_id").isin(excluded))
 
 
+def annotation_counters(files: DataFrame, excluded: list[str]) -> DataFrame:
+    """One row (total, kept, excluded, without_category, without_box) of all annotations, in one pass."""
+    ids = F.filter("a.cat_id", lambda c: c.isNotNull() & (c != ""))
+    rows = files.select(F.explode("annotations").alias("ann_id", "a")).select(F.try_element_at(ids, F.lit(1)).alias("c"), (F.coalesce(F.size("a.a_bbox"), F.lit(0)) == 4).alias("boxed"))
+    out = F.col("c").isin(excluded)
+    count = lambda when: F.count(F.when(when, 1))
+    return rows.agg(F.count(F.lit(1)).alias("total"), count(F.col("c").isNotNull() & F.col("boxed") & ~out).alias("kept"), count(out & F.col("boxed")).alias("excluded"), count(F.col("c").isNull()).alias("without_category"), count(F.col("c").isNotNull() & ~F.col("boxed")).alias("without_box"))
+
+
 def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(image, class_id, xc, yc, w, h, conf) of label files; five or six numbers a line, others are skipped, conf 1.0 where it lacks."""
-    rows = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("image"), F.split(F.trim("value"), r"\s+").alias("p"))
+    """label_numbers() of label files, with the file's name as image."""
+    return label_numbers(spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("image"), "value"))
+
+
+def label_numbers(lines: DataFrame) -> DataFrame:
+    """(image, class_id, xc, yc, w, h, conf) of lines (image, value) of five or six numbers; others are skipped, conf 1.0 where it lacks."""
+    rows = lines.select("image", F.split(F.trim("value"), r"\s+").alias("p"))
     num = lambda i, t="double": F.expr(f"try_cast(get(p, {i}) as {t})")
     out = rows.where(F.size("p").isin(5, 6)).select("image", num(0, "int").alias("class_id"), num(1).alias("xc"), num(2).alias("yc"), num(3).alias("w"), num(4).alias("h"), F.coalesce(num(5), F.lit(1.0)).alias("conf"))
     return out.where("class_id is not null and xc is not null and yc is not null and w is not null and h is not null")
 
 
 def class_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name) of lines `id: name`; malformed ones are skipped."""
-    rows = spark.read.text(path).select(F.split(F.trim("value"), r":\s*", 2).alias("p"))
+    """class_lines() of a file."""
+    return class_lines(spark.read.text(path))
+
+
+def class_lines(lines: DataFrame) -> DataFrame:
+    """(id, name) of lines (value) `id: name`; malformed ones are skipped."""
+    rows = lines.select(F.split(F.trim("value"), r":\s*", 2).alias("p"))
     return rows.where("size(p) = 2").select(F.expr("try_cast(p[0] as int)").alias("id"), F.trim(F.col("p")[1]).alias("name")).where("id is not null and name <> ''")
 
 
@@ -59,8 +90,18 @@ def class_mapping(spark: SparkSession, path: str) -> DataFrame:
 def stored_results(spark: SparkSession, path: str) -> DataFrame:
     """(file, page, measures, symbols) of stored document results, one row a page, in no order."""
     schema = "metadata map<string, string>, pages map<string, struct<page_number: int, measures: map<string, string>, symbols: map<string, string>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.select(F.input_file_name().alias("file"), F.explode("pages").alias("key", "p")).select("file", F.expr("coalesce(p.page_number, try_cast(key as int))").alias("page"), "p.measures", "p.symbols")
+    return result_pages(spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name()))
+
+
+def result_pages(documents: DataFrame) -> DataFrame:
+    """(file, page, measures, symbols) of documents (file, pages)."""
+    return documents.select("file", F.explode("pages").alias("key", "p")).select("file", F.expr("coalesce(p.page_number, try_cast(key as int))").alias("page"), "p.measures", "p.symbols")
+
+
+def stored_page(results: DataFrame, wanted: int) -> DataFrame:
+    """The rows of one stored page of each file: the wanted one, or the first there is where it lacks."""
+    w = Window.partitionBy("file").orderBy((F.col("page") != wanted).cast("int"), "page")
+    return results.withColumn("__r", F.dense_rank().over(w)).where("__r = 1").drop("__r")
 
 
 def page_range(spark: SparkSession, text: str | None, pages: DataFrame) -> DataFrame:
@@ -73,7 +114,7 @@ def page_range(spark: SparkSession, text: str | None, pages: DataFrame) -> DataF
     return pages.join(wanted, "page", "left_semi")
 
 
-def page_files(spark: SparkSession, path: str, glob: str = "*.{pgm,PGM}") -> DataFrame:
+def page_files(spark: SparkSession, path: str, glob: str = "*.{pgm,PGM,png,PNG}") -> DataFrame:
     """(path, name, content) of image files by glob."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
@@ -104,6 +145,89 @@ def decode_pgm(content: bytes) -> tuple[int, int, bytes]:
     return width, height, pixels
 
 
+def decode_png(content: bytes) -> tuple[int, int, bytes]:
+    """(width, height, gray bytes) of a PNG image without interlacing: gray, colour, palette, with or without alpha, 1 to 16 bits. Colours weigh 0.299, 0.587 and 0.114; alpha is left out."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
+    at, data, palette, head = 8, b"", None, None
+    while at + 8 <= len(content):
+        size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        body = content[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + size
+    if head is None or not data:
+        raise ValueError("the image is cut short")
+    width, height, depth, colour, _, _, interlaced = head
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if channels is None or interlaced or depth not in (1, 2, 4, 8, 16):
+        raise ValueError("a kind of PNG that isn't read")
+    try:
+        raw = zlib.decompress(data)
+    except zlib.error as e:
+        raise ValueError(str(e)) from e
+    row, step = -(-width * channels * depth // 8), max(1, channels * depth // 8)
+    if len(raw) < height * (row + 1):
+        raise ValueError("the image is cut short")
+    rows = _unfiltered(np.frombuffer(raw, np.uint8)[: height * (row + 1)].reshape(height, row + 1), step)
+    if depth == 16:
+        values = rows.reshape(height, -1, 2)[:, :, 0]
+    elif depth == 8:
+        values = rows
+    else:
+        bits = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(height, width, depth)
+        values = bits @ (1 << np.arange(depth - 1, -1, -1)).astype(np.uint8)
+        values = values if colour == 3 else (values.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    pixels = values.reshape(height, width, channels)
+    if colour == 3:
+        if palette is None or pixels.max(initial=0) >= len(palette):
+            raise ValueError("a colour that the palette lacks")
+        pixels = palette[pixels[:, :, 0]]
+    if pixels.shape[2] >= 3:
+        pixels = (pixels[:, :, :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114]) + 0.5).astype(np.uint8)[:, :, None]
+    return width, height, pixels[:, :, 0].tobytes()
+
+
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    """The bytes of rows that begin with their filter's number; step is the distance of a byte to the one on its left."""
+    out = np.zeros((len(rows) + 1, rows.shape[1] - 1), np.uint8)
+    for y, (kind, line) in enumerate(zip(rows[:, 0], rows[:, 1:], strict=True)):
+        above, now = out[y], out[y + 1]
+        if kind == 1:
+            # sums of each byte column of the pixels wrap around as they should
+            for k in range(step):
+                now[k::step] = np.cumsum(line[k::step], dtype=np.uint8)
+        elif kind == 2:
+            now[:] = line + above
+        elif kind in (3, 4):
+            left, corner = [0] * step, [0] * step
+            up, value = above.tolist(), line.tolist()
+            for x, v in enumerate(value):
+                a, b, c = left[x % step], up[x], corner[x % step]
+                if kind == 3:
+                    v += (a + b) >> 1
+                else:
+                    p = a + b - c
+                    near = abs(p - a), abs(p - b), abs(p - c)
+                    v += a if near[0] <= near[1] and near[0] <= near[2] else b if near[1] <= near[2] else c
+                left[x % step], corner[x % step] = v & 255, b
+                now[x] = v & 255
+        elif kind == 0:
+            now[:] = line
+        else:
+            raise ValueError("an unknown filter")
+    return out[1:]
+
+
+def decode_image(content: bytes) -> tuple[int, int, bytes]:
+    """(width, height, gray bytes) of a PNG or PGM image, told apart by how it begins."""
+    return decode_png(content) if content[:4] == b"\x89PNG" else decode_pgm(content)
+
+
 def decoded_pages(files: DataFrame) -> DataFrame:
     """(name, width, height, pixels, error): a file that can't be decoded has an error and stops no other."""
 
@@ -112,8 +236,8 @@ def decoded_pages(files: DataFrame) -> DataFrame:
             out = []
             for name, content in zip(part["name"], part["content"], strict=True):
                 try:
-                    out.append((name, *decode_pgm(bytes(content)), None))
-                except (ValueError, IndexError) as e:
+                    out.append((name, *decode_image(bytes(content)), None))
+                except (ValueError, IndexError, struct.error) as e:
                     out.append((name, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["name", "width", "height", "pixels", "error"]).astype({"width": "Int32", "height": "Int32"})
 

@@ -75,3 +75,17 @@ def require_classes(classes: DataFrame, names: list[str]) -> DataFrame:
 def upsert(stored: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
     """stored with the pages of patch put in place of their own."""
     return stored.join(patch.select(*keys).distinct(), keys, "left_anti").unionByName(patch, allowMissingColumns=True)
+
+
+def document_results(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, document): one JSON document with metadata (total_pages, total_measures, total_symbols) and pages by their number as text; pages (page, measures, symbols, signature)."""
+    entry = F.struct(F.col("page").cast("string").alias("key"), F.struct(F.col("page").alias("page_number"), "measures", "symbols", "signature").alias("value"))
+    whole = pages.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page", entry.alias("e")))).alias("p"), F.count(F.lit(1)).alias("total_pages"), F.sum("measures").alias("total_measures"), F.sum("symbols").alias("total_symbols"))
+    body = F.struct(F.struct("total_pages", "total_measures", "total_symbols").alias("metadata"), F.map_from_entries(F.transform("p", lambda x: x["e"])).alias("pages"))
+    return whole.select(*keys, F.to_json(body).alias("document"))
+
+
+def excluded_classes(classes: DataFrame, excluded: list[str]) -> DataFrame:
+    """(document): one JSON document of the classes (id, name) that are left out, by id, and their number."""
+    gone = classes.where(F.col("name").isin(excluded)).select(F.struct("id", "name").alias("c"))
+    return gone.agg(F.array_sort(F.collect_list("c")).alias("excluded")).select(F.to_json(F.struct(F.size("excluded").alias("n"), "excluded")).alias("document"))

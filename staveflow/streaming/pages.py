@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 
-def page_stream(spark: SparkSession, path: str, glob: str = "*.{pgm,PGM}", per_trigger: int = 100) -> DataFrame:
+def page_stream(spark: SparkSession, path: str, glob: str = "*.{pgm,PGM,png,PNG}", per_trigger: int = 100) -> DataFrame:
     """(path, name, content) of image files as they arrive."""
     rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).option("maxFilesPerTrigger", per_trigger).load(path)
     return rows.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content")
