@@ -7,18 +7,24 @@ back by probing level after level until one is absent, as two to the number of
 levels less one: never over the true count but for the filter's rare false hits.
 
 The probability of a word after another mixes both counts:
-P(w | h) = k * min(1, 2^(levels - 1) / c(h)) + (1 - k) * (c(w) + 0.5) / (N + 0.5 (V + 1)),
-k = MIX * c(h) / (c(h) + HALF). It sums to 1 at most over the words. Nothing is
-broadcast: each row group, of training or not, gets back the counts of its own
-words and the levels of its own pairs.
+P(w | h) = k * min(1, s / c(h)) + (1 - k) * (c(w) + 0.5) / (N + 0.5 (V + 1)),
+k = MIX * c(h) / (c(h) + HALF), where s is 2^(levels - 1), but for pairs seen
+once, at one level, what Good and Turing say that such a pair is worth: twice
+the number of pairs seen twice over that of pairs seen once (LEAST_ONCE at
+least, 1 at most). It sums to 1 at most over the words, but for the filter's
+rare false hits. Nothing is broadcast: each row group, of training or not, gets back the counts of its own words and
+the levels of its own pairs.
 
 The filter has one segment for each hash range of pairs, of BITS bits an entry
 at every size of the corpus. A segment is built and probed where its range is,
 so it grows no more than a range does. Classes of words and pairs are by 64-bit
 and 48-bit hashes.
 
-Null texts are empty and score their end token. A null doc_id counts as the
-empty text in the choice of training rows.
+Null texts are empty and score their end token; long ones are scored whole. A
+null doc_id counts as the empty text in the choice of training rows, and a null
+in the column that chooses them leaves a row out of training. Rows that repeat
+are learned from and scored each; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from . import text as tx
 from .frames import by_group, checkpoint, laid_out, pack48, packed, range_of, read, split_by_range, stable, unpack48, unpacked
 
 MIN_COUNT, BITS, PROBES = 1, 12, 3
-MIX, HALF = 0.25, 8.0
+MIX, HALF, LEAST_ONCE = 0.5, 8.0, 0.25
 END, BEGIN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -103,7 +109,7 @@ def levels_of(seen: np.ndarray) -> np.ndarray:
 
 
 def _gathered(rows: DataFrame, group_bytes: int, ranges: int) -> DataFrame:
-    """(g, b, counts, levels): word counts and levels of pairs for group g in range b; and with g = -1 one row a range with its V and N."""
+    """(g, b, counts, levels): word counts and levels of pairs for group g in range b; and with g = -1 one row a range with its V, N, and pairs seen once and twice."""
 
     def keys_of(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         doc, tok, before = tokens(*tx.text_bytes(table.column("text")))
@@ -146,11 +152,11 @@ def _gathered(rows: DataFrame, group_bytes: int, ranges: int) -> DataFrame:
         levels = dict(zip(two.column("g").to_pylist(), [back[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], strict=True))
         to = sorted({*counts, *levels})
         none = [0] * len(to)
-        columns = [pa.array([*to, -1], pa.int64()), pa.array([table.column("b")[0].as_py()] * (len(to) + 1), pa.int32()), *(pa.array([*map(x.get, to), None], pa.binary()) for x in (counts, levels)), pa.array([*none, int((total > 0).sum())], pa.int64()), pa.array([*none, int(total.sum())], pa.int64())]
-        return pa.table(columns, ["g", "b", "counts", "levels", "v", "n"])
+        columns = [pa.array([*to, -1], pa.int64()), pa.array([table.column("b")[0].as_py()] * (len(to) + 1), pa.int32()), *(pa.array([*map(x.get, to), None], pa.binary()) for x in (counts, levels)), pa.array([*none, int((total > 0).sum())], pa.int64()), pa.array([*none, int(total.sum())], pa.int64()), *(pa.array([*none, int((seen == k).sum())], pa.int64()) for k in (1, 2))]
+        return pa.table(columns, ["g", "b", "counts", "levels", "v", "n", "once", "twice"])
 
     blocks = by_group(rows.select("text", "train"), group_bytes, keys_of, "b int, g long, words binary, times binary, pairs binary, few binary, at binary, n binary")
-    return blocks.groupBy("b").applyInArrow(count, "g long, b int, counts binary, levels binary, v long, n long")
+    return blocks.groupBy("b").applyInArrow(count, "g long, b int, counts binary, levels binary, v long, n long, once long, twice long")
 
 
 def scored(docs: DataFrame, train: str = "train") -> DataFrame:
@@ -158,7 +164,8 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
     rows = stable(docs).select("doc_id", "text", F.coalesce(F.col(train), F.lit(False)).alias("train"))
     group_bytes, ranges, _ = laid_out(rows)
     got = checkpoint(_gathered(rows, group_bytes, ranges))
-    v, n = (x or 0 for x in got.where("g = -1").agg(F.sum("v"), F.sum("n")).first())
+    v, n, once, twice = (x or 0 for x in got.where("g = -1").agg(F.sum("v"), F.sum("n"), F.sum("once"), F.sum("twice")).first())
+    worth = min(1.0, max(LEAST_ONCE, 2 * twice / max(1, once)))
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         docs = unpacked(docs)
@@ -173,7 +180,7 @@ def scored(docs: DataFrame, train: str = "train") -> DataFrame:
         c_before[start] = count[np.searchsorted(words, END)]
         of = np.unique(pair_keys(before, tok), return_inverse=True)[1]
         levels = np.frombuffer(b"".join(answers.column("levels").drop_null().to_pylist()), np.uint8)[of]
-        seen = np.where(levels > 0, np.exp2(levels - 1.0), 0.0)
+        seen = np.where(levels > 1, np.exp2(levels - 1.0), np.where(levels > 0, worth, 0.0))
         k = MIX * c_before / (c_before + HALF)
         p = k * np.minimum(1.0, seen / np.maximum(c_before, 1.0)) + (1 - k) * uni
         m = docs.num_rows

@@ -206,13 +206,15 @@ def test_language_model(docs, rows, none):
     c = collections.Counter(w for i in tokens if use[i] for w in tokens[i])
     pairs = collections.Counter(p for i in tokens if use[i] for p in zip(["<s>", *tokens[i]], tokens[i], strict=False))
     n, v = sum(c.values()), len(c)
+    often = collections.Counter(pairs.values())
+    worth = min(1, max(lm.LEAST_ONCE, 2 * often[2] / max(1, often[1])))
     for i, ws in tokens.items():
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         score = 0.0
         for h, w in zip(["<s>", *ws], ws, strict=False):
             ch = c["</s>"] if h == "<s>" else c[h]
             k = lm.MIX * ch / (ch + lm.HALF)
-            seen = 2 ** int(math.log2(pairs[h, w])) if pairs[h, w] >= lm.MIN_COUNT else 0
+            seen = 2 ** int(math.log2(pairs[h, w])) if pairs[h, w] > 1 else worth * pairs[h, w]
             score += math.log10(k * min(1, seen / max(ch, 1)) + (1 - k) * (c[w] + 0.5) / (n + 0.5 * (v + 1)))
         r = got[i]
         assert (r.train, r.n_tokens, r.n_known, r.train_tokens) == (use[i], len(ws), sum(c[w] > 0 for w in ws), n)
@@ -240,10 +242,55 @@ def test_pairs_seen_once_count(spark):
     assert got[2].score == got[1].score and abs(got[2].base_score - got[3].base_score) < 1e-9
     k = lm.MIX / (1 + lm.HALF)
     uni = 1.5 / (41 + 0.5 * 42)
-    assert abs(got[2].score - 41 * math.log10(k + (1 - k) * uni)) < 1e-6
+    # no pair is seen twice, so that one seen once is worth the least
+    assert abs(got[2].score - 41 * math.log10(k * lm.LEAST_ONCE + (1 - k) * uni)) < 1e-6
     assert got[2].score > got[3].score + 5
 
 
+def test_language_model_odd_rows(odd):
+    """Repeated rows, null ids and clashing names; a null in the choice of training rows is no training."""
+    train = F.when(F.col("doc_id").isNull(), None).otherwise(F.col("doc_id") % 2 == 0)
+    got = lm.scored(odd.withColumn("train", train)).collect()
+    assert len(got) == odd.count() and all(r.score <= 0 and r.n_tokens >= 1 for r in got)
+    assert all(not r.train for r in got if r.doc_id is None)
+    by_text = collections.defaultdict(set)
+    for r in got:
+        by_text[r.doc_id].add((r.n_tokens, round(r.score, 6)))
+    assert all(len(v) == 1 for i, v in by_text.items() if i is not None)
+
+
+def test_probabilities_after_a_word_sum_to_one_at_most(spark):
+    """The score of a text of two words, less that of the first, over all second words."""
+    random.seed(9)
+    vocabulary = [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join(random.choice(vocabulary[: 3 + i % 28]) for _ in range(40)), True) for i in range(60)]
+    probes = [(1000 + 31 * a + b, f"v{a} v{b}" if b < 30 else f"v{a}", False) for a in range(0, 30, 7) for b in range(31)]
+    got = {r.doc_id: r for r in lm.scored(spark.createDataFrame(rows + probes, "doc_id long, text string, train boolean")).collect()}
+    words = collections.Counter(w for _, t, _ in rows for w in [*t.split(), "</s>"])
+    pairs = collections.Counter(p for _, t, _ in rows for p in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True))
+    n, v = sum(words.values()), len(words)
+    often = collections.Counter(pairs.values())
+    worth = min(1, max(lm.LEAST_ONCE, 2 * often[2] / max(1, often[1])))
+    seen = lambda h, w: 2 ** int(math.log2(pairs[h, w])) if pairs[h, w] > 1 else worth * pairs[h, w]
+
+    def p(h, w):
+        c = words["</s>" if h == "<s>" else h]
+        k = lm.MIX * c / (c + lm.HALF)
+        return k * min(1, seen(h, w) / max(c, 1)) + (1 - k) * (words[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    for a in range(0, 30, 7):
+        total = 0.0
+        for b in range(31):
+            chain = ["<s>", f"v{a}", *([f"v{b}"] if b < 30 else []), "</s>"]
+            logs = [math.log10(p(h, w)) for h, w in zip(chain, chain[1:], strict=False)]
+            r = got[1000 + 31 * a + b]
+            assert abs(r.score - sum(logs)) < 0.4
+            total += 10 ** (r.score - logs[0] - (logs[2] if b < 30 else 0))
+        exact = sum(p(f"v{a}", w) for w in [*vocabulary, "</s>"])
+        # false hits of the filter may add a little to single words
+        assert 0.5 < exact <= 1 and abs(total - exact) < 0.05
+
+
 def test_filter_levels():
     import numpy as np
 
