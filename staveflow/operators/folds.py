@@ -54,10 +54,18 @@ def last_kept(df: DataFrame, keys: list[str], x: str = "x", distance: float = 15
 
 
 def extent_clusters(df: DataFrame, keys: list[str], low: str = "y1", high: str = "y2", gap: float = 100, name: str = "grp") -> DataFrame:
-    """Spans in order of their midpoints join the cluster whose extent is at most `gap` away. One fold a page: extents have no certain breaks."""
+    """Spans in order of their midpoints join the cluster whose extent is at most `gap` away.
+
+    A span that begins over `gap` beyond all ends before it breaks whatever
+    cluster there is, so rows are cut there and only the runs between are folded.
+    """
     cols = df.columns
     row = F.struct(((F.col(low) + F.col(high)) / 2.0).alias("m"), F.least(low, high).cast("double").alias("a"), F.greatest(low, high).cast("double").alias("b"), F.struct(*cols).alias("r"))
-    groups = df.withColumn("__row", row).groupBy(*keys).agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
+    w = Window.partitionBy(*keys).orderBy("__row")
+    far = F.col("__row.a") - F.max("__row.b").over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap
+    runs = df.withColumn("__row", row).withColumn("__new", F.coalesce(far, F.lit(False)).cast("int"))
+    runs = runs.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
     spans = F.transform("__rows", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b")))
     init = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-1).alias("g"), F.array().cast("array<int>").alias("out"))
 
@@ -66,8 +74,9 @@ def extent_clusters(df: DataFrame, keys: list[str], low: str = "y1", high: str =
         g = F.when(same, acc["g"]).otherwise(acc["g"] + 1)
         return F.struct(F.when(same, F.least(acc["a"], v["a"])).otherwise(v["a"]).alias("a"), F.when(same, F.greatest(acc["b"], v["b"])).otherwise(v["b"]).alias("b"), g.alias("g"), F.concat(acc["out"], F.array(g)).alias("out"))
 
-    out = groups.select(F.explode(F.arrays_zip("__rows", F.aggregate(spans, init, step, lambda acc: acc["out"]).alias("g"))).alias("z"))
-    return out.select(*[F.col(f"z.__rows.r.{c}").alias(c) for c in cols], F.col("z.g").cast("long").alias(name))
+    out = groups.select("__run", F.explode(F.arrays_zip("__rows", F.aggregate(spans, init, step, lambda acc: acc["out"]).alias("g"))).alias("z"))
+    flat = out.select(*[F.col(f"z.__rows.r.{c}").alias(c) for c in cols], F.struct("__run", F.col("z.g").alias("g")).alias("__id"))
+    return flat.withColumn(name, (F.dense_rank().over(Window.partitionBy(*keys).orderBy("__id")) - 1).cast("long")).drop("__id")
 
 
 def thickness(columns: DataFrame, keys: list[str], visits: tuple = (1, -1, 2, -2, 3, -3), coverage: float = 0.3) -> DataFrame:
