@@ -7,24 +7,25 @@ with those of the benchmark, and each hit is extended to the whole windows
 around it, whose words are then compared byte by byte. Items of fewer than T
 words are one window of their own length, looked up by its hash.
 
-The benchmark is read in blocks of about BLOCK_BYTES of text. Each block's index
-is broadcast, so the documents are never shuffled. Of several blocks, one at a
-time is held: its hits are written and its index is destroyed before the next
-is collected; they are merged by row id.
+A benchmark of up to BLOCK_BYTES of text is one index that all tasks get. Of a
+larger one they get a table of bits by fingerprint, of a fixed size: it tells
+which windows of the documents may be in the benchmark. Those windows alone go
+to a join with the windows of the benchmark, by their words, so the documents
+are read once and never shuffled, and no more than the bits passes the driver.
+A full table of bits lets more windows through, and changes no result.
 
 Nulls have no words. Benchmark rows with a null id or without words are left
-out; rows that repeat an id count as one item. Empty tables give empty results.
+out; rows that repeat an id count as one item. Documents that repeat are judged
+each; a very long text is a chunk of its own. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,9 @@ from . import text as tx
 from .frames import checkpoint, fresh, read, stable
 
 T_WORDS, K_WORDS = 10, 6
-#: Bound of the benchmark text in one broadcast index.
+#: Bound of the benchmark text in a broadcast index; bits of the table that tells which windows of documents a larger one may hold (8 MB), and parts it is gathered in.
 BLOCK_BYTES = 8 << 20
+TABLE_BITS, TABLE_PARTS = 26, 64
 _BITS = 18
 
 
@@ -146,67 +148,166 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+
+
+def _small(items: DataFrame) -> Index | None:
+    """The index of a benchmark that one broadcast may hold."""
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
-    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
+    return Index([(r[0], r[1]) for r in items.collect()]) if total <= BLOCK_BYTES else None
+
+
+def _probes(h: np.ndarray, length: int, t: int, k: int, bits: int) -> np.ndarray:
+    """What each run of `length` words is looked up by in the table of bits: the fingerprint of a whole window, the hash of a shorter one."""
+    if len(h) < length:
+        return np.zeros(0, tx.U64)
+    found = tx.sliding_min(tx.grams(h, k), length - k + 1) if length == t else tx.grams(h, length)
+    return tx.mix(found + tx.U64(length)) >> tx.U64(64 - bits)
+
+
+def _window_words(low: np.ndarray, start: np.ndarray, end: np.ndarray, at: int, length: int) -> str:
+    return " ".join(low[a:b].tobytes().decode() for a, b in zip(start[at : at + length], end[at : at + length], strict=True))
+
+
+def _benchmark_windows(items: DataFrame, t: int) -> DataFrame:
+    """(item, length, w): the windows of items, as lower-cased words with blanks between, once each."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, (raw, off) = batch.column(0).to_pylist(), tx.text_bytes(batch.column(1))
+            for x, y, part, cuts in tx.chunks(raw, off):
+                doc, _, start = tx.words(part, cuts, tx.WORD_BYTE)
+                end, low, at = tx.word_ends(part, cuts, tx.WORD_BYTE), tx.LOWER[part], tx.bounds(doc, y - x)
+                out = [(ids[x + d], min(b - a, t), _window_words(low, start, end, i, min(b - a, t))) for d, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if b > a for i in range(a, b - min(b - a, t) + 1)]
+                yield pa.RecordBatch.from_pylist([{"item": i, "length": n, "w": w} for i, n, w in out], pa.schema([("item", pa.string()), ("length", pa.int32()), ("w", pa.string())]))
+
+    return items.mapInArrow(windows, "item string, length int, w string").distinct()
 
 
-def _index(block: DataFrame | None, t: int = T_WORDS, k: int = K_WORDS) -> Index:
-    return Index([] if block is None else [(r[0], r[1]) for r in block.collect()], t, k)
+def _table(items: DataFrame, t: int, k: int) -> tuple[np.ndarray, list[int]]:
+    """The table of bits of the benchmark's windows, and the lengths of windows that occur (t at most)."""
 
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, lengths = np.zeros(1 << TABLE_BITS, bool), set()
+        for batch in batches:
+            raw, off = tx.text_bytes(batch.column(0))
+            for x, y, part, cuts in tx.chunks(raw, off):
+                doc, h, _ = tx.words(part, cuts, tx.WORD_BYTE)
+                at = tx.bounds(doc, y - x)
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    if length := min(int(b - a), t):
+                        lengths.add(length)
+                        table[_probes(h[a:b], length, t, k, TABLE_BITS).astype(np.int64)] = True
+        parts = np.packbits(table).reshape(TABLE_PARTS, -1)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary()), pa.array([sorted(lengths)] * len(some), pa.list_(pa.int32()))], ["part", "bits", "lengths"])
+
+    def join(table: pa.Table) -> pa.Table:
+        held = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+        lengths = sorted({n for x in table.column("lengths").to_pylist() for n in x})
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([held.tobytes()], pa.binary()), "lengths": pa.array([lengths], pa.list_(pa.int32()))})
+
+    schema = "part int, bits binary, lengths array<int>"
+    packed, lengths = np.zeros((TABLE_PARTS, (1 << TABLE_BITS) // 8 // TABLE_PARTS), np.uint8), set()
+    for r in items.select("text").mapInArrow(bits, schema).groupBy("part").applyInArrow(join, schema).collect():
+        packed[r[0]] = np.frombuffer(r[1], np.uint8)
+        lengths |= set(r[2])
+    return packed.ravel(), sorted(lengths)
+
+
+def _candidates(rows: DataFrame, key: str, items: DataFrame, t: int, k: int) -> DataFrame:
+    """(key, n_words, start, length, w): one row for each document with its words, and one for each of its windows that the table of bits lets through."""
+    sent = rows.sparkSession.sparkContext.broadcast(_table(items, t, k))
+    schema = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("w", pa.string())])
 
-def contamination(docs: DataFrame, benchmark: DataFrame, t: int = T_WORDS, k: int = K_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, lengths = sent.value
+        for batch in batches:
+            ids, (raw, off) = batch.column(0).to_pylist(), tx.text_bytes(batch.column(1))
+            for x, y, part, cuts in tx.chunks(raw, off):
+                doc, h, start = tx.words(part, cuts, tx.WORD_BYTE)
+                at = tx.bounds(doc, y - x)
+                end, low = tx.word_ends(part, cuts, tx.WORD_BYTE), tx.LOWER[part]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x:y], pa.int64()), pa.array(np.diff(at), pa.int64()), *(pa.nulls(y - x, f.type) for f in list(schema)[2:])], schema=schema)
+                for length in lengths:
+                    probe = _probes(h, length, t, k, TABLE_BITS).astype(np.int64)
+                    s = np.flatnonzero(table[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8) & 1)
+                    s = s[doc[s] == doc[s + length - 1]]
+                    for i in range(0, len(s), 4096):
+                        some = s[i : i + 4096]
+                        d = doc[some]
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[x + j] for j in d], pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some - at[d], pa.int64()), pa.array(np.full(len(some), length), pa.int32()), pa.array([_window_words(low, start, end, j, length) for j in some.tolist()], pa.string())], schema=schema)
+
+    return rows.select(key, "text").mapInArrow(find, "key long, n_words long, start long, length int, w string")
+
+
+def _joined(rows: DataFrame, key: str, items: DataFrame, t: int, k: int) -> DataFrame:
+    """(key, n_words, items, spans) for each row, by a join of windows."""
+    windows = checkpoint(_benchmark_windows(items, t))
+    found = checkpoint(_candidates(rows, key, items, t, k))
+    maybe = found.where("start is not null").select("key", "start", "length", "w")
+    hit = maybe.join(windows.select("length", "w").distinct(), ["length", "w"], "left_semi")
+    spans = hit.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
+    names = maybe.select("key", "length", "w").distinct().join(windows, ["length", "w"]).select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    none = F.array().cast("array<string>"), F.array().cast("array<struct<start: long, end: long>>")
+    words = found.where("n_words is not null").select("key", "n_words")
+    return words.join(names, "key", "left").join(spans, "key", "left").select("key", "n_words", F.coalesce("items", none[0]).alias("items"), F.coalesce(_merged("spans"), none[1]).alias("spans"))
+
+
+def _merged(spans: str):
+    """Sorted spans joined where they touch."""
+    start = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+    last = lambda acc: F.element_at(acc, -1)
+    grown = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"))))
+    return F.aggregate(spans, start, lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]), grown(acc, s)).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, t: int = T_WORDS, k: int = K_WORDS) -> DataFrame:
     """All columns of docs with n_words, items (sorted ids), spans (of words, start and end) and n_hit.
 
     The columns of docs come first; names of theirs that clash with these are kept and ours replace them.
     """
-    docs = stable(docs)
-    rid, keep = fresh(docs, "rid"), [c for c in docs.columns if c not in ("n_words", "items", "spans", "n_hit")]
+    docs, ours = stable(docs), ("n_words", "items", "spans", "n_hit")
+    rid, keep = fresh(docs, "rid"), [c for c in docs.columns if c.lower() not in ours]
     rows = docs.select(*keep).withColumn(rid, F.monotonically_increasing_id())
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, block_bytes) or [None]
-
-    def scan(sent: Broadcast, source: DataFrame) -> DataFrame:
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                raw, off = tx.text_bytes(batch.column(1))
-                words, items, spans = [], [], []
-                for a, b, part, cuts in tx.chunks(raw, off):
-                    n, hit = sent.value.hits(part, cuts)
-                    words.append(n)
-                    for d in range(b - a):
-                        i, s = hit.get(d, ((), ()))
-                        items.append(i)
-                        spans.append([{"start": x, "end": y} for x, y in s])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", "n_words", "items", "spans"])
-
-        return source.mapInArrow(find, "key long, n_words long, items array<string>, spans array<struct<start: long, end: long>>")
-
-    parts = []
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(_index(block, t, k))
-        part = scan(sent, rows.select(rid, "text"))
-        if len(blocks) > 1:
-            part = checkpoint(part.where(F.size("items") > 0) if parts else part)
-            sent.destroy()
-        parts.append(part)
-    found = reduce(DataFrame.union, parts)
-    if len(parts) > 1:
-        found = found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    found = found.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.end - 1))))).cast("long"))
-    return rows.join(found.withColumnRenamed("key", rid), rid).drop(rid)
+    items = _items(benchmark)
+    found = _scanned(rows, rid, _small(items), items, t, k)
+    found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
+    return rows.join(found.withColumnRenamed("key", rid), rid).select(*keep, *ours)
+
+
+def _scanned(rows: DataFrame, key: str, index: Index | None, items: DataFrame, t: int, k: int) -> DataFrame:
+    """(key, n_words, items, spans) for each row."""
+    if index is None:
+        return _joined(rows, key, items, t, k)
+    if (t, k) != (index.t, index.k):
+        index = Index([(r[0], r[1]) for r in items.collect()], t, k)
+    sent = rows.sparkSession.sparkContext.broadcast(index)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = tx.text_bytes(batch.column(1))
+            words, items, spans = [], [], []
+            for a, b, part, cuts in tx.chunks(raw, off):
+                n, hit = sent.value.hits(part, cuts)
+                words.append(n)
+                for d in range(b - a):
+                    i, s = hit.get(d, ((), ()))
+                    items.append(i)
+                    spans.append([{"start": x, "end": y} for x, y in s])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["key", "n_words", "items", "spans"])
+
+    return rows.select(key, "text").mapInArrow(find, "key long, n_words long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
 def scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """contamination() for doc_id alone, without the join: the digest needs no other column of docs."""
-    docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, BLOCK_BYTES) or [None]
-    if len(blocks) > 1:
-        return contamination(docs, benchmark, block_bytes=BLOCK_BYTES).drop("text")
-    sent = spark.sparkContext.broadcast(_index(blocks[0]))
+    docs, items = docs.select("doc_id", "text"), _items(benchmark)
+    index = _small(items)
+    if index is None:
+        return contamination(docs, benchmark).drop("text")
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,35 +325,26 @@ def scored(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark window, with their own columns."""
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, BLOCK_BYTES)
-    name = fresh(docs, "hit")
-
-    def marker(sent: Broadcast):
-        @F.pandas_udf("boolean")
-        def contaminated(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for t in texts:
-                raw, off = tx.text_bytes(pa.array(t, pa.large_string(), from_pandas=True))
-                out = np.zeros(len(t), bool)
-                for a, _, part, cuts in tx.chunks(raw, off):
-                    for d in sent.value.hits(part, cuts)[1]:
-                        out[a + d] = True
-                yield pd.Series(out)
-
-        return contaminated
-
-    if len(blocks) == 1:
-        return docs.withColumn(name, marker(spark.sparkContext.broadcast(_index(blocks[0])))("text")).where(~F.col(name)).drop(name)
-    if not blocks:
-        return docs
-    docs = stable(docs)
-    rid, parts = fresh(docs, "rid"), []
-    rows = docs.withColumn(rid, F.monotonically_increasing_id())
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(_index(block))
-        parts.append(checkpoint(rows.select(rid, marker(sent)("text").alias(name)).where(name).select(rid)))
-        sent.destroy()
-    return rows.join(reduce(DataFrame.union, parts).distinct(), rid, "left_anti").drop(rid)
+    items, name = _items(benchmark), fresh(docs, "hit")
+    index = _small(items)
+    if index is None:
+        docs = stable(docs)
+        rows = docs.withColumn(name, F.monotonically_increasing_id())
+        hit = _joined(rows, name, items, T_WORDS, K_WORDS).where(F.size("spans") > 0).select(F.col("key").alias(name))
+        return rows.join(hit, name, "left_anti").drop(name)
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    @F.pandas_udf("boolean")
+    def contaminated(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in texts:
+            raw, off = tx.text_bytes(pa.array(t, pa.large_string(), from_pandas=True))
+            out = np.zeros(len(t), bool)
+            for a, _, part, cuts in tx.chunks(raw, off):
+                for d in sent.value.hits(part, cuts)[1]:
+                    out[a + d] = True
+            yield pd.Series(out)
+
+    return docs.withColumn(name, contaminated("text")).where(~F.col(name)).drop(name)
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

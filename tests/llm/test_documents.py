@@ -306,36 +306,25 @@ def test_filter_levels():
     assert (f.levels(other) > 0).mean() < 0.03
 
 
-def test_one_benchmark_block_at_a_time(spark, docs, odd, monkeypatch):
-    """Indexes of several blocks are never held together, and give what one block gives."""
-    from pyspark import Broadcast, SparkContext
+def test_a_large_benchmark_is_joined(spark, docs, odd, monkeypatch):
+    """Past the bound of the index no index is sent, and the results are those of an index; with a table of bits that is nearly full too."""
+    from pyspark import SparkContext
 
-    bench = spark.createDataFrame([(i, PASSAGE[i * 7 :] + f" item {i}") for i in range(12)] + [(20, "one two"), (21, BASE)], "item_id long, text string")
-    live, most = set(), [0]
-    send, destroy = SparkContext.broadcast, Broadcast.destroy
-
-    def sending(self, value):
-        out = send(self, value)
-        if isinstance(value, decontaminate.Index):
-            live.add(id(out))
-            most[0] = max(most[0], len(live))
-        return out
-
-    def ending(self, blocking=False):
-        live.discard(id(self))
-        destroy(self, blocking)
+    bench = spark.createDataFrame([(i, PASSAGE[i * 7 :] + f" item {i}") for i in range(12)] + [(20, "one two"), (21, BASE), (22, None), (None, BASE), (23, "  "), (20, "ONE two")], "item_id long, text string")
 
     def results():
         found = decontaminate.scored(docs, bench).select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"))
-        return sorted(found.collect(), key=str), sorted(decontaminate.clean(odd, bench).collect(), key=str)
+        wide = decontaminate.contamination(odd, bench).select("doc_id", "n_words", "items", "spans", "n_hit")
+        return [sorted(x.collect(), key=str) for x in (found, wide, decontaminate.clean(odd, bench))]
 
     want = results()
-    assert any(r.n_hit for r in want[0]) and 0 < len(want[1]) < odd.count()
+    assert any(r.n_hit for r in want[0]) and 0 < len(want[2]) < odd.count()
+    send = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, x: pytest.fail("an index") if isinstance(x, decontaminate.Index) else send(self, x))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
-    monkeypatch.setattr(SparkContext, "broadcast", sending)
-    monkeypatch.setattr(Broadcast, "destroy", ending)
-    assert [sorted(x, key=str) for x in results()] == list(want)
-    assert most[0] == 1 and not live
+    for bits in (16, 9):
+        monkeypatch.setattr(decontaminate, "TABLE_BITS", bits)
+        assert results() == want
 
 
 def test_decontamination(spark, docs, rows, odd, none):
@@ -363,7 +352,6 @@ def test_decontamination(spark, docs, rows, odd, none):
     assert get(decontaminate.scored(docs, bench)) == want
     full = decontaminate.contamination(docs, bench)
     assert get(full) == want and full.columns[:4] == docs.columns
-    assert get(decontaminate.contamination(docs, bench, block_bytes=300)) == want
     kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
     assert kept == {i for i, v in want.items() if not v[1]}
     assert decontaminate.clean(odd, bench).columns == odd.columns

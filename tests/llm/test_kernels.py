@@ -96,3 +96,21 @@ def test_row_groups_are_cut_by_bytes():
     got = [[t.column("text").to_pylist() for _, t in frames.grouped(iter(c), 120)] for c in cuts]
     assert got[0] == got[1] == got[2] == [texts[:3], texts[3:6], texts[6:]]
     assert [g for g, _ in frames.grouped(iter([batch]), 120)] == [0, 1, 2] and list(frames.grouped(iter([]), 5)) == []
+
+
+def test_blocks_of_lists_skip_no_pair(monkeypatch):
+    """Against all pairs of each list, for short lists, long ones, and blocks of any size."""
+    from staveflow.llm import setjoin
+
+    rng = np.random.default_rng(8)
+    tok = np.sort(rng.integers(0, 9, 400)).astype(np.uint64)
+    low = rng.integers(5, 60, 400)
+    order = np.lexsort((low, tok))
+    low, high, left, side = low[order], low[order] + rng.integers(0, 9, 400), rng.integers(1, 60, 400), rng.integers(0, 3, 400)
+    fits = lambda i, j: 175 * min(left[i], left[j]) >= 75 * (low[i] + low[j]) and 100 * high[i] >= 75 * low[j] and 100 * high[j] >= 75 * low[i] and (side[i] == 2 or side[i] != side[j])
+    want = sorted((i, j) for i in range(400) for j in range(i + 1, 400) if tok[i] == tok[j] and fits(i, j))
+    for small, block in ((24, 64), (2, 3), (1000, 8)):
+        monkeypatch.setattr(setjoin, "SMALL", small)
+        monkeypatch.setattr(setjoin, "BLOCK", block)
+        got = [(int(i), int(j)) for a, b in setjoin._fitting(tok, low, high, left, side, 75) for i, j in zip(a, b, strict=True)]
+        assert sorted(got) == want and want
