@@ -10,7 +10,7 @@ Groups are cut by bytes of text where the rows lie. There are as many groups as
 ranges, so blocks are groups times ranges; groups have GROUP_BYTES, but so many
 more that a block keeps BLOCK_BYTES of text on average. Blocks thus number at
 most the input's bytes over BLOCK_BYTES, in proportion to the input, while a
-group grows with the square root of the input (from 36 GB of text on: 32 MB at
+group grows with the square root of the input (from 17 GB of text on: 32 MB at
 1 TB, 320 MB at 100 TB).
 """
 
@@ -30,7 +30,7 @@ from ..rounds import checkpoint
 from ..ship import ship
 
 #: Least bytes of text in a row group, mean bytes of text behind a block, bytes that a row counts besides its text.
-GROUP_BYTES, BLOCK_BYTES, ROW_BYTES = 6 << 20, 1 << 10, 16
+GROUP_BYTES, BLOCK_BYTES, ROW_BYTES = 4 << 20, 1 << 10, 16
 #: A side of a join by key goes to all tasks up to so many rows (of a few numbers each).
 FEW_ROWS = 200_000
 

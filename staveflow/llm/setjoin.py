@@ -246,8 +246,8 @@ def _fitting(tok: np.ndarray, low: np.ndarray, high: np.ndarray, left: np.ndarra
     for m in np.unique(size[(size > 1) & (size <= SMALL)]):
         x, y = np.triu_indices(int(m), 1)
         heads = cut[size == m]
-        for s in range(0, len(heads), max(1, 1_000_000 // len(x))):
-            at = heads[s : s + max(1, 1_000_000 // len(x)), None]
+        for s in range(0, len(heads), max(1, 100_000 // len(x))):
+            at = heads[s : s + max(1, 100_000 // len(x)), None]
             i, j = (at + x).ravel(), (at + y).ravel()
             ok = fits(i, j)
             yield i[ok], j[ok]
