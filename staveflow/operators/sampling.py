@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def top_classes(counts: DataFrame, essential: DataFrame, k: int = 50, least: int = 100) -> DataFrame:
     """The k most frequent classes (cls, n), and essential ones (cls) beyond them that have more than `least`."""
@@ -35,7 +37,7 @@ def stable_split(rows: DataFrame, key: str, share: float = 0.85, seed: int = 42,
 
 def shard_split(rows: DataFrame, shard: str = "shard", share: float = 0.8, name: str = "split") -> DataFrame:
     """Train for shards whose place among all is under the share."""
-    place = rows.select(shard).distinct().withColumn("__at", F.row_number().over(Window.orderBy(shard)) - 1)
+    place = numbered(rows.select(shard).where(F.col(shard).isNotNull()).distinct(), [F.col(shard)], "__at")
     total = place.count()
     return rows.join(place, shard).withColumn(name, F.when(F.col("__at") < share * total, "train").otherwise("val")).drop("__at")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import numbering
+
 
 def intervals(barlines: DataFrame, keys: list[str], first: DataFrame | None = None, x: str = "x") -> DataFrame:
     """(keys, x_start, x_end) of neighbouring barlines; `first` (keys, bracket_x) puts one more start before them."""
@@ -51,8 +53,11 @@ def gaps_and_jumps(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, ident: str, name: str = "dense_id") -> DataFrame:
-    """Numbers from 0 by the ids' numeric order; ids are a dictionary table."""
-    return rows.withColumn(name, (F.dense_rank().over(Window.orderBy(F.col(ident).cast("int"))) - 1).cast("int"))
+    """Numbers from 0 by the ids' numeric order; equal ids have one number, null comes first."""
+    key = F.col(ident).cast("int").alias("__key")
+    places = numbering.numbered(rows.select(key).distinct(), [F.col("__key")], "__place").select(F.col("__key").alias("__of"), "__place")
+    out = rows.join(places, F.col(ident).cast("int").eqNullSafe(F.col("__of")), "left")
+    return out.withColumn(name, F.col("__place").cast("int")).drop("__of", "__place")
 
 
 def first_occurrence_numbers(barlines: DataFrame, keys: list[str], x: str = "x", name: str = "number") -> DataFrame:
