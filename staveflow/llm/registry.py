@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, embedlsh, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity, urlfilter
+from . import decontaminate, divergence, embedlsh, importance, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity, urlfilter
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -13,5 +13,7 @@ QUERIES = {
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op9_jaccard": setjoin.op9_jaccard,
     "op10_line_runs": linededup.op10_line_runs,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_importance": importance.op12_importance,
 }
-ORACLES = {"op7_suffix_dedup": suffixdedup.SQL, "op9_jaccard": setjoin.SQL, "op2_winnowing": decontaminate.SQL, "op10_line_runs": linededup.SQL}
+ORACLES = {"op7_suffix_dedup": suffixdedup.SQL, "op9_jaccard": setjoin.SQL, "op2_winnowing": decontaminate.SQL, "op10_line_runs": linededup.SQL, "op11_divergence": divergence.SQL, "op12_importance": importance.SQL}

@@ -27,6 +27,10 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 WORD_BYTE = np.zeros(256, dtype=bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
 
+#: Bytes of words of letters and all that is not ASCII (after lower-casing).
+LETTER_BYTE = WORD_BYTE.copy()
+LETTER_BYTE[0x30:0x3A] = False
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -110,6 +114,22 @@ def words(raw: np.ndarray, off: np.ndarray, word_byte: np.ndarray) -> tuple[np.n
     return np.repeat(np.arange(len(counts), dtype=np.int32), counts), mix(h), start
 
 
+def spans(raw: np.ndarray, off: np.ndarray, word_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of each word of lower-cased texts, in order, and the lower-cased bytes."""
+    low = LOWER[raw]
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), low
+    inside = word_byte[low]
+    full = off[:-1] < off[1:]
+    heads, tails = off[:-1][full], off[1:][full] - 1
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[heads], last[tails] = inside[heads], inside[tails]
+    start = np.flatnonzero(first)
+    return np.searchsorted(off, start, side="right") - 1, start, np.flatnonzero(last) + 1, low
+
+
 def word_ends(raw: np.ndarray, off: np.ndarray, word_byte: np.ndarray) -> np.ndarray:
     """The byte behind each word, in the order of words()."""
     if not len(raw):
