@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import decontaminate, divergence, embedlsh, importance, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity, urlfilter
+from . import decontaminate, divergence, embedlsh, importance, linededup, lm, mixing, setjoin, shard, suffixdedup, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_url_filter": urlfilter.op1_url_filter,
@@ -15,5 +15,6 @@ QUERIES = {
     "op10_line_runs": linededup.op10_line_runs,
     "op11_divergence": divergence.op11_divergence,
     "op12_importance": importance.op12_importance,
+    "op13_warc": warc.op13_warc,
 }
-ORACLES = {"op7_suffix_dedup": suffixdedup.SQL, "op9_jaccard": setjoin.SQL, "op2_winnowing": decontaminate.SQL, "op10_line_runs": linededup.SQL, "op11_divergence": divergence.SQL, "op12_importance": importance.SQL}
+ORACLES = {"op7_suffix_dedup": suffixdedup.SQL, "op9_jaccard": setjoin.SQL, "op2_winnowing": decontaminate.SQL, "op10_line_runs": linededup.SQL, "op11_divergence": divergence.SQL, "op12_importance": importance.SQL, "op13_warc": warc.SQL}

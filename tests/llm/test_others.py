@@ -163,5 +163,5 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= names
