@@ -40,7 +40,7 @@ from .frames import FEW_ROWS, by_group, checkpoint, lookup, read
 # Documents that a kept term is in, added to each count, scale of probabilities, ranks of terms.
 MIN_DOCS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of text whose counts are merged before they leave a task; pairs of postings at a time.
-GROUP_BYTES, PAIRS = 16 << 20, 1 << 20
+GROUP_BYTES, PAIRS = 8 << 20, 1 << 20
 
 
 def _counted(_: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
