@@ -10,7 +10,6 @@ from dataclasses import dataclass, fields, replace
 @dataclass(frozen=True)
 class DetectionConfig:
     staff_same_system_spacing_ratio: float = 2.5
-    staff_grouping_kernel_ratio: float = 0.7
     barline_max_extension_ratio: float = 2.5
     barline_roi_margin_ratio: float = 0.25
     barline_top_margin_ratio: float = 0.7
@@ -19,7 +18,6 @@ class DetectionConfig:
     hough_min_line_length_ratio: float = 0.5
     hough_max_line_gap_ratio: float = 0.3
     hough_max_barline_length_ratio: float = 2.0
-    staff_system_normal_spacing_ratio: float = 2.0
     staff_system_grouping_ratio: float = 2.5
     system_group_clustering_ratio: float = 8.0
     barline_consensus_tolerance: float = 0.5
@@ -46,7 +44,7 @@ class DetectionConfig:
 
 #: Headings of the description, and how the names of their settings begin.
 GROUPS = {
-    "staff lines": ("staff_same", "staff_grouping"),
+    "staff lines": ("staff_same",),
     "barlines": ("barline_top", "barline_bottom", "barline_max", "barline_roi"),
     "line search": ("hough",),
     "staff systems": ("staff_system",),

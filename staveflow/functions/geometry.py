@@ -113,11 +113,11 @@ def barline_score(x_std="x_std", count="line_count", coverage="y_coverage", angl
 
 
 def hough_parameters(height, spacing, config) -> list[Column]:
-    """Whole-number thresholds of the line search, from a staff system's height and spacing."""
+    """Whole-number settings of the line search: votes from a staff system's height, lengths from its line spacing."""
     height, spacing = _c(height), _c(spacing)
     return [
         F.greatest(F.lit(5), (height * 0.2).cast("int")).alias("threshold"),
-        F.greatest(F.lit(3), (height * config.hough_min_line_length_ratio).cast("int")).alias("min_length"),
+        F.greatest(F.lit(3), (spacing * config.hough_min_line_length_ratio).cast("int")).alias("min_length"),
         F.greatest(F.lit(2), (spacing * config.hough_max_line_gap_ratio).cast("int")).alias("max_gap"),
     ]
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,13 +44,30 @@ def runs(line: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) - 1).tolist(), strict=True))
 
 
+def row_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of all runs of true values, row by row."""
+    edge = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    edge[:, 1:-1] = mask
+    step = np.diff(edge, axis=1)
+    row, first = np.nonzero(step == 1)
+    return row, first, np.nonzero(step == -1)[1] - 1
+
+
+def _filled(shape: tuple[int, int], row: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Runs that don't overlap, as a mask."""
+    edge = np.zeros((shape[0], shape[1] + 1), np.int8)
+    np.add.at(edge, (row, first), 1)
+    np.add.at(edge, (row, last + 1), -1)
+    return np.cumsum(edge, axis=1, dtype=np.int8)[:, :-1] > 0
+
+
 def opened_rows(mask: np.ndarray, length: int = 50) -> np.ndarray:
     """The horizontal runs of at least `length` pixels: an opening by a line."""
     out = np.zeros_like(mask)
-    for y in np.flatnonzero(mask.sum(1) >= length):
-        for a, b in runs(mask[y]):
-            if b - a + 1 >= length:
-                out[y, a : b + 1] = True
+    some = np.flatnonzero(mask.sum(1) >= length)
+    row, first, last = row_runs(mask[some])
+    long = last - first + 1 >= length
+    out[some] = _filled((len(some), mask.shape[1]), row[long], first[long], last[long])
     return out
 
 
@@ -77,7 +95,11 @@ def peaks(values: np.ndarray, height: float, distance: int = 2) -> list[int]:
 
 def staff_peaks(mask: np.ndarray, length: int = 50) -> list[int]:
     """Rows where the projection of long horizontal runs peaks."""
-    rows = opened_rows(mask, length).sum(1).astype(float)
+    return _peak_rows(opened_rows(mask, length))
+
+
+def _peak_rows(long: np.ndarray) -> list[int]:
+    rows = long.sum(1).astype(float)
     if not rows.any():
         return []
     rows /= rows.max()
@@ -113,6 +135,23 @@ def vertical_segments(mask: np.ndarray, min_length: int, max_gap: int, slope: in
     return sorted(out + [tuple(s) for s in open_ if s[3] - s[1] + 1 >= min_length])
 
 
+def _shifts(height: int, tolerance: int) -> tuple[list[int], np.ndarray]:
+    """Whole degrees from the most upright on, and by degree the columns that a line is off its middle row at each row."""
+    angles = sorted(range(-tolerance, tolerance + 1), key=lambda a: (abs(a), a))
+    return angles, np.rint(np.tan(np.radians(angles))[:, None] * (np.arange(height) - height // 2)[None, :]).astype(np.int32)
+
+
+def line_votes(mask: np.ndarray, tolerance: int = 20) -> tuple[list[int], np.ndarray]:
+    """Degrees, and by degree and column at the middle row the number of pixels on that line."""
+    angles, shifts = _shifts(mask.shape[0], tolerance)
+    y, x = np.nonzero(mask)
+    width, table = mask.shape[1], np.zeros((len(angles), mask.shape[1]), np.int32)
+    for k in range(len(angles)):
+        at = x - shifts[k, y]
+        table[k] = np.bincount(at[(at >= 0) & (at < width)], minlength=width)
+    return angles, table
+
+
 def line_segments(mask: np.ndarray, votes: int, min_length: int, max_gap: int, tolerance: int = 20) -> list[tuple[int, int, int, int]]:
     """(x1, y1, x2, y2) of straight strokes within tolerance degrees of upright, y1 at most y2.
 
@@ -120,41 +159,36 @@ def line_segments(mask: np.ndarray, votes: int, min_length: int, max_gap: int, t
     lines through it, one for each whole degree and column at the middle row;
     the line with the most votes (then the most upright one, then the one
     farthest to the left) is walked from top to bottom, gaps up to max_gap are
-    closed, parts of min_length are strokes, and its pixels vote no more.
+    closed, parts of min_length are strokes, and its pixels vote no more: only
+    their own votes, one a degree, are taken back, so a line costs as much as
+    it has pixels.
     """
     height, width = mask.shape
     if not height or not width:
         return []
-    left, middle = mask.copy(), height // 2
-    shifts = {a: np.rint(np.tan(np.radians(a)) * (np.arange(height) - middle)).astype(int) for a in sorted(range(-tolerance, tolerance + 1), key=lambda a: (abs(a), a))}
-    reach = max(int(np.abs(s).max()) for s in shifts.values())
-    padded = np.pad(left, ((0, 0), (reach, reach)))
-    rows = np.arange(height)
-
-    def count(lo: int, hi: int) -> np.ndarray:
-        """Votes by angle for the columns lo to hi."""
-        cols = np.arange(lo, hi)
-        return np.stack([padded[rows[:, None], cols[None, :] + s[:, None] + reach].sum(0) for s in shifts.values()])
-
-    table, angles, out = count(0, width), list(shifts), []
+    left, rows, out = mask.copy(), np.arange(height), []
+    angles, table = line_votes(mask, tolerance)
+    shifts = _shifts(height, tolerance)[1]
+    reach = int(np.abs(shifts).max())
+    degree = np.arange(len(angles))[:, None]
     while True:
         k, x = divmod(int(table.argmax()), width)
         if table[k, x] < max(1, votes):
             return sorted(out)
-        at = x + shifts[angles[k]]
-        inside = (at >= 0) & (at < width)
-        on = np.zeros(height, bool)
-        on[inside] = padded[rows[inside], at[inside] + reach]
-        parts: list[list[int]] = []
-        for a, b in runs(on):
-            if parts and a - parts[-1][1] - 1 <= max_gap:
-                parts[-1][1] = b
-            else:
-                parts.append([a, b])
-        out += [(int(at[a]), a, int(at[b]), b) for a, b in parts if b - a + 1 >= min_length]
-        padded[rows[on], at[on] + reach] = False
-        lo, hi = max(0, int(at.min()) - reach), min(width, int(at.max()) + reach + 1)
-        table[:, lo:hi] = count(lo, hi)
+        at = x + shifts[k]
+        inside = rows[(at >= 0) & (at < width)]
+        ys = inside[left[inside, at[inside]]]
+        xs = at[ys]
+        breaks = np.flatnonzero(np.diff(ys) > max_gap + 1)
+        for a, b in zip(ys[np.append(0, breaks + 1)].tolist(), ys[np.append(breaks, len(ys) - 1)].tolist(), strict=True):
+            if b - a + 1 >= min_length:
+                out.append((int(at[a]), a, int(at[b]), b))
+        left[ys, xs] = False
+        # their votes fall within reach of them
+        lo, wide = int(xs.min()) - reach, int(np.ptp(xs)) + 2 * reach + 1
+        gone = np.bincount((degree * wide + (xs - lo)[None, :] - shifts[:, ys]).ravel(), minlength=len(angles) * wide).reshape(-1, wide)
+        a, b = max(0, lo), min(width, lo + wide)
+        table[:, a:b] -= gone[:, a - lo : b - lo]
 
 
 def has_horizontal_element(mask: np.ndarray, x: int, y: int, window: int = 15, length: int = 8, least: int = 5) -> bool:
@@ -228,13 +262,9 @@ def adaptive_inverse(gray: np.ndarray, block: int = 11, offset: int = 2) -> np.n
 
 def closed_columns(mask: np.ndarray, length: int = 3) -> np.ndarray:
     """Vertical gaps shorter than `length` filled."""
-    out = mask.copy()
-    for x in range(mask.shape[1]):
-        r = runs(mask[:, x])
-        for (_, a), (b, _) in zip(r[:-1], r[1:], strict=True):
-            if b - a - 1 < length:
-                out[a + 1 : b, x] = True
-    return out
+    column, first, last = row_runs(mask.T)
+    short = (column[1:] == column[:-1]) & (first[1:] - last[:-1] - 1 < length)
+    return mask | _filled(mask.T.shape, column[:-1][short], last[:-1][short] + 1, first[1:][short] - 1).T
 
 
 def _gray(row) -> np.ndarray:
@@ -286,49 +316,110 @@ def page_crops(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     return pages.select("name", "width", "height", "pixels").join(boxes, "name").mapInPandas(run, "name string, crop_id string, width int, height int, pixels binary")
 
 
-def page_pixels(pages: DataFrame, otsu: bool = True) -> DataFrame:
-    """(name, y, x) of the dark pixels of pages."""
+def packed_mask(mask: np.ndarray) -> bytes:
+    """A mask at a bit a pixel, compressed."""
+    return zlib.compress(np.packbits(mask, axis=1).tobytes(), 1)
+
+
+def unpacked_mask(bits: bytes, width: int, height: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8).reshape(height, -(-width // 8)), axis=1, count=width).view(bool)
+
+
+MASKS = "name string, width int, height int, bits binary, dark long, peaks array<struct<y: int, x_start: int, x_end: int>>"
+
+
+def page_mask(gray: np.ndarray, length: int = 50, otsu: bool = True) -> tuple[bytes, int, list[tuple[int, int, int]]]:
+    """(bits, dark pixels, (y, x_start, x_end) of staff-line rows) of a page."""
+    mask = otsu_inverse(gray) if otsu else threshold_inverse(gray)
+    long = opened_rows(mask, length)
+    found = []
+    for y in _peak_rows(long):
+        x = np.flatnonzero(long[y])
+        found.append((y, int(x[0]) if len(x) else 0, int(x[-1]) if len(x) else gray.shape[1] - 1))
+    return packed_mask(mask), int(mask.sum()), found
+
+
+def page_masks(pages: DataFrame, length: int = 50, otsu: bool = True) -> DataFrame:
+    """(name, width, height, bits, dark, peaks) of pages (name, width, height, pixels): each is thresholded once; what is asked of its pixels later is asked of the bits. Pages without pixels are left out."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for row in part.itertuples():
-                y, x = np.nonzero(otsu_inverse(_gray(row)) if otsu else threshold_inverse(_gray(row)))
-                yield pd.DataFrame({"name": row.name, "y": y.astype("int32"), "x": x.astype("int32")})
+                bits, dark, found = page_mask(_gray(row), length, otsu)
+                yield pd.DataFrame({"name": [row.name], "width": [int(row.width)], "height": [int(row.height)], "bits": [bits], "dark": [dark], "peaks": [[{"y": y, "x_start": a, "x_end": b} for y, a, b in found]]})
 
-    return pages.where("pixels is not null").select("name", "width", "height", "pixels").mapInPandas(run, "name string, y int, x int")
+    return pages.where("pixels is not null").select("name", "width", "height", "pixels").mapInPandas(run, MASKS)
 
 
-def roi_segments(pages: DataFrame, rois: DataFrame, tolerance: int = 20, otsu: bool = True) -> DataFrame:
-    """(name, system_idx, x1, y1, x2, y2) of upright strokes in parts of pages; rois (name, system_idx, x_from, x_to, y_from, y_to, threshold, min_length, max_gap), where x_to null is the page's edge. Coordinates are the page's."""
-    schema = "name string, system_idx int, x1 int, y1 int, x2 int, y2 int"
-    wanted = rois.groupBy("name").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("system_idx", "x_from", "x_to", "y_from", "y_to", "threshold", "min_length", "max_gap")])).alias("rois"))
+def _asked(masks: DataFrame, questions: DataFrame, answer: Callable[[np.ndarray, list], list[tuple]], schema: str) -> DataFrame:
+    """answer(mask, questions of the page) to rows (name, ...): questions, a few a page, travel to the page's bits."""
+    cols = [c for c in questions.columns if c != "name"]
+    wanted = questions.groupBy("name").agg(F.collect_list(F.struct(*cols)).alias("asked"))
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
             for row in part.itertuples():
-                mask = otsu_inverse(_gray(row)) if otsu else threshold_inverse(_gray(row))
-                for r in row.rois:
-                    x, y = max(0, r["x_from"]), max(0, r["y_from"])
-                    cut = mask[y : r["y_to"], x : (mask.shape[1] if r["x_to"] is None else r["x_to"])]
-                    out += [(row.name, r["system_idx"], a + x, b + y, c + x, d + y) for a, b, c, d in line_segments(cut, r["threshold"], r["min_length"], r["max_gap"], tolerance)]
-            yield pd.DataFrame(out, columns=["name", "system_idx", "x1", "y1", "x2", "y2"])
+                found = answer(unpacked_mask(row.bits, int(row.width), int(row.height)), list(row.asked))
+                yield pd.DataFrame([(row.name, *x) for x in found], columns=names)
+
+    return masks.select("name", "width", "height", "bits").join(wanted, "name").mapInPandas(run, schema)
+
+
+def strokes(masks: DataFrame, areas: DataFrame) -> DataFrame:
+    """(name, area, x1, y1, x2, y2, hooked) of upright strokes in parts of pages, in the page's coordinates; hooked: a horizontal element at both ends.
+
+    areas: (name, area, x_from, x_to, y_from, y_to, threshold, min_length, max_gap, tolerance) in whole numbers; x_to null is the page's edge.
+    """
+
+    def answer(mask: np.ndarray, asked: list) -> list[tuple]:
+        out = []
+        for r in asked:
+            x, y = max(0, r["x_from"]), max(0, r["y_from"])
+            cut = mask[y : r["y_to"], x : (r["x_to"] if r["x_to"] >= 0 else mask.shape[1])]
+            for a, b, c, d in line_segments(cut, r["threshold"], r["min_length"], r["max_gap"], r["tolerance"]):
+                hooked = r["hooks"] and has_horizontal_element(mask, a + x, b + y) and has_horizontal_element(mask, c + x, d + y)
+                out.append((r["area"], a + x, b + y, c + x, d + y, bool(hooked)))
+        return out
+
+    whole = [F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c) for c in ("area", "x_from", "x_to", "y_from", "y_to", "threshold", "min_length", "max_gap", "tolerance")]
+    hooks = F.col("hooks") if "hooks" in areas.columns else F.lit(True)
+    return _asked(masks, areas.select("name", *whole, hooks.alias("hooks")), answer, "name string, area int, x1 int, y1 int, x2 int, y2 int, hooked boolean")
+
+
+def probed(masks: DataFrame, spots: DataFrame, margin: int = 2) -> DataFrame:
+    """(name, area, x, crossed, reached) of spots (name, area, x, lines, top, bottom): how many staff lines have a set pixel in the column within margin rows, and whether the first and the last row do."""
 
-    return pages.where("pixels is not null").select("name", "width", "height", "pixels").join(wanted, "name").mapInPandas(run, schema)
+    def answer(mask: np.ndarray, asked: list) -> list[tuple]:
+        out = []
+        for r in asked:
+            set_at = lambda y, column: bool(column[max(0, y - margin) : max(0, y + margin + 1)].any())
+            column = mask[:, r["x"]] if 0 <= r["x"] < mask.shape[1] else np.zeros(0, bool)
+            out.append((r["area"], r["x"], sum(set_at(y, column) for y in set(r["lines"])), set_at(r["top"], column) and set_at(r["bottom"], column)))
+        return out
 
+    whole = [F.col(c).cast("int").alias(c) for c in ("area", "x", "top", "bottom")]
+    return _asked(masks, spots.select("name", *whole, F.col("lines").cast("array<int>").alias("lines")), answer, "name string, area int, x int, crossed int, reached boolean")
 
-def bracket_ends(pages: DataFrame, candidates: DataFrame, window: int = 15, length: int = 8, least: int = 5) -> DataFrame:
-    """Candidates (name, x1, y1, x2, y2) with a horizontal element at both ends."""
-    wanted = candidates.groupBy("name").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])).alias("found"))
+
+def page_pixels(pages: DataFrame, otsu: bool = True) -> DataFrame:
+    """(name, y, x) of the dark pixels of pages."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
             for row in part.itertuples():
-                mask = otsu_inverse(_gray(row))
-                for c in row.found:
-                    if all(has_horizontal_element(mask, c[f"x{i}"], c[f"y{i}"], window, length, least) for i in (1, 2)):
-                        out.append((row.name, c["x1"], c["y1"], c["x2"], c["y2"]))
-            yield pd.DataFrame(out, columns=["name", "x1", "y1", "x2", "y2"])
+                y, x = np.nonzero(otsu_inverse(_gray(row)) if otsu else threshold_inverse(_gray(row)))
+                yield pd.DataFrame({"name": row.name, "y": y.astype("int32"), "x": x.astype("int32")})
+
+    return pages.where("pixels is not null").select("name", "width", "height", "pixels").mapInPandas(run, "name string, y int, x int")
+
+
+def columns_beside(masks: DataFrame, spots: DataFrame, reach: int = 3) -> DataFrame:
+    """(name, x, y) of the dark pixels in the columns of spots (name, x) and up to reach beside them."""
+
+    def answer(mask: np.ndarray, asked: list) -> list[tuple]:
+        near = sorted({x for r in asked for x in range(max(0, r["x"] - reach), min(mask.shape[1], r["x"] + reach + 1))})
+        y, k = np.nonzero(mask[:, near])
+        return list(zip(np.array(near, int)[k].tolist(), y.tolist(), strict=True))
 
-    return pages.where("pixels is not null").select("name", "width", "height", "pixels").join(wanted, "name").mapInPandas(run, "name string, x1 int, y1 int, x2 int, y2 int")
+    return _asked(masks, spots.select("name", F.col("x").cast("int").alias("x")), answer, "name string, x int, y int")

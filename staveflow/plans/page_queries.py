@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,7 +132,7 @@ def valid_center_boxes(spark, sf_dir):
     return rows.select("id", *[F.round(k, 9).alias(k) for k in ("xc", "yc", "w", "h")])
 
 
-@query(f"SELECT system, CAST(greatest(5, trunc(h * 0.2)) AS INT) AS threshold, CAST(greatest(3, trunc(h * 0.5)) AS INT) AS min_length, CAST(greatest(2, trunc(s * 0.3)) AS INT) AS max_gap FROM (SELECT DISTINCT image AS system, image + 20 AS h, (image + 20) / 4.0 AS s FROM ({BOXES}))")
+@query(f"SELECT system, CAST(greatest(5, trunc(h * 0.2)) AS INT) AS threshold, CAST(greatest(3, trunc(s * 0.5)) AS INT) AS min_length, CAST(greatest(2, trunc(s * 0.3)) AS INT) AS max_gap FROM (SELECT DISTINCT image AS system, image + 20 AS h, (image + 20) / 4.0 AS s FROM ({BOXES}))")
 def search_parameters(spark, sf_dir):
     from ..config import DEFAULT
 
@@ -476,3 +477,95 @@ def closed_columns(spark, sf_dir):
 @query(f"SELECT class_name AS name, count(*) AS n FROM ({SYMBOLS}) WHERE class_name IN ('noteheadBlackOnLine') GROUP BY 1")
 def noteheads(spark, sf_dir):
     return derived(spark, sf_dir, SYMBOLS).where(names.is_notehead(F.col("class_name"))).groupBy(F.col("class_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: One page a supplier: k its key, s the line spacing, n its systems, two groups of them 300 rows apart for odd k, m barlines w columns apart, a bracket before the first group for every third.
+SCORES_SQL = """SELECT s_suppkey AS k, 14 + s_suppkey % 4 AS s, 2 + s_suppkey % 3 AS n, 3 + s_suppkey % 4 AS m, 90 + 10 * (s_suppkey % 5) AS w, s_suppkey % 2 AS two, CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS hooked FROM supplier"""
+DRAWN_SQL = f"""SELECT k, s, n, m, w, two, hooked, i, CASE WHEN i >= n THEN 1 ELSE 0 END AS g, 60 + i * (4 * s + 30) + CASE WHEN i >= n THEN 300 ELSE 0 END AS top FROM (SELECT *, unnest(range(0, n * (1 + two))) AS i FROM ({SCORES_SQL}))"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files (name, content) of SCORES_SQL: staff lines of one row, barlines of three columns through each system, brackets with hooks."""
+
+    def draw(parts):
+        for part in parts:
+            for r in part.itertuples():
+                height, groups = 4 * r.s, 1 + r.two
+                tops = [60 + i * (height + 30) + (300 if i >= r.n else 0) for i in range(r.n * groups)]
+                width = 60 + r.m * r.w
+                gray = np.full((tops[-1] + height + 80, width), 255, np.uint8)
+                for top in tops:
+                    for i in range(5):
+                        gray[top + i * r.s, 40 : width - 20] = 0
+                    for j in range(r.m):
+                        gray[top : top + height + 1, 60 + j * r.w : 63 + j * r.w] = 0
+                if r.hooked:
+                    low = tops[r.n - 1] + height
+                    gray[tops[0] - 2 : low + 3, 20:24] = 0
+                    gray[tops[0] - 2 : tops[0] + 1, 20:34] = gray[low : low + 3, 20:34] = 0
+                yield pd.DataFrame({"name": [str(r.k)], "content": [b"P5\n%d %d\n255\n" % gray.shape[::-1] + gray.tobytes()]})
+
+    rows = spark.sql(SCORES_SQL.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    return rows.repartition(64).mapInPandas(draw, "name string, content binary")
+
+
+DRAWN_BARLINES_SQL = f"SELECT DISTINCT k, s, n, two, hooked, g, 61 + j * w AS x FROM (SELECT *, unnest(range(0, m)) AS j FROM ({DRAWN_SQL})) UNION SELECT DISTINCT k, s, n, two, hooked, g, 21 FROM ({DRAWN_SQL}) WHERE hooked = 1 AND g = 0"
+
+
+@query(f"SELECT k, i AS system_idx, g AS group_idx, top, top + 4 * s AS bottom, top + s AS second, CAST(s AS DOUBLE) AS spacing FROM ({DRAWN_SQL})")
+def page_systems(spark, sf_dir):
+    masks = pages.masks_of_files(_scores(spark, sf_dir))
+    return pages.systems_of_pages(masks).select(F.col("name").cast("long").alias("k"), "system_idx", "group_idx", "top", "bottom", F.col("lines")[1].alias("second"), F.col("avg_spacing").alias("spacing"))
+
+
+@query(f"SELECT b.k, b.x, d.i AS system_idx FROM ({DRAWN_BARLINES_SQL}) b JOIN ({DRAWN_SQL}) d ON b.k = d.k AND b.g = d.g")
+def page_system_barlines(spark, sf_dir):
+    return pages.analysed(_scores(spark, sf_dir))["system_barlines"].select(F.col("name").cast("long").alias("k"), "x", "system_idx")
+
+
+@query(f"SELECT b.k, g AS group_idx, x, CAST(n AS INT) AS group_size, 60 + g * n * (4 * s + 30) + 300 * g - 10 AS y_start, 60 + ((1 + g) * n - 1) * (4 * s + 30) + 300 * g + 4 * s + 10 AS y_end FROM ({DRAWN_BARLINES_SQL}) b")
+def page_barlines(spark, sf_dir):
+    return pages.analysed(_scores(spark, sf_dir))["barlines"].select(F.col("name").cast("long").alias("k"), "group_idx", "x", "group_size", "y_start", "y_end")
+
+
+@query(f"SELECT k, 58 AS y_from, 60 + (n - 1) * (4 * s + 30) + 4 * s + 2 AS y_to, CAST(n AS INT) AS systems FROM ({SCORES_SQL}) WHERE hooked = 1")
+def page_brackets(spark, sf_dir):
+    """A stroke of several columns that smoothing has slanted may begin or end some rows off; that much counts as met."""
+    found = pages.analysed(_scores(spark, sf_dir))["brackets"].where("x between 18 and 24")
+    near = lambda c, want: F.when(F.abs(F.col(c) - want) <= 6, want).otherwise(F.col(c))
+    drawn = spark.sql(SCORES_SQL.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    rows = found.select(F.col("name").cast("long").alias("k"), "y_start", "y_end", F.size("covered_systems").alias("systems")).join(drawn.select("k", "n", "s"), "k")
+    return rows.select("k", near("y_start", F.lit(58)).alias("y_from"), near("y_end", 60 + (F.col("n") - 1) * (4 * F.col("s") + 30) + 4 * F.col("s") + 2).alias("y_to"), "systems")
+
+
+@query(f"""WITH b AS (SELECT k, g, x, row_number() OVER (PARTITION BY k, g ORDER BY x) - hooked * (1 - g) AS number FROM ({DRAWN_BARLINES_SQL})),
+ r AS (SELECT *, lag(top + 4 * s) OVER w AS before, lead(top) OVER w AS after FROM ({DRAWN_SQL}) WINDOW w AS (PARTITION BY k ORDER BY i))
+ SELECT r.k, r.i AS system_idx, CAST(b.number AS INT) AS measure_number, b.x AS x_end, 5 AS staff_lines,
+ greatest(0, top - CASE WHEN before IS NULL THEN 4 * s ELSE (top - before) // 2 END) AS y, top + 4 * s + CASE WHEN after IS NULL THEN 4 * s ELSE (after - top - 4 * s) // 2 END AS y_end
+ FROM r JOIN b ON b.k = r.k AND b.g = r.g WHERE b.number > 0""")
+def page_measures(spark, sf_dir):
+    found = pages.analysed(_scores(spark, sf_dir))["measures"]
+    return found.select(F.col("name").cast("long").alias("k"), "system_idx", "measure_number", (F.col("bbox.x") + F.col("bbox.width")).alias("x_end"), F.size("staff_lines").alias("staff_lines"), F.col("bbox.y").alias("y"), (F.col("bbox.y") + F.col("bbox.height")).alias("y_end"))
+
+
+@query(f"SELECT DISTINCT k, 61 + j * w AS x FROM (SELECT *, unnest(range(0, m)) AS j FROM ({DRAWN_SQL}))")
+def whole_page_barlines(spark, sf_dir):
+    """The search without systems; brackets are left out, as smoothing moves them by a column."""
+    found = pages.barlines_of_whole_pages(pages.masks_of_files(_scores(spark, sf_dir)))
+    return found.where("x > 30").select(F.col("name").cast("long").alias("k"), "x")
+
+
+@query(f"""WITH p AS (SELECT page, y, x FROM ({IMAGES_SQL}) WHERE v <= 100), h AS (SELECT page, max(y) + 1 AS h FROM ({IMAGES_SQL}) GROUP BY 1)
+ SELECT p.page AS label, a AS degrees, p.x - CAST(round_even(tan(radians(a)) * (p.y - h.h // 2), 0) AS BIGINT) AS x, count(*) AS votes FROM p JOIN h ON h.page = p.page, (SELECT unnest(range(-8, 9)) AS a) GROUP BY 1, 2, 3 HAVING x BETWEEN 0 AND 63""")
+def stroke_votes(spark, sf_dir):
+    """The votes that the line search begins with."""
+
+    def run(parts):
+        for part in parts:
+            for r in part.itertuples():
+                gray = np.frombuffer(r.pixels, np.uint8).reshape(int(r.height), int(r.width))
+                angles, votes = kernels.line_votes(kernels.threshold_inverse(gray, 100), 8)
+                k, x = np.nonzero(votes)
+                yield pd.DataFrame({"label": int(r.name), "degrees": np.array(angles)[k], "x": x, "votes": votes[k, x]})
+
+    return _images(spark, sf_dir).mapInPandas(run, "label int, degrees long, x long, votes long")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import ANNOTATIONS_JSON
 
+#: What decode_image() raises for a file that isn't an image it reads.
+DECODE_ERRORS = (ValueError, IndexError, struct.error)
+
 
 def annotation_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row a file with maps of images, annotations and categories; shard is the number in its name."""
@@ -145,11 +148,15 @@ def decode_pgm(content: bytes) -> tuple[int, int, bytes]:
     return width, height, pixels
 
 
+# First column and row, and steps, of the seven passes of an interlaced image.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def decode_png(content: bytes) -> tuple[int, int, bytes]:
-    """(width, height, gray bytes) of a PNG image without interlacing: gray, colour, palette, with or without alpha, 1 to 16 bits. Colours weigh 0.299, 0.587 and 0.114; alpha is left out."""
+    """(width, height, gray bytes) of a PNG image: gray, colour, palette, with or without alpha, 1 to 16 bits, interlaced or not. Colours weigh 0.299, 0.587 and 0.114; alpha is left out."""
     if content[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, data, palette, head = 8, b"", None, None
+    at, data, palette, head = 8, [], None, None
     while at + 8 <= len(content):
         size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
         body = content[at + 8 : at + 8 + size]
@@ -158,31 +165,26 @@ def decode_png(content: bytes) -> tuple[int, int, bytes]:
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
-            data += body
+            data.append(body)
         at += 12 + size
     if head is None or not data:
         raise ValueError("the image is cut short")
     width, height, depth, colour, _, _, interlaced = head
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
-    if channels is None or interlaced or depth not in (1, 2, 4, 8, 16):
+    if channels is None or interlaced > 1 or depth not in (1, 2, 4, 8, 16):
         raise ValueError("a kind of PNG that isn't read")
     try:
-        raw = zlib.decompress(data)
+        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    row, step = -(-width * channels * depth // 8), max(1, channels * depth // 8)
-    if len(raw) < height * (row + 1):
-        raise ValueError("the image is cut short")
-    rows = _unfiltered(np.frombuffer(raw, np.uint8)[: height * (row + 1)].reshape(height, row + 1), step)
-    if depth == 16:
-        values = rows.reshape(height, -1, 2)[:, :, 0]
-    elif depth == 8:
-        values = rows
+    if not interlaced:
+        pixels, _ = _samples(raw, width, height, depth, channels, colour == 3)
     else:
-        bits = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(height, width, depth)
-        values = bits @ (1 << np.arange(depth - 1, -1, -1)).astype(np.uint8)
-        values = values if colour == 3 else (values.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    pixels = values.reshape(height, width, channels)
+        pixels = np.zeros((height, width, channels), np.uint8)
+        for x, y, dx, dy in PASSES:
+            wide, high = -(-(width - x) // dx), -(-(height - y) // dy)
+            if wide > 0 and high > 0:
+                pixels[y::dy, x::dx], raw = _samples(raw, wide, high, depth, channels, colour == 3)
     if colour == 3:
         if palette is None or pixels.max(initial=0) >= len(palette):
             raise ValueError("a colour that the palette lacks")
@@ -192,37 +194,80 @@ def decode_png(content: bytes) -> tuple[int, int, bytes]:
     return width, height, pixels[:, :, 0].tobytes()
 
 
+def _samples(raw: np.ndarray, width: int, height: int, depth: int, channels: int, indexed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The 8-bit samples (height, width, channels) of an image or a pass at the head of raw, and the bytes behind it."""
+    row, step = -(-width * channels * depth // 8), max(1, channels * depth // 8)
+    size = height * (row + 1)
+    if len(raw) < size:
+        raise ValueError("the image is cut short")
+    rows = _unfiltered(raw[:size].reshape(height, row + 1), step)
+    if depth == 16:
+        rows = rows.reshape(height, -1, 2)[:, :, 0]
+    elif depth < 8:
+        bits = np.unpackbits(rows, axis=1)[:, : width * depth].reshape(height, width, depth)
+        rows = bits @ (1 << np.arange(depth - 1, -1, -1)).astype(np.uint8)
+        rows = rows if indexed else (rows.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    return rows.reshape(height, width, channels), raw[size:]
+
+
 def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
     """The bytes of rows that begin with their filter's number; step is the distance of a byte to the one on its left."""
-    out = np.zeros((len(rows) + 1, rows.shape[1] - 1), np.uint8)
-    for y, (kind, line) in enumerate(zip(rows[:, 0], rows[:, 1:], strict=True)):
-        above, now = out[y], out[y + 1]
-        if kind == 1:
+    kinds, lines = rows[:, 0], rows[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise ValueError("an unknown filter")
+    out = np.zeros((len(rows) + 1, lines.shape[1]), np.uint8)
+    # rows whose bytes depend on their left neighbours as well as on the row above go together, along diagonals
+    slow = np.flatnonzero(kinds >= 3)
+    first, end = (int(slow[0]), int(slow[-1]) + 1) if len(slow) else (0, 0)
+    for y in range(len(rows)):
+        if first <= y < end:
+            if y == first:
+                out[first + 1 : end + 1] = _along_diagonals(kinds[first:end], lines[first:end], out[first], step)
+            continue
+        line, above, now = lines[y], out[y], out[y + 1]
+        if kinds[y] == 1:
             # sums of each byte column of the pixels wrap around as they should
             for k in range(step):
                 now[k::step] = np.cumsum(line[k::step], dtype=np.uint8)
-        elif kind == 2:
-            now[:] = line + above
-        elif kind in (3, 4):
-            left, corner = [0] * step, [0] * step
-            up, value = above.tolist(), line.tolist()
-            for x, v in enumerate(value):
-                a, b, c = left[x % step], up[x], corner[x % step]
-                if kind == 3:
-                    v += (a + b) >> 1
-                else:
-                    p = a + b - c
-                    near = abs(p - a), abs(p - b), abs(p - c)
-                    v += a if near[0] <= near[1] and near[0] <= near[2] else b if near[1] <= near[2] else c
-                left[x % step], corner[x % step] = v & 255, b
-                now[x] = v & 255
-        elif kind == 0:
-            now[:] = line
         else:
-            raise ValueError("an unknown filter")
+            now[:] = line + above if kinds[y] == 2 else line
     return out[1:]
 
 
+def _along_diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
+    """Unfilters lines together: a byte's left, upper and corner neighbours lie on the two diagonals before its own, so each diagonal is one vector over the lines.
+
+    Arrays are skewed: line j (from 1; 0 is the line above) has its pixel x at diagonal x + j.
+    """
+    many, wide = len(lines), lines.shape[1] // step
+    diagonals = wide + many
+    given = np.zeros((many, diagonals, step), np.uint8)
+    for j in range(many):
+        given[j, j + 1 : j + 1 + wide] = lines[j].reshape(wide, step)
+    given = np.ascontiguousarray(given.transpose(1, 0, 2)).astype(np.int16)
+    out = np.zeros((diagonals, many + 1, step), np.int16)
+    out[:wide, 0] = above.reshape(wide, step)
+    of = {k: (kinds == k).astype(np.int16)[:, None] for k in (1, 2, 3, 4) if (kinds == k).any()}
+    alone = len(of) == 1 and not (kinds == 0).any()
+    none = np.zeros((many + 1, step), np.int16)
+    for t in range(1, diagonals):
+        lo, hi = max(1, t - wide + 1), min(many, t) + 1
+        left, up, corner = out[t - 1, lo:hi], out[t - 1, lo - 1 : hi - 1], (out[t - 2] if t > 1 else none)[lo - 1 : hi - 1]
+        value = given[t, lo - 1 : hi - 1]
+        for k, mine in of.items():
+            if k == 4:
+                a, b = up - corner, left - corner
+                c = np.abs(a + b)
+                a, b = np.abs(a), np.abs(b)
+                guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+            else:
+                guess = left if k == 1 else up if k == 2 else (left + up) >> 1
+            value = value + (guess if alone else guess * mine[lo - 1 : hi - 1])
+        np.bitwise_and(value, 255, out=out[t, lo:hi])
+    back = np.ascontiguousarray(out.transpose(1, 0, 2).astype(np.uint8))
+    return np.stack([back[j, j : j + wide].reshape(-1) for j in range(1, many + 1)])
+
+
 def decode_image(content: bytes) -> tuple[int, int, bytes]:
     """(width, height, gray bytes) of a PNG or PGM image, told apart by how it begins."""
     return decode_png(content) if content[:4] == b"\x89PNG" else decode_pgm(content)
@@ -237,7 +282,7 @@ def decoded_pages(files: DataFrame) -> DataFrame:
             for name, content in zip(part["name"], part["content"], strict=True):
                 try:
                     out.append((name, *decode_image(bytes(content)), None))
-                except (ValueError, IndexError, struct.error) as e:
+                except DECODE_ERRORS as e:
                     out.append((name, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["name", "width", "height", "pixels", "error"]).astype({"width": "Int32", "height": "Int32"})
 

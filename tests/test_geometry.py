@@ -84,4 +84,4 @@ def test_other_columns(spark):
     assert one(spark, geo.staff_coverage("a", "b", F.lit(100), F.lit(140)), a=90, b=120) == (0.5,)
     assert one(spark, geo.center_box_valid(), xc=0.5, yc=0.5, w=1.0, h=0.5) == (True,)
     assert one(spark, geo.center_box_valid(), xc=0.6, yc=0.5, w=1.0, h=0.5) == (False,)
-    assert one(spark, *geo.hough_parameters("h", "s", config.DEFAULT), h=40.0, s=10.0) == (8, 20, 3)
+    assert one(spark, *geo.hough_parameters("h", "s", config.DEFAULT), h=40.0, s=10.0) == (8, 5, 3)

@@ -63,6 +63,105 @@ def test_png_kinds():
             files.decode_image(bad)
 
 
+def plain_filters(rows, step):
+    """The bytes of filtered lines, one by one."""
+    out = np.zeros((len(rows) + 1, rows.shape[1] - 1), int)
+    for y, row in enumerate(rows.astype(int)):
+        for x, v in enumerate(row[1:]):
+            a, b, c = (out[y + 1, x - step] if x >= step else 0), out[y, x], (out[y, x - step] if x >= step else 0)
+            near = sorted(((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c)))[0][2]
+            out[y + 1, x] = (v + [0, a, b, (a + b) // 2, near][row[0]]) % 256
+    return out[1:]
+
+
+def test_filters_along_diagonals():
+    rng = np.random.default_rng(6)
+    for kinds in ([4], [3], [0, 1, 2], [0, 1, 2, 3, 4], [2, 2, 2, 4, 1], [3, 0, 4]):
+        for step, pixels, lines in ((1, 1, 1), (1, 23, 40), (3, 9, 14), (4, 5, 30), (2, 1, 9), (6, 4, 3)):
+            rows = rng.integers(0, 256, (lines, 1 + step * pixels)).astype(np.uint8)
+            rows[:, 0] = rng.choice(kinds, lines)
+            assert (files._unfiltered(rows, step) == plain_filters(rows, step)).all()
+
+
+    with pytest.raises(ValueError, match="filter"):
+        files._unfiltered(np.full((1, 4), 5, np.uint8), 1)
+
+
+def interlaced(gray, depth=8):
+    """A gray PNG in the seven passes of Adam7."""
+    passes = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+    raw = b""
+    for x, y, dx, dy in passes:
+        part = gray[y::dy, x::dx]
+        if part.size:
+            bits = (part[:, :, None] >> np.arange(depth - 1, -1, -1)) & 1
+            for line in np.packbits(bits.reshape(part.shape[0], -1).astype(np.uint8), axis=1):
+                raw += b"\x00" + line.tobytes()
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", gray.shape[1], gray.shape[0], depth, 0, 0, 0, 1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_interlaced():
+    rng = np.random.default_rng(7)
+    for shape in ((1, 1), (3, 2), (8, 8), (9, 17), (33, 5)):
+        gray = rng.integers(0, 256, shape)
+        assert (decoded(interlaced(gray)) == gray).all()
+        few = rng.integers(0, 4, shape)
+        assert (decoded(interlaced(few, 2)) == few * 85).all()
+
+
+def plain_strokes(mask, votes, min_length, max_gap, tolerance):
+    """The line search stated plainly: all votes counted anew for each line."""
+    left, (height, width), out = set(zip(*np.nonzero(mask), strict=True)), mask.shape, []
+    angles = sorted(range(-tolerance, tolerance + 1), key=lambda a: (abs(a), a))
+    shift = {a: [int(np.rint(np.tan(np.radians(a)) * (y - height // 2))) for y in range(height)] for a in angles}
+    while True:
+        n, i, x = max((sum((y, x + shift[a][y]) in left for y in range(height)), -i, -x) for i, a in enumerate(angles) for x in range(width))
+        if n < max(1, votes):
+            return sorted(out)
+        a, x = angles[-i], -x
+        on = [y for y in range(height) if (y, x + shift[a][y]) in left]
+        parts = [[on[0], on[0]]]
+        for y in on[1:]:
+            if y - parts[-1][1] - 1 <= max_gap:
+                parts[-1][1] = y
+            else:
+                parts.append([y, y])
+        out += [(x + shift[a][p], p, x + shift[a][q], q) for p, q in parts if q - p + 1 >= min_length]
+        left -= {(y, x + shift[a][y]) for y in on}
+
+
+def test_votes_taken_back_are_votes_counted_anew():
+    rng = np.random.default_rng(3)
+    for _ in range(25):
+        mask = rng.random((int(rng.integers(1, 26)), int(rng.integers(1, 30)))) < rng.choice([0.1, 0.3, 0.6])
+        votes, length, gap, tolerance = (int(rng.integers(*r)) for r in ((1, 6), (1, 7), (0, 4), (0, 25)))
+        assert kernels.line_segments(mask, votes, length, gap, tolerance) == plain_strokes(mask, votes, length, gap, tolerance)
+        angles, table = kernels.line_votes(mask, tolerance)
+        for k in rng.integers(0, len(angles), 5):
+            x = int(rng.integers(0, mask.shape[1]))
+            at = [x + int(np.rint(np.tan(np.radians(angles[k])) * (y - mask.shape[0] // 2))) for y in range(mask.shape[0])]
+            assert table[k, x] == sum(mask[y, c] for y, c in enumerate(at) if 0 <= c < mask.shape[1])
+
+
+def test_openings_closings_and_bits():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        mask = rng.random((int(rng.integers(1, 20)), int(rng.integers(1, 40)))) < 0.7
+        length = int(rng.integers(1, 8))
+        opened, closed = np.zeros_like(mask), mask.copy()
+        for y in range(mask.shape[0]):
+            for a, b in kernels.runs(mask[y]):
+                opened[y, a : b + 1] = b - a + 1 >= length
+        for x in range(mask.shape[1]):
+            found = kernels.runs(mask[:, x])
+            for (_, a), (b, _) in zip(found[:-1], found[1:], strict=True):
+                closed[a + 1 : b, x] |= b - a - 1 < length
+        assert (kernels.opened_rows(mask, length) == opened).all() and (kernels.closed_columns(mask, length) == closed).all()
+        assert (kernels.unpacked_mask(kernels.packed_mask(mask), *mask.shape[::-1]) == mask).all()
+
+
 def test_straight_strokes():
     mask = np.zeros((120, 200), bool)
     mask[10:110, 50] = True
@@ -115,6 +214,48 @@ def test_measures_of_pages(spark):
     assert abs(shares.x - 100 / 900) < 0.01 and abs(shares.width - 300 / 900) < 0.01
 
 
+def test_no_pixel_is_a_row_and_masks_stay(spark, monkeypatch):
+    """Areas and spots move to the masks, which are dealt by name once."""
+    monkeypatch.setattr(kernels, "page_pixels", None)
+    frame = spark.createDataFrame([("a", 900, 300, bytearray(score().tobytes()))], "name string, width int, height int, pixels binary")
+    masks = pages.masks_of_pages(frame)
+    systems = pages.systems_of_pages(masks)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kernels.strokes(masks, pages.search_areas(systems))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    side = plan[plan.index("SortMergeJoin") if "SortMergeJoin" in plan else plan.index("ShuffledHashJoin") :]
+    assert "bits" in side and "Exchange" not in side[: side.index("ExistingRDD[name")]  # the masks' side of the join
+    assert {r.x for r in pages.analysed(masks)["system_barlines"].collect()} >= {101, 401, 701}
+
+
+def test_pages_straight_from_files(spark):
+    gray = score()
+    pgm = b"P5 %d %d 255\n" % gray.shape[::-1] + gray.tobytes()
+    frame = spark.createDataFrame([("a", bytearray(png(gray))), ("b", bytearray(pgm)), ("c", bytearray(b"nothing")), ("d", bytearray())], "name string, content binary")
+    masks = {r.name: r for r in pages.masks_of_files(frame).collect()}
+    assert masks["a"][1:] == masks["b"][1:] and masks["a"].dark > 0 and masks["c"].bits is None and masks["c"].error and masks["d"].error
+    got = pages.analysed(frame)
+    assert {r.name for r in got["measures"].collect()} == {"a", "b"} and got["brackets"].count() == 2
+
+
+def test_whole_page_search(spark):
+    """Without systems: wide spacing, thin lines; the strict score too."""
+    gray = np.full((700, 900), 255, np.uint8)
+    for top in (80, 220, 360):
+        for i in range(5):
+            gray[top + 20 * i : top + 20 * i + 2, 40:880] = 0
+        for x in (100, 400, 700):
+            gray[top : top + 82, x : x + 3] = 0
+    gray[85:125, 550:552] = 0
+    frame = spark.createDataFrame([("a", 900, 700, bytearray(gray.tobytes())), ("b", 50, 50, bytearray(b"\xff" * 2500))], "name string, width int, height int, pixels binary")
+    masks = pages.masks_of_pages(frame)
+    for least in (30, 40):
+        assert sorted((r.name, r.x) for r in pages.barlines_of_whole_pages(masks, least=least).collect()) == [("a", 101), ("a", 401), ("a", 701)]
+    assert pages.barlines_of_whole_pages(masks, least=101).collect() == []
+
+
 def test_directory_of_images(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(png(score()))
     (tmp_path / "b.png").write_bytes(b"\x89PNG broken")
