@@ -197,42 +197,57 @@ def has_horizontal_element(mask: np.ndarray, x: int, y: int, window: int = 15, l
     return int(opened_rows(part, length).sum()) >= least if part.size else False
 
 
-def resized(gray: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Nearest pixels, centres aligned."""
-    y = ((np.arange(height) + 0.5) * gray.shape[0] / height).astype(int).clip(0, gray.shape[0] - 1)
-    x = ((np.arange(width) + 0.5) * gray.shape[1] / width).astype(int).clip(0, gray.shape[1] - 1)
-    return gray[y[:, None], x[None, :]]
+def resampling(old: int, new: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places, weights), a row for each new pixel of a side: the old pixels that it takes from and how much of each; a sparse matrix with as many entries a row.
 
+    Kinds: area (means over what a new pixel covers, for making smaller), linear
+    and cubic (between centres; cubic with a slope of -0.75), nearest. Beyond
+    the edge counts the pixel at the edge.
+    """
+    if kind == "area":
+        edge = np.arange(new + 1) * (old / new)
+        first = np.floor(edge[:-1]).astype(int)
+        place = first[:, None] + np.arange(int(np.ceil(old / new)) + 1)[None, :]
+        weight = np.clip(np.minimum(place + 1, edge[1:, None]) - np.maximum(place, edge[:-1, None]), 0, None) / (old / new)
+        return np.minimum(place, old - 1), weight
+    at = (np.arange(new) + 0.5) * old / new
+    if kind == "nearest":
+        return at.astype(int).clip(0, old - 1)[:, None], np.ones((new, 1))
+    low = np.floor(at - 0.5).astype(int)
+    reach = np.arange(2) if kind == "linear" else np.arange(-1, 3)
+    place = low[:, None] + reach[None, :]
+    far = np.abs((at - 0.5)[:, None] - place)
+    if kind == "linear":
+        weight = 1 - far
+    else:
+        slope = -0.75
+        near = ((slope + 2) * far - (slope + 3)) * far * far + 1
+        weight = np.where(far <= 1, near, ((slope * far - 5 * slope) * far + 8 * slope) * far - 4 * slope)
+    return place.clip(0, old - 1), weight
+
+
+def resampled(gray: np.ndarray, width: int, height: int, kind: str) -> np.ndarray:
+    """An image in another size, one side after the other."""
+
+    def along(a: np.ndarray, new: int) -> np.ndarray:
+        place, weight = resampling(a.shape[0], new, kind)
+        out = np.zeros((new, a.shape[1]))
+        for k in range(place.shape[1]):
+            out += a[place[:, k]] * weight[:, k, None]
+        return out
 
-def averaged(gray: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Means over the areas that the new pixels cover, for making an image smaller."""
-
-    def shrink(a: np.ndarray, n: int) -> np.ndarray:
-        edge = np.arange(n + 1) * (a.shape[0] / n)
-        total = np.vstack([np.zeros((1, a.shape[1])), np.cumsum(a, axis=0)])
-        low = np.minimum(edge.astype(int), a.shape[0] - 1)
-        at = total[low] + (edge - low)[:, None] * a[low]
-        return np.diff(at, axis=0) / (a.shape[0] / n)
-
-    out = shrink(shrink(gray.astype(np.float64), height).T, width).T
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(along(along(gray, height).T, width).T), 0, 255).astype(np.uint8)
 
 
-def blended(gray: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Between the four pixels around, by their distances, for making an image larger."""
-    y = np.clip((np.arange(height) + 0.5) * gray.shape[0] / height - 0.5, 0, gray.shape[0] - 1)
-    x = np.clip((np.arange(width) + 0.5) * gray.shape[1] / width - 0.5, 0, gray.shape[1] - 1)
-    y0, x0 = y.astype(int), x.astype(int)
-    y1, x1 = np.minimum(y0 + 1, gray.shape[0] - 1), np.minimum(x0 + 1, gray.shape[1] - 1)
-    fy, fx, g = (y - y0)[:, None], (x - x0)[None, :], gray.astype(np.float64)
-    rows = lambda r: g[r][:, x0] * (1 - fx) + g[r][:, x1] * fx
-    return np.rint(rows(y0) * (1 - fy) + rows(y1) * fy).astype(np.uint8)
+def scaled(gray: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Means over areas for making an image smaller, cubic for making it larger on some side."""
+    return resampled(gray, width, height, "area" if width <= gray.shape[1] and height <= gray.shape[0] else "cubic")
 
 
 def on_canvas(gray: np.ndarray, scale: float, width: int, height: int, pad: int = 255) -> np.ndarray:
-    """The image scaled (means below 1, blends above), centred on a canvas; what hangs over is cut off on both sides."""
+    """The image scaled (means below 1, cubic above), centred on a canvas; what hangs over is cut off on both sides."""
     h, w = max(1, int(gray.shape[0] * scale)), max(1, int(gray.shape[1] * scale))
-    image = (averaged if scale < 1 else blended)(gray, w, h)
+    image = scaled(gray, w, h)
     out = np.full((height, width), pad, np.uint8)
     y, x = (height - h) // 2, (width - w) // 2
     part = image[max(0, -y) : max(0, -y) + height, max(0, -x) : max(0, -x) + width]
@@ -240,13 +255,13 @@ def on_canvas(gray: np.ndarray, scale: float, width: int, height: int, pad: int
     return out
 
 
-def letterboxed(gray: np.ndarray, size: int, pad: int = 255) -> np.ndarray:
-    """The longer side scaled to size, the other padded evenly; the same transform as geometry.letterbox."""
+def letterboxed(gray: np.ndarray, size: int, pad: int = 255, kind: str = "nearest") -> np.ndarray:
+    """The longer side scaled to size, the other padded evenly; the same transform as geometry.letterbox. kind: a kind of resampling()."""
     scale = size / max(gray.shape)
     h, w = max(1, int(gray.shape[0] * scale)), max(1, int(gray.shape[1] * scale))
     out = np.full((size, size), pad, np.uint8)
     y, x = (size - h) // 2, (size - w) // 2
-    out[y : y + h, x : x + w] = resized(gray, w, h)
+    out[y : y + h, x : x + w] = resampled(gray, w, h, kind)
     return out
 
 
@@ -303,17 +318,19 @@ def page_segments(pages: DataFrame, min_length: int, max_gap: int = 3, otsu: boo
 
 
 def page_crops(pages: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(name, crop_id, width, height, pixels) of boxes (name, crop_id, x, y, w, h), clipped to the page."""
+    """(name, crop_id, width, height, pixels) of boxes (name, crop_id, x, y, w, h), clipped to the page. The boxes of a page, a few numbers each, go to it together; its pixels are in one row once, and crops leave one by one."""
+    wanted = boxes.groupBy("name").agg(F.collect_list(F.struct(F.col("crop_id").cast("string").alias("crop_id"), *[F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")])).alias("boxes"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
             for row in part.itertuples():
-                cut = _gray(row)[max(0, row.y) : max(0, row.y + row.h), max(0, row.x) : max(0, row.x + row.w)]
-                out.append((row.name, row.crop_id, cut.shape[1], cut.shape[0], cut.tobytes()))
-            yield pd.DataFrame(out, columns=["name", "crop_id", "width", "height", "pixels"])
+                gray = _gray(row)
+                for b in row.boxes:
+                    cut = gray[max(0, b["y"]) : max(0, b["y"] + b["h"]), max(0, b["x"]) : max(0, b["x"] + b["w"])]
+                    yield pd.DataFrame({"name": [row.name], "crop_id": [b["crop_id"]], "width": [cut.shape[1]], "height": [cut.shape[0]], "pixels": [cut.tobytes()]})
 
-    return pages.select("name", "width", "height", "pixels").join(boxes, "name").mapInPandas(run, "name string, crop_id string, width int, height int, pixels binary")
+    rows = pages.where("pixels is not null").select("name", "width", "height", "pixels").join(wanted, "name")
+    return rows.mapInPandas(run, "name string, crop_id string, width int, height int, pixels binary")
 
 
 def packed_mask(mask: np.ndarray) -> bytes:

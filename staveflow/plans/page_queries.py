@@ -11,7 +11,8 @@ from ..functions import geometry as geo
 from ..functions import kernels
 from ..functions import labels as names
 from ..operators import aggregates, joins, sampling, validation, windows
-from ..sources import detectors, files, sinks
+from ..rounds import new_folder
+from ..sources import detectors, files, named_files, pdf, sinks
 from . import dataset, pages, signatures, symbols
 from . import measures as mp
 from .adapters import BARLINES, BOXES, PIXELS_SQL, PLACES, SEGMENTS, STAFFS, derived, pixels, table
@@ -569,3 +570,96 @@ def stroke_votes(spark, sf_dir):
                 yield pd.DataFrame({"label": int(r.name), "degrees": np.array(angles)[k], "x": x, "votes": votes[k, x]})
 
     return _images(spark, sf_dir).mapInPandas(run, "label int, degrees long, x long, votes long")
+
+
+# files by image, documents of any size, pages of PDF documents: written and read back
+
+
+@query(f"{DOCUMENT_SQL} SELECT CAST(k AS INT) AS shard, CAST(ann AS VARCHAR) AS ann_id, CAST(img AS VARCHAR) AS image_id, CAST(cat AS VARCHAR) AS category_id, CAST(x + 2 AS DOUBLE) AS x2 FROM l WHERE cat IS NOT NULL AND cat <> 4 AND n < 7")
+def large_annotation_scan(spark, sf_dir):
+    """The rows of annotation_scan from documents on disk, each read in ranges of 100,000 bytes."""
+    path = new_folder(spark, "documents")
+    named_files.write(_documents(spark, sf_dir).select("file", F.col("value").alias("content")), path)
+    rows = files.member_annotations(files.annotation_members(spark, path + "/*.json", 100_000), excluded=["4"])
+    return rows.select("shard", "ann_id", "image_id", "category_id", F.col("box")[2].alias("x2"))
+
+
+@query(f"SELECT CAST(image AS VARCHAR) AS image, cls AS class_id, round(x1 / 1000.0, 6) AS xc, round(y1 / 2000.0, 6) AS yc, round(w / 1000.0, 6) AS w, round(h / 1000.0, 6) AS h FROM ({BOXES})")
+def label_files(spark, sf_dir):
+    """A label file an image, written and read back."""
+    boxes = derived(spark, sf_dir, BOXES)
+    rows = boxes.selectExpr("image", "cls AS class_id", "x1 / 1000.0D AS xc", "y1 / 2000.0D AS yc", "w / 1000.0D AS w", "h / 1000.0D AS h")
+    path = new_folder(spark, "labels")
+    sinks.write_labels(sinks.label_lines(boxes.select("image").distinct(), rows), path)
+    return files.yolo_labels(spark, path).select("image", F.col("class_id").cast("long").alias("class_id"), "xc", "yc", "w", "h")
+
+
+@query(f"SELECT page AS label, part, CAST(count(*) AS BIGINT) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT page, y // 20 AS part, v FROM ({IMAGES_SQL}) WHERE x BETWEEN 10 AND 29) GROUP BY 1, 2")
+def crop_files(spark, sf_dir):
+    """Crops of 20 rows each, a PNG file each, written and read back."""
+    images = _images(spark, sf_dir)
+    boxes = images.select("name", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / 20).cast("int"))).alias("k")).selectExpr("name", "cast(k AS string) AS crop_id", "10 AS x", "k * 20 AS y", "20 AS w", "20 AS h")
+    path = new_folder(spark, "crops")
+    sinks.write_crops(kernels.page_crops(images, boxes), path)
+    read = files.decoded_pages(files.page_files(spark, path + "/*").withColumn("name", F.regexp_extract("path", r"([0-9]+/[0-9]+)[.]png$", 1)))
+    return _named_sums(read).selectExpr("cast(doc AS int) AS label", "cast(page AS long) AS part", "n", "total")
+
+
+def pdf_bytes(images: list[tuple[int, int, bytes]]) -> bytes:
+    """A document with an image a page, as scanners make them."""
+    import zlib
+
+    kids = " ".join(f"{3 + 2 * k} 0 R" for k in range(len(images)))
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(images)} >>".encode()]
+    for k, (width, height, pixels) in enumerate(images):
+        data = zlib.compress(pixels)
+        parts.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {width} {height}] /Resources << /XObject << /Im0 {4 + 2 * k} 0 R >> >> >>".encode())
+        parts.append(f"<< /Type /XObject /Subtype /Image /Width {width} /Height {height} /BitsPerComponent 8 /ColorSpace /DeviceGray /Filter /FlateDecode /Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream")
+    out, at = bytearray(b"%PDF-1.4\n"), []
+    for k, part in enumerate(parts):
+        at.append(len(out))
+        out += f"{k + 1} 0 obj\n".encode() + part + b"\nendobj\n"
+    start = len(out)
+    out += f"xref\n0 {len(parts) + 1}\n0000000000 65535 f \n".encode() + b"".join(b"%010d 00000 n \n" % x for x in at)
+    return bytes(out + f"trailer\n<< /Root 1 0 R /Size {len(parts) + 1} >>\nstartxref\n{start}\n%%EOF\n".encode())
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of two documents: the images of even and of odd labels, a page each, in order of labels."""
+
+    def bound(key, part):
+        part = part.assign(label=part["name"].astype(int)).sort_values("label")
+        return pd.DataFrame({"file": [f"set-{key[0]}.pdf"], "content": [pdf_bytes([(int(w), int(h), bytes(p)) for w, h, p in zip(part["width"], part["height"], part["pixels"], strict=True)])]})
+
+    path = new_folder(spark, "scans")
+    rows = _images(spark, sf_dir).withColumn("doc", F.col("name").cast("int") % 2)
+    named_files.write(rows.groupBy("doc").applyInPandas(bound, "file string, content binary"), path)
+    return path
+
+
+PAGES_SQL = f"SELECT 'set-' || (page % 2) || '.pdf' AS doc, row_number() OVER (PARTITION BY page % 2 ORDER BY page) AS page, n, total FROM (SELECT page, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM ({IMAGES_SQL}) GROUP BY 1)"
+
+
+@query(f"SELECT doc, CAST(page AS INT) AS page, n, total FROM ({PAGES_SQL})")
+def pdf_pages(spark, sf_dir):
+    """Every page of the documents; the sums are of whole images."""
+    found = pdf.pdf_pages(spark, _scans(spark, sf_dir), pages_per_task=2).withColumn("name", F.concat_ws("/", "doc", F.col("page").cast("string")))
+    return _named_sums(found)
+
+
+@query(f"SELECT doc, CAST(page AS INT) AS page, n, total FROM ({PAGES_SQL})")
+def pdf_renderings(spark, sf_dir):
+    """Pages of documents as PNG files, read back as images."""
+    path = new_folder(spark, "renderings")
+    sinks.write_images(pdf.pdf_pages(spark, _scans(spark, sf_dir)), path)
+    found = files.decoded_pages(files.page_files(spark, path)).withColumn("name", F.regexp_replace("name", r"^(.*)-0*([0-9]+)[.]png$", "$1.pdf/$2"))
+    return _named_sums(found)
+
+
+def _named_sums(images: DataFrame) -> DataFrame:
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame({"name": part["name"], "n": [len(p) for p in part["pixels"]], "total": [sum(p) for p in part["pixels"]]})
+
+    sums = images.select("name", "pixels").mapInPandas(run, "name string, n long, total long")
+    return sums.selectExpr("split_part(name, '/', 1) AS doc", "cast(split_part(name, '/', 2) AS int) AS page", "n", "total")

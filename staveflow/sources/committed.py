@@ -6,7 +6,7 @@ messages of one attempt a task, whatever else was tried. Only then are those
 files renamed and a manifest, itself written under a temporary name, lists
 them with their sizes. Readers go by the manifest, so files of failed attempts
 or of a job that ended half-way are never read; a job that fails removes its
-folder. Paths are any URI that pyarrow's file systems open on driver and
+folder (what a task still writes then is left there, unnamed). Paths are any URI that pyarrow's file systems open on driver and
 executors alike.
 """
 
@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -25,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 MANIFEST = "_manifest.jsonl"
+#: Files that the driver renames at a time.
+MOVES = 16
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI and the path in it."""
-    parts = urlparse(uri)
-    if parts.scheme in ("", "file"):
-        return pafs.LocalFileSystem(), unquote(parts.path).rstrip("/") if parts.scheme else uri.rstrip("/")
+    """The file system of a path as Spark writes it (with a scheme or without, nothing percent-encoded) and the path in it."""
+    parts = re.fullmatch(r"(?:(?P<scheme>[A-Za-z][A-Za-z0-9+.-]*):)?(?://[^/]*)?(?P<path>/.*)", uri, re.DOTALL)
+    if parts is None or parts["scheme"] in (None, "file"):
+        return pafs.LocalFileSystem(), (parts["path"] if parts else uri).rstrip("/")
     fs, path = pafs.FileSystem.from_uri(uri)
     return fs, path.rstrip("/")
 
@@ -109,8 +112,8 @@ class CommittedWriter(DataSourceArrowWriter):
             held = []
         for folder in {n.rpartition("/")[0] for n in names} - {""}:
             fs.create_dir(f"{path}/{folder}", recursive=True)
-        for at, said in found:
-            fs.move(at, f"{path}/{said['file']}")
+        with ThreadPoolExecutor(MOVES) as pool:  # a store answers many at a time
+            list(pool.map(lambda f: fs.move(f[0], f"{path}/{f[1]['file']}"), found))
         lines = sorted([*held, *(said for _, said in found)], key=lambda x: x["file"])
         hidden = f"{path}/_temporary-{self.job}/{MANIFEST}"
         fs.create_dir(hidden.rpartition("/")[0], recursive=True)

@@ -10,8 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from ..schemas import ANNOTATIONS_JSON
+from . import large_json
 
 #: What decode_image() raises for a file that isn't an image it reads.
 DECODE_ERRORS = (ValueError, IndexError, struct.error)
@@ -42,7 +44,10 @@ def categories(files: DataFrame) -> DataFrame:
 
 def annotations(files: DataFrame, wanted: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
     """(shard, ann_id, image_id, cat_ids, category_id, box, area): null and empty ids are dropped, the first that is left counts."""
-    rows = files.select("shard", F.explode("annotations").alias("ann_id", "a"))
+    return _annotation_rows(files.select("shard", F.explode("annotations").alias("ann_id", "a")), wanted, excluded)
+
+
+def _annotation_rows(rows: DataFrame, wanted: list[str] | None, excluded: list[str] | None) -> DataFrame:
     ids = F.filter("a.cat_id", lambda c: c.isNotNull() & (c != ""))
     out = rows.select("shard", "ann_id", F.col("a.img_id").alias("image_id"), ids.alias("cat_ids"), F.try_element_at(ids, F.lit(1)).alias("category_id"), F.col("a.a_bbox").alias("box"), F.col("a.area").alias("area"))
     out = out.where("category_id is not null and size(box) = 4")
@@ -51,6 +56,32 @@ def annotations(files: DataFrame, wanted: list[str] | None = None, excluded: lis
     return out if excluded is None else out.where(~F.col("category_id").isin(excluded))
 
 
+def annotation_members(spark: SparkSession, paths: str | list[str], range_bytes: int = large_json.RANGE_BYTES) -> DataFrame:
+    """(file, shard, section, key, value): the members of annotation documents of any size, a row each; no document is ever one row."""
+    return with_shard(large_json.members(spark, paths, range_bytes))
+
+
+def _member_schema(section: str) -> str:
+    kind = DataType.fromDDL(ANNOTATIONS_JSON)[section].dataType
+    return (kind.elementType if isinstance(kind, ArrayType) else kind.valueType).simpleString()
+
+
+def member_images(members: DataFrame) -> DataFrame:
+    """images() of annotation_members()."""
+    return members.where("section = 'images'").select("shard", F.from_json("value", _member_schema("images")).alias("i")).select("shard", "i.*")
+
+
+def member_categories(members: DataFrame) -> DataFrame:
+    """categories() of annotation_members()."""
+    return members.where("section = 'categories'").select(F.col("key").alias("id"), F.from_json("value", _member_schema("categories"))["name"].alias("name")).distinct()
+
+
+def member_annotations(members: DataFrame, wanted: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
+    """annotations() of annotation_members()."""
+    rows = members.where("section = 'annotations'").select("shard", F.col("key").alias("ann_id"), F.from_json("value", _member_schema("annotations")).alias("a"))
+    return _annotation_rows(rows, wanted, excluded)
+
+
 def annotation_counters(files: DataFrame, excluded: list[str]) -> DataFrame:
     """One row (total, kept, excluded, without_category, without_box) of all annotations, in one pass."""
     ids = F.filter("a.cat_id", lambda c: c.isNotNull() & (c != ""))
@@ -61,8 +92,9 @@ def annotation_counters(files: DataFrame, excluded: list[str]) -> DataFrame:
 
 
 def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
-    """label_numbers() of label files, with the file's name as image."""
-    return label_numbers(spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("image"), "value"))
+    """label_numbers() of label files, with the file's name as image; sinks.write_labels writes such files."""
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))  # it comes percent-encoded
+    return label_numbers(spark.read.text(path).select(F.regexp_extract(name, r"(?s)^(.*)\.txt$", 1).alias("image"), "value"))
 
 
 def label_numbers(lines: DataFrame) -> DataFrame:
@@ -268,6 +300,15 @@ def _along_diagonals(kinds: np.ndarray, lines: np.ndarray, above: np.ndarray, st
     return np.stack([back[j, j : j + wide].reshape(-1) for j in range(1, many + 1)])
 
 
+def encode_png(width: int, height: int, pixels: bytes) -> bytes:
+    """A gray image as a PNG; lines are stored as differences from the line above, which suits pages."""
+    gray = np.frombuffer(pixels, np.uint8).reshape(height, width)
+    lines = np.full((height, width + 1), 2, np.uint8)
+    lines[:1, 1:], lines[1:, 1:] = gray[:1], gray[1:] - gray[:-1]
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
 def decode_image(content: bytes) -> tuple[int, int, bytes]:
     """(width, height, gray bytes) of a PNG or PGM image, told apart by how it begins."""
     return decode_png(content) if content[:4] == b"\x89PNG" else decode_pgm(content)

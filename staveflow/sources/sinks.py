@@ -1,10 +1,13 @@
-"""Sinks: nested JSON documents, label files, reports. All write through Spark's own writers."""
+"""Sinks: nested JSON documents, reports, and files by image (labels, renderings, crops)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import files, named_files
+
 
 def page_documents(measures: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, document): one JSON document a page with its measures in order."""
@@ -34,9 +37,26 @@ def label_lines(images: DataFrame, labels: DataFrame) -> DataFrame:
     return images.select("image").join(lines, "image", "left").withColumn("line", F.coalesce("line", F.lit("")))
 
 
-def write_labels(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder image=... for each image."""
-    lines.write.mode(mode).partitionBy("image").text(path)
+def write_labels(lines: DataFrame, path: str, mode: str = "append") -> None:
+    """One file <image>.txt for each row (image, line), as files.yolo_labels reads them; an empty one for an image without labels."""
+    text = F.when(F.coalesce("line", F.lit("")) != "", F.concat("line", F.lit("\n"))).otherwise("")
+    named_files.write(lines.select(F.concat("image", F.lit(".txt")).alias("file"), text.alias("content")), path, mode)
+
+
+def write_images(images: DataFrame, path: str, mode: str = "append") -> None:
+    """One file <name>.png for each image (name, width, height, pixels): page renderings, or crops by a name of their own. Rows without pixels are left out."""
+
+    @F.pandas_udf("binary")
+    def encoded(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.Series:
+        return pd.Series([files.encode_png(int(w), int(h), bytes(p)) for w, h, p in zip(width, height, pixels, strict=True)])
+
+    rows = images.where("pixels is not null and width > 0 and height > 0")
+    named_files.write(rows.select(F.concat("name", F.lit(".png")).alias("file"), encoded("width", "height", "pixels").alias("content")), path, mode)
+
+
+def write_crops(crops: DataFrame, path: str, mode: str = "append") -> None:
+    """One file <name>/<crop_id>.png for each crop of kernels.page_crops."""
+    write_images(crops.withColumn("name", F.concat_ws("/", "name", "crop_id")), path, mode)
 
 
 def merged_results(*methods: tuple[str, DataFrame]) -> DataFrame:

@@ -270,9 +270,9 @@ def test_directory_of_images(spark, tmp_path):
 
 def test_scaling():
     gray = np.arange(48, dtype=np.uint8).reshape(6, 8)
-    assert (kernels.averaged(gray, 4, 3) == np.rint(gray.reshape(3, 2, 4, 2).mean((1, 3)))).all()
-    assert (kernels.averaged(gray, 8, 6) == gray).all() and (kernels.blended(gray, 8, 6) == gray).all()
-    up = kernels.blended(np.array([[0, 100]], np.uint8), 4, 1)[0].tolist()
+    assert (kernels.resampled(gray, 4, 3, "area") == np.rint(gray.reshape(3, 2, 4, 2).mean((1, 3)))).all()
+    assert (kernels.resampled(gray, 8, 6, "area") == gray).all() and (kernels.resampled(gray, 8, 6, "cubic") == gray).all()
+    up = kernels.resampled(np.array([[0, 100]], np.uint8), 4, 1, "linear")[0].tolist()
     assert up == [0, 25, 75, 100]
     small, big = kernels.on_canvas(gray, 0.5, 10, 10), kernels.on_canvas(gray, 3, 10, 10, 0)
     assert small.shape == big.shape == (10, 10) and (small == 255).sum() == 100 - 12 and big.min() > 0
