@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from ..rounds import checkpoint
-from . import joins
+from . import conflicts, joins
 from .islands import clusters_by_gap
 
 
@@ -89,20 +88,11 @@ def thickness(columns: DataFrame, keys: list[str], visits: tuple = (1, -1, 2, -2
 def greedy_suppression(boxes: DataFrame, keys: list[str], overlap: float = 0.5, rank: tuple = ("confidence", "id")) -> DataFrame:
     """Boxes that survive greedy suppression within keys: by confidence (ties by id), each kept box drops those of that overlap or more.
 
-    Only pairs that overlap enough matter, and they are few. In rounds, boxes
-    that no box left goes before are kept, and drop the others of their pairs;
-    what was dropped drops nothing. That is what taking boxes one by one gives,
-    and no key's boxes are ever in one task. id names a box.
+    Only pairs that overlap enough matter, and they are few; conflicts.losers
+    takes them in order of rank. id names a box.
     """
     conf, ident = rank
-    pairs = joins.overlapping(boxes, keys, ident).where(iou("p", "q") >= overlap).select("a", "b")
-    of = boxes.select(F.col(ident).alias("__i"), F.col(conf).alias("__c"))
-    ranked = pairs.join(of.select(F.col("__i").alias("a"), F.col("__c").alias("ca")), "a").join(of.select(F.col("__i").alias("b"), F.col("__c").alias("cb")), "b")
-    first = F.col("ca") >= F.col("cb")
-    left, dropped = checkpoint(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("low"))), None
-    while not left.isEmpty():
-        kept = left.select("high").distinct().join(left.select(F.col("low").alias("high")).distinct(), "high", "left_anti")
-        gone = checkpoint(left.join(kept, "high", "left_semi").select("low").distinct())
-        dropped = gone if dropped is None else dropped.union(gone)
-        left = checkpoint(left.join(gone, "low", "left_anti").join(gone.withColumnRenamed("low", "high"), "high", "left_anti"))
-    return boxes if dropped is None else boxes.join(dropped.withColumnRenamed("low", ident), ident, "left_anti").select(*boxes.columns)
+    met = joins.overlapping(boxes, keys, ident, more=[conf]).where(iou("p", "q") >= overlap)
+    first = F.col(f"p.{conf}") >= F.col(f"q.{conf}")
+    pairs = met.select(*keys, F.greatest(f"p.{conf}", f"q.{conf}").alias("rank"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("high"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("low"))
+    return boxes.join(conflicts.losers(pairs, keys).withColumnRenamed("low", ident), ident, "left_anti").select(*boxes.columns)

@@ -136,14 +136,14 @@ def first_match(rows: DataFrame, lookup: DataFrame, keys: list[str], pos: str) -
     return rows.join(first, keys, "left").select(*rows.columns, *[F.col("__f")[c].alias(c) for c in rest])
 
 
-def overlapping(boxes: DataFrame, keys: list[str], ident: str = "id", cell: int = 128) -> DataFrame:
-    """(keys, a, b, p, q): pairs of boxes (ident, x1, y1, x2, y2) with some area in common, a before b by ident, and their corners.
+def overlapping(boxes: DataFrame, keys: list[str], ident: str = "id", cell: int = 128, more: list[str] | None = None) -> DataFrame:
+    """(keys, a, b, p, q): pairs of boxes (ident, x1, y1, x2, y2) with some area in common, a before b by ident, and their corners, with more columns of theirs.
 
     Boxes go to the cells of a grid that they touch. A pair counts in the cell
     of the corner where its common area begins, so it comes once.
     """
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
-    rows = boxes.where("x1 < x2 and y1 < y2").select(*keys, F.col(ident).alias("i"), F.struct("x1", "y1", "x2", "y2").alias("box"), cells("x1", "x2").alias("__cx"), "y1", "y2")
+    rows = boxes.where("x1 < x2 and y1 < y2").select(*keys, F.col(ident).alias("i"), F.struct("x1", "y1", "x2", "y2", *(more or [])).alias("box"), cells("x1", "x2").alias("__cx"), "y1", "y2")
     rows = rows.withColumn("__cy", cells("y1", "y2"))
     a, b = (rows.select(*keys, "__cx", "__cy", F.col("i").alias(i), F.col("box").alias(n)) for i, n in (("a", "p"), ("b", "q")))
     left, top = F.greatest("p.x1", "q.x1"), F.greatest("p.y1", "q.y1")

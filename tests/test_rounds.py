@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staveflow.config import DEFAULT, DetectionConfig
-from staveflow.operators import folds, joins, sampling, validation
+from staveflow.operators import conflicts, folds, joins, sampling, validation
 from staveflow.plans import pages
 
 
@@ -84,3 +84,48 @@ def test_balanced_sample_is_stable(spark):
     counts = spark.createDataFrame([(i, i % 4, i) for i in range(300)], "image int, cls int, n int")
     one, two = (sorted(r.image for r in sampling.balanced_sample(c, 60, 4).collect()) for c in (counts, counts.repartition(9)))
     assert one == two and len(one) == 60
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_long_chains_take_few_rounds(spark, monkeypatch, sign):
+    """Two chains of a thousand boxes in a key, each box in the way of the next two: one walk, or components in about log-many rounds and a walk."""
+    rows = [(1000 * k + i, "a", float(sign * i), 5.0 * i, 900.0 * k, 5.0 * i + 20, 900.0 * k + 10) for k in (0, 1) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, image string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    want = sorted(1000 * k + (i if sign < 0 else 999 - i) for k in (0, 1) for i in range(0, 1000, 3))
+    made, keep = [], conflicts.checkpoint
+    monkeypatch.setattr(conflicts, "checkpoint", lambda df: made.append(1) or keep(df))
+    for folded, most in ((10**6, 2), (2500, 7 + 3 * 10)):
+        monkeypatch.setattr(conflicts, "FOLDED", folded)
+        made.clear()
+        got = sorted(r.id for r in folds.greedy_suppression(frame, ["image"], 0.3).collect())
+        assert got == want and len(made) <= most, (folded, len(made))
+
+
+def test_large_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(conflicts, "FOLDED", 5)
+    rng = random.Random(9)
+    boxes = [(i, f"p{i % 2}", float(rng.randint(0, 5)), x := rng.randint(0, 60), y := rng.randint(0, 20), x + rng.randint(5, 25), y + rng.randint(5, 25)) for i in range(120)]
+    frame = spark.createDataFrame([tuple(map(lambda v: float(v) if isinstance(v, int) else v, b[3:])) + b[:3] for b in boxes], "x1 double, y1 double, x2 double, y2 double, id long, image string, confidence double")
+    kept = []
+    for b in sorted(boxes, key=lambda b: (-b[2], b[0])):
+        def share(c):
+            w, h = min(b[5], c[5]) - max(b[3], c[3]), min(b[6], c[6]) - max(b[4], c[4])
+            both = w * h if w > 0 and h > 0 else 0
+            return both / ((b[5] - b[3]) * (b[6] - b[4]) + (c[5] - c[3]) * (c[6] - c[4]) - both)
+
+        if not any(c[1] == b[1] and share(c) >= 0.3 for c in kept):
+            kept.append(b)
+    assert sorted(r.id for r in folds.greedy_suppression(frame, ["image"], 0.3).collect()) == sorted(b[0] for b in kept)
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    order = list(range(300))
+    rng.shuffle(order)
+    edges = list(zip(order[:100], order[1:101], strict=True)) + [(order[150], order[k]) for k in range(151, 200)] + [(order[250], order[251])]
+    root = {n: n for n in range(300)}
+    for _ in range(300):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in conflicts.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root[n] for e in edges for n in e}
