@@ -171,11 +171,11 @@ def first_overlap(spark, sf_dir):
     return joins.first_overlapping(groups, brackets, ["page"]).select("page", "group_idx", "bracket_x")
 
 
-@query(f"""WITH p AS ({PIXELS_SQL}), l AS (SELECT DISTINCT page, y FROM p WHERE y % 4 = 0), b AS (SELECT DISTINCT page, x AS id, x FROM p WHERE x % 10 = 5)
+@query(f"""WITH p AS ({PIXELS_SQL}), l AS (SELECT DISTINCT page, y FROM p WHERE y % 4 = 0), b AS (SELECT DISTINCT page, x AS id, x FROM p)
  SELECT b.page, b.id, count(DISTINCT p.y) AS n_crossed FROM b JOIN p ON b.page = p.page AND p.x BETWEEN b.x - 3 AND b.x + 3 JOIN l ON l.page = p.page AND l.y = p.y GROUP BY 1, 2 HAVING count(DISTINCT p.y) >= 3""")
 def lines_crossed(spark, sf_dir):
     p = pixels(spark, sf_dir)
-    bars = p.where("x % 10 = 5").select("page", F.col("x").alias("id"), "x").distinct()
+    bars = p.select("page", F.col("x").alias("id"), "x").distinct()
     return joins.lines_crossed(bars, p, p.where("y % 4 = 0").select("page", "y").distinct(), ["page"])
 
 
@@ -482,10 +482,10 @@ def measures_from_barlines(spark, sf_dir):
 
 
 @query(f"""WITH e AS (SELECT page, x1 // 20 AS g, min(least(y1, y2)) AS a, max(greatest(y1, y2)) AS b FROM ({SEGMENTS}) GROUP BY 1, 2)
- SELECT page, g AS grp, a >= 50 - 10 * 1.2 AND a <= 50 + 10 * 0.7 AND b >= 600 - 10 * 0.7 AND b <= 600 + 10 * 1.2 AND b - a + 1 <= 565 AS spans FROM e WHERE b - a > 300""")
+ SELECT page, g AS grp, a >= 50 - 10 * 1.2 AND a <= 50 + 10 * 0.7 AND b >= 600 - 10 * 0.7 AND b <= 600 + 10 * 1.2 AND b - a + 1 <= 565 AS spans FROM e""")
 def full_span(spark, sf_dir):
     rows = validation.group_extents(derived(spark, sf_dir, SEGMENTS).withColumn("grp", F.floor(F.col("x1") / 20)), ["page", "grp"])
-    staff = rows.where("y_max - y_min > 300").withColumns({"top": F.lit(50), "bottom": F.lit(600), "spacing": F.lit(10.0)})
+    staff = rows.withColumns({"top": F.lit(50), "bottom": F.lit(600), "spacing": F.lit(10.0)})
     return staff.select("page", "grp", validation.spans_staff(max_length=F.lit(565)).alias("spans"))
 
 
@@ -583,10 +583,10 @@ def nested_json_round_trip(spark, sf_dir):
     return docs.select(F.col("doc").alias("user_id"), F.col("page").alias("event_type"), back.alias("b")).select("user_id", "event_type", F.col("b.total_measures").alias("n"), F.aggregate("b.measures", F.lit(0).cast("long"), lambda a, m: a + m["k"]).alias("k"))
 
 
-@query(f"SELECT image, coalesce(string_agg(CASE WHEN cls = 2 THEN format('{{}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', cls, x1 / 1000.0, y1 / 2000.0, w / 1000.0, h / 1000.0) END, chr(10) ORDER BY format('{{}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', cls, x1 / 1000.0, y1 / 2000.0, w / 1000.0, h / 1000.0)), '') AS line FROM ({BOXES}) GROUP BY 1")
+@query(f"SELECT image, coalesce(string_agg(format('{{}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', cls, x1 / 1000.0, y1 / 2000.0, w / 1000.0, h / 1000.0), chr(10) ORDER BY format('{{}} {{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', cls, x1 / 1000.0, y1 / 2000.0, w / 1000.0, h / 1000.0)), '') AS line FROM ({BOXES}) GROUP BY 1")
 def label_lines(spark, sf_dir):
     boxes = derived(spark, sf_dir, BOXES)
-    rows = boxes.where("cls = 2").selectExpr("image", "cls AS class_id", "x1 / 1000.0D AS xc", "y1 / 2000.0D AS yc", "w / 1000.0D AS w", "h / 1000.0D AS h")
+    rows = boxes.selectExpr("image", "cls AS class_id", "x1 / 1000.0D AS xc", "y1 / 2000.0D AS yc", "w / 1000.0D AS w", "h / 1000.0D AS h")
     return sinks.label_lines(boxes.select("image").distinct(), rows)
 
 
