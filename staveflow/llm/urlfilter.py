@@ -2,7 +2,7 @@
 
 The model is trained from a small labelled URL table: rows (url, label), label
 1 for urls to block, at most MAX_ROWS of them (the rest is refused, not
-dropped). SEED_URLS makes such a table from a few lists where none is given.
+dropped). seed_urls() makes such a table from a few lists where none is given.
 
 A null url, or one without "://", has an empty host and path and gets the
 model's verdict for them. Urls of any length are scored whole; rows that repeat
