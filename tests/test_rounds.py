@@ -63,7 +63,7 @@ def test_settings():
     wide = DEFAULT.with_margins(2)
     assert (wide.barline_top_margin_ratio, wide.barline_bottom_margin_ratio, wide.barline_max_allowed_extension_ratio, wide.barline_roi_margin_ratio) == (1.4, 1.4, 2.4, 0.5)
     text = DEFAULT.description()
-    assert text.count("\n") == 15 + 5 - 1 and "  hough_max_line_gap_ratio: 0.3" in text
+    assert text.count("\n") == 13 + 5 - 1 and "  hough_max_line_gap_ratio: 0.3" in text
     with pytest.raises(ValueError):
         DEFAULT.with_margins(0.1)
     assert DetectionConfig(min_consensus_ratio=0.5).min_consensus_ratio == 0.5
