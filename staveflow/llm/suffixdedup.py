@@ -18,6 +18,13 @@ equal windows have equal anchors, so
    range of the anchor, where their suffixes are refined, and
 3. each context gets back one bit for each of its windows.
 
+The census also counts the contexts that would arrive for an anchor. One with so
+many that they would fill a large share of a row group (HOT; boilerplate before
+varying text makes such anchors) has its contexts cut into single windows, each
+of which goes to the range of a hash of its own bytes. Equal windows still meet,
+as all groups learn of the same hot anchors, and arrive once from each row group,
+so no range has the contexts of an anchor in numbers that grow with the corpus.
+
 Contexts that agree in a row group travel once, with the smallest doc_id, and
 those that agree in a range are refined once, so a large group of copies costs
 each row group once. Blocks grow with row groups and hash ranges, never with
@@ -47,6 +54,8 @@ LENGTH, GRAM = 50, 26
 SEED = 8
 #: A range is refined in so many parts, and a row group's windows are marked for so many runs at a time.
 PARTS, RUNS = 16, 1 << 15
+#: An anchor is hot if its contexts have over one part in so many of a row group's bytes.
+HOT = 4
 _PLACE = np.uint64((1 << 28) - 1)
 _PIECE = 1 << 26
 _LAST = np.iinfo(np.int64).max
@@ -134,6 +143,33 @@ class Group:
         np.maximum.at(high, self.key, self.doc)
         return low < high
 
+    def extra(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, numbers): the keys with several distinct contexts in the group, and how many more than one."""
+        runs = np.flatnonzero(np.bincount(self.key, minlength=len(self.keys))[self.key] > 1)
+        order = runs[np.lexsort((self.bytes[runs], self.key[runs]))]
+        key, same = self.key[order], self.bytes[order]
+        more = key[1:][(key[1:] == key[:-1]) & (same[1:] != same[:-1])]
+        return np.unique(more, return_counts=True)
+
+    def cut_hot(self, hot: np.ndarray) -> None:
+        """Cuts the runs of hot keys into single windows, whose hash is that of their bytes."""
+        runs = np.flatnonzero(hot[self.key])
+        if not len(runs):
+            return
+        hashes = []
+        for x in range(0, len(runs), RUNS):
+            n = self.n[runs[x : x + RUNS]]
+            size = n + self.length - 1
+            start = tx.spread(np.cumsum(size) - size, n)
+            hashes.append(range_hash(self.raw[tx.spread(self.first[runs[x : x + RUNS]], size)], start, start + self.length))
+        n, rest = self.n[runs], np.flatnonzero(~hot[self.key])
+        same = np.concatenate(hashes)
+        self.doc = np.append(self.doc[rest], np.repeat(self.doc[runs], n))
+        self.hash = np.append(self.hash[rest], tx.mix(same))
+        self.first = np.append(self.first[rest], tx.spread(self.first[runs], n))
+        self.n = np.append(self.n[rest], np.ones(len(same), np.int64))
+        self.bytes, self.key = np.append(self.bytes[rest], same), np.append(self.key[rest], np.repeat(self.key[runs], n))
+
     def contexts(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(runs, context of each, a run of each context, smallest doc_id of each)."""
         runs = np.flatnonzero(repeated[self.key])
@@ -152,19 +188,31 @@ def _bits(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
 
 def _repeated(group: Group, answers: pa.Table, ranges: int) -> np.ndarray:
+    """Which keys of the group may repeat elsewhere; runs of hot ones are cut."""
     _, cut = split_by_range(group.keys, ranges)
-    return _bits(answers.sort_by("b").column("bits").to_pylist(), np.diff(cut))
+    answers, hot = answers.sort_by("b"), np.zeros(len(group.keys), bool)
+    for x, y, bits in zip(cut[:-1], cut[1:], answers.column("hot").to_pylist(), strict=True):
+        if bits is not None:
+            hot[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x)
+    repeated = _bits(answers.column("bits").to_pylist(), np.diff(cut))
+    group.cut_hot(hot & repeated)
+    return repeated
 
 
-def _census(rows: DataFrame, group_bytes: int, ranges: int, length: int, gram: int) -> DataFrame:
-    """(g, b, bits): which anchors of group g in range b are in two documents."""
+def _census(rows: DataFrame, group_bytes: int, ranges: int, length: int, gram: int, most: int) -> DataFrame:
+    """(g, b, bits, hot): which anchors of group g in range b are in two documents, and which have more than `most` contexts (null: none)."""
 
     def keys_of(g: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         group = Group(table, length, gram)
         b, cut = split_by_range(group.keys, ranges)
         shared = group.shared()
-        cols = [[pack48(group.keys[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)], [np.packbits(shared[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]]
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.full(len(b), g), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["b", "g", "keys", "bits"])
+        at, more = group.extra()
+        where = np.searchsorted(at, cut)
+        cols: list[list[bytes]] = [[], [], [], []]
+        for x, y, i, j in zip(cut[:-1], cut[1:], where[:-1], where[1:], strict=True):
+            for col, values in zip(cols, (pack48(group.keys[x:y]), np.packbits(shared[x:y]), (at[i:j] - x).astype("<u4"), more[i:j].astype("<u4")), strict=True):
+                col.append(bytes(values))
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(np.full(len(b), g), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["b", "g", "keys", "bits", "at", "more"])
 
     def count(table: pa.Table) -> pa.Table:
         blocks = [unpack48(x) for x in table.column("keys").to_pylist()]
@@ -172,10 +220,17 @@ def _census(rows: DataFrame, group_bytes: int, ranges: int, length: int, gram: i
         _, inverse = np.unique(np.concatenate(blocks), return_inverse=True)
         # within a block two keys may agree in 48 bits; that only lets more contexts travel
         twice = np.bincount(inverse, 1.0 + _bits(table.column("bits").to_pylist(), sizes))[inverse] > 1
-        cut = np.append(0, np.cumsum(sizes))
-        return pa.table({"g": table.column("g"), "b": table.column("b"), "bits": pa.array([np.packbits(twice[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
+        cut, arrive = np.append(0, np.cumsum(sizes)), np.ones(len(inverse))
+        for x, at, more in zip(cut, table.column("at").to_pylist(), table.column("more").to_pylist(), strict=False):
+            arrive[x + np.frombuffer(at, "<u4").astype(np.int64)] += np.frombuffer(more, "<u4")
+        hot = np.bincount(inverse, arrive)[inverse] > most
+        pieces = list(zip(cut[:-1], cut[1:], strict=True))
+        bits = [np.packbits(twice[x:y]).tobytes() for x, y in pieces]
+        hots = [np.packbits(hot[x:y]).tobytes() if hot[x:y].any() else None for x, y in pieces]
+        return pa.table({"g": table.column("g"), "b": table.column("b"), "bits": pa.array(bits, pa.binary()), "hot": pa.array(hots, pa.binary())})
 
-    return by_group(rows, group_bytes, keys_of, "b int, g long, keys binary, bits binary").groupBy("b").applyInArrow(count, "g long, b int, bits binary")
+    blocks = by_group(rows, group_bytes, keys_of, "b int, g long, keys binary, bits binary, at binary, more binary")
+    return blocks.groupBy("b").applyInArrow(count, "g long, b int, bits binary, hot binary")
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, keep_bytes: bool = True) -> DataFrame:
@@ -188,7 +243,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None,
         raise ValueError("gram is to be from length - 31 to length")
     rows = stable(docs).select("doc_id", "text")
     group_bytes, ranges, _ = laid_out(rows)
-    census = checkpoint(_census(rows, group_bytes, ranges, length, gram))
+    most = max(1, group_bytes // HOT // (2 * length - gram))
+    census = checkpoint(_census(rows, group_bytes, ranges, length, gram, most))
     dealt = packed(rows, group_bytes).repartition(ranges, "g")
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:

@@ -151,6 +151,37 @@ def test_suffix_dedup(docs, rows, odd, none):
     assert suffixdedup.cut_repeats(none.select("doc_id", "text")).collect() == []
 
 
+def test_hot_anchors_are_cut(spark, docs, rows, monkeypatch):
+    """Boilerplate before varying text, and all the odd rows, with every anchor of several contexts hot."""
+    line = "Licensed under the terms that the notice in full states. "
+    many = [(i, line + f"{i:04d} " + PASSAGE[i % 7 :] if i % 3 else line + prose(20), None, None) for i in range(120)]
+    monkeypatch.setattr(suffixdedup, "HOT", 1 << 30)
+    for some in (rows, many):
+        frame = spark.createDataFrame(some, "doc_id long, text string, lang string, source string").repartition(4).select("doc_id", "text")
+        got = {r.doc_id: tuple(r)[1:] for r in suffixdedup.cut_repeats(frame).collect()}
+        assert {i: (*v[:4], bytes(v[4])) for i, v in got.items()} == removed(some)
+
+
+def test_windows_of_a_hot_anchor_go_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    line = "Licensed under the terms that the notice in full states. "
+    texts = [line + f"{i * 7919 % 100003:06d} and so on for document {i}" for i in range(3000)]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+
+    def most(group):
+        return np.unique(group.hash[group.contexts(np.ones(len(group.keys), bool))[2]], return_counts=True)[1].max()
+
+    group = suffixdedup.Group(table, 50, 26)
+    keys, more = group.extra()
+    assert most(group) == more.max() + 1 > 900
+    windows = sorted(np.repeat(group.first, group.n) + np.concatenate([np.arange(n) for n in group.n]))
+    group.cut_hot(np.isin(np.arange(len(group.keys)), keys))
+    assert most(group) == 1
+    assert windows == sorted(np.repeat(group.first, group.n) + np.concatenate([np.arange(n) for n in group.n]))
+
+
 @pytest.mark.parametrize(("depth", "seed"), [(7, 2), (7, 8), (13, 4), (20, 8), (9, 3)])
 def test_refined_buckets_are_equal_strings(depth, seed):
     import numpy as np
