@@ -380,7 +380,8 @@ def _asked(masks: DataFrame, questions: DataFrame, answer: Callable[[np.ndarray,
                 found = answer(unpacked_mask(row.bits, int(row.width), int(row.height)), list(row.asked))
                 yield pd.DataFrame([(row.name, *x) for x in found], columns=names)
 
-    return masks.select("name", "width", "height", "bits").join(wanted, "name").mapInPandas(run, schema)
+    # the pages' partitions do the work: were they the side that is sent to the few partitions of the questions, a few tasks would do it all
+    return masks.select("name", "width", "height", "bits").join(wanted.hint("shuffle_hash"), "name").mapInPandas(run, schema)
 
 
 def strokes(masks: DataFrame, areas: DataFrame) -> DataFrame:

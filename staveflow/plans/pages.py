@@ -139,19 +139,19 @@ def barlines_of_whole_pages(masks: DataFrame, config: DetectionConfig = DEFAULT,
     Only the columns beside candidates come back from a page's mask.
     """
     rows = staff_rows(masks)
-    lines = islands.staffs_from_peaks(rows, KEYS, config.staff_same_system_spacing_ratio).select("name", "y")
-    spacing = islands.median_spacing(lines, KEYS, "y")
+    lines = checkpoint(islands.staffs_from_peaks(rows, KEYS, config.staff_same_system_spacing_ratio).select("name", "y"))
+    spacing = checkpoint(islands.median_spacing(lines, KEYS, "y"))
     sized = masks.where("bits is not null").select("name", "width", "height", (F.col("dark") / (F.col("width") * F.col("height"))).alias("density")).join(spacing, "name")
     enough = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     tuned = checkpoint(sized.join(enough, "name", "left_semi").select("name", "height", *validation.tuned_parameters()))
     areas = tuned.select("name", F.lit(0).alias("area"), F.lit(0).alias("x_from"), F.lit(None).cast("int").alias("x_to"), F.lit(0).alias("y_from"), F.col("height").alias("y_to"), "threshold", "min_length", "max_gap", F.col("angle_tolerance").alias("tolerance"), F.lit(False).alias("hooks"))
-    segments = kernels.strokes(masks.where("bits is not null"), areas).select("name", "x1", "y1", "x2", "y2", *geo.segment_metrics())
+    segments = checkpoint(kernels.strokes(masks.where("bits is not null"), areas)).select("name", "x1", "y1", "x2", "y2", *geo.segment_metrics())
     scaled = segments.join(tuned.select("name", "x_tolerance"), "name").withColumn("__x", F.col("center_x") / F.col("x_tolerance"))
     grouped = folds.running_mean_groups(scaled, KEYS, "__x", 1.0)
     scored = aggregates.line_groups(grouped, [*KEYS, "grp"]).where(F.col("barline_score") >= least)
     barlines = checkpoint(scored.select("name", F.col("grp").alias("id"), F.floor("center_x").cast("int").alias("x"), F.col("barline_score").alias("score")))
     dark = kernels.columns_beside(masks.where("bits is not null"), barlines.select("name", "x").distinct())
-    staffs = islands.systems_of_five(lines.join(spacing, "name"), KEYS, F.col("spacing") * config.staff_system_grouping_ratio)
+    staffs = checkpoint(islands.systems_of_five(lines.join(spacing, "name"), KEYS, F.col("spacing") * config.staff_system_grouping_ratio))
     five = staffs.select("name", F.col("system_idx").alias("staff"), F.explode("lines").alias("y"))
     alone = lines.join(five.select("name", "y"), ["name", "y"], "left_anti").select("name", F.lit(-1).alias("staff"), "y")
     good = validation.valid_on_page(barlines, checkpoint(dark), five.unionByName(alone), KEYS, config)
