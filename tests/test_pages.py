@@ -220,6 +220,10 @@ def test_no_pixel_is_a_row_and_masks_stay(spark, monkeypatch):
     frame = spark.createDataFrame([("a", 900, 300, bytearray(score().tobytes()))], "name string, width int, height int, pixels binary")
     masks = pages.masks_of_pages(frame)
     systems = pages.systems_of_pages(masks)
+    # few pages or questions change nothing: neither side is broadcast, and the masks' partitions stay as they are
+    answered = kernels.strokes(masks, pages.search_areas(systems))
+    plan = answered._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and answered.rdd.getNumPartitions() == masks.rdd.getNumPartitions()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = kernels.strokes(masks, pages.search_areas(systems))._jdf.queryExecution().executedPlan().toString()
