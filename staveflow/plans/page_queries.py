@@ -395,8 +395,9 @@ IMAGES_SQL = "SELECT label AS page, dense_rank() OVER (PARTITION BY label ORDER
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page images (name, width, height, pixels) of the embeddings: one image a label, one row a vector, values as grays."""
-    gray = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(v.cast("double") * 64 + 128))).cast("int"))
+    """Page images (name, width, height, pixels) of the embeddings: one image a label, one row a vector, values as grays, in single precision as the values are (in double some are a gray lower)."""
+    whole = lambda n: F.lit(n).cast("float")
+    gray = F.transform("embedding", lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.floor(v * whole(64) + whole(128)))).cast("int"))
     line = F.unhex(F.array_join(F.transform(gray, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
     rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.size("embedding").alias("width"), F.hex(line).alias("line"))
     whole = rows.groupBy("label", "width").agg(F.array_sort(F.collect_list(F.struct("vec_id", "line"))).alias("lines"))

@@ -297,3 +297,17 @@ def test_dataset_driver(spark):
     page = spark.createDataFrame([("a", 40, 20, bytearray(b"\x00" * 800))], "name string, width int, height int, pixels binary")
     fit = dataset.letterboxed_pages(page, 10).first()
     assert (fit.width, fit.height, bytes(fit.pixels).count(b"\xff")) == (10, 10, 50)
+
+
+def test_letterboxing_leaves_out_pages_of_which_no_pixel_is_left(spark):
+    rows = [("thin", 2, 30, bytearray(60)), ("fits", 3, 30, bytearray(90)), ("flat", 30, 2, bytearray(60)), ("square", 5, 5, bytearray(25))]
+    page = spark.createDataFrame(rows, "name string, width int, height int, pixels binary")
+    assert sorted(r.name for r in dataset.letterboxed_pages(page, 10).collect()) == ["fits", "square"]
+
+
+def test_grays_of_the_embeddings_are_in_single_precision(spark, tmp_path):
+    """-2e-8 * 64 + 128 is 128 in single precision and under it in double."""
+    from staveflow.plans import page_queries
+
+    spark.createDataFrame([(1, [-2e-8, 0.5, -3.0], 7)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert list(page_queries._images(spark, str(tmp_path)).first().pixels) == [128, 160, 0]
