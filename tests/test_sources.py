@@ -183,3 +183,10 @@ def test_streams(spark, tmp_path):
         (rows / "2.json").write_text('{"doc":"d","page":2,"measure_number":1}\n{"doc":"e","page":1,"measure_number":1}\n')
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "sig")).select("doc", "page", "measure_number", "signature").collect())
     assert got == [("d", 1, 1, "4/4"), ("d", 1, 2, "3/4"), ("d", 2, 1, "3/4"), ("e", 1, 1, "4/4")]
+
+
+def test_page_range_query_on_a_catalogue_of_more_pages(spark, tmp_path):
+    import __spark_entry__
+
+    spark.range(0, 6000, 3).selectExpr("id AS user_id").union(spark.createDataFrame([(5000,)], "id long")).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.page for r in __spark_entry__.queries()["page_range"](spark, str(tmp_path)).collect()) == [3, 6, 9, 42, 120]
