@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import barline_score
 
 
-def line_groups(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Means and population deviations of grouped segments (center_x, center_y, length, angle), with barline_score."""
+def line_groups(lines: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Means and population deviations of grouped segments (center_x, center_y, length, angle), with barline_score.
+
+    A deviation that lies on a step of the score falls to one side or the other
+    by how its sums were rounded. With `order`, a column, deviations are taken
+    up in its order, so that partitions don't decide; a group's numbers, those
+    of the strokes of one candidate, are then an array.
+    """
+    deviation = lambda c: F.stddev_pop(c) if order is None else _deviation(c, order)
     stats = lines.groupBy(*keys).agg(
-        F.avg("center_x").alias("center_x"), F.stddev_pop("center_x").alias("x_std"), F.sum("length").alias("total_length"), F.count(F.lit(1)).alias("line_count"),
-        (F.max("center_y") - F.min("center_y")).alias("y_coverage"), F.avg("angle").alias("avg_angle"), F.stddev_pop("angle").alias("angle_std"),
+        F.avg("center_x").alias("center_x"), deviation("center_x").alias("x_std"), F.sum("length").alias("total_length"), F.count(F.lit(1)).alias("line_count"),
+        (F.max("center_y") - F.min("center_y")).alias("y_coverage"), F.avg("angle").alias("avg_angle"), deviation("angle").alias("angle_std"),
     )
     return stats.withColumn("barline_score", barline_score())
 
 
+def _deviation(column: str, order: str) -> Column:
+    """The population deviation by a mean that is moved value by value, in order."""
+    values = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(F.col(order).alias("o"), F.col(column).cast("double").alias("v")))))
+    init = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(acc: Column, r: Column) -> Column:
+        mean = acc["mean"] + (r["v"] - acc["mean"]) / (acc["n"] + 1)
+        return F.struct((acc["n"] + 1).alias("n"), mean.alias("mean"), (acc["squares"] + (r["v"] - mean) * (r["v"] - acc["mean"])).alias("squares"))
+
+    return F.aggregate(values, init, step, lambda acc: F.when(acc["n"] > 0, F.sqrt(acc["squares"] / acc["n"])))
+
+
 def consensus(barlines: DataFrame, systems: DataFrame, keys: list[str], ratio: float = 0.8, pad: int = 10) -> DataFrame:
     """Clusters of barlines (keys, group_idx, cluster, system_idx, x) in which enough of the group's systems agree.
 

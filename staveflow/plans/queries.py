@@ -291,8 +291,8 @@ def thickness(spark, sf_dir):
  SELECT page, g AS grp, round(center_x, 6) AS center_x, round(total_length, 6) AS total_length, line_count, CAST(least(100, CASE WHEN x_std < 2 THEN 30 WHEN x_std < 5 THEN 20 WHEN x_std < 10 THEN 10 ELSE 0 END + CASE WHEN line_count BETWEEN 3 AND 8 THEN 25 WHEN line_count >= 2 THEN 15 ELSE 0 END
  + CASE WHEN cov > 40 THEN 25 WHEN cov > 20 THEN 15 ELSE 0 END + CASE WHEN a_std < 5 THEN 20 WHEN a_std < 10 THEN 10 ELSE 0 END) AS INT) AS barline_score FROM t""")
 def line_group_scores(spark, sf_dir):
-    rows = derived(spark, sf_dir, SEGMENTS).withColumn("grp", F.floor(F.col("x1") / 50)).select("page", "grp", *geo.segment_metrics())
-    out = aggregates.line_groups(rows, ["page", "grp"])
+    rows = derived(spark, sf_dir, SEGMENTS).withColumn("grp", F.floor(F.col("x1") / 50)).select("id", "page", "grp", *geo.segment_metrics())
+    out = aggregates.line_groups(rows, ["page", "grp"], order="id")
     return out.select("page", "grp", F.round("center_x", 6).alias("center_x"), F.round("total_length", 6).alias("total_length"), "line_count", "barline_score")
 
 

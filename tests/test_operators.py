@@ -233,3 +233,15 @@ def test_top_classes_and_images(spark):
     assert got == {("a", "top"), ("b", "top"), ("c", "essential")}
     per = spark.createDataFrame([("i1", 1, 5), ("i2", 1, 5), ("i3", 2, 1), ("i1", 2, 9)], "image string, cls int, n int")
     assert {(r.image, tuple(r.picked_for)) for r in sampling.top_images_per_class(per, 1).collect()} == {("i1", (1, 2))}
+
+
+def test_deviations_in_order_don_t_depend_on_partitions(spark):
+    """The deviation of these four is 10; rounded sums give 9.99... in some orders, and one step of the score more."""
+    rows = [(0, 526.0), (1, 530.0), (2, 514.0), (3, 542.0)]
+    mean = squares = 0.0
+    for n, (_, x) in enumerate(rows, 1):
+        before, mean = mean, mean + (x - mean) / n
+        squares += (x - mean) * (x - before)
+    frame = spark.createDataFrame([(i, 1, x, 0.0, 1.0, 90.0) for i, x in rows], "id int, page int, center_x double, center_y double, length double, angle double")
+    got = {aggregates.line_groups(f, ["page"], order="id").first().x_std for f in (frame.repartition(k, "id") for k in (1, 2, 3, 4))}
+    assert got == {(squares / 4) ** 0.5}
