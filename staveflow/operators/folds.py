@@ -9,14 +9,19 @@ a page's size doesn't matter then, its longest run does.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
-from . import conflicts, joins
+from ..rounds import checkpoint
+from . import conflicts, joins, suppression
 from .islands import clusters_by_gap
 
+#: A key of more boxes than this times conflicts.FOLDED is not walked through in one task.
+WALKED = 20
+
 
 def _folded(df: DataFrame, keys: list[str], x: str, tolerance: float, belongs: Callable[[Column, Column], Column], start: Callable[[Column], Column], add: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """Numbers the groups: belongs(state, x) says whether x belongs to the state's group."""
@@ -86,11 +91,34 @@ def thickness(columns: DataFrame, keys: list[str], visits: tuple = (1, -1, 2, -2
 
 
 def greedy_suppression(boxes: DataFrame, keys: list[str], overlap: float = 0.5, rank: tuple = ("confidence", "id")) -> DataFrame:
-    """Boxes that survive greedy suppression within keys: by confidence (ties by id), each kept box drops those of that overlap or more.
+    """Boxes that survive greedy suppression within keys: by confidence (ties by id, null last), each kept box drops those of that overlap or more.
 
-    Only pairs that overlap enough matter, and they are few; conflicts.losers
-    takes them in order of rank. id names a box.
+    A key's boxes are walked through in that order, with the kept ones at hand
+    (suppression.kept). A key of so many boxes that one task should not walk
+    them goes by pairs that overlap enough, which conflicts.losers takes in
+    order of rank. id names a box. Boxes without area, or with null in their
+    key or corners, stay and drop none.
     """
+    boxes = checkpoint(boxes)
+    counts = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > WALKED * conflicts.FOLDED).drop("__n")
+    large = checkpoint(counts)
+    if large.isEmpty():
+        return _walked(boxes, keys, overlap, rank)
+    own = large.select(*[F.col(k).alias(f"__large_{k}") for k in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__large_{k}")) for k in keys])
+    return _walked(boxes.join(own, on, "left_anti"), keys, overlap, rank).union(_by_pairs(boxes.join(own, on, "left_semi"), keys, overlap, rank))
+
+
+def _walked(boxes: DataFrame, keys: list[str], overlap: float, rank: tuple) -> DataFrame:
+    conf, ident = rank
+    corners = ["x1", "y1", "x2", "y2"]
+    takes_part = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], (F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2")))
+    more = [F.xxhash64(*keys).alias("__unit"), F.coalesce(takes_part, F.lit(False)).alias("__part"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__{c}") for c in corners]]
+    ordered = boxes.select("*", *more).repartition("__unit").sortWithinPartitions("__unit", F.desc_nulls_last(conf), ident)
+    return ordered.mapInArrow(lambda batches: suppression.kept(batches, overlap), boxes.schema)
+
+
+def _by_pairs(boxes: DataFrame, keys: list[str], overlap: float, rank: tuple) -> DataFrame:
     conf, ident = rank
     met = joins.overlapping(boxes, keys, ident, more=[conf]).where(iou("p", "q") >= overlap)
     first = F.col(f"p.{conf}") >= F.col(f"q.{conf}")

@@ -45,6 +45,22 @@ def test_suppression_is_greedy(boxes, overlap):
     assert folds.greedy_suppression(frame.limit(0), ["image"]).collect() == []
 
 
+def test_crowded_boxes_are_never_pairs(spark, monkeypatch):
+    """Most of these boxes overlap each other; pairs of them aren't made, and the walk over slices and batches is the plain one."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        x, y, big = rng.randrange(40), rng.randrange(40), 20 if i % 50 == 0 else 1
+        rows.append((i, rng.randrange(9), x, y, x + big * rng.randrange(1, 30), y + big * rng.randrange(0, 30), i % 2 if i % 7 else None))
+    frame = spark.createDataFrame(rows, "id long, confidence int, x1 int, y1 int, x2 int, y2 int, image int")
+    monkeypatch.setattr(joins, "overlapping", lambda *a, **k: pytest.fail("pairs of boxes"))
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if r[6] is None or all(k[6] != r[6] or iou(k, r) < 0.5 for k in kept):
+            kept.append(r)
+    assert sorted(r.id for r in folds.greedy_suppression(frame, ["image"], 0.5).collect()) == sorted(r[0] for r in kept)
+
+
 def test_barline_over_a_whole_staff(spark):
     """A stroke through all five lines stands, one through three of them doesn't; on a page of four lines three are enough."""
     lines = [("p", 0, 20 + 8 * i) for i in range(5)] + [("q", 0, 20 + 8 * i) for i in range(4)]
