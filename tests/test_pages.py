@@ -311,3 +311,17 @@ def test_grays_of_the_embeddings_are_in_single_precision(spark, tmp_path):
 
     spark.createDataFrame([(1, [-2e-8, 0.5, -3.0], 7)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert list(page_queries._images(spark, str(tmp_path)).first().pixels) == [128, 160, 0]
+
+
+def test_lines_of_one_degree_are_walked_together(monkeypatch):
+    """Every column of five staff lines of three rows has votes enough: that is one step of the search, not one a column."""
+    mask = np.zeros((60, 400), bool)
+    for y in range(5, 50, 10):
+        mask[y : y + 3] = True
+    mask[2:50, 100:103] = True
+    steps = []
+    monkeypatch.setattr(kernels, "divmod", lambda a, b: steps.append(1) or (a // b, a % b), raising=False)
+    got = kernels.line_segments(mask, 12, 20, 3)
+    assert len(steps) < 40 and (100, 2, 100, 49) in got
+    monkeypatch.setattr(kernels, "LINE_PIXELS", 1000)
+    assert kernels.line_segments(mask, 12, 20, 3) == got
