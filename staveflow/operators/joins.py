@@ -53,11 +53,17 @@ def contained(outer: DataFrame, inner: DataFrame, keys: list[str], slack: float
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], reach: float = 30, point_id: str = "id", target_id: str = "target_id") -> DataFrame:
-    """For each point (x, y) the nearest target within reach (equal to it counts), ties to the smallest target id."""
-    side = int(reach) + 1
-    near = [F.lit(i) for i in (-1, 0, 1)]
-    a = points.withColumn("__cx", F.floor(F.col("x") / side)).withColumn("__cy", F.floor(F.col("y") / side))
-    b = targets.withColumn("__cx", F.explode(F.array(*[F.floor(F.col("x") / side) + i for i in near]))).withColumn("__cy", F.explode(F.array(*[F.floor(F.col("y") / side) + i for i in near])))
+    """For each point (x, y) the nearest target within reach (equal to it counts), ties to the smallest target id.
+
+    A target goes to its cell once; of those in the same place only the first
+    can be the answer. A point goes to the cells that its reach touches, two a
+    side at most.
+    """
+    side = 2 * int(reach) + 2
+    cells = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side)))
+    a = points.where("x is not null and y is not null").select(*keys, point_id, "x", "y").withColumn("__cx", cells("x")).withColumn("__cy", cells("y"))
+    own = targets.where(F.col(target_id).isNotNull()).select(*keys, target_id, "x", "y", F.floor(F.col("x") / side).alias("__cx"), F.floor(F.col("y") / side).alias("__cy"))
+    b = own.repartition(*keys, "__cx", "__cy").groupBy(*keys, "__cx", "__cy", "x", "y").agg(F.min(target_id).alias(target_id))
     d2 = (F.col("a.x") - F.col("b.x")) * (F.col("a.x") - F.col("b.x")) + (F.col("a.y") - F.col("b.y")) * (F.col("a.y") - F.col("b.y"))
     met = a.alias("a").join(b.alias("b"), _on("a", "b", [*keys, "__cx", "__cy"]) & (d2 <= reach * reach))
     best = met.groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{point_id}").alias(point_id)).agg(F.min(F.struct(d2.cast("double").alias("d2"), F.col(f"b.{target_id}").alias("t"))).alias("m"))

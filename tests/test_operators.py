@@ -245,3 +245,13 @@ def test_deviations_in_order_don_t_depend_on_partitions(spark):
     frame = spark.createDataFrame([(i, 1, x, 0.0, 1.0, 90.0) for i, x in rows], "id int, page int, center_x double, center_y double, length double, angle double")
     got = {aggregates.line_groups(f, ["page"], order="id").first().x_std for f in (frame.repartition(k, "id") for k in (1, 2, 3, 4))}
     assert got == {(squares / 4) ** 0.5}
+
+
+def test_targets_of_a_nearest_join_go_to_one_cell(spark):
+    """Two thousand targets in one place are one row of the join, and its first id is the answer; points on borders of cells find theirs."""
+    targets = spark.range(2000).selectExpr("1 AS page", "id + 7 AS target_id", "10 AS x", "10 AS y").union(spark.createDataFrame([(1, 5000, -31, 61), (2, 1, 10, 10)], "page int, target_id long, x int, y int"))
+    points = spark.createDataFrame([(1, 1, 10, 40), (1, 2, 40, 10), (1, 3, 41, 10), (1, 4, -61, 61), (1, 5, -31, 31), (3, 6, 10, 10)], "page int, id int, x int, y int")
+    near = joins.nearest(points, targets, ["page"])
+    assert {r.id: (r.target_id, r.distance) for r in near.collect()} == {1: (7, 30.0), 2: (7, 30.0), 4: (5000, 30.0), 5: (5000, 30.0)}
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2  # the points' cells, by column and row; before, the targets' nine
