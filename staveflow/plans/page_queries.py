@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -25,13 +25,35 @@ DOCUMENT_SQL = """WITH l AS (SELECT o_orderkey % 5 AS k, l_orderkey AS img, l_or
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, l_orderkey, l_linenumber)"""
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, value): annotation documents as text, one for each of five shards."""
+#: Orders whose annotations make one part of a document (as many keys, a fifth of them in a shard, up to seven lines each).
+PART_ORDERS = 20_000
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shard, part, annotations): the members of the shards' annotation maps as text, without the braces, in parts of bounded size."""
     rows = derived(spark, sf_dir, DOCUMENT_SQL.removeprefix("WITH l AS (").removesuffix(")"))
     box = F.when(F.col("n") < 7, F.array(*[(F.col("x") + i).cast("double") for i in (0, 1, 2, 3)])).otherwise(F.array(F.lit(1.0)))
     one = F.struct(F.array(F.lit(None).cast("string"), F.lit(""), F.col("cat").cast("string")).alias("cat_id"), F.col("img").cast("string").alias("img_id"), box.alias("a_bbox"))
-    entry = F.struct(F.col("ann").cast("string").alias("key"), one.alias("value"))
-    return rows.groupBy("k").agg(F.collect_list(entry).alias("e")).select(F.format_string("set-%d.json", "k").alias("file"), F.to_json(F.struct(F.map_from_entries("e").alias("annotations"))).alias("value"))
+    member = F.concat(F.lit('"'), F.col("ann").cast("string"), F.lit('":'), F.to_json(one)).alias("member")
+    members = rows.select("k", F.floor(F.col("img") / PART_ORDERS).alias("part"), member)
+    return members.groupBy(F.col("k").alias("shard"), "part").agg(F.array_join(F.collect_list("member"), ",").alias("annotations"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, value): annotation documents as text, those of a shard in folders by part, so that no row holds a shard."""
+    body = F.concat(F.lit('{"annotations":{'), "annotations", F.lit("}}"))
+    return _parts(spark, sf_dir).select(F.format_string("part-%d/set-%d.json", "part", "shard").alias("file"), body.alias("value"))
+
+
+def _whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, part, content): a document for each shard, in the pieces of which it is written."""
+    parts = _parts(spark, sf_dir)
+    first = F.row_number().over(Window.partitionBy("shard").orderBy("part")) == 1
+    ends = parts.select("shard").distinct().select("shard", F.lit(None).cast("long").alias("part"), F.lit("}}").alias("content"))
+    # the first piece opens the document; null, taken as the largest number, closes it
+    order = parts.select("shard", "part").withColumn("first", first)
+    pieces = parts.join(order, ["shard", "part"]).select("shard", "part", F.concat(F.when(F.col("first"), '{"annotations":{').otherwise(","), "annotations").alias("content"))
+    return pieces.union(ends).select(F.format_string("set-%d.json", "shard").alias("file"), F.coalesce("part", F.lit((1 << 63) - 1)).alias("part"), "content")
 
 
 @query(f"{DOCUMENT_SQL} SELECT CAST(k AS INT) AS shard, CAST(ann AS VARCHAR) AS ann_id, CAST(img AS VARCHAR) AS image_id, CAST(cat AS VARCHAR) AS category_id, CAST(x + 2 AS DOUBLE) AS x2 FROM l WHERE cat IS NOT NULL AND cat <> 4 AND n < 7")
@@ -583,7 +605,7 @@ def stroke_votes(spark, sf_dir):
 def large_annotation_scan(spark, sf_dir):
     """The rows of annotation_scan from documents on disk, each read in ranges of 100,000 bytes."""
     path = new_folder(spark, "documents")
-    named_files.write(_documents(spark, sf_dir).select("file", F.col("value").alias("content")), path)
+    named_files.write_pieces(_whole_documents(spark, sf_dir), path)
     rows = files.member_annotations(files.annotation_members(spark, path + "/*.json", 100_000), excluded=["4"])
     return rows.select("shard", "ann_id", "image_id", "category_id", F.col("box")[2].alias("x2"))
 

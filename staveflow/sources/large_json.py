@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .committed import filesystem
 
-RANGE_BYTES, BLOCK_BYTES = 64 << 20, 1 << 20
+RANGE_BYTES, BLOCK_BYTES, BEYOND_BYTES = 64 << 20, 1 << 20, 1 << 14
 _QUOTE, _BACKSLASH, _COMMA = 0x22, 0x5C, 0x2C
 _STEP = np.zeros(256, np.int8)
 _STEP[[0x5B, 0x7B]], _STEP[[0x5D, 0x7D]] = 1, -1
@@ -38,8 +38,8 @@ _STEP[[0x5B, 0x7B]], _STEP[[0x5D, 0x7D]] = 1, -1
 class _Blocks:
     """Blocks of a file from a position on, with the quotes that aren't escaped."""
 
-    def __init__(self, file, at: int, size: int) -> None:
-        self.file, self.at, self.size = file, at, size
+    def __init__(self, file, at: int, size: int, hi: int) -> None:
+        self.file, self.at, self.size, self.hi = file, at, size, hi
         back = 64
         while True:  # an odd run of backslashes before the range escapes its first byte
             file.seek(max(0, at - back))
@@ -53,7 +53,9 @@ class _Blocks:
     def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         while self.at < self.size:
             self.file.seek(self.at)
-            block = np.frombuffer(self.file.read(min(BLOCK_BYTES, self.size - self.at)), np.uint8)
+            # no more than the range; behind it, where its last member ends, a little at a time
+            block = min(BLOCK_BYTES, self.hi - self.at) if self.at < self.hi else min(BLOCK_BYTES, BEYOND_BYTES)
+            block = np.frombuffer(self.file.read(min(block, self.size - self.at)), np.uint8)
             quotes = block == _QUOTE
             slash = block == _BACKSLASH
             if slash.any():
@@ -74,7 +76,7 @@ class _Blocks:
 def _counted(file, lo: int, hi: int, size: int) -> tuple[int, int, int]:
     """(quotes, brackets left open if the range begins outside a string, and if inside)."""
     n, outside, inside = 0, 0, 0
-    for at, block, quotes in _Blocks(file, lo, size):
+    for at, block, quotes in _Blocks(file, lo, size, hi):
         block, quotes = block[: max(0, hi - at)], quotes[: max(0, hi - at)]
         if not len(block):
             break
@@ -86,10 +88,10 @@ def _counted(file, lo: int, hi: int, size: int) -> tuple[int, int, int]:
     return n, outside, inside
 
 
-def _borders(file, lo: int, size: int, quoted: bool, depth: int, sections_only: bool = False) -> Iterator[tuple[int, np.ndarray, list[tuple[int, str | None]]]]:
+def _borders(file, lo: int, size: int, quoted: bool, depth: int, sections_only: bool = False, hi: int | None = None) -> Iterator[tuple[int, np.ndarray, list[tuple[int, str | None]]]]:
     """(position, block, borders) of blocks from lo on: a border is (place in the block, name of the section that opens after it; None for the border of a member)."""
     section = None
-    for at, block, quotes in _Blocks(file, lo, size):
+    for at, block, quotes in _Blocks(file, lo, size, size if hi is None else hi):
         before = quoted + np.cumsum(quotes) - quotes
         outside = before % 2 == 0  # an opening quote counts as outside
         step = np.where(outside & ~quotes, _STEP[block], 0)
@@ -126,7 +128,7 @@ def _name_at(file, at: int, size: int) -> str | None:
 def _members(file, lo: int, hi: int, size: int, quoted: bool, depth: int, section: str | None) -> Iterator[tuple[str, str | None, str]]:
     """(section, key, text) of the members that begin in a range; key is null in lists."""
     held, mapped = None, None
-    for at, block, borders in _borders(file, lo, size, quoted, depth):
+    for at, block, borders in _borders(file, lo, size, quoted, depth, hi=hi):
         start = 0
         for p, name in borders:
             if name is not None:
@@ -191,7 +193,7 @@ def members(spark: SparkSession, paths: str | list[str], range_bytes: int = RANG
 
     def last_name(file, r) -> list[tuple[str | None]]:
         last = None
-        for at, block, borders in _borders(file, int(r.lo), int(r.size), int(r.quoted), int(r.depth), True):
+        for at, block, borders in _borders(file, int(r.lo), int(r.size), int(r.quoted), int(r.depth), True, int(r.hi)):
             for p, name in borders:
                 last = name if name is not None and at + p < r.hi else last
             if at + len(block) >= r.hi:

@@ -222,3 +222,31 @@ def test_kinds_of_pdf_images():
         with pytest.raises(ValueError, match=says):
             doc.gray(page)
     assert pdf.value(rb"(a\(b\)(c)\101\n\q) ", 0)[0] == b"a(b)(c)A\nq" and pdf.value(b"<48 656C6> ", 0)[0] == b"Hel`"
+
+
+def test_a_file_of_pieces(spark, tmp_path):
+    rows = [("a/x.txt", 2, "c"), ("y.txt", 1, ""), ("a/x.txt", 0, "a"), ("a/x.txt", 1, "b" * 9)]
+    named_files.write_pieces(spark.createDataFrame(rows, "file string, part int, content string").repartition(3), str(tmp_path / "out"))
+    assert (tmp_path / "out/a/x.txt").read_text() == "a" + "b" * 9 + "c" and (tmp_path / "out/y.txt").read_text() == ""
+
+
+def test_annotation_documents_are_made_in_parts_of_bounded_size(spark, monkeypatch):
+    """With parts of 50 orders no row holds more than 50 orders' lines; the documents together hold every line once."""
+    from staveflow.plans import page_queries
+
+    small = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, page_queries.annotation_scan(spark, small).collect()), key=str)
+    monkeypatch.setattr(page_queries, "PART_ORDERS", 50)
+    held = page_queries._documents(spark, small).selectExpr("length(value) - length(replace(value, 'img_id', 'img_i')) AS n").collect()
+    assert len(held) > 100 and max(r.n for r in held) <= 10 * 7
+    assert sorted(map(tuple, page_queries.annotation_scan(spark, small).collect()), key=str) == whole
+    assert sorted(map(tuple, page_queries.large_annotation_scan(spark, small).collect()), key=str) == whole
+
+
+def test_a_range_reads_little_beyond_itself(tmp_path):
+    data = json.dumps({"annotations": {str(i): {"v": i} for i in range(200_000)}}).encode()
+    (tmp_path / "d.json").write_bytes(data)
+    with open(tmp_path / "d.json", "rb") as file:
+        blocks = iter(large_json._Blocks(file, 1000, len(data), 51_000))
+        sizes = [len(next(blocks)[1]) for _ in range(3)]
+    assert sizes == [50_000, large_json.BEYOND_BYTES, large_json.BEYOND_BYTES]
