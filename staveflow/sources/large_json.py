@@ -176,7 +176,9 @@ def _over(ranges: DataFrame, answer, schema: str) -> DataFrame:
                             held, size = [], 0
                     yield pd.DataFrame(held, columns=names)
 
-    return ranges.mapInPandas(run, schema)
+    # ranges are small rows of much work: a number that is given keeps them from being put together in one task
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, "path", "lo").mapInPandas(run, schema)
 
 
 def members(spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -184,7 +186,6 @@ def members(spark: SparkSession, paths: str | list[str], range_bytes: int = RANG
     listed = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size")).where("size > 0")  # contents aren't read
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("lo")
     ranges = listed.select("path", "size", starts).withColumn("hi", F.least("size", F.col("lo") + range_bytes))
-    ranges = ranges.repartition(F.col("path"), F.col("lo"))
     before = Window.partitionBy("path").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
     sums = _over(ranges, lambda f, r: [_counted(f, int(r.lo), int(r.hi), int(r.size))], "path string, lo long, quotes long, outside long, inside long")
     sums = sums.withColumn("quoted", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
