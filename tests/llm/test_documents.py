@@ -618,6 +618,28 @@ def test_one_row_of_a_repeated_id_is_learned_from(spark, monkeypatch):
     assert max(sizes) == 2
 
 
+def test_all_labels_are_learned(spark):
+    """Over 1,500 labelled documents of each class, in shards, and a text of over 1 MB: every word gets its row, whatever the partitions."""
+    import numpy as np
+
+    rows = [(i, f"own{i} some words {['fine', 'dolt'][i % 2]}", "en") for i in range(4200)] + [(4201, "giant " + "padding " * 150_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    model, again = toxicity.train(docs, marks), toxicity.train(docs.repartition(7), marks.repartition(3))
+    assert np.array_equal(model.layers, again.layers) and np.array_equal(model.table.values, again.table.values) and model.thresholds == again.thresholds
+    zeros = [i for i, text, _ in rows if zlib.crc32(str(i).encode()) % 5 and not model.table[_row_of(text.split(" ")[0])].any()]
+    assert zeros == []
+    out = docs.where(toxicity.held_out() == 0).select("doc_id", toxicity.scores(model, spark)("text").alias("s")).collect()
+    assert all((r.s >= model.thresholds["en"]) == (r.doc_id % 2 == 1) for r in out if r.doc_id < 4200)
+
+
+def _row_of(word):
+    import numpy as np
+
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return int(toxicity.word_rows(raw, np.array([0, len(raw)]))[1][0])
+
+
 def test_labels_held_out_are_not_learned(spark):
     docs = spark.createDataFrame([(i, "word " * 5) for i in range(50)], "doc_id long, text string")
     marks = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, toxic int")
