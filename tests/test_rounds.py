@@ -33,6 +33,27 @@ def test_pairs_come_once(boxes):
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[6] == b[6] and iou(a, b) > 0)
 
 
+def test_boxes_move_once_for_pairs(spark):
+    """Boxes lie in one shuffle, once a band; no join buffers or repeats them (two shuffles, a row a cell, before)."""
+    rng = random.Random(8)
+    rows = [(i, x, y, x + rng.randrange(1, 90), y + rng.randrange(1, 60), i % 2) for i in range(6000) for x, y in [(rng.randrange(0, 4000), rng.randrange(-600, 1500))]]
+    frame = spark.createDataFrame(rows, "id long, x1 long, y1 long, x2 long, y2 long, image int").repartition(3)
+    met = joins.overlapping(frame, ["image"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((r.a, r.b, tuple(r.p), tuple(r.q)) for r in met.collect())
+    by_x = sorted(rows, key=lambda r: (r[5], r[1]))
+    want = []
+    for k, a in enumerate(by_x):
+        for b in by_x[k + 1 :]:
+            if b[5] != a[5] or b[1] >= a[3]:
+                break
+            if min(a[4], b[4]) > max(a[2], b[2]):
+                p, q = sorted((a, b))
+                want.append((p[0], q[0], p[1:5], q[1:5]))
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("overlap", [0.1, 0.3, 0.9])
 def test_suppression_is_greedy(boxes, overlap):
     rows, frame = boxes
