@@ -633,6 +633,49 @@ def test_all_labels_are_learned(spark):
     assert all((r.s >= model.thresholds["en"]) == (r.doc_id % 2 == 1) for r in out if r.doc_id < 4200)
 
 
+def test_one_model_at_a_time_passes_the_driver(spark, monkeypatch):
+    """What is sent holds one embedding table; without thresholds only the last model is trained, to the same numbers."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, f"some words own{i % 50} {['fine', 'dolt'][i % 2]}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    sent, kind = [], type(spark.sparkContext)
+    send = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, x: sent.append(x[1].shape) or send(self, x))
+    full = toxicity.train(docs, marks)
+    assert set(sent) == {(len(full.table.values) - 1, toxicity.EMBED)} and len(sent) == (toxicity.FOLDS + 1) * toxicity.ROUNDS + toxicity.FOLDS
+    sent.clear()
+    only = toxicity.train(docs, marks, cuts=False)
+    assert len(sent) == toxicity.ROUNDS and only.thresholds == {"": 0.5} and set(full.thresholds) == {"", "en"}
+    assert np.array_equal(full.layers, only.layers) and np.array_equal(full.table.values, only.table.values)
+
+
+def test_labelled_texts_move_once(spark, tmp_path):
+    """Texts without labels stay where they are, those with labels go through one exchange; repeated ids, null ids and texts as before."""
+    rows = [(i, f"text {i}", "en") for i in range(3000)] + [(7, "text 8", "de"), (7, "text 8", "fr"), (None, "text", "en"), (3001, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    known = spark.createDataFrame([(i, i % 2) for i in [*range(0, 3000, 100), 7, 3001]], "doc_id long, toxic int")
+    out = toxicity.dealt(docs, known, 3, 5)
+    got = out.withColumn("p", F.spark_partition_id()).collect()
+    want = {(i, i % 2, "en", f"text {i}") for i in range(0, 3000, 100)} | {(7, 1, "fr", "text 8"), (3001, 1, None, None)}
+    assert len(got) == len(want) and {(r.doc_id, r.toxic, r.lang, r.text) for r in got} == want
+    assert {r.shard for r in got} == {0, 1, 2} and len({(r.shard, r.p) for r in got}) == 3
+    moved, rest = [], [out._jdf.queryExecution().executedPlan()]
+    while rest:
+        node = rest.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            rest.append(node.executedPlan())
+        elif name == "ShuffleQueryStageExec":
+            rest.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec" and "text" in {x.name() for x in (node.output().apply(i) for i in range(node.output().length()))}:
+                moved.append(node)
+            rest += [node.children().apply(i) for i in range(node.children().length())]
+    assert len(moved) == 1
+
+
 def _row_of(word):
     import numpy as np
 
