@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from staveflow.config import DEFAULT, DetectionConfig
-from staveflow.operators import conflicts, folds, joins, sampling, validation
+from staveflow.operators import conflicts, folds, joins, pairs, sampling, validation
 from staveflow.plans import pages
 
 
@@ -54,6 +56,38 @@ def test_boxes_move_once_for_pairs(spark):
     assert got == sorted(want)
 
 
+def test_ratios_leave_the_sweep_as_three_numbers(boxes):
+    rows, frame = boxes
+    met = joins.ious(frame, ["image"], cell=64)
+    assert met.columns == ["a", "b", "iou"]
+    assert {(r.a, r.b): r.iou for r in met.collect()} == {(a[0], b[0]): iou(a, b) for a in rows for b in rows if a[0] < b[0] and a[6] == b[6] and iou(a, b) > 0}
+
+
+def test_a_sweep_compares_boxes_with_those_that_reach_them_only(monkeypatch):
+    """A row of 6,000 boxes of which each meets the next four: few comparisons, not thousands a box; one very wide box and boxes beyond a batch lose no pair."""
+    n, most = 6000, []
+    x1 = [-1, *range(n)]
+    table = pa.table({"image": [1] * (n + 1), "__i": list(range(n + 1)), "x1": x1, "y1": [0] * (n + 1), "x2": [2, *(x + 5 for x in range(n))], "y2": [9] * (n + 1), "__band": [0] * (n + 1)})
+    plain = np.minimum
+    monkeypatch.setattr(pairs.np, "minimum", lambda a, b: (most.append(np.broadcast(a, b).size), plain(a, b))[1])
+    got = [(a, b) for batch in pairs.swept(iter(table.to_batches(max_chunksize=1000)), ["image"], ["x1", "y1", "x2", "y2"], 512) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)]
+    assert sorted(got) == sorted((i, j) for i in range(n + 1) for j in range(i + 1, min(n, (i + 4) if i else 2) + 1))
+    assert sum(most) < 200 * n
+
+
+def test_ratios_are_rounded_as_the_sql_does(spark, tmp_path):
+    """Areas 343 of 5,120: 0.0669921875, half of the last digit, which doubles round down and decimals up."""
+    import duckdb
+
+    import __spark_entry__
+
+    spark.createDataFrame([(0, 0, 0, 1, 28.0), (200, 1120, 136, 4, 27.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()["pairwise_iou"]).fetchall()
+    assert [tuple(r) for r in __spark_entry__.queries()["pairwise_iou"](spark, str(tmp_path)).collect()] == want and len(want) == 1
+
+
 @pytest.mark.parametrize("overlap", [0.1, 0.3, 0.9])
 def test_suppression_is_greedy(boxes, overlap):
     rows, frame = boxes
