@@ -514,23 +514,24 @@ DRAWN_SQL = f"""SELECT k, s, n, m, w, two, hooked, i, CASE WHEN i >= n THEN 1 EL
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image files (name, content) of SCORES_SQL: staff lines of one row, barlines of three columns through each system, brackets with hooks."""
 
+    def one(r) -> tuple:
+        height, groups = 4 * r.s, 1 + r.two
+        tops = [60 + i * (height + 30) + (300 if i >= r.n else 0) for i in range(r.n * groups)]
+        width = 60 + r.m * r.w
+        gray = np.full((tops[-1] + height + 80, width), 255, np.uint8)
+        for top in tops:
+            for i in range(5):
+                gray[top + i * r.s, 40 : width - 20] = 0
+            for j in range(r.m):
+                gray[top : top + height + 1, 60 + j * r.w : 63 + j * r.w] = 0
+        if r.hooked:
+            low = tops[r.n - 1] + height
+            gray[tops[0] - 2 : low + 3, 20:24] = 0
+            gray[tops[0] - 2 : tops[0] + 1, 20:34] = gray[low : low + 3, 20:34] = 0
+        return str(r.k), b"P5\n%d %d\n255\n" % gray.shape[::-1] + gray.tobytes()
+
     def draw(parts):
-        for part in parts:
-            for r in part.itertuples():
-                height, groups = 4 * r.s, 1 + r.two
-                tops = [60 + i * (height + 30) + (300 if i >= r.n else 0) for i in range(r.n * groups)]
-                width = 60 + r.m * r.w
-                gray = np.full((tops[-1] + height + 80, width), 255, np.uint8)
-                for top in tops:
-                    for i in range(5):
-                        gray[top + i * r.s, 40 : width - 20] = 0
-                    for j in range(r.m):
-                        gray[top : top + height + 1, 60 + j * r.w : 63 + j * r.w] = 0
-                if r.hooked:
-                    low = tops[r.n - 1] + height
-                    gray[tops[0] - 2 : low + 3, 20:24] = 0
-                    gray[tops[0] - 2 : tops[0] + 1, 20:34] = gray[low : low + 3, 20:34] = 0
-                yield pd.DataFrame({"name": [str(r.k)], "content": [b"P5\n%d %d\n255\n" % gray.shape[::-1] + gray.tobytes()]})
+        yield from kernels.in_lots((one(r) for part in parts for r in part.itertuples()), ["name", "content"], 16)
 
     rows = spark.sql(SCORES_SQL.replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
     return rows.repartition(64).mapInPandas(draw, "name string, content binary")

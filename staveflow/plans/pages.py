@@ -41,28 +41,33 @@ def masks_of_pages(pages: DataFrame, length: int = 50) -> DataFrame:
 def masks_of_files(images: DataFrame, length: int = 50) -> DataFrame:
     """The same straight from image files (name, content), with an error for each that can't be decoded (its bits are null); a page's pixels never leave the task."""
 
+    def one(name: str, content: bytes) -> tuple:
+        try:
+            width, height, pixels = files.decode_image(bytes(content))
+            bits, dark, found = kernels.page_mask(np.frombuffer(pixels, np.uint8).reshape(height, width), length)
+        except files.DECODE_ERRORS as e:
+            return name, None, None, None, None, None, str(e) or type(e).__name__
+        return name, width, height, bits, dark, [{"y": y, "x_start": a, "x_end": b} for y, a, b in found], None
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part["name"], part["content"], strict=True):
-                row = {"name": name, "width": None, "height": None, "bits": None, "dark": None, "peaks": None, "error": None}
-                try:
-                    width, height, pixels = files.decode_image(bytes(content))
-                    bits, dark, found = kernels.page_mask(np.frombuffer(pixels, np.uint8).reshape(height, width), length)
-                    row |= {"width": width, "height": height, "bits": bits, "dark": dark, "peaks": [{"y": y, "x_start": a, "x_end": b} for y, a, b in found]}
-                except files.DECODE_ERRORS as e:
-                    row["error"] = str(e) or type(e).__name__
-                yield pd.DataFrame([row]).astype({"width": "Int32", "height": "Int32", "dark": "Int64"})
+        rows = (one(*r) for part in parts for r in zip(part["name"], part["content"], strict=True))
+        for lot in kernels.in_lots(rows, ["name", "width", "height", "bits", "dark", "peaks", "error"], kernels.MASK_LOT):
+            yield lot.astype({"width": "Int32", "height": "Int32", "dark": "Int64"})
 
     return _by_name(images.select("name", "content").mapInPandas(run, kernels.MASKS + ", error string"))
 
 
-def _by_name(masks: DataFrame) -> DataFrame:
-    """Checkpointed and dealt by name. Planned without adaptive execution, of whose plans Spark keeps no partitioning: so joins by name find the masks where they are."""
-    conf = masks.sparkSession.conf
+def _by_name(rows: DataFrame) -> DataFrame:
+    """Checkpointed and dealt by name. Planned without adaptive execution, of whose plans Spark keeps no partitioning: so joins by name find the rows where they are.
+
+    A checkpoint runs what stands behind the last exchange twice, once to count
+    and once to write; so what a page costs stands before one.
+    """
+    conf = rows.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return checkpoint(masks.repartition(int(conf.get("spark.sql.shuffle.partitions")), "name"))
+        return checkpoint(rows.repartition(int(conf.get("spark.sql.shuffle.partitions")), "name"))
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -115,6 +120,11 @@ def brackets_of_pages(segments: DataFrame, systems: DataFrame) -> DataFrame:
     return mp.brackets(hooked.select("name", F.col("x1").alias("x"), "y1", "y2"), systems, KEYS)
 
 
+def _masks(pages: DataFrame) -> DataFrame:
+    masks = pages if "bits" in pages.columns else masks_of_files(pages) if "content" in pages.columns else masks_of_pages(pages)
+    return masks.where("bits is not null")
+
+
 def analysed(pages: DataFrame, config: DetectionConfig = DEFAULT) -> dict[str, DataFrame]:
     """systems, barlines (agreed), brackets and measures of pages, each one table over all pages.
 
@@ -122,10 +132,9 @@ def analysed(pages: DataFrame, config: DetectionConfig = DEFAULT) -> dict[str, D
     or masks. Pages that could not be decoded have no rows. Each page is
     decoded once, searched once and probed once.
     """
-    masks = pages if "bits" in pages.columns else masks_of_files(pages) if "content" in pages.columns else masks_of_pages(pages)
-    masks = masks.where("bits is not null")
-    systems = checkpoint(systems_of_pages(masks, config))
-    found = checkpoint(kernels.strokes(masks, search_areas(systems, config).unionByName(bracket_areas(masks, systems))))
+    masks = _masks(pages)
+    systems = _by_name(systems_of_pages(masks, config))
+    found = _by_name(kernels.strokes(masks, search_areas(systems, config).unionByName(bracket_areas(masks, systems))))
     segments = found.where(F.col("area") != BRACKETS).withColumnRenamed("area", "system_idx")
     single = checkpoint(barlines_of_systems(masks, systems, segments, config))
     agreed = checkpoint(mp.agreed_barlines(single, systems, config, KEYS))
@@ -136,26 +145,27 @@ def analysed(pages: DataFrame, config: DetectionConfig = DEFAULT) -> dict[str, D
 def barlines_of_whole_pages(masks: DataFrame, config: DetectionConfig = DEFAULT, least: int = LEAST_PAGE_SCORE) -> DataFrame:
     """(name, x, score) without a search by system, for pages whose systems are unclear: one search over the page, settings by its ink and spacing, groups of `least` points (30; the strict form takes 40) that cross three of its lines and one whole staff if there are five lines.
 
-    Only the columns beside candidates come back from a page's mask.
+    Candidates go to a page's mask with the page's lines, and those that stand come back.
     """
     rows = staff_rows(masks)
-    lines = checkpoint(islands.staffs_from_peaks(rows, KEYS, config.staff_same_system_spacing_ratio).select("name", "y"))
+    lines = _by_name(islands.staffs_from_peaks(rows, KEYS, config.staff_same_system_spacing_ratio).select("name", "y"))
     spacing = checkpoint(islands.median_spacing(lines, KEYS, "y"))
     sized = masks.where("bits is not null").select("name", "width", "height", (F.col("dark") / (F.col("width") * F.col("height"))).alias("density")).join(spacing, "name")
     enough = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     tuned = checkpoint(sized.join(enough, "name", "left_semi").select("name", "height", *validation.tuned_parameters()))
     areas = tuned.select("name", F.lit(0).alias("area"), F.lit(0).alias("x_from"), F.lit(None).cast("int").alias("x_to"), F.lit(0).alias("y_from"), F.col("height").alias("y_to"), "threshold", "min_length", "max_gap", F.col("angle_tolerance").alias("tolerance"), F.lit(False).alias("hooks"))
-    segments = checkpoint(kernels.strokes(masks.where("bits is not null"), areas)).select("name", "x1", "y1", "x2", "y2", *geo.segment_metrics())
+    segments = _by_name(kernels.strokes(masks.where("bits is not null"), areas)).select("name", "x1", "y1", "x2", "y2", *geo.segment_metrics())
     scaled = segments.join(tuned.select("name", "x_tolerance"), "name").withColumn("__x", F.col("center_x") / F.col("x_tolerance"))
     grouped = folds.running_mean_groups(scaled, KEYS, "__x", 1.0)
     scored = aggregates.line_groups(grouped, [*KEYS, "grp"]).where(F.col("barline_score") >= least)
-    barlines = checkpoint(scored.select("name", F.col("grp").alias("id"), F.floor("center_x").cast("int").alias("x"), F.col("barline_score").alias("score")))
-    dark = kernels.columns_beside(masks.where("bits is not null"), barlines.select("name", "x").distinct())
+    barlines = scored.select("name", F.floor("center_x").cast("int").alias("x"), F.col("barline_score").alias("score"))
     staffs = checkpoint(islands.systems_of_five(lines.join(spacing, "name"), KEYS, F.col("spacing") * config.staff_system_grouping_ratio))
     five = staffs.select("name", F.col("system_idx").alias("staff"), F.explode("lines").alias("y"))
     alone = lines.join(five.select("name", "y"), ["name", "y"], "left_anti").select("name", F.lit(-1).alias("staff"), "y")
-    good = validation.valid_on_page(barlines, checkpoint(dark), five.unionByName(alone), KEYS, config)
-    return good.select("name", "x", "score")
+    each = five.unionByName(alone).groupBy("name", "staff").agg(F.collect_list("y").alias("lines"))
+    places = each.groupBy("name").agg(F.collect_list("lines").alias("staffs")).withColumn("lines", F.array_distinct(F.flatten("staffs")))
+    margins = validation.intersection_margin(lines.distinct(), KEYS, config)
+    return kernels.standing(masks.where("bits is not null"), barlines.join(places, "name").join(margins, "name"))
 
 
 def in_shares(measures: DataFrame, pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staveflow.functions import kernels
+from staveflow.operators import validation
 from staveflow.plans import dataset, pages
 from staveflow.sources import detectors, files
 
@@ -325,3 +326,47 @@ def test_lines_of_one_degree_are_walked_together(monkeypatch):
     assert len(steps) < 40 and (100, 2, 100, 49) in got
     monkeypatch.setattr(kernels, "LINE_PIXELS", 1000)
     assert kernels.line_segments(mask, 12, 20, 3) == got
+
+
+def test_votes_are_counted_by_runs(monkeypatch):
+    """Five staff lines of three rows: runs vote, and those left after the first walk vote anew (a vote a pixel and degree, twice over, before)."""
+    mask = np.zeros((108, 700), bool)
+    for y in range(22, 86, 15):
+        mask[y : y + 3, 40:660] = True
+    mask[22:86, 100:103] = True
+    votes, plain = [], np.bincount
+    monkeypatch.setattr(kernels.np, "bincount", lambda at, *a, **k: (votes.append(len(at)), plain(at, *a, **k))[1])
+    got = kernels.line_segments(mask, 12, 20, 3)
+    assert (100, 22, 100, 85) in got and sum(votes) < mask.sum() * 41 // 4
+
+
+def test_rows_leave_tasks_in_lots():
+    lots = list(kernels.in_lots(((i, None) for i in range(150)), ["a", "b"], 64))
+    assert [len(x) for x in lots] == [64, 64, 22] and list(lots[2].columns) == ["a", "b"] and list(kernels.in_lots([], ["a"])) == []
+
+
+def test_candidates_stand_in_the_mask_as_over_rows(spark):
+    """kernels.standing against validation.valid_on_page over rows of pixels: staffs of four to six lines, strokes of any length and width, gaps, noise, columns off the page."""
+    rng = np.random.default_rng(6)
+    masks, spots, pixels, staffs = [], [], [], []
+    for name in "abcdefgh":
+        mask = rng.random((150, 120)) < 0.03
+        tops = (20, 90) if name < "e" else (40,)
+        lines = [[top + 10 * i for i in range(4 if name == "h" else int(rng.integers(4, 7)))] for top in tops]
+        for ys in lines:
+            for y in ys:
+                mask[y] |= rng.random(120) < 0.9
+            for _ in range(12):
+                x, w = int(rng.integers(0, 118)), int(rng.integers(1, 12))
+                a, b = ys[0] + int(rng.integers(-12, 13)), ys[-1] + int(rng.integers(-12, 13))
+                mask[a : b + 1, x : x + w] = True
+                mask[a + 15 : a + 15 + int(rng.integers(0, 2)), x : x + w] = False
+        masks.append((name, 120, 150, bytearray(kernels.packed_mask(mask))))
+        staffs += [(name, i, y) for i, ys in enumerate(lines) for y in ys]
+        spots += [(name, x, x, 50, sum(lines, []), lines, 2) for x in range(-2, 123)]
+        pixels += [(name, int(x), int(y)) for y, x in zip(*np.nonzero(mask), strict=True)]
+    asked = spark.createDataFrame(spots, "name string, id int, x int, score int, lines array<int>, staffs array<array<int>>, margin int")
+    got = kernels.standing(spark.createDataFrame(masks, "name string, width int, height int, bits binary"), asked)
+    want = validation.valid_on_page(asked.select("name", "id", "x"), spark.createDataFrame(pixels, "name string, x int, y int"), spark.createDataFrame(staffs, "name string, staff int, y int"), ["name"])
+    found = {(r.name, r.x) for r in got.collect()}
+    assert found == {(r.name, r.x) for r in want.collect()} and 50 < len(found) < 900
