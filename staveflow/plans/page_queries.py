@@ -548,7 +548,7 @@ def page_systems(spark, sf_dir):
 
 @query(f"SELECT b.k, b.x, d.i AS system_idx FROM ({DRAWN_BARLINES_SQL}) b JOIN ({DRAWN_SQL}) d ON b.k = d.k AND b.g = d.g")
 def page_system_barlines(spark, sf_dir):
-    return pages.analysed(_scores(spark, sf_dir))["system_barlines"].select(F.col("name").cast("long").alias("k"), "x", "system_idx")
+    return pages.system_barlines(_scores(spark, sf_dir)).select(F.col("name").cast("long").alias("k"), "x", "system_idx")
 
 
 @query(f"SELECT b.k, g AS group_idx, x, CAST(n AS INT) AS group_size, 60 + g * n * (4 * s + 30) + 300 * g - 10 AS y_start, 60 + ((1 + g) * n - 1) * (4 * s + 30) + 300 * g + 4 * s + 10 AS y_end FROM ({DRAWN_BARLINES_SQL}) b")

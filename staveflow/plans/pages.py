@@ -125,6 +125,14 @@ def _masks(pages: DataFrame) -> DataFrame:
     return masks.where("bits is not null")
 
 
+def system_barlines(pages: DataFrame, config: DetectionConfig = DEFAULT) -> DataFrame:
+    """analysed()'s system_barlines alone: pages are not searched for brackets, and nothing is agreed."""
+    masks = _masks(pages)
+    systems = _by_name(systems_of_pages(masks, config))
+    segments = _by_name(kernels.strokes(masks, search_areas(systems, config))).withColumnRenamed("area", "system_idx")
+    return barlines_of_systems(masks, systems, segments, config)
+
+
 def analysed(pages: DataFrame, config: DetectionConfig = DEFAULT) -> dict[str, DataFrame]:
     """systems, barlines (agreed), brackets and measures of pages, each one table over all pages.
 

@@ -370,3 +370,14 @@ def test_candidates_stand_in_the_mask_as_over_rows(spark):
     want = validation.valid_on_page(asked.select("name", "id", "x"), spark.createDataFrame(pixels, "name string, x int, y int"), spark.createDataFrame(staffs, "name string, staff int, y int"), ["name"])
     found = {(r.name, r.x) for r in got.collect()}
     assert found == {(r.name, r.x) for r in want.collect()} and 50 < len(found) < 900
+
+
+def test_system_barlines_alone(spark, monkeypatch):
+    """The barlines of systems without brackets, agreement and measures, which analysed() works out too."""
+    frame = spark.createDataFrame([("a", 900, 300, bytearray(score().tobytes()))], "name string, width int, height int, pixels binary")
+    masks = pages.masks_of_pages(frame)
+    want = sorted(map(tuple, pages.analysed(masks)["system_barlines"].collect()))
+    for name in ("bracket_areas", "brackets_of_pages"):
+        monkeypatch.setattr(pages, name, lambda *a, **k: pytest.fail("brackets"))
+    monkeypatch.setattr(pages.mp, "agreed_barlines", lambda *a, **k: pytest.fail("agreement"))
+    assert sorted(map(tuple, pages.system_barlines(masks).collect())) == want and len(want) >= 6
